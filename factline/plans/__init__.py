@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("trees",)
+FAMILIES = ("trees", "relational")
 
 
 def load_plans():
