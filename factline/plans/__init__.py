@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("trees", "relational")
+FAMILIES = ("trees", "relational", "ingest")
 
 
 def load_plans():

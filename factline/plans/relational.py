@@ -178,7 +178,7 @@ SELECT *, round((SELECT sum(amount_aud) FROM t), 2) AS total_aud FROM t""",
 def a17(m: Model):
     rows = m.facts.where((F.col("compatibility_group") == "actual_expense") & (F.col("financial_year") == "1998-99"))
     top = rows.select("fact_id", "node_name", "amount_aud").orderBy(F.desc("amount_aud"), "fact_id").limit(100)
-    return top.crossJoin(top.agg(F.round(F.sum("amount_aud"), 2).alias("total_aud")))
+    return top.withColumn("total_aud", top.agg(F.round(F.sum("amount_aud"), 2)).scalar())
 
 
 @plan(
@@ -463,7 +463,7 @@ SELECT doc_id, source, position FROM n WHERE position % greatest(1, total // 50)
 )
 def w7(m: Model):
     d = m.table("documents").select("doc_id", "source")
-    ranked = dense_ordinal(d, [], ["doc_id"], "position").crossJoin(d.agg(N.alias("total")))
+    ranked = dense_ordinal(d, [], ["doc_id"], "position").withColumn("total", d.agg(N).scalar())
     step = F.greatest(F.lit(1), F.floor(F.col("total") / 50))
     return ranked.where(F.col("position") % step == 0).orderBy("position").limit(50).select("doc_id", "source", "position")
 

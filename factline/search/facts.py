@@ -47,5 +47,5 @@ def ordered(rows: DataFrame, order: str = "amount_desc") -> DataFrame:
 
 def page(rows: DataFrame, order: str, limit: int, offset: int) -> DataFrame:
     """One page with the total; the page is a bounded top-k, the total a plain count."""
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return ordered(rows, order).offset(offset).limit(limit).crossJoin(total)
+    total = rows.agg(F.count(F.lit(1)))
+    return ordered(rows, order).offset(offset).limit(limit).withColumn("total", total.scalar())
