@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("trees", "relational", "ingest")
+FAMILIES = ("trees", "relational", "ingest", "graphs")
 
 
 def load_plans():
