@@ -9,7 +9,6 @@ from factline.graph import edges as E
 from factline.plans.model import Model, sql
 from factline.plans.registry import plan
 
-N = F.count(F.lit(1))
 YEAR = "1999-00"
 
 NODES_SQL = """np AS (SELECT DISTINCT p_type AS t, p_brand AS b, p_name AS n, p_size AS s FROM part),
@@ -278,7 +277,7 @@ def g14(m: Model):
 )
 def g15(m: Model):
     cov = E.crosswalk_coverage(decisions(m), node_frames(m).where("source_key = 'a61'"))
-    return cov.groupBy("portfolio", "status", "reason").agg(N.alias("n"))
+    return cov.groupBy("portfolio", "status", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan(

@@ -12,7 +12,6 @@ from factline.operators.views import mode_rows
 from factline.plans.model import Model, sql
 from factline.plans.registry import plan
 
-N = F.count(F.lit(1))
 LK = ["level", "financial_year"]
 
 
@@ -46,7 +45,7 @@ def a4(m: Model):
 )
 def a5(m: Model):
     return m.facts.groupBy("jurisdiction", "node_name").agg(
-        N.alias("fact_count"),
+        F.count(F.lit(1)).alias("fact_count"),
         F.min("amount_aud").alias("min_amount"),
         F.max("amount_aud").alias("max_amount"),
         F.array_join(F.array_sort(F.collect_set("financial_year")), ";").alias("years"),
@@ -62,7 +61,7 @@ def a6(m: Model):
 @plan("a7_source_summary", sql("SELECT source_key, count(*) AS n_facts, array_to_string(list_sort(list_distinct(list(measure_type))), ',') AS measures, max(len(string_split(node_name, ' / '))) AS max_depth FROM f GROUP BY ALL", "f"))
 def a7(m: Model):
     return m.facts.groupBy("source_key").agg(
-        N.alias("n_facts"),
+        F.count(F.lit(1)).alias("n_facts"),
         F.array_join(F.array_sort(F.collect_set("measure_type")), ",").alias("measures"),
         F.max(F.size(F.split("node_name", T.SEP))).cast("long").alias("max_depth"),
     )
@@ -72,13 +71,13 @@ def a7(m: Model):
 def a8(m: Model):
     e = m.table("events")
     keyed = A.keyed_by_pattern(e, F.get_json_object("props", "$.k"), r"^(\d+)$", "origin")
-    return keyed.groupBy("origin").agg(N.alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    return keyed.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
 @plan("a9_depth_statistics", sql("SELECT jurisdiction, max(len(string_split(node_name, ' / '))) AS max_depth, round(avg(len(string_split(node_name, ' / '))), 4) AS mean_depth, count(*) AS n FROM l GROUP BY ALL", "l"))
 def a9(m: Model):
     depth = F.size(F.split("node_name", T.SEP))
-    return m.lines.groupBy("jurisdiction").agg(F.max(depth).cast("long").alias("max_depth"), F.round(F.avg(depth), 4).alias("mean_depth"), N.alias("n"))
+    return m.lines.groupBy("jurisdiction").agg(F.max(depth).cast("long").alias("max_depth"), F.round(F.avg(depth), 4).alias("mean_depth"), F.count(F.lit(1)).alias("n"))
 
 
 @plan("a10_top_forty_counts", sql("SELECT node_name, count(*) AS n FROM l GROUP BY ALL ORDER BY n DESC, node_name LIMIT 40", "l"))
@@ -150,7 +149,7 @@ def a14(m: Model):
 def a15(m: Model):
     d = m.table("documents").select("doc_id", "source").join(m.table("labels"), "doc_id", "left")
     q = F.coalesce("quality", F.lit(0))
-    return d.groupBy("source").agg(F.round(F.avg(q) * 10 + F.min(q) + F.least(N, F.lit(20)), 4).alias("score"), N.alias("n"))
+    return d.groupBy("source").agg(F.round(F.avg(q) * 10 + F.min(q) + F.least(F.count(F.lit(1)), F.lit(20)), 4).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
 @plan(
@@ -163,7 +162,7 @@ UNION ALL SELECT source, lang || ':' || coalesce(CAST(quality AS VARCHAR), 'none
 def a16(m: Model):
     d = m.table("documents").select("doc_id", "source", "lang").join(m.table("labels"), "doc_id", "left")
     klass = F.concat_ws(":", "lang", F.coalesce(F.col("quality").cast("string"), F.lit("none")))
-    fine = d.groupBy(F.col("source").alias("portfolio"), klass.alias("class")).agg(N.alias("n"))
+    fine = d.groupBy(F.col("source").alias("portfolio"), klass.alias("class")).agg(F.count(F.lit(1)).alias("n"))
     return fine.groupBy("class").agg(F.sum("n").alias("n")).select(F.lit("all").alias("portfolio"), "class", "n").unionByName(fine)
 
 
@@ -198,13 +197,13 @@ def a18(m: Model):
 
 @plan("j1_star_join", sql("SELECT jurisdiction, region, p_type, financial_year, count(*) AS n, round(sum(amount_aud), 2) AS amount_aud FROM l GROUP BY ALL", "l"))
 def j1(m: Model):
-    return m.lines.groupBy("jurisdiction", "region", "p_type", "financial_year").agg(N.alias("n"), F.round(F.sum("amount_aud"), 2).alias("amount_aud"))
+    return m.lines.groupBy("jurisdiction", "region", "p_type", "financial_year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount_aud"), 2).alias("amount_aud"))
 
 
 @plan("j2_left_outer", sql("SELECT lang, coalesce(quality, -1) AS quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"))
 def j2(m: Model):
     d = m.table("documents").select("doc_id", "lang").join(m.table("labels"), "doc_id", "left")
-    return d.groupBy("lang", F.coalesce("quality", F.lit(-1)).alias("quality")).agg(N.alias("n"))
+    return d.groupBy("lang", F.coalesce("quality", F.lit(-1)).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan(
@@ -224,7 +223,7 @@ def j3(m: Model):
 @plan("j4_semi_join", sql("SELECT c_mktsegment, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) GROUP BY ALL"))
 def j4(m: Model):
     c, o = m.table("customer"), m.table("orders").where("o_totalprice > 400000").select("o_custkey")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").groupBy("c_mktsegment").agg(N.alias("n"))
+    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("j5_anti_join", sql("SELECT doc_id, lang FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)"))
@@ -253,7 +252,7 @@ def j6(m: Model):
 def j7(m: Model):
     p = m.table("part")
     u = p.where("p_size > 45").select(F.upper("p_name").alias("u")).distinct()
-    return p.join(u, F.lower("p_name") == F.lower("u")).groupBy("p_type").agg(N.alias("n"))
+    return p.join(u, F.lower("p_name") == F.lower("u")).groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan(
@@ -267,7 +266,7 @@ SELECT prefix, count(*) AS n_below, round(sum(a), 2) AS amount_aud FROM g JOIN p
 def j8(m: Model):
     g = m.lines.groupBy("jurisdiction", "node_name").agg(F.sum("amount_aud").alias("a"))
     pre = m.table("part").select(F.concat_ws(T.SEP, "p_type", "p_brand").alias("prefix")).distinct()
-    return matching.prefix_join(g, pre, "node_name", "prefix").groupBy("prefix").agg(N.alias("n_below"), F.round(F.sum("a"), 2).alias("amount_aud"))
+    return matching.prefix_join(g, pre, "node_name", "prefix").groupBy("prefix").agg(F.count(F.lit(1)).alias("n_below"), F.round(F.sum("a"), 2).alias("amount_aud"))
 
 
 @plan(
@@ -348,13 +347,13 @@ def j12(m: Model):
     pl = m.places.select("nation_key", "region")
     sup = m.table("supplier").join(pl, F.col("s_nationkey") == F.col("nation_key")).select(F.col("s_suppkey").alias("parent"), F.col("region").alias("parent_region"))
     cus = m.table("customer").join(pl, F.col("c_nationkey") == F.col("nation_key")).select(F.col("c_custkey").alias("child"), F.col("region").alias("child_region"))
-    return e.join(sup, "parent").join(cus, "child").groupBy("parent_region", "child_region").agg(N.alias("n"))
+    return e.join(sup, "parent").join(cus, "child").groupBy("parent_region", "child_region").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("j13_membership", sql("SELECT estimate_status, count(*) AS n FROM f WHERE estimate_status IN ('actual', 'audited_actual') AND jurisdiction IN (SELECT n_name FROM nation WHERE n_regionkey = 2) GROUP BY ALL", "f"))
 def j13(m: Model):
     wanted = m.table("nation").where("n_regionkey = 2").select(F.col("n_name").alias("jurisdiction"))
-    return mode_rows(m.facts, "actuals").join(wanted, "jurisdiction", "left_semi").groupBy("estimate_status").agg(N.alias("n"))
+    return mode_rows(m.facts, "actuals").join(wanted, "jurisdiction", "left_semi").groupBy("estimate_status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan(
@@ -451,7 +450,7 @@ def w6(m: Model):
     from factline.operators.ordered import fill_forward
 
     s = m.text_lines.select("doc_id", "line_no", F.when(F.length("text") > 120, F.substring("text", 1, 20)).alias("section"))
-    return fill_forward(s, ["doc_id"], ["line_no"], ["section"]).groupBy("section").agg(N.alias("n"))
+    return fill_forward(s, ["doc_id"], ["line_no"], ["section"]).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan(
@@ -463,7 +462,7 @@ SELECT doc_id, source, position FROM n WHERE position % greatest(1, total // 50)
 )
 def w7(m: Model):
     d = m.table("documents").select("doc_id", "source")
-    ranked = dense_ordinal(d, [], ["doc_id"], "position").withColumn("total", d.agg(N).scalar())
+    ranked = dense_ordinal(d, [], ["doc_id"], "position").withColumn("total", d.agg(F.count(F.lit(1))).scalar())
     step = F.greatest(F.lit(1), F.floor(F.col("total") / 50))
     return ranked.where(F.col("position") % step == 0).orderBy("position").limit(50).select("doc_id", "source", "position")
 
@@ -497,7 +496,7 @@ SELECT source, CAST(rule AS INTEGER) AS rule, n FROM c ORDER BY rule, n DESC, so
 )
 def w10(m: Model):
     d = m.table("documents").select("doc_id", "source").join(m.table("labels"), "doc_id", "left")
-    g = d.groupBy("source").agg(N.alias("n"), F.count("quality").alias("labelled"), F.sum(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    g = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("labelled"), F.sum(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     rule = F.when(F.col("toxic") > 3, 1).when(F.col("labelled") * 3 < F.col("n"), 2).when(F.col("labelled") < F.col("n"), 3).otherwise(4)
     return g.select("source", rule.alias("rule"), "n").orderBy("rule", F.desc("n"), "source").limit(10)
 
@@ -508,14 +507,14 @@ def w10(m: Model):
 )
 def w11(m: Model):
     return m.table("events").groupBy("user_id", "event_type").agg(
-        F.date_format(F.max("ts"), "yyyy-MM-dd").alias("updated_on"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), N.alias("n")
+        F.date_format(F.max("ts"), "yyyy-MM-dd").alias("updated_on"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count(F.lit(1)).alias("n")
     )
 
 
 @plan("w12_content_dedupe", sql("SELECT source, sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY ALL"))
 def w12(m: Model):
     d = m.table("documents").select("source", F.sha2("text", 256).alias("sha"), "doc_id")
-    return d.groupBy("source", "sha").agg(F.min("doc_id").alias("doc_id"), N.alias("copies"))
+    return d.groupBy("source", "sha").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
 # Sets
@@ -523,7 +522,7 @@ def w12(m: Model):
 @plan("u1_union_all", sql("SELECT source, count(*) AS n FROM (SELECT lang AS source FROM documents UNION ALL SELECT role FROM conversations UNION ALL SELECT event_type FROM events) GROUP BY ALL"))
 def u1(m: Model):
     parts = [m.table(t).select(F.col(c).alias("source")) for t, c in (("documents", "lang"), ("conversations", "role"), ("events", "event_type"))]
-    return sets.union_all(parts).groupBy("source").agg(N.alias("n"))
+    return sets.union_all(parts).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("u2_newly_missing", sql("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P'"))

@@ -37,3 +37,175 @@ def breakdown_coverage(
         .otherwise("purpose_only")
     )
     return j.withColumn("deepest", deepest)
+
+
+# Value buckets of sources, in rank order; the first match wins.
+VALUE_RANKS = (
+    (10, r"^federal_pbs_|_pbs_", "commonwealth_pbs_program_depth"),
+    (20, r"^abs_asna_|^abs_qna_|^abs_state_accounts", "gdp_gva_gsp"),
+    (25, r"^abs_taxation", "tax_revenue_detail"),
+    (30, r"borrowing|tcorp|tcv|qtc|safa|watc|nttc|tascorp|aofm_", "debt_instruments"),
+    (35, r"cfs_|csc_|superannuation|pss_css", "superannuation_liabilities"),
+    (40, r"_sds_|agency_statements|budget_tables|budget_paper|budgeted_financial", "state_budget_depth"),
+    (50, r"local_|lggc|qao_local|vgc|olg_", "local_government"),
+    (60, r"^federal_mfs_", "monthly_financial_statements_slice"),
+    (70, r"grantconnect|austender|dss_|ndis_|invoice", "grants_contracts_payments"),
+    (90, r".*", "other"),
+)
+
+
+def value_rank(source):
+    """Struct ``(rank, bucket)`` of a source id."""
+    out = F.lit(None).cast("struct<rank:int,bucket:string>")
+    for rank, pattern, bucket in reversed(VALUE_RANKS):
+        out = F.when(source.rlike(pattern), F.struct(F.lit(rank).alias("rank"), F.lit(bucket).alias("bucket"))).otherwise(out)
+    return out
+
+
+def classify_sources(rows: DataFrame, no_bulk=(), reference=(), aliases=(), aggregator_prefix: str = "federal_pbs_", own_adapter=()) -> DataFrame:
+    """Ingestion status by ordered rules.
+
+    Needs ``source_id, n_files, n_facts, has_mapping, family_status`` (the status a shared adapter of the
+    source's family declares, else null).
+    """
+    sid = F.col("source_id")
+    files, facts, mapped = F.col("n_files") > 0, F.col("n_facts") > 0, F.col("has_mapping")
+    shared = sid.startswith(aggregator_prefix) & ~sid.isin(*own_adapter) if own_adapter else sid.startswith(aggregator_prefix)
+    status = (
+        F.when(sid.isin(*no_bulk), "officially_unavailable")
+        .when(sid.isin(*reference) & files, "reference_only")
+        .when(sid.isin(*aliases), "duplicate_source")
+        .when(~files, "not_acquired")
+        .when(F.col("family_status").isNotNull(), F.col("family_status"))
+        .when(facts & mapped & shared, "partially_ingested")
+        .when(facts & mapped, "fully_ingested")
+        .when(facts, "partially_ingested")
+        .when(mapped, "adapter_broken")
+        .otherwise("adapter_missing")
+    )
+    return rows.withColumn("status", status)
+
+
+def lineage_coverage(datasets: DataFrame, facts: DataFrame) -> DataFrame:
+    """Declared status of each dataset, corrected by the facts its keys have."""
+    counts = facts.groupBy("source_key").agg(F.count(F.lit(1)).alias("_n"))
+    keys = datasets.select("dataset_id", F.explode("source_keys").alias("source_key"))
+    n = keys.join(counts, "source_key", "left").groupBy("dataset_id").agg(F.sum(F.coalesce("_n", F.lit(0))).alias("fact_count"))
+    j = datasets.join(n, "dataset_id", "left").withColumn("fact_count", F.coalesce("fact_count", F.lit(0)))
+    has = F.size("source_keys") > 0
+    status = (
+        F.when(has & (F.col("fact_count") == 0) & (F.col("coverage_status") == "fully_ingested"), "adapter_failed")
+        .when(has & (F.col("fact_count") > 0) & (F.col("coverage_status") == "not_acquired"), "partially_ingested")
+        .otherwise(F.col("coverage_status"))
+    )
+    return j.withColumn("coverage_status", status).drop("source_keys")
+
+
+def cutover(facts: DataFrame, required: DataFrame, reconciliations: DataFrame, citation: list[str]) -> DataFrame:
+    """One row of booleans: required sources non-empty, citations complete, nothing unresolved."""
+    have = facts.select("source_key").distinct()
+    missing = required.join(have, "source_key", "left_anti").agg(F.count(F.lit(1)).alias("n_missing_sources"))
+    lacks = F.lit(False)
+    for c in citation:
+        lacks = lacks | (F.coalesce(F.col(c).cast("string"), F.lit("")) == "")
+    out = facts.agg(F.count(F.lit(1)).alias("exposed_facts"), F.count(F.when(lacks, 1)).alias("incomplete_citations"))
+    unresolved = reconciliations.where("status = 'unresolved'").agg(F.count(F.lit(1)))
+    out = out.withColumn("n_missing_sources", missing.scalar()).withColumn("n_unresolved", unresolved.scalar())
+    ok = (F.col("n_missing_sources") == 0) & (F.col("incomplete_citations") == 0) & (F.col("n_unresolved") == 0)
+    return out.withColumn("passed", ok)
+
+
+def quarantine_listing(pending: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest first; a limit is only what a screen shows."""
+    rows = pending.orderBy(F.desc("quarantined_at"), "fact_key")
+    return rows.limit(limit) if limit else rows
+
+
+def asset_inventory(manifest: DataFrame, listing: DataFrame, source: str = "source_id", path: str = "path") -> DataFrame:
+    """Declared assets against files on disk: present, missing, bytes and a status per source."""
+    j = manifest.join(listing.select(path, "n_bytes", F.lit(True).alias("_on")), path, "left")
+    g = j.groupBy(source).agg(
+        F.count(F.lit(1)).alias("n_assets"),
+        F.count("_on").alias("n_present"),
+        F.count(F.when(F.col("_on").isNull(), 1)).alias("n_missing"),
+        F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"),
+    )
+    status = F.when(F.col("n_missing") == 0, "complete").when(F.col("n_present") > 0, "partial").otherwise("missing")
+    return g.withColumn("status", status)
+
+
+def corpus_inventory(documents: DataFrame, facts: DataFrame, pending: DataFrame, key: str = "source_key") -> DataFrame:
+    n = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    j = documents.join(n(facts, "n_facts"), key, "left").join(n(pending, "n_quarantined"), key, "left")
+    return j.fillna(0, ["n_facts", "n_quarantined"])
+
+
+def reprocess_report(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Counts before and after a rerun; what each document yielded now."""
+    b = before.select(key, F.col("n_facts").alias("before_facts"))
+    a = after.select(key, F.col("n_facts").alias("after_facts"), F.col("n_quarantined").alias("after_quarantined"))
+    j = b.join(a, key, "full_outer")
+    outcome = (
+        F.when(F.coalesce("after_facts", F.lit(0)) > 0, "facts").when(F.coalesce("after_quarantined", F.lit(0)) > 0, "quarantine_only").otherwise("zero_yield")
+    )
+    return j.withColumn("outcome", outcome)
+
+
+def acquisition_status(rows: DataFrame, no_bulk=(), flaky=(), candidate=()) -> DataFrame:
+    """done, flaky, candidate, need, no_bulk or automated, by ordered rules."""
+    sid, latest = F.col("source_id"), F.col("has_latest")
+    manual = F.col("is_blocked") | F.col("access_method").isin("manual", "web_portal")
+    status = (
+        F.when(sid.isin(*no_bulk), "no_bulk")
+        .when(sid.isin(*flaky) | F.col("known_flaky"), F.when(latest, "done").otherwise("flaky"))
+        .when(sid.isin(*candidate) & (F.col("access_method") != "direct_file"), F.when(latest, "done").otherwise("candidate"))
+        .when(latest, "done")
+        .when(manual, "need")
+        .otherwise("automated")
+    )
+    return rows.withColumn("status", status)
+
+
+def workbook_inventory(cells: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Shape, title row and header row of every sheet; files named but absent show as missing.
+
+    Only the first two rows of a sheet are gathered as text, and each cell's share is cut first.
+    """
+    sample = lambda r, n: F.substring(
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.when((F.col("row_no") == r) & (F.col("col_no") < 50), F.struct("col_no", F.substring("value", 1, n).alias("value"))))),
+                lambda s: s["value"],
+            ),
+            " | ",
+        ),
+        1,
+        n,
+    )
+    shape = cells.groupBy("source_id", "sheet").agg(
+        (F.max("row_no") + 1).alias("n_rows"), (F.max("col_no") + 1).alias("n_cols"), sample(0, 200).alias("title_row"), sample(1, 300).alias("header_row")
+    )
+    j = manifest.join(shape, "source_id", "left")
+    return j.withColumn("error", F.when(F.col("sheet").isNull(), "file_missing_on_disk"))
+
+
+def handoff_status(rows: DataFrame, fact_counts: DataFrame) -> DataFrame:
+    """Where each handed-over source stands, with facts by exact key, else by containment.
+
+    Containment is tested on source keys, which are few, after an exact match has failed.
+    """
+    exact = rows.join(fact_counts.select(F.col("source_key").alias("source_id"), F.col("n").alias("_n")), "source_id", "left")
+    open_ = exact.where(F.col("_n").isNull()).select("source_id").distinct()
+    stem = F.regexp_replace("source_id", "_facts", "")
+    tokens = fact_counts.select("source_key", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("source_key")), lambda i: F.col("source_key").substr(i, F.lit(1000)))).alias("_tail"))
+    heads = open_.withColumn("_stem", stem).withColumn("_head", F.substring("_stem", 1, 8))
+    near = heads.join(tokens.withColumn("_head", F.substring("_tail", 1, 8)), "_head").where(F.startswith("_tail", "_stem"))
+    near = near.select("source_id", "source_key", "n").distinct().groupBy("source_id").agg(F.sum("n").alias("_m"))
+    j = exact.join(near, "source_id", "left").withColumn("n_facts", F.coalesce("_n", "_m", F.lit(0)))
+    status = (
+        F.when((F.col("action") == "REFERENCE_ONLY") & ~F.col("present"), "reference_only")
+        .when(F.col("present"), F.when(F.col("on_disk"), "already_on_disk").otherwise("downloaded"))
+        .when(F.col("action").contains("MANUAL") | F.col("action").contains("BLOCKED"), "blocked_or_manual")
+        .otherwise("missing")
+    )
+    return j.withColumn("status", status).drop("_n", "_m")
