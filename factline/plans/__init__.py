@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("trees", "relational", "ingest", "graphs")
+FAMILIES = ("trees", "relational", "ingest", "graphs", "quality")
 
 
 def load_plans():

@@ -199,7 +199,9 @@ def handoff_status(rows: DataFrame, fact_counts: DataFrame) -> DataFrame:
     stem = F.regexp_replace("source_id", "_facts", "")
     tokens = fact_counts.select("source_key", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("source_key")), lambda i: F.col("source_key").substr(i, F.lit(1000)))).alias("_tail"))
     heads = open_.withColumn("_stem", stem).withColumn("_head", F.substring("_stem", 1, 8))
-    near = heads.join(tokens.withColumn("_head", F.substring("_tail", 1, 8)), "_head").where(F.startswith("_tail", "_stem"))
+    # every prefix up to eight characters, so that a stem shorter than that still meets its tails
+    heads_of = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.col("_tail").substr(F.lit(1), i)))
+    near = heads.join(tokens.withColumn("_head", F.explode(heads_of)), "_head").where(F.startswith("_tail", "_stem"))
     near = near.select("source_id", "source_key", "n").distinct().groupBy("source_id").agg(F.sum("n").alias("_m"))
     j = exact.join(near, "source_id", "left").withColumn("n_facts", F.coalesce("_n", "_m", F.lit(0)))
     status = (
