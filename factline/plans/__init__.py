@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("trees", "relational", "ingest", "graphs", "quality")
+FAMILIES = ("trees", "relational", "ingest", "graphs", "quality", "searching")
 
 
 def load_plans():
