@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Dash forms that separate the two years of a financial-year token.
 DASHES = "-‐‑‒–—­/"
-FY_TOKEN = r"(20\d{2}\s*[–\-­/]\s*(?:20\d{2}|\d{2}))"
+FY_TOKEN = r"(20\d{2}\s*[–\-­/]\s*(?:\d{2}|20\d{2}))"
 MONTHS = (
     "January", "February", "March", "April", "May", "June",
     "July", "August", "September", "October", "November", "December",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("trees", "relational", "ingest", "graphs", "quality", "searching")
+FAMILIES = ("trees", "relational", "ingest", "graphs", "quality", "searching", "normalise", "lines")
 
 
 def load_plans():
