@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factline.session import cut_lineage
+
 BLOCK = 4096
 
 
@@ -20,15 +22,17 @@ def _block(order: Sequence[str], size: int) -> Column:
 
 
 def fill_forward(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], size: int = BLOCK
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], size: int = BLOCK, cut: bool = True
 ) -> DataFrame:
     """Carry the last non-null value of each column down the rows of a key.
 
     ``order`` ends with an integer ordinal; the columns before it are coarser (a page, a sheet row).
+    The rows are read twice, so they are written once first; pass ``cut=False`` over a plain scan.
     """
     keys, order, cols = list(keys), list(order), list(cols)
     lead, ordinal = order[:-1], order[-1]
     blocked = df.withColumn("_blk", _block(order, size))
+    blocked = cut_lineage(blocked) if cut else blocked
     unit = [*keys, *lead, "_blk"]
     tails = blocked.groupBy(*unit).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ordinal))).alias(f"_t_{c}") for c in cols]
@@ -50,13 +54,14 @@ def fill_forward(
 
 
 def dense_ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal", size: int = BLOCK
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal", size: int = BLOCK, cut: bool = True
 ) -> DataFrame:
     """Zero-based position of each row inside its key, without one task per key."""
     keys, order = list(keys), list(order)
     lead = order[:-1]
     unit = [*keys, *lead, "_blk"]
     blocked = df.withColumn("_blk", _block(order, size))
+    blocked = cut_lineage(blocked) if cut else blocked
     counts = blocked.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(*lead, "_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*unit, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

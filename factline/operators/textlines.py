@@ -85,22 +85,31 @@ SPAN_BACK = 24
 
 
 def year_header(line: Column) -> Column:
-    """Ordered ``(fy, status)`` columns of a header line, null when it names fewer than two years."""
+    """Ordered ``(fy, status)`` columns of a header line, null when it names fewer than two years.
+
+    The tokens and the text between them are bound once, so each pattern runs once per line.
+    """
     tokens = F.regexp_extract_all(line, F.lit(FY_TOKEN), 1)
     gaps = F.split(F.regexp_replace(line, FY_TOKEN, "\u0001"), "\u0001")
 
-    def column(tok: Column, i: Column) -> Column:
-        woven = F.flatten(F.zip_with(F.slice(gaps, F.lit(1), i), F.slice(tokens, F.lit(1), i), lambda g, t: F.array(g, t)))
-        before = F.concat(F.array_join(woven, ""), F.get(gaps, i))
-        back = before.substr(F.greatest(F.length(before) - (SPAN_BACK - 1), F.lit(1)), F.lit(SPAN_BACK))
-        span = F.concat(back, tok, F.coalesce(F.get(gaps, i + 1), F.lit("")))
+    def spans(z: Column) -> Column:
+        def span(tok: Column, i: Column) -> Column:
+            woven = F.flatten(F.zip_with(F.slice(z["g"], F.lit(1), i), F.slice(z["t"], F.lit(1), i), lambda g, t: F.array(g, t)))
+            before = F.concat(F.array_join(woven, ""), F.get(z["g"], i))
+            back = F.right(before, F.lit(SPAN_BACK))
+            return F.struct(tok.alias("tok"), i.alias("i"), F.concat(back, tok, F.coalesce(F.get(z["g"], i + 1), F.lit(""))).alias("span"))
+
+        return F.transform(z["t"], span)
+
+    def column(x: Column) -> Column:
         status = F.lit("budget")
         for pattern, name in reversed(STATUS_HINTS):
-            status = F.when(span.rlike(pattern), name).otherwise(status)
-        lone = (status == "budget") & (i == 0) & F.lower(line).contains("actual")
-        return F.struct(normalise_fy_token(tok).alias("fy"), F.when(lone, "actual").otherwise(status).alias("status"))
+            status = F.when(x["span"].rlike(pattern), name).otherwise(status)
+        lone = (status == "budget") & (x["i"] == 0) & F.lower(line).contains("actual")
+        return F.struct(normalise_fy_token(x["tok"]).alias("fy"), F.when(lone, "actual").otherwise(status).alias("status"))
 
-    return F.when(F.size(tokens) >= 2, F.transform(tokens, column))
+    bound = F.get(F.transform(F.array(F.struct(tokens.alias("t"), gaps.alias("g"))), spans), F.lit(0))
+    return F.when(line.rlike(FY_TOKEN + ".*" + FY_TOKEN), F.transform(bound, column))
 
 
 def budget_template(start: Column) -> Column:
@@ -347,7 +356,7 @@ def program_tables(lines: DataFrame, defence: Column | None = None) -> tuple[Dat
     """
     live = _captured(lines)
     text = F.col("text")
-    key_cost = F.coalesce(defence, F.lit(False)) & ~text.rlike(TAIL) & text.rlike(KEY_COST_ROW) & ~F.lower(text).startswith("total") & text.rlike(r"[.,]\d")
+    key_cost = (F.coalesce(defence, F.lit(False)) if defence is not None else F.lit(False)) & ~text.rlike(TAIL) & text.rlike(KEY_COST_ROW) & ~F.lower(text).startswith("total") & text.rlike(r"[.,]\d")
     live = live.withColumn("_key", ~F.col("_stop") & ~F.col("_is_header") & ~text.rlike(SKIP_LINE) & key_cost)
     passed = F.col("_is_header") | text.rlike(SKIP_LINE) | text.rlike(FRAGMENT) | F.col("_key")
     kind = F.when(F.col("_stop") | text.rlike(NIL_ROW), "reset").when(text.rlike(NUMBERS_ONLY), "nums").when(text.rlike(TAIL), "tail").otherwise("text")
@@ -385,8 +394,10 @@ def program_tables(lines: DataFrame, defence: Column | None = None) -> tuple[Dat
     key_rows = live.where("_key").select(*cols, key_label.alias("label"), F.regexp_extract_all(F.regexp_extract(text, KEY_COST_ROW, 2), F.lit(f"({PLAIN_NUMBER})"), 1).alias("nums"), F.lit(MILLIONS).alias("scale"), F.lit(True).alias("prefer"))
     out = main.unionByName(key_rows).where(F.size("nums") >= 3)
     start = F.regexp_extract("source_id", r"(20\d{2})[_-]\d{2}", 1).try_cast("int")
-    header = year_header(F.nullif("_header", F.lit("")))
-    out = out.withColumn("_h", header).withColumn("_start", start)
+    # headers repeat over the rows of a table: each text is parsed once and joined back
+    out = out.withColumn("_header", F.coalesce("_header", F.lit("")))
+    heads = out.select("_header").distinct().withColumn("_h", year_header(F.col("_header")))
+    out = out.join(heads, "_header", "left").withColumn("_start", start)
     template = F.when(F.col("_h").isNull() & F.col("_start").isNotNull(), budget_template(F.col("_start")))
     out = out.withColumn("_a", align_years(F.size("nums"), F.col("_h"), template, F.col("_start")))
     bad = out.where(F.col("_a.columns").isNull()).select("source_id", *PLACE, "label", F.array_join("nums", " ").alias("nums"), F.col("_a.reason").alias("reason"))

@@ -78,7 +78,7 @@ def program_lines(m: Model):
     src = F.concat(F.lit("pbs_"), "source_id").alias("source_id")
     body = entry.select(src, F.col("sec").alias("page"), F.posexplode(texts).alias("i", "text"), "b").select("source_id", "page", (F.col("b") * 10 + F.col("i") + 100).alias("line_no"), "text")
     pages = entry.select(src, F.col("sec").alias("page")).distinct()
-    years = F.array(*[F.lit(t) for t in ("Table 2.1: Budgeted expenses for Outcome 1", "2016-17 Actual 2017-18 Estimated actual 2018-19 Budget 2019-20 Forward estimate 2020-21 Forward estimate", "Estimated", "$'000 $'000")])
+    years = F.array(*[F.lit(t) for t in ("Table 2.1: Budgeted expenses for Outcome 1", (" " * 30).join(["2016-17 Actual", "2017-18 Estimated actual", "2018-19 Budget", "2019-20 Forward estimate", "2020-21 Forward estimate"]), "Estimated", "$'000 $'000", "Expenses - - - - -")])
     top = pages.select("source_id", "page", F.posexplode(years).alias("line_no", "text"))
     stop = pages.where("page = 6").select("source_id", "page", F.lit(50).alias("line_no"), F.lit("Table 3.1: Budgeted Financial Statements").alias("text"))
     foot = pages.select("source_id", "page", F.posexplode(F.array(F.lit("Employees 1,111 2,222 3,333 4,444 5,555"), F.lit("Total expenses 1,111 2,222 3,333 4,444 5,555"))).alias("i", "text")).select("source_id", "page", (F.col("i") + 9000).alias("line_no"), "text")
@@ -99,7 +99,7 @@ def p34(m: Model):
 def p34_quarantine(m: Model):
     o = m.table("orders")
     key = F.concat(F.lit("q_"), F.col("o_custkey").cast("string")).alias("source_id")
-    body = o.select(key, F.lit(1).alias("page"), (F.col("o_orderkey") + 1).cast("int").alias("line_no"), F.concat(F.lit("Program 1.1: Title "), F.format_number("o_totalprice", 0), F.lit(" 1,000 2,000")).alias("text"))
+    body = o.select(key, F.lit(1).alias("page"), (F.col("o_orderkey") + 1).cast("int").alias("line_no"), F.concat(F.lit("Program 1.1: Some title of a program "), F.format_number("o_totalprice", 0), F.lit(" 1,000 2,000")).alias("text"))
     top = o.select(key, F.lit(1).alias("page"), F.lit(0).alias("line_no"), F.lit("Program expenses").alias("text")).distinct()
     _, bad = T.program_tables(body.unionByName(top))
     return bad.groupBy("source_id", "reason").agg(count().alias("n"))

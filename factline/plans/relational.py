@@ -450,7 +450,7 @@ def w6(m: Model):
     from factline.operators.ordered import fill_forward
 
     s = m.text_lines.select("doc_id", "line_no", F.when(F.length("text") > 120, F.substring("text", 1, 20)).alias("section"))
-    return fill_forward(s, ["doc_id"], ["line_no"], ["section"]).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    return fill_forward(s, ["doc_id"], ["line_no"], ["section"], cut=False).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan(
@@ -462,7 +462,7 @@ SELECT doc_id, source, position FROM n WHERE position % greatest(1, total // 50)
 )
 def w7(m: Model):
     d = m.table("documents").select("doc_id", "source")
-    ranked = dense_ordinal(d, [], ["doc_id"], "position").withColumn("total", d.agg(F.count(F.lit(1))).scalar())
+    ranked = dense_ordinal(d, [], ["doc_id"], "position", cut=False).withColumn("total", d.agg(F.count(F.lit(1))).scalar())
     step = F.greatest(F.lit(1), F.floor(F.col("total") / 50))
     return ranked.where(F.col("position") % step == 0).orderBy("position").limit(50).select("doc_id", "source", "position")
 
