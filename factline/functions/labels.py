@@ -63,13 +63,23 @@ def classified_segment(name: Column) -> Column:
 def classify(raw: Column) -> Column:
     """Struct ``(label_class, rejection)``; rejection is null for publishable labels.
 
-    One chain of tests in a fixed order; everything runs inside code generation.
+    The squeezed label, its remainder and the token counts are bound once; the tests then run in a
+    fixed order over the bound values.
     """
     label = squeeze(raw)
-    values = F.regexp_count(label, F.lit(VALUE_TOKEN))
-    has_year = label.rlike(YEAR_TOKEN)
-    rest = squeeze(F.regexp_replace(F.regexp_replace(label, YEAR_TOKEN, " "), UNIT_TOKEN, " "))
-    headings = F.regexp_count(label, F.lit(ACCOUNTING_HEADINGS))
+    facts = F.struct(
+        label.alias("label"),
+        F.regexp_count(label, F.lit(VALUE_TOKEN)).alias("values"),
+        label.rlike(YEAR_TOKEN).alias("has_year"),
+        F.regexp_count(label, F.lit(ACCOUNTING_HEADINGS)).alias("headings"),
+        squeeze(F.regexp_replace(F.regexp_replace(label, YEAR_TOKEN, " "), UNIT_TOKEN, " ")).alias("rest"),
+    )
+    return F.get(F.transform(F.array(facts), _verdict), F.lit(0))
+
+
+def _verdict(z: Column) -> Column:
+    label, rest, values, headings = z["label"], z["rest"], z["values"], z["headings"]
+    has_year = z["has_year"]
     lowered = F.btrim(F.lower(rest), F.lit(" -–—:"))
     first = F.substring(label, 1, 1)
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factline.session import cut_lineage
+
 SEP = " / "
 TOTAL = r"(?i)^\s*total\b"
 
@@ -96,7 +98,21 @@ def roll_up(leaf: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def tree(rows: DataFrame, keys: Sequence[str], amount: str = "amount_aud", fact: str = "fact_id") -> DataFrame:
     """Rows with a ``path`` -> nodes of the pruned, rolled-up tree."""
-    return roll_up(leaves(prune_totals(own_amounts(rows, keys, amount, fact), keys), keys), keys)
+    return roll_up(leaf_amounts(rows, keys, amount, fact), keys)
+
+
+def pruned_amounts(rows: DataFrame, keys: Sequence[str], amount: str = "amount_aud", fact: str = "fact_id") -> DataFrame:
+    """Own amounts without pruned totals.
+
+    Facts are combined to one row per path and written once: pruning and leaf tests read the paths
+    several times, the facts only here.
+    """
+    return prune_totals(cut_lineage(own_amounts(rows, keys, amount, fact)), keys)
+
+
+def leaf_amounts(rows: DataFrame, keys: Sequence[str], amount: str = "amount_aud", fact: str = "fact_id") -> DataFrame:
+    """The rows whose amounts survive: leaves of the pruned tree."""
+    return leaves(cut_lineage(pruned_amounts(rows, keys, amount, fact)), keys)
 
 
 def preserved_roll_up(own: DataFrame, keys: Sequence[str], preserve: str = "preserve") -> DataFrame:

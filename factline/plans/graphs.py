@@ -8,6 +8,7 @@ from factline.graph import descent as D
 from factline.graph import edges as E
 from factline.plans.model import Model, sql
 from factline.plans.registry import plan
+from factline.session import cut_lineage
 
 YEAR = "1999-00"
 
@@ -39,6 +40,18 @@ GRAPH = f"{NODES_SQL}, {FACTS_SQL}, {EDGES_SQL}, {CHOSEN_SQL}"
 
 
 def node_frames(m: Model):
+    return m.once("nodes", _node_frames)
+
+
+def node_facts(m: Model):
+    return m.once("node_facts", _node_facts)
+
+
+def edge_frame(m: Model):
+    return m.once("edges", _edge_frame)
+
+
+def _node_frames(m: Model):
     p = m.table("part")
     t2 = F.concat_ws(E.SEP, "p_type", "p_brand")
     t3 = F.concat_ws(E.SEP, "p_type", "p_brand", "p_name")
@@ -53,10 +66,10 @@ def node_frames(m: Model):
         .unionByName(layer(p.where("p_size >= 20"), "pbs", t3))
         .unionByName(layer(p, "abs_gfs", F.concat(F.lit("Total "), F.lower("p_type"))))
     )
-    return nodes.select(E.node_key(F.col("source_key"), F.col("name")).alias("node_id"), "source_key", "name")
+    return cut_lineage(nodes.select(E.node_key(F.col("source_key"), F.col("name")).alias("node_id"), "source_key", "name"))
 
 
-def node_facts(m: Model):
+def _node_facts(m: Model):
     """Facts per node and year, one grouped pass over the items for all layers."""
     t2 = F.concat_ws(E.SEP, "p_type", "p_brand")
     t3 = F.concat_ws(E.SEP, "p_type", "p_brand", "p_name")
@@ -92,17 +105,17 @@ def node_facts(m: Model):
         "source_key",
         "amount_aud",
     )
-    return g.join(node_frames(m).select("node_id"), "node_id", "left_semi")
+    return cut_lineage(g.join(node_frames(m).select("node_id"), "node_id", "left_semi"))
 
 
-def edge_frame(m: Model):
+def _edge_frame(m: Model):
     nodes = node_frames(m)
     _, paths = E.path_edges(nodes.where("source_key = 'a61'"))
     comp = E.component_edges(nodes, "a61", "components")
     prog = E.program_edges(nodes, ["pbs"], "a61", "components").where("crosswalk_id = 'program_on_component'")
     kinds = m.table("part").select(F.lower("p_type").alias("purpose"), F.col("p_type").alias("function")).distinct().withColumn("quality", F.lit("exact"))
     related = E.crosswalk_edges(nodes, kinds, "abs_gfs", "a61", "components", "purpose_to_function")
-    return paths.unionByName(comp).unionByName(prog).unionByName(related)
+    return cut_lineage(paths.unionByName(comp).unionByName(prog).unionByName(related))
 
 
 @plan("g1_path_edges", sql("WITH " + NODES_SQL + """, pre AS (SELECT DISTINCT array_to_string(string_split(name, ' / ')[1:d], ' / ') AS name FROM (SELECT name, unnest(range(1, len(string_split(name, ' / ')) + 1)) AS d FROM nodes WHERE source_key = 'pbs'))

@@ -33,6 +33,13 @@ class Model:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make):
+        """A frame that several steps of one query read, made a single time."""
+        if name not in self._made:
+            self._made[name] = make(self)
+        return self._made[name]
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)

@@ -157,6 +157,10 @@ GRID_SQL = """g AS (SELECT jurisdiction AS source_id, list_position(['ECONOMY',
 
 
 def grid_numbers(m: Model):
+    return m.once("grid", _grid_numbers)
+
+
+def _grid_numbers(m: Model):
     sec = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("p_type")).cast("int")
     g = m.lines.groupBy(F.col("jurisdiction").alias("source_id"), "p_type", "p_brand", "financial_year").agg(F.round(F.sum("amount_aud"), 2).alias("amount"))
     g = g.withColumn("sec", sec).withColumn("b", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")).withColumn("col_no", F.substring("financial_year", 1, 4).cast("int") - 1990)

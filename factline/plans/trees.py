@@ -61,7 +61,7 @@ def t1(m: Model):
     sql("WITH " + tree_ctes("l", ACTUAL) + " SELECT level, financial_year, array_to_string(path, ' / ') AS path, round(own, 2) AS own FROM kept", "l"),
 )
 def t2(m: Model):
-    own = T.prune_totals(T.own_amounts(line_paths(m), LK), LK)
+    own = T.pruned_amounts(line_paths(m), LK)
     return own.select(*LK, T.path_text().alias("path"), F.round("own", 2).alias("own"))
 
 
@@ -314,7 +314,7 @@ FROM nodes WHERE depth = 1 GROUP BY ALL""",
     ),
 )
 def t12(m: Model):
-    leaf = T.leaves(T.prune_totals(T.own_amounts(line_paths(m), LK), LK), LK)
+    leaf = T.leaf_amounts(line_paths(m), LK)
     return leaf.groupBy(*LK).agg(F.round(F.sum("own"), 2).alias("total_aud"))
 
 
@@ -327,7 +327,7 @@ FROM leaf WHERE list_contains(list_transform(path, lambda x: lower(x)), 'brand#7
     ),
 )
 def t13(m: Model):
-    leaf = T.leaves(T.prune_totals(T.own_amounts(line_paths(m), LK), LK), LK)
+    leaf = T.leaf_amounts(line_paths(m), LK)
     return T.named_total(leaf, LK, "BRAND#7").select(*LK, F.round("value", 2).alias("total_aud"), "fact_id")
 
 
@@ -340,7 +340,7 @@ def t13(m: Model):
     ),
 )
 def t14(m: Model):
-    leaf = T.leaves(T.prune_totals(T.own_amounts(line_paths(m), LK), LK), LK)
+    leaf = T.leaf_amounts(line_paths(m), LK)
     label = F.create_map(*[F.lit(x) for kv in LEVEL_LABELS.items() for x in kv])[F.col("level")]
     return leaf.groupBy("financial_year", label.alias("name")).agg(
         F.round(F.sum("own"), 2).alias("value"), F.lit(0.0).alias("root_value")

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factline.session import cut_lineage
+
 # Chunk size and overlap, token limits, BM25 parameters.
 CHUNK_CHARS, CHUNK_OVERLAP = 1200, 150
 MAX_QUERY_TOKENS, PREFIX_MIN = 12, 3
@@ -61,6 +63,7 @@ def bm25(index: DataFrame, sizes: DataFrame, key: str, q: str, limit: int) -> Da
     hits = index.where(wanted).groupBy(key, "dl").agg(
         *[F.sum(F.when(test, F.col("tf")).otherwise(0)).alias(f"f{j}") for j, (_, test) in enumerate(phrases)]
     )
+    hits = cut_lineage(hits)  # only documents that hold a query term; read for statistics and for scores
     df = hits.agg(*[F.count(F.when(F.col(f"f{j}") > 0, 1)).alias(f"d{j}") for j in range(len(phrases))])
     corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     stats = df.select(F.struct(*[F.col(f"d{j}") for j in range(len(phrases))])).scalar()
