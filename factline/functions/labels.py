@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and vocabulary of the label classes.
@@ -60,21 +60,30 @@ def classified_segment(name: Column) -> Column:
     return F.when(pair.rlike(KEY_COST), pair).otherwise(F.element_at(parts, -1))
 
 
-def classify(raw: Column) -> Column:
-    """Struct ``(label_class, rejection)``; rejection is null for publishable labels.
-
-    The squeezed label, its remainder and the token counts are bound once; the tests then run in a
-    fixed order over the bound values.
-    """
+def label_facts(raw: Column) -> Column:
+    """What the tests look at: the squeezed label, its remainder, and its token counts."""
     label = squeeze(raw)
-    facts = F.struct(
+    return F.struct(
         label.alias("label"),
         F.regexp_count(label, F.lit(VALUE_TOKEN)).alias("values"),
         label.rlike(YEAR_TOKEN).alias("has_year"),
         F.regexp_count(label, F.lit(ACCOUNTING_HEADINGS)).alias("headings"),
         squeeze(F.regexp_replace(F.regexp_replace(label, YEAR_TOKEN, " "), UNIT_TOKEN, " ")).alias("rest"),
     )
-    return F.get(F.transform(F.array(facts), _verdict), F.lit(0))
+
+
+def classify(raw: Column) -> Column:
+    """Struct ``(label_class, rejection)`` as one expression, for use inside other expressions."""
+    return F.get(F.transform(F.array(label_facts(raw)), _verdict), F.lit(0))
+
+
+def with_class(df: DataFrame, text: Column, name: str = "c") -> DataFrame:
+    """The same as a column, in two steps: facts first, then the tests over them.
+
+    Spark does not merge the steps, since the facts are used many times, so each pattern runs once per
+    row and both steps stay in generated code.
+    """
+    return df.withColumn("_facts", label_facts(text)).withColumn(name, _verdict(F.col("_facts"))).drop("_facts")
 
 
 def _verdict(z: Column) -> Column:

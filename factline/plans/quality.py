@@ -47,7 +47,7 @@ def labelled(m: Model):
 
 @plan("p42_label_classifier", sql("WITH " + LABEL_SQL + " SELECT label, label_class, rejection, count(*) AS n FROM lab GROUP BY ALL"))
 def p42(m: Model):
-    c = labelled(m).groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("c", L.classify(F.col("label")))
+    c = L.with_class(labelled(m).groupBy("label").agg(F.count(F.lit(1)).alias("n")), F.col("label"))
     return c.select("label", "c.label_class", "c.rejection", "n")
 
 
@@ -60,14 +60,14 @@ SELECT CASE WHEN x = '' THEN 'empty' WHEN v >= 3 THEN 'values' WHEN regexp_match
     ),
 )
 def p42_lines(m: Model):
-    rejection = F.coalesce(L.classify(F.col("text"))["rejection"], F.lit("none"))
+    rejection = F.coalesce("c.rejection", F.lit("none"))
     first = (
         F.when(rejection == "empty_label", "empty")
         .when(rejection == "three_or_more_embedded_value_tokens", "values")
         .when(rejection == "embedded_bare_numeric_run", "run")
         .otherwise("rest")
     )
-    return m.text_lines.groupBy(first.alias("first_test")).agg(F.count(F.lit(1)).alias("n"))
+    return L.with_class(m.text_lines, F.col("text")).groupBy(first.alias("first_test")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("p43_classified_segment", sql("WITH " + LABEL_SQL + """ SELECT CASE WHEN p_size % 13 = 10 THEN label ELSE label END AS segment, count(*) AS n FROM lab GROUP BY ALL"""))
@@ -88,7 +88,7 @@ def l12(m: Model):
         "label", F.lit("1999-00").alias("financial_year"), F.when(F.col("p_size") > 3, 1.0).alias("amount_aud"), F.col("label").alias("node_name"), F.lit("x").alias("locator"),
         *[F.lit("x").alias(c) for c in ("landing_url", "original_resource_url", "cached_copy_path", "sha256", "retrieved_at")],
     )
-    decided = gates.decide(rows, {"measure_type": "a", "accounting_basis": "b", "estimate_status": "c"}).withColumn("c", L.classify(F.col("label")))
+    decided = L.with_class(gates.decide(rows, {"measure_type": "a", "accounting_basis": "b", "estimate_status": "c"}), F.col("label"))
     out = loading.downgrade(decided, ~L.publishable(F.col("c.label_class")), F.concat_ws(":", F.lit("label"), "c.label_class", "c.rejection"))
     return out.groupBy("publishable", "quarantine_reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -257,7 +257,7 @@ def q10(m: Model):
 # Only the last path segment is shown and judged, so "Key cost category / Workforce" is judged as "Workforce".
 @plan("q11_rejected_labels_on_edges", sql("WITH " + LABEL_SQL + " SELECT p_type AS parent, label_class, count(*) AS n FROM lab WHERE label_class NOT IN ('program', 'outcome', 'component') AND label_class <> 'unknown' GROUP BY ALL"))
 def q11(m: Model):
-    c = labelled(m).withColumn("c", L.classify(F.element_at(F.split(F.concat_ws(" / ", "p_type", "label"), " / "), -1)))
+    c = L.with_class(labelled(m), F.element_at(F.split(F.concat_ws(" / ", "p_type", "label"), " / "), -1))
     bad = c.where(~L.publishable(F.col("c.label_class")))
     return bad.groupBy(F.col("p_type").alias("parent"), F.col("c.label_class").alias("label_class")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -290,12 +290,13 @@ def pairs(m: Model):
         F.col("compatibility_group").alias("parent_group"), F.col("amount_aud").alias("parent_amount"), F.col("financial_year").alias("parent_fy"),
         F.when(F.col("valuation_basis") == "fair_value", "").otherwise(F.col("locator")).alias("locator"), "source_key", F.col("node_name").alias("node_path"), "estimate_status",
     )
-    j = li.join(f, "l_orderkey").join(sup, li.l_suppkey == sup.s_suppkey).join(labelled(m), li.l_partkey == F.col("p_partkey"))
+    judged = L.with_class(labelled(m), F.col("label")).withColumn("label_class", F.col("c.label_class")).drop("c")
+    j = li.join(f, "l_orderkey").join(sup, li.l_suppkey == sup.s_suppkey).join(judged, li.l_partkey == F.col("p_partkey"))
     return j.select(
         "requested_level", "child_level", "requested_jurisdiction", "child_jurisdiction", "parent_group",
         F.when(F.col("l_returnflag") == "N", "budget_expense").otherwise("actual_expense").alias("child_group"),
         "parent_amount", (F.col("l_extendedprice") * 10).alias("child_amount"), "parent_fy", fy_of_date(F.col("l_shipdate")).alias("child_fy"),
-        F.when(F.col("p_type") == "PROMO", "related_breakdown").otherwise("additive").alias("kind"), "label", "locator", "source_key", "node_path", "estimate_status",
+        F.when(F.col("p_type") == "PROMO", "related_breakdown").otherwise("additive").alias("kind"), "label", "label_class", "locator", "source_key", "node_path", "estimate_status",
     )
 
 

@@ -24,7 +24,8 @@ def traversal_failures(rows: DataFrame) -> DataFrame:
     """One row per broken rule of a parent-child pair.
 
     Needs ``kind, requested_level, child_level, requested_jurisdiction, child_jurisdiction, parent_group,
-    child_group, parent_amount, child_amount, parent_fy, child_fy, label, locator``.
+    child_group, parent_amount, child_amount, parent_fy, child_fy, label, locator``.  A label is judged
+    once per node when the rows bring ``label_class`` along, else once per row.
     """
     add = additive(F.col("kind"))
     share = F.when(F.col("parent_amount") != 0, F.col("child_amount") / F.col("parent_amount"))
@@ -37,10 +38,12 @@ def traversal_failures(rows: DataFrame) -> DataFrame:
             F.when(add & (F.col("parent_group") != F.col("child_group")), "edge_kind"),
             F.when(add & (share > 1 + OVER_PARENT), "additive_over_parent"),
             F.when(add & (F.col("parent_fy") != F.col("child_fy")), F.when(later, "cross_year_future").otherwise("cross_year")),
-            F.when(~L.publishable(L.classify(F.col("label"))["label_class"]), "label_quality"),
+            F.when(~L.publishable(F.col("label_class")), "label_quality"),
             F.when(F.coalesce(F.col("locator"), F.lit("")) == "", "citation"),
         )
     )
+    if "label_class" not in rows.columns:
+        rows = L.with_class(rows, F.col("label"), "_class").withColumn("label_class", F.col("_class.label_class")).drop("_class")
     return rows.withColumn("share", share).withColumn("bucket", F.explode(buckets))
 
 

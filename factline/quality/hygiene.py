@@ -50,7 +50,7 @@ def stale_nodes(before: DataFrame, after: DataFrame, bridge: DataFrame, edges: D
 
 def rejected_to_quarantine(facts: DataFrame, name: str = "node_name") -> DataFrame:
     """Live facts whose shown label the classifier refuses, with the reason they move."""
-    c = facts.withColumn("_c", L.classify(F.element_at(F.split(F.col(name), " / "), -1)))
+    c = L.with_class(facts, F.element_at(F.split(F.col(name), " / "), -1), "_c")
     return c.where(~L.publishable(F.col("_c.label_class"))).withColumn("quarantine_reason", F.concat_ws(":", "_c.label_class", "_c.rejection")).drop("_c")
 
 
