@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from factline.session import cut_lineage
 
-BLOCK = 4096
+# Rows per block: the size of the largest window, and the factor by which a key shrinks before its blocks are ordered.
+BLOCK = 65536
 
 
 def _block(order: Sequence[str], size: int) -> Column:

@@ -47,12 +47,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def steps_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/factline-steps"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a step to shared storage and read it back.
 
     A lost executor then re-reads files instead of replaying an iterative plan, the step is computed
-    once, and its size is known to the planner of the next step.
+    once, and its size is known to the planner of the next step.  A step just read back is left alone.
     """
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    if getattr(df, "_factline_step", False):
+        return df
+    spark = df.sparkSession
+    folder = f"{steps_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._factline_step = True
+    return out
+
+
+def remove_steps(spark: SparkSession) -> bool:
+    """Delete the written steps of this session, once nothing built on them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
