@@ -61,20 +61,26 @@ def attribute(rows: DataFrame, mapping: Mapping[str, Any], files: DataFrame) ->
     """File path, hash and retrieval time per row, from a manifest ``(path, sha256, retrieved_at)``.
 
     A row names its own file when the mapping says which column holds it; a file the manifest does not
-    know falls back to the mapping's file.  The manifest joins by path, at any size.
+    know falls back to the mapping's file.  Rows meet the manifest by path, at any size; the mapping's
+    own file is one value.
     """
     attribution = mapping.get("attribution", {})
-    fixed = F.lit(attribution.get("cached_copy_path") or mapping.get("input", {}).get("path"))
+    fixed = attribution.get("cached_copy_path") or mapping.get("input", {}).get("path")
     column = attribution.get("cached_copy_path_column")
-    own = F.nullif(F.trim(column), F.lit("")) if column else F.lit(None).cast("string")
-    known = files.select(F.col("path").alias("_own"), F.lit(True).alias("_known"), F.col("sha256").alias("_own_sha"), F.col("retrieved_at").alias("_own_at"))
-    home = files.select(F.col("path").alias("_home"), F.col("sha256").alias("_home_sha"), F.col("retrieved_at").alias("_home_at"))
-    j = rows.withColumn("_own", own).withColumn("_home", fixed).join(known, "_own", "left").join(home, "_home", "left")
+    entry = F.struct("sha256", "retrieved_at")
+    home = files.where(F.col("path") == fixed).agg(F.max(entry)).scalar()
+    if column:
+        known = files.select(F.col("path").alias("_own"), entry.alias("_file"))
+        rows = rows.withColumn("_own", F.nullif(F.trim(column), F.lit(""))).join(known, "_own", "left")
+    else:
+        rows = rows.withColumn("_own", F.lit(None).cast("string")).withColumn("_file", F.lit(None).cast("struct<sha256:string,retrieved_at:string>"))
+    j = rows.withColumn("_home", home)
+    used = F.coalesce("_file", "_home")
     return (
-        j.withColumn("cached_copy_path", F.when(F.col("_known"), F.col("_own")).otherwise(F.col("_home")))
-        .withColumn("sha256", F.when(F.col("_known"), F.col("_own_sha")).otherwise(F.col("_home_sha")))
-        .withColumn("retrieved_at", F.when(F.col("_known"), F.col("_own_at")).otherwise(F.col("_home_at")))
-        .drop("_own", "_home", "_known", "_own_sha", "_own_at", "_home_sha", "_home_at")
+        j.withColumn("cached_copy_path", F.when(F.col("_file").isNotNull(), F.col("_own")).when(F.col("_home").isNotNull(), F.lit(fixed)))
+        .withColumn("sha256", used["sha256"])
+        .withColumn("retrieved_at", used["retrieved_at"])
+        .drop("_own", "_file", "_home")
     )
 
 
