@@ -5,7 +5,8 @@ the smallest exponential keys, ``-ln(u) / quality`` (the order of Efraimidis and
 earlier it tends to come), up to the budget; the document on the edge gives its first words only.
 
 No source is sorted as a whole.  Keys are dealt to buckets by their own value, bucket sums are added up within the
-source, and only the documents of the one bucket that holds the edge of the budget are put in order.
+source, and only the documents of the one bucket that holds the edge of the budget are put in order.  A source of n
+documents has about sqrt(n) buckets, so both the sums and the bucket stay small.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
 LEAST_QUALITY = 0.05
-BUCKET_ROWS = 20_000
 #: Digits of a hash that make the uniform number of a document.
 DIGITS = 13
 
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, quality: Column | None = None, weights=WEIGHTS, share:
         source_targets(keyed.select("source", "size"), weights, share, most)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long"))
         .withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-        .withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET_ROWS))
+        .withColumn("buckets", F.ceil(F.sqrt(F.col("n_docs"))))
     )
     placed = keyed.join(plan, keyed["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")))
     sums = placed.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("words"))

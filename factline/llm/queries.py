@@ -14,6 +14,20 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(read_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _remainder(by: int):
+    """crc32 of the id as text modulo ``by``; null ids have that of an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % by
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from factline.llm import toxicity
+
+    docs, held_out = read_table(spark, folder, "documents"), _remainder(3) == 1
+    model = toxicity.fit(docs, read_table(spark, folder, "labels"), ~held_out)
+    scored = toxicity.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from factline.llm.simhash import fingerprint_hex, near_components
 
@@ -21,6 +35,15 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    from factline.llm import langid
+
+    docs, held_out = read_table(spark, folder, "documents"), _remainder(5) == 0
+    model = langid.fit(docs, ~held_out)
+    found = langid.with_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     from factline.llm.warc import convert_pages, read_archives
 
@@ -28,6 +51,13 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return read_archives(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    from factline.llm.repeats import with_repeats_removed
+
+    cut = with_repeats_removed(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", "_cut.kept_sha256")
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     from factline.llm import rules as R
 
@@ -46,7 +76,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_simhash, op8_warc, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_simhash, op4_language, op8_warc, op9_repeats, op10_quality)}
 
 
 def sql() -> dict[str, str]:

@@ -283,25 +283,21 @@ def near_links(fps: DataFrame, distance: int) -> DataFrame:
     probes = fps.select("fp").mapInArrow(lambda x: _probes(x, parts, distance), "key long, fp long")
     sizes = index.groupBy("key").agg(F.count("*").alias("n"))
     crowded = cut_lineage(sizes.where(F.col("n") > COLD))
+    is_crowded = not crowded.isEmpty()
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    left, right = probes.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
-    if not crowded.isEmpty():
-        left = left.join(crowded.select("key"), "key", "left_anti")
-    cold = left.join(right, "key").where((F.col("a") < F.col("b")) & (far <= distance)).select("a", "b")
-    if crowded.isEmpty():
+    left = probes.join(crowded, "key", "left_anti") if is_crowded else probes
+    cold = left.withColumnRenamed("fp", "a").join(index.withColumnRenamed("fp", "b"), "key").where((F.col("a") < F.col("b")) & (far <= distance)).select("a", "b")
+    if not is_crowded:
         return cold
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        placed = rows.join(crowded, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)))
+    def blocks(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+        """The fingerprints of each crowded value in arrays of about BLOCK."""
+        placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)))
         return placed.groupBy("key", "block").agg(F.collect_list("fp").alias(name)).select("key", name)
 
-    # a crowded value has at most as many probes from outside as the radii allow; they are dealt by their own number
-    reach = probes.join(crowded.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-    outside = (
-        probes.join(reach, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)))
-        .groupBy("key", "block").agg(F.collect_list("fp").alias("x")).select("key", "x")
-    )
-    pairs = outside.join(blocks(index, "y"), "key").select("x", "y")
+    inward = cut_lineage(probes.join(crowded, "key", "left_semi"))
+    looking = cut_lineage(inward.groupBy("key").agg(F.count("*").alias("n")))
+    pairs = blocks(inward, looking, "x").join(blocks(index, crowded, "y"), "key").select("x", "y")
     hot = pairs.mapInArrow(lambda x: _forests(x, distance), "a long, b long").where(F.col("a") != F.col("b"))
     return cold.unionByName(hot)
 

@@ -12,6 +12,7 @@ back as whole files of bounded size and parsed by Content-Length.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -30,7 +31,7 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 #: Records in a WARC file, so that a file is read back within one task's memory.
-FILE_RECORDS = 2048
+FILE_RECORDS = 1024
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
 ROW = "page_id long, url string, date string, block string, payload_bytes long, payload_digest string, payload_sha1 string"
 DATE = "20200101000000"
@@ -89,9 +90,16 @@ def http_block(page_id: int | None, html: str | None) -> bytes:
     return f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{name}Content-Length: {len(body)}\r\n\r\n".encode() + body
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that only a few pages are held in several forms at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages as ARC files, every other one of version 2, and these parsed into records with their digests."""
-    for batch in batches:
+    for batch in sliced(batches):
         pages = batch.to_pylist()
         for version in FIELDS:
             own = [p for p in pages if (p["page_id"] or 0) % 2 == version - 1]
@@ -134,7 +142,7 @@ def warc_record(page_id: int | None, url: str, date: str, block: str, size: int,
 
 
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array([warc_record(*r) for r in rows], pa.string())], ["value"])
 
@@ -165,7 +173,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for head, block in parse_warc(content.as_py()):
+            for head, block in parse_warc(gzip.decompress(content.as_py())):
                 kind, digest, size = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                 payload = block.partition(b"\r\n\r\n")[2]
                 whole = kind == "revisit" or (len(payload) == size and digest_of(payload) == digest)
@@ -194,7 +202,7 @@ def convert_pages(pages: DataFrame, least_bytes: int = 0, folder: str | None = N
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     folder = folder or f"{steps_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     whole = records.select("page_id", "url", "date", "block", "payload_bytes", "payload_digest", refers.alias("first"))
-    whole.mapInArrow(_written, "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    whole.mapInArrow(_written, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
     return folder
 
 
