@@ -64,9 +64,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out._factline_step = True
+    out._factline_folder = folder
     return out
 
 
+def drop_step(df: DataFrame) -> None:
+    """Delete a written step, once everything that is built on it has been written itself."""
+    folder = getattr(df, "_factline_folder", None)
+    if folder:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_steps(spark: SparkSession) -> bool:
     """Delete the written steps of this session, once nothing built on them is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
