@@ -44,6 +44,24 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    from factline.llm.chat import rotate
+
+    return rotate(read_table(spark, folder, "conversations"))
+
+
+def op6_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from factline.llm.extraction import with_main_text
+
+    return with_main_text(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from factline.llm.decontamination import leaks
+
+    return leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     from factline.llm.warc import convert_pages, read_archives
 
@@ -76,10 +94,11 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_simhash, op4_language, op8_warc, op9_repeats, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_simhash, op4_language, op5_chat, op6_extraction, op7_decontamination, op8_warc, op9_repeats, op10_quality, pipeline)}
 
 
 def sql() -> dict[str, str]:
+    from factline.llm.chat import ROTATE_SQL
     from factline.llm.mixing import MIX_SQL
 
-    return {"op1_mixing": MIX_SQL}
+    return {"op1_mixing": MIX_SQL, "op5_chat": ROTATE_SQL}
