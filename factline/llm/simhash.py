@@ -13,6 +13,7 @@ task of its own, and a block pair returns a spanning forest of its links instead
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -30,22 +31,27 @@ from factline.session import cut_lineage
 
 BITS = 64
 SEED = 42
-#: Fingerprints that share one value of a part and are still compared by a plain join.
-COLD = 64
+#: Fingerprints that share one value of a part and are still compared by a plain join; more, if CROWD times as many as evenly
+#: spread ones would.
+COLD, CROWD = 64, 16
 #: Fingerprints in a block of a crowded value.
 BLOCK = 2048
+#: Rows looked at in a join that cost as much as one probe that is shuffled.
+PROBE = 100
+#: Longs of further bits that verify a link of documents.
+MORE = 4
 #: A value held by more than a 1/HEAVY of all fingerprints is known to the estimate by itself; there are at most HEAVY a part.
 HEAVY = 1000
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bit b is 1 if more than half of the word shingles' hashes have it; 0 for a text without words, null included.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; a text of fewer words is one shingle, one without words has none.
 
-    Only A-Z is lowered; a text of fewer words is one shingle.  The result is signed, as Spark's long.
+    Only A-Z is lowered.
     """
     words = encoded(text).lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -53,12 +59,31 @@ def fingerprint(text: str | None, shingle: int) -> int:
     begin = start[:n].tolist()
     end = (start[shingle : shingle + n] - 1).tolist() if len(words) > shingle else [len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A long whose bit b is 1 if more than half of the hashes have it; 0 for none.  Signed, as Spark's."""
+    n = len(hashes)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 8192):
         ones += np.unpackbits(hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > n).astype(np.uint8))
-    return int(bits.view(">i8")[0])
+    return int(np.packbits((2 * ones > n).astype(np.uint8)).view(">i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def wide_fingerprint(text: str | None, shingle: int, more: int = MORE) -> list[int]:
+    """The fingerprint and ``more`` further ones, of the hashes mixed anew."""
+    hashes = shingle_hashes(text, shingle)
+    out = [majority(hashes)]
+    for i in range(more):
+        x = (hashes + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
 
 
 def with_fingerprint(docs: DataFrame, shingle: int, column: str = "_fp") -> DataFrame:
@@ -84,8 +109,11 @@ class Parts:
             out |= ((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(at)
         return out
 
+    def crowd(self, part: int) -> int:
+        return max(COLD, CROWD * self.total >> len(self.bits[part]))
+
     def costs(self, fp: np.ndarray, part: int, most: int) -> np.ndarray:
-        """Row t + 1: estimated rows to look at with radius t; probes count as rows.
+        """Row t + 1: estimated cost of radius t: rows to look at, and PROBE for each value probed.
 
         Bits are taken as independent with their own frequency, which gives the chance of each distance; crowded values
         within the radius are added with their true counts.
@@ -105,7 +133,7 @@ class Parts:
                 for t in range(most + 1):
                     within[t] += np.where(far <= t, c, 0)
         balls = np.cumsum([_choose(len(self.bits[part]), t) for t in range(most + 1)])
-        return np.vstack([np.zeros(len(fp)), within + balls[:, None]])
+        return np.vstack([np.zeros(len(fp)), within + PROBE * balls[:, None]])
 
     def radii(self, fp: np.ndarray, distance: int) -> np.ndarray:
         """The cheapest radii (part, fingerprint) that add up to distance - m + 1, by dynamic programming.
@@ -149,7 +177,7 @@ def part_count(total: int, distance: int) -> int:
         radii = [(distance + 1) // m - 1 + (i < (distance + 1) % m) for i in range(m)]
         width = [BITS // m + (i < BITS % m) for i in range(m)]
         balls = [sum(_choose(w, t) for t in range(r + 1)) for w, r in zip(width, radii, strict=True)]
-        return sum(b * (1 + total / 2.0**w) for b, w in zip(balls, width, strict=True))
+        return sum(b * (PROBE + total / 2.0**w) for b, w in zip(balls, width, strict=True))
 
     return min(range(2, distance + 2), key=cost) if distance else 1
 
@@ -196,7 +224,7 @@ def learn_parts(fps: DataFrame, distance: int) -> Parts:
     parts = Parts(grouped_bits(co, total, part_count(total, distance)), np.diag(co) / max(total, 1), total)
     crowded = (
         fps.select("fp").mapInArrow(lambda x: _indexed(x, parts), "key long, fp long").groupBy("key").count()
-        .where(F.col("count") > max(COLD, total // HEAVY)).collect()
+        .where((F.col("count") > F.lit(total // HEAVY)) & (F.col("count") > _crowd(parts))).collect()
     )
     heavy = []
     for i in range(len(parts.bits)):
@@ -205,6 +233,11 @@ def learn_parts(fps: DataFrame, distance: int) -> Parts:
     return Parts(parts.bits, parts.mean, total, tuple(heavy))
 
 
+def _crowd(parts: Parts):
+    """The number of fingerprints above which the value in ``key`` is crowded."""
+    return F.element_at(F.array(*[F.lit(parts.crowd(i)) for i in range(len(parts.bits))]), (F.shiftright("key", 56) + 1).cast("int"))
+
+
 def _indexed(batches: Iterator[pa.RecordBatch], parts: Parts) -> Iterator[pa.RecordBatch]:
     """A row for each part of each fingerprint."""
     for batch in batches:
@@ -237,10 +270,10 @@ def _probes(batches: Iterator[pa.RecordBatch], parts: Parts, distance: int) -> I
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(signed[use], len(some)))], ["key", "fp"])
 
 
-def _forests(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _forests(batches: Iterator[pa.RecordBatch], distance: int, forest: bool) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks (x, y), links (a, b) that join whatever within reach joins the two blocks' members.
 
-    A member of either side is linked to the first member of the other side in reach, and within a star of common
+    Without ``forest`` all links with a < b.  With it, a member of either side is linked to the first member of the other side in reach, and within a star of common
     neighbours one link each is enough: components stay the same, and a pair of blocks gives at most |x| + |y| links.
     """
     for batch in batches:
@@ -248,7 +281,7 @@ def _forests(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
         for x, y in zip(batch.column(0), batch.column(1), strict=True):
             x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
             near = np.bitwise_count(x.astype(np.uint64)[:, None] ^ y.astype(np.uint64)[None, :]) <= distance
-            for p, q in spanning(near):
+            for p, q in spanning(near) if forest else zip(*np.nonzero(near & (x[:, None] < y[None, :])), strict=True):
                 a.append(x[p])
                 b.append(y[q])
         yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
@@ -276,13 +309,16 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def near_links(fps: DataFrame, distance: int) -> DataFrame:
-    """Links (a, b) of distinct fingerprints, with the components of all pairs within ``distance``.  ``fps`` has one row per fingerprint."""
+def near_links(fps: DataFrame, distance: int, forest: bool = True) -> DataFrame:
+    """Links (a, b) of distinct fingerprints within ``distance``; ``fps`` has one row per fingerprint.
+
+    With ``forest``, crowded values give only as many links as their components need.
+    """
     parts = learn_parts(fps, distance)
     index = fps.select("fp").mapInArrow(lambda x: _indexed(x, parts), "key long, fp long")
     probes = fps.select("fp").mapInArrow(lambda x: _probes(x, parts, distance), "key long, fp long")
     sizes = index.groupBy("key").agg(F.count("*").alias("n"))
-    crowded = cut_lineage(sizes.where(F.col("n") > COLD))
+    crowded = cut_lineage(sizes.where(F.col("n") > _crowd(parts)))
     is_crowded = not crowded.isEmpty()
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     left = probes.join(crowded, "key", "left_anti") if is_crowded else probes
@@ -298,7 +334,7 @@ def near_links(fps: DataFrame, distance: int) -> DataFrame:
     inward = cut_lineage(probes.join(crowded, "key", "left_semi"))
     looking = cut_lineage(inward.groupBy("key").agg(F.count("*").alias("n")))
     pairs = blocks(inward, looking, "x").join(blocks(index, crowded, "y"), "key").select("x", "y")
-    hot = pairs.mapInArrow(lambda x: _forests(x, distance), "a long, b long").where(F.col("a") != F.col("b"))
+    hot = pairs.mapInArrow(lambda x: _forests(x, distance, forest), "a long, b long").where(F.col("a") != F.col("b"))
     return cold.unionByName(hot)
 
 
@@ -319,5 +355,36 @@ def near_components(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
     return printed.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, close: int = 4, distance: int = 12) -> DataFrame:
+    """Rows (doc_id, component_id), one for each row of ``docs`` with an id, grouping texts whose shingles have at least ``similarity``.
+
+    The share of differing bits of two fingerprints estimates the angle of their shingle counts, hence their Jaccard similarity s:
+    cos(angle) = 2 s / (1 + s).  Fingerprints within ``close`` bits are grouped first, which leaves one of each crowd of
+    copies.  Of these, pairs within ``distance`` of 64 bits are candidates, and ``MORE * 64`` further bits verify them.
+    """
+    @F.pandas_udf("array<long>")
+    def prints(text: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, shingle) for t in text])
+
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), prints(F.col("text").cast("string")).alias("p"))
+    printed = cut_lineage(known.select("doc_id", F.col("p")[0].alias("fp"), F.slice("p", 2, MORE).alias("more")))
+    fps = cut_lineage(printed.groupBy("fp").agg(F.min_by(F.struct("doc_id", "more"), F.struct("doc_id", F.hash("more"))).alias("first")))
+    roots = components(near_links(fps.select("fp"), close))
+    grouped = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    grouped = cut_lineage(grouped)
+    heads = cut_lineage(grouped.where(F.col("fp") == F.col("root")).select("fp", F.col("first.more").alias("more")))
+    links = near_links(heads.select("fp"), distance, forest=False)
+    most = int(BITS * MORE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    a, b = heads.select(F.col("fp").alias("a"), F.col("more").alias("ma")), heads.select(F.col("fp").alias("b"), F.col("more").alias("mb"))
+    apart = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MORE)), F.lit(0))
+    verified = links.distinct().join(a, "a").join(b, "b").where(apart <= most).select("a", "b")
+    tops = components(verified)
+    final = grouped.join(tops, grouped["root"] == tops["node"], "left").select("fp", "first.doc_id", F.coalesce(tops["root"], grouped["root"]).alias("top"))
+    final = cut_lineage(final)
+    least = final.groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    of = final.select("fp", "top").join(least, "top").select("fp", "component_id")
+    return printed.select("doc_id", "fp").join(of, "fp").select("doc_id", "component_id")
+
+
 def fingerprint_hex(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
