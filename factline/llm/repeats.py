@@ -9,8 +9,9 @@ another in a document and hold the same piece at the same place make a segment;
 3. Where different segments share a bucket, their bytes are joined to one string, its suffix array is built by grouping
    (``grouping.suffix_orders``), and runs of neighbours that share ``length`` bytes are the repeated windows; all but
    a run's first are covered.
-4. A bucket with more than ``MOST_SEGMENTS`` different segments is not brought together: its windows are grouped by two
-   independent 64-bit hashes of their bytes instead, which Spark spreads over tasks however many there are.
+4. A bucket with very many different segments is dealt to blocks, each with a suffix array of its own.  What is first in its
+   block may still repeat something of another block: these windows alone are grouped by two independent 64-bit hashes of
+   their bytes, which Spark spreads over tasks however many there are.
 
 Rows never carry more than a document's own positions; text crosses the network once to take out segments and once to cut.
 """
@@ -22,19 +23,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline.llm.grouping import suffix_orders
 from factline.llm.textual import encoded
-from factline.session import cut_lineage
+from factline.session import cut_lineage, drop_step
 
 LENGTH = 100
 GRAM = 24
-#: Different segments of a bucket that one suffix array takes.
-MOST_SEGMENTS = 64
-#: Bytes that are hashed, and symbols that are sorted, at a time.
+#: Different segments that one suffix array takes, about; a bucket with more is dealt to blocks.
+MOST_SEGMENTS = 48
+#: Symbols that are sorted in step, about.
+SYMBOLS = 1 << 19
+#: Bytes that are hashed at a time.
 CHUNK = 1 << 18
 #: Bits for a place among the bytes hashed at a time.
 PLACE_BITS = 20
@@ -154,83 +158,102 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of the segments that the texts are asked for; of crowded buckets, hashes of each window."""
-    names = ["bucket", "doc", "at", "n", "crowded", "bytes", "h1", "h2"]
+    """Bytes of the segments that the texts are asked for."""
+    names = ["bucket", "block", "doc", "at", "crowded", "bytes"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    low = (1 << ROW_BIT) - 1
     for batch in batches:
         out: list[tuple] = []
-        for key, row, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
-            data, key, row = encoded(text.as_py()), key.as_py(), row.as_py()
+        for key, text, wanted in zip(*(batch.column(i) for i in range(3)), strict=True):
+            data, key = encoded(text.as_py()), key.as_py()
             for w in wanted.as_py():
-                at = w["at"] & ((1 << ROW_BIT) - 1)
-                piece = data[at : at + w["n"] + length - 1]
-                if not w["crowded"]:
-                    out.append((w["bucket"], key, w["at"], w["n"], False, piece, 0, 0))
-                    continue
-                raw = np.frombuffer(piece, np.uint8)
-                h1, h2 = (Hashes(raw, m).all(length).astype(np.int64).tolist() for m in MULTIPLIERS)
-                out += [(w["bucket"], key, w["at"] + i, 1, True, b"", a, b) for i, (a, b) in enumerate(zip(h1, h2, strict=True))]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
+                at = w["at"] & low
+                out.append((w["bucket"], w["block"], key, w["at"], w["crowded"], data[at : at + w["n"] + length - 1]))
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
-def repeated_windows(group: np.ndarray, doc: np.ndarray, at: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, at) of windows that occur in an earlier place of their group; rows of a group follow one another.
+def compared_windows(group: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, piece, place in piece, bytes) of all windows of some groups of pieces, by a suffix array for each group.
 
-    Each group's pieces make one string for the suffix array; a window is a suffix with ``length`` bytes left in its piece.
+    Pieces of a group follow one another and make one string; a window is a suffix with ``length`` bytes left in its piece.
+    Windows have the same class if their group and bytes are equal.  The last value is all bytes, each piece followed by one.
     """
     size = np.array([len(p) for p in pieces], np.int64)
-    # symbol 0 ends a group's string, 1 a piece, bytes follow
     last = np.append(group[1:] != group[:-1], True)
-    total = size + 1
-    stop = np.cumsum(total)
-    symbols = np.ones(stop[-1], np.int64)
+    stop = np.cumsum(size + 1)
     raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    symbols += raw
-    symbols += 1
+    # symbol 0 ends a group's string, 1 a piece, bytes follow
+    symbols = raw.astype(np.int64) + 2
     symbols[stop - 1] = np.where(last, 0, 1)
-    base = np.append(0, stop[last])
-    order = suffix_orders(symbols, base)
-    piece = np.repeat(np.arange(len(pieces)), total)
-    left = stop[piece] - 1 - np.arange(stop[-1])
+    order = suffix_orders(symbols, np.append(0, stop[last]))
+    piece = np.repeat(np.arange(len(pieces)), size + 1)
+    left = stop[piece] - 1 - np.arange(len(raw))
     windows = order[left[order] >= length]
-    if len(windows) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(raw, length)
+    of = piece[windows]
     same = np.zeros(len(windows), bool)
-    near = np.flatnonzero((group[piece[windows[1:]]] == group[piece[windows[:-1]]]) & (view[windows[1:], 0] == view[windows[:-1], 0])) + 1
-    for i in range(0, len(near), 1 << 16):
-        k = near[i : i + (1 << 16)]
-        same[k] = (view[windows[k]] == view[windows[k - 1]]).all(axis=1)
-    run = np.cumsum(~same)
-    d = doc[piece[windows]]
-    p = at[piece[windows]] + windows - (stop - total)[piece[windows]]
-    by = np.lexsort((p, d, run))
-    run, d, p = run[by], d[by], p[by]
-    later = np.append(False, run[1:] == run[:-1])
-    return d[later], p[later]
+    if len(windows) > 1:
+        view = np.lib.stride_tricks.sliding_window_view(raw, length)
+        near = np.flatnonzero((group[of[1:]] == group[of[:-1]]) & (raw[windows[1:]] == raw[windows[:-1]])) + 1
+        for i in range(0, len(near), 1 << 14):
+            k = near[i : i + (1 << 14)]
+            same[k] = (view[windows[k]] == view[windows[k - 1]]).all(axis=1)
+    return np.cumsum(~same), of, windows - (stop - size - 1)[of], raw
 
 
-def _search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Suffix arrays over sorted rows (bucket, doc, at, bytes); whole buckets at a time, the last one waits for the next batch."""
-    held: list[tuple] = []
+FOUND = "doc long, at long, n long, h1 long, h2 long"
+
 
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        doc, at = repeated_windows(*(np.array([r[i] for r in rows], np.int64) for i in range(3)), [r[3] for r in rows], length)
-        return _runs(doc, at)
+def _search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, block) to runs of covered windows, and, of crowded buckets, each class's first window with its hashes.
 
-    total, cut = 0, 0  # bytes held, and rows held before the bucket that is still open
+    Whole groups are taken at a time; the last one waits for the next batch.
+    """
+    held = None
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if held and row[0] != held[-1][0]:
-                cut = len(held)
-                if total >= CHUNK:
-                    yield found(held)
-                    held, total, cut = [], 0, 0
-            held.append(row)
-            total += len(row[3])
-    if held:
-        yield found(held)
+        batch = batch if held is None else pa.concat_batches([held, batch])
+        bucket, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        other = np.flatnonzero((bucket != bucket[-1]) | (block != block[-1])) if batch.num_rows else []
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield from _solved(batch.slice(0, cut), length)
+        held = batch.slice(cut)
+    if held is not None and held.num_rows:
+        yield from _solved(held, length)
+
+
+def _solved(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """Groups of about the same size are solved in step, at most SYMBOLS at a time."""
+    bucket, block, doc, at, crowded = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+    pieces = batch.column(5).to_pylist()
+    group = np.cumsum(np.append(True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]))) - 1
+    size = np.bincount(group, weights=[len(p) + 1 for p in pieces]).astype(np.int64)
+    by = np.lexsort((group, size[group]))
+    total = np.cumsum([len(pieces[i]) + 1 for i in by])
+    # a new part starts with a group of more than twice the size of the part's first, or beyond SYMBOLS
+    starts, first, base = [0], size[group[by[0]]], 0
+    heads = np.flatnonzero(np.append(False, group[by[1:]] != group[by[:-1]]))
+    for h in heads.tolist():
+        if size[group[by[h]]] > 2 * first or total[h - 1] - base > SYMBOLS:
+            starts.append(h)
+            first, base = size[group[by[h]]], total[h - 1]
+    for a, b in zip(starts, [*starts[1:], len(by)], strict=True):
+        rows = by[a:b]
+        cls, of, place, raw = compared_windows(group[rows], [pieces[i] for i in rows], length)
+        d, p, hot = doc[rows][of], at[rows][of] + place, crowded[rows][of].astype(bool)
+        order = np.lexsort((p, d, cls))
+        cls, d, p, hot, of, place = (x[order] for x in (cls, d, p, hot, of, place))
+        later = np.append(False, cls[1:] == cls[:-1])
+        yield _runs(d[later], p[later])
+        ask = np.flatnonzero(~later & hot)
+        if len(ask):
+            size_of = np.array([len(pieces[i]) + 1 for i in rows])
+            begin = (np.cumsum(size_of) - size_of)[of[ask]] + place[ask]
+            h1, h2 = (Hashes(raw, m).of(begin, begin + length).astype(np.int64) for m in MULTIPLIERS)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[ask], p[ask], np.ones(len(ask), np.int64), h1, h2)], ["doc", "at", "n", "h1", "h2"])
 
 
 def _runs(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -241,25 +264,25 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first]), pa.array(n)], ["doc", "at", "n"])
+    none = pa.nulls(len(first), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first]), pa.array(n.astype(np.int64)), none, none], ["doc", "at", "n", "h1", "h2"])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_doc``, a long that orders documents, and ``_row``, which tells rows with equal ids apart.
+    """Rows (_doc, _row, text, _all): ``_doc`` orders documents, ``_row`` tells rows with equal ids apart, ``_all`` is the whole row.
 
-    Null ids come last.  Rows with equal ids are ordered by a hash of their text; equal rows are copies of each other, so it
-    does not matter which is first.  Only ids that occur twice are put in order.
+    Null ids come last.  Rows with equal ids are ordered by hashes of their text and of all their columns; rows equal in both are
+    copies of each other, so it does not matter which is first.  Only ids that occur twice are put in order.
     """
     last = F.lit(2**63 - 1)
-    docs = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), last))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("_doc"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("_all"))
     twice = cut_lineage(docs.groupBy("_doc").count().where(F.col("count") > 1).select(F.col("_doc").alias("_twice")))
+    only = F.lit(0).cast("long").alias("_row")
     if twice.isEmpty():
-        return docs.withColumn("_row", F.lit(0).cast("long"))
-    from pyspark.sql import Window
-
-    one = docs.join(twice, F.col("_doc") == F.col("_twice"), "left_anti").withColumn("_row", F.lit(0).cast("long"))
-    order = Window.partitionBy("_doc").orderBy(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), *[F.col(c) for c in sorted(docs.columns) if c not in ("_doc", "text")])
-    more = docs.join(twice, F.col("_doc") == F.col("_twice"), "left_semi").withColumn("_row", F.row_number().over(order).cast("long"))
+        return docs.select("_doc", only, "text", "_all")
+    order = Window.partitionBy("_doc").orderBy(F.xxhash64("text"), F.xxhash64("_all"))
+    one = docs.join(twice, F.col("_doc") == F.col("_twice"), "left_anti").select("_doc", only, "text", "_all")
+    more = docs.join(twice, F.col("_doc") == F.col("_twice"), "left_semi").select("_doc", F.row_number().over(order).cast("long").alias("_row"), "text", "_all")
     return one.unionByName(more)
 
 
@@ -273,33 +296,35 @@ def _step(df: DataFrame) -> DataFrame:
 
 def covered_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Rows (doc, at, n): n windows from ``at`` on that also start earlier.  ``docs`` is ``numbered``."""
-    texts = docs.select("_doc", "_row", F.col("text").cast("string").alias("text"))
+    texts = docs.select("_doc", "_row", "text")
     found = texts.mapInArrow(lambda b: _segment_rows(b, length, gram), "bucket long, digest long, doc long, at long, n long")
     shared = found.groupBy("bucket").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("c")).where(F.col("c") > 1)
     together = _step(found.join(shared.select("bucket", (F.col("lo") != F.col("hi")).alias("mixed")), "bucket"))
     firsts = _step(together.groupBy("bucket", "digest", "mixed").agg(F.min(F.struct("doc", "at", "n")).alias("f"), F.count("*").alias("c")))
     copied = firsts.where(F.col("c") > 1).select(F.col("bucket").alias("b"), F.col("digest").alias("d"), "f")
     same = (F.col("bucket") == F.col("b")) & (F.col("digest") == F.col("d"))
-    copies = together.join(copied, same).where((F.col("doc") != F.col("f.doc")) | (F.col("at") != F.col("f.at"))).select("doc", "at", "n")
+    copies = _step(together.join(copied, same).where((F.col("doc") != F.col("f.doc")) | (F.col("at") != F.col("f.at"))).select("doc", "at", "n"))
+    drop_step(together)
     unlike = firsts.where("mixed").select("bucket", "f.doc", "f.at", "f.n")
-    crowd = unlike.groupBy("bucket").agg((F.count("*") > MOST_SEGMENTS).alias("crowded"))
-    wanted = (
-        unlike.join(crowd, "bucket")
-        .groupBy("doc", F.shiftright("at", ROW_BIT).alias("row")).agg(F.collect_list(F.struct("bucket", "at", "n", "crowded")).alias("wanted"))
+    blocks = F.ceil(F.col("k") / MOST_SEGMENTS)
+    placed = (
+        unlike.join(unlike.groupBy("bucket").agg(F.count("*").alias("k")), "bucket")
+        .select("bucket", F.pmod(F.xxhash64("doc", "at"), blocks).alias("block"), "doc", "at", "n", (blocks > 1).alias("crowded"))
     )
-    asked = texts.join(wanted, (F.col("_doc") == F.col("doc")) & (F.col("_row") == F.col("row"))).select("_doc", "_row", "text", "wanted")
-    kind = "bucket long, doc long, at long, n long, crowded boolean, bytes binary, h1 long, h2 long"
-    pieces = _step(asked.mapInArrow(lambda b: _cut_out(b, length), kind))
-    few = pieces.where(~F.col("crowded")).select("bucket", "doc", "at", "bytes").repartition("bucket").sortWithinPartitions("bucket")
-    sorted_out = few.mapInArrow(lambda b: _search(b, length), "doc long, at long, n long")
-    many = pieces.where("crowded").select("h1", "h2", "doc", "at")
+    wanted = placed.groupBy("doc", F.shiftright("at", ROW_BIT).alias("row")).agg(F.collect_list(F.struct("bucket", "block", "at", "n", "crowded")).alias("wanted"))
+    asked = texts.join(wanted, (F.col("_doc") == F.col("doc")) & (F.col("_row") == F.col("row"))).select("_doc", "text", "wanted")
+    pieces = asked.mapInArrow(lambda b: _cut_out(b, length), "bucket long, block long, doc long, at long, crowded boolean, bytes binary")
+    searched = _step(pieces.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(lambda b: _search(b, length), FOUND))
+    drop_step(firsts)
+    many = searched.where(F.col("h1").isNotNull()).select("h1", "h2", "doc", "at")
     earliest = many.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("c")).where(F.col("c") > 1)
     earliest = earliest.select(F.col("h1").alias("a"), F.col("h2").alias("b"), "f")
-    crowded = (
+    across = (
         many.join(earliest, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b")))
         .where((F.col("doc") != F.col("f.doc")) | (F.col("at") != F.col("f.at"))).select("doc", "at", F.lit(1).cast("long").alias("n"))
     )
-    return _step(copies.unionByName(sorted_out).unionByName(crowded))
+    inside = searched.where(F.col("h1").isNull()).select("doc", "at", "n")
+    return _step(copies.unionByName(inside).unionByName(across))
 
 
 def cut_text(data: bytes, runs: list[dict] | None, length: int) -> tuple[bytes, int, int]:
@@ -334,15 +359,14 @@ def with_repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM
     text decides, and of equal rows one is the first.  ``kept`` is the remaining text; bytes of a character of which a part
     is removed are left out of it, but not of the figures.
     """
+    columns = [c for c in docs.columns if c != "_cut"]
     docs = numbered(docs)
     runs = covered_runs(docs, length, gram)
-    by_doc = runs.groupBy(F.col("doc").alias("_d"), F.shiftright("at", ROW_BIT).alias("_r")).agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
-    joined = docs.join(by_doc, (F.col("_doc") == F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
+    by_doc = runs.groupBy("doc", F.shiftright("at", ROW_BIT).alias("row")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    joined = docs.join(by_doc, (F.col("_doc") == F.col("doc")) & (F.col("_row") == F.col("row")), "left")
 
     @F.pandas_udf(REMOVED)
-    def cut(text, runs):
-        import pandas as pd
-
+    def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
         rows = []
         for t, r in zip(text, runs, strict=True):
             data = encoded(t)
@@ -350,4 +374,4 @@ def with_repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM
             rows.append((len(data), removed, count, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.withColumn("_cut", cut(F.col("text").cast("string"), "_runs")).drop("_doc", "_row", "_d", "_r", "_runs")
+    return joined.select(*[F.col("_all")[c].alias(c) for c in columns], cut("text", "runs").alias("_cut"))
