@@ -20,6 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go; cutoffs are fitted on the labelled ones among ``docs``."""
+    docs = docs.select(*COLUMNS)
     counted = cut_lineage(rules.with_counts(docs).select("doc_id", "lang", "_counts"))
     cutoffs = rules.fit_cutoffs(counted, read_table(spark, sf_dir, "labels"))
     return rules.with_counts(docs).where(~rules.base_failed() & ~cutoffs.rejects()).select(*COLUMNS)
@@ -27,6 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
+    docs = docs.select(*COLUMNS)
     groups = simhash.near_groups(docs.select("doc_id", "text"))
     heads = groups.select(F.col("component_id").alias("_id")).distinct()
     kept = docs.join(heads, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
@@ -35,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes and more that also start earlier are cut out of the texts; no document goes."""
-    cut = repeats.with_repeats_removed(docs)
+    cut = repeats.with_repeats_removed(docs.select(*COLUMNS))
     changed = F.col("_cut.n_removed") > 0
     return cut.select(
         "doc_id", F.when(changed, F.col("_cut.kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
@@ -46,7 +48,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak an item of the benchmark go."""
     found = decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(found, F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

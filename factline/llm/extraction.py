@@ -16,6 +16,7 @@ import json
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,13 +200,13 @@ def with_main_text(pages: DataFrame) -> DataFrame:
     A null or empty html has an empty text; a null url, or one without a host, belongs to the host "".  Rows with the same
     html have the same text if their host is the same.
     """
+    columns = [c for c in pages.columns if c not in ("text", "n_chars")]
     whole = wrappers(pages).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_templates, "host string, template string")
-    known = pages.withColumn("_host", host_of(F.col("url"))).join(whole, F.col("_host") == F.col("host"), "left")
+    rows = pages.select(host_of(F.col("url")).alias("_host"), F.col("html").cast("string").alias("html"), F.struct(*columns).alias("_all"))
+    known = rows.join(whole, F.col("_host") == F.col("host"), "left")
 
     @F.pandas_udf("string")
-    def extract(pages, templates):
-        import pandas as pd
-
+    def extract(pages: pd.Series, templates: pd.Series) -> pd.Series:
         read: dict[str, set[str]] = {}
         out = []
         for page, template in zip(pages, templates, strict=True):
@@ -214,5 +215,5 @@ def with_main_text(pages: DataFrame) -> DataFrame:
             out.append(main_text(blocks(page), read.get(template, set()) if template else set()))
         return pd.Series(out, dtype=object)
 
-    text = extract(F.col("html").cast("string"), F.col("template"))
-    return known.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop("_host", "host", "template")
+    found = known.select("_all", extract("html", "template").alias("text"))
+    return found.select(*[F.col("_all")[c].alias(c) for c in columns], "text", F.length("text").cast("long").alias("n_chars"))
