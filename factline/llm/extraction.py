@@ -39,8 +39,9 @@ def digest(text: str) -> str:
 
 
 def token(block: Block) -> dict:
-    """A token of the stream: its path, the pages it is on, whether it is optional or repeated, and its texts."""
-    return {"key": block.path, "n": 1, "opt": 0, "rep": 0, "texts": [digest(block.text)], "main": int(block.content and not block.noise)}
+    """A token of the stream: its path, the pages it is on, whether it is optional or repeated, its texts, and those all pages have."""
+    text = [digest(block.text)]
+    return {"key": block.path, "n": 1, "opt": 0, "rep": 0, "texts": text, "same": text, "main": int(block.content and not block.noise)}
 
 
 def add_texts(a: list[str], b: list[str]) -> list[str]:
@@ -60,6 +61,7 @@ def collapse(stream: list[dict]) -> list[dict]:
             while len(keys) == unit and [t["key"] for t in stream[again : again + unit]] == keys:
                 for t, u in zip(merged, stream[again : again + unit], strict=True):
                     t["texts"] = add_texts(t["texts"], u["texts"])
+                    t["same"] = sorted({*t["same"], *u["same"]})
                     t["rep"] = 1
                 again += unit
             if again > end:
@@ -73,7 +75,9 @@ def collapse(stream: list[dict]) -> list[dict]:
 
 
 def merged(a: dict, b: dict) -> dict:
-    return {"key": a["key"], "n": a["n"] + b["n"], "opt": a["opt"] | b["opt"], "rep": a["rep"] | b["rep"], "texts": add_texts(a["texts"], b["texts"]), "main": a["main"] & b["main"]}
+    """One token for two streams' tokens with the same path."""
+    same = a["same"] if a["same"] == b["same"] else sorted({*a["same"]} & {*b["same"]})
+    return {"key": a["key"], "n": a["n"] + b["n"], "opt": a["opt"] | b["opt"], "rep": a["rep"] | b["rep"], "texts": add_texts(a["texts"], b["texts"]), "same": same, "main": a["main"] & b["main"]}
 
 
 def align(a: dict, b: dict) -> dict:
@@ -111,7 +115,7 @@ def template_texts(wrapper: dict) -> list[str]:
     region = [t for t in wrapper["stream"] if t["main"]] or wrapper["stream"]
     if wrapper["n"] < SUPPORT or max((len(t["texts"]) for t in region), default=0) < DISTINCT:
         return []
-    return [t["texts"][0] for t in region if len(t["texts"]) == 1 and t["n"] == wrapper["n"] and not t["opt"]]
+    return [text for t in region if t["n"] == wrapper["n"] and not t["opt"] for text in t["same"]]
 
 
 def main_text(page: list[Block], template: set[str]) -> str:
@@ -203,7 +207,10 @@ def with_main_text(pages: DataFrame) -> DataFrame:
     columns = [c for c in pages.columns if c not in ("text", "n_chars")]
     whole = wrappers(pages).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_templates, "host string, template string")
     rows = pages.select(host_of(F.col("url")).alias("_host"), F.col("html").cast("string").alias("html"), F.struct(*columns).alias("_all"))
-    known = rows.join(whole, F.col("_host") == F.col("host"), "left")
+    # the few template rows are copied to every salt, so that the pages of one host are dealt to many tasks
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_all"), F.lit(SALTS)))
+    whole = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = rows.join(whole, (F.col("_host") == F.col("host")) & (F.col("_salt") == F.col("salt")), "left")
 
     @F.pandas_udf("string")
     def extract(pages: pd.Series, templates: pd.Series) -> pd.Series:

@@ -55,11 +55,12 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         ranked.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(everything))
         .withColumn("filled", F.coalesce(F.sum("room").over(before), F.lit(0.0)))
         .withColumn("open_w", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+        .withColumn("turn", F.row_number().over(by_fill))
         .withColumn("fits", F.col("w") * (F.col("budget") - F.col("filled")) < F.col("room") * F.col("open_w"))
     )
     # the first source in this order that does not fill up gives the level for itself and all after it
-    ranked = ranked.withColumn("at", F.min(F.when(F.col("fits"), F.struct(F.col("room") / F.col("w"), F.col("budget") - F.col("filled"), F.col("open_w")))).over(everything))
-    level = F.least(F.col("room"), F.col("w") * F.col("at.col2") / F.col("at.open_w"))
+    ranked = ranked.withColumn("at", F.min(F.when(F.col("fits"), F.struct("turn", (F.col("budget") - F.col("filled")).alias("left"), "open_w"))).over(everything))
+    level = F.least(F.col("room"), F.col("w") * F.col("at.left") / F.col("at.open_w"))
     return ranked.select("source", "source_size", "n_docs", F.coalesce(level, F.col("room")).alias("target"))
 
 

@@ -173,7 +173,7 @@ def fit_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = 0.05, error
     enough to prove a cutoff at all, of which there can be at most (labels / labels needed).
     """
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_good"))
-    rows = counted.where(~base_failed()).join(known, F.col("doc_id") == F.col("_id"))
+    rows = counted.select("doc_id", "lang", "_counts").where(~base_failed()).join(known, F.col("doc_id") == F.col("_id"))
     level = F.array(*[F.struct(F.lit(r).alias("rule"), F.ceil(s * LEVELS).cast("int").alias("level")) for r, s in shares().items()])
     cells = (
         rows.select(stratum().alias("stratum"), "_good", F.explode(level).alias("at"))

@@ -179,7 +179,7 @@ def part_count(total: int, distance: int) -> int:
         balls = [sum(_choose(w, t) for t in range(r + 1)) for w, r in zip(width, radii, strict=True)]
         return sum(b * (PROBE + total / 2.0**w) for b, w in zip(balls, width, strict=True))
 
-    return min(range(2, distance + 2), key=cost) if distance else 1
+    return min(range(2, distance + 2), key=cost)
 
 
 def grouped_bits(co: np.ndarray, total: int, m: int) -> tuple[tuple[int, ...], ...]:
@@ -312,8 +312,10 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
 def near_links(fps: DataFrame, distance: int, forest: bool = True) -> DataFrame:
     """Links (a, b) of distinct fingerprints within ``distance``; ``fps`` has one row per fingerprint.
 
-    With ``forest``, crowded values give only as many links as their components need.
+    With ``forest``, crowded values give only as many links as their components need.  Within distance 0 there is nothing to link.
     """
+    if distance < 1:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     parts = learn_parts(fps, distance)
     index = fps.select("fp").mapInArrow(lambda x: _indexed(x, parts), "key long, fp long")
     probes = fps.select("fp").mapInArrow(lambda x: _probes(x, parts, distance), "key long, fp long")

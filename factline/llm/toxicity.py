@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 HASH_BITS = 20
 #: Labelled documents of each class that the model is fitted on, at most: those with the smallest hash of their id.
-SAMPLE = 6000
+SAMPLE = 9000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1.0
+ALPHA, BETA, L2 = 0.3, 1.0, 0.0
+#: The L1 weight is the number of training rows over this, at least 1: what a coordinate must move before it counts.
+L1_ROWS = 400
 THRESHOLD = 0.7
 
 #: ASCII but for letters and digits parts words; bytes of other characters are letters.
@@ -68,7 +70,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> M
     """Rows in the order given, several times over; the bias is a coordinate without L1."""
     size = 1 << HASH_BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    l1 = np.full(size + 1, L1)
+    l1 = np.full(size + 1, max(1.0, len(rows) / L1_ROWS))
     l1[size] = 0.0
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -103,7 +105,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAM
     """Fit on at most ``sample`` labelled documents of each class for which ``may_learn`` (of doc_id) holds.
 
     Labels other than 0 and 1 and ids that are null or not in ``docs`` count for nothing.  The sample is chosen by a hash
-    of the id, so reruns agree; it is small by its bound, joins as a broadcast and is fitted by one task.
+    of the id, so reruns agree; it is small by its bound, joins as a broadcast and is fitted by one task.  The bias is then
+    shifted from the sample's odds of the classes to odds half-way (in logarithms) between those of all labels that may be
+    learned and even ones, so that rare toxic texts are not scored by their rarity alone.
     """
     known = labels.where(may_learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).distinct()
     place = F.xxhash64(F.lit("toxicity"), "_id")
@@ -113,11 +117,16 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAM
     got = ordered.select("text", "_y").mapInArrow(_trained, "at int, w double").collect()
     at = np.array([r["at"] for r in got if r["at"] >= 0], np.int32)
     weight = np.array([r["w"] for r in got if r["at"] >= 0], np.float32)
-    return Model(next((r["w"] for r in got if r["at"] < 0), 0.0), at, weight)
+    seen = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    shift = 0.0
+    if len(seen) == 2:
+        shift = math.log(seen[1] / seen[0]) / 2 - math.log(min(seen[1], sample) / min(seen[0], sample))
+    return Model(next((r["w"] for r in got if r["at"] < 0), 0.0) + shift, at, weight)
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 of every whole text; null and empty texts get that of no features."""
+
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, hashes = model.dense(), WordHashes()
