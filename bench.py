@@ -26,7 +26,8 @@ def main() -> None:
     spark = build_session("bench", cores)
     spark.sparkContext.setLogLevel("ERROR")
     plans = load_plans()
-    spark.read.parquet(f"{folder}/lineitem.parquet").limit(1).collect()
+    # one run that is not counted, so that the first query does not pay for starting up
+    plans["a18_vocabulary"].run(spark, folder).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}
     for name in HEADLINE:
         t0 = time.perf_counter()

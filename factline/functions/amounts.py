@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 # Unit words and their factor to whole dollars.
 UNIT_SCALE = {"$": 1, "$m": 1_000_000, "$b": 1_000_000_000, "$'000": 1_000, "$000": 1_000, "units": 1}
 NUMBER = r"\(?-?\d{1,3}(?:,\d{3})+(?:\.\d+)?\)?|\(?-?\d+(?:\.\d+)?\)?"
-DATE_FORMATS = ("d MMM yyyy", "d MMMM yyyy", "d M yyyy", "d M yy", "yyyy M d", "d MMM yy", "d MMMM yy")
+DATE_FORMATS = ("d MMM yyyy", "d MMMM yyyy", "d M yyyy", "yyyy M d", "d MMM yy", "d MMMM yy")
+SHORT_YEAR = r"^(\d{1,2}) (\d{1,2}) (\d{2})$"
+#: Two-digit years from here on lie in the last century when the month is a number; month names mean this century.
+SHORT_YEAR_PIVOT = 69
 DATE_TOKEN = r"\d{1,2}[\s\-/.](?:[A-Za-z]{3,9}|\d{1,2})[\s\-/.]\d{2,4}"
 AS_AT = r"(?i)as\s+at\s+(?:close\s+of\s+business\s+)?(" + DATE_TOKEN + ")"
 NO_AMOUNT = ("", "nan", "none", "-", "total")
@@ -51,8 +54,14 @@ def parse_amount(raw: Column) -> Column:
 
 
 def parse_date(raw: Column) -> Column:
-    """Day-first dates with any separator; two-digit years lie in this century; else null."""
+    """Day-first dates with any separator; else null.
+
+    A two-digit year lies in this century after a month's name; after a month's number, 69 to 99 lie in the last one.
+    """
     token = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\-/.]", " "), r"\s+", " "))
+    year = F.regexp_extract(token, SHORT_YEAR, 3).try_cast("int")
+    full = F.concat(F.regexp_replace(token, r"\d{2}$", ""), (year + F.when(year >= SHORT_YEAR_PIVOT, 1900).otherwise(2000)).cast("string"))
+    token = F.when(token.rlike(SHORT_YEAR), full).otherwise(token)
     return F.coalesce(*[F.try_to_timestamp(token, F.lit(fmt)) for fmt in DATE_FORMATS]).cast("date")
 
 
@@ -62,12 +71,23 @@ def as_at_date(text: Column, default: Column) -> Column:
     return F.coalesce(parse_date(F.regexp_extract(text, AS_AT, 1)), parse_date(head), default)
 
 
-def repair_thousands(text: Column, passes: int = 4) -> Column:
-    """``54,9 53`` -> ``54,953`` and ``2, 374`` -> ``2,374``, repeated so that joined digits join again."""
-    for _ in range(passes):
-        text = F.regexp_replace(text, r"(?<=\d),(\d{1,2})\s+(?=\d{2,3}(?:\D|$))", ",$1")
-        text = F.regexp_replace(text, r"(?<=\d),\s+(?=\d{3}(?:\D|$))", ",")
-    return text
+# A group of thousands that a blank has split, before or after its first digits.
+SPLIT_GROUP = r"(?<=\d),(\d{1,2})\s+(?=\d{2,3}(?:\D|$))"
+SPLIT_COMMA = r"(?<=\d),\s+(?=\d{3}(?:\D|$))"
+
+
+def repair_thousands(text: Column) -> Column:
+    """``54,9 53`` -> ``54,953`` and ``2, 374`` -> ``2,374``, until nothing more joins.
+
+    Each round that changes a text takes at least one blank out of a number, so as many rounds as there are blanks before digits
+    reach the fixed point; texts without a split number have none.
+    """
+    def one(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, SPLIT_GROUP, ",$1"), SPLIT_COMMA, ",")
+
+    rounds = F.regexp_count(text, F.lit(r"\s\d"))
+    repaired = F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), text, lambda t, _: one(t))
+    return F.when(text.rlike(SPLIT_GROUP) | text.rlike(SPLIT_COMMA), repaired).otherwise(text)
 
 
 def numbers(text: Column) -> Column:

@@ -47,9 +47,9 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
-def clean_label(text: Column, limit: int = 100, default: str = "Unknown") -> Column:
-    """One line, no path separator, at most ``limit`` characters, never empty."""
-    cut = F.substring(F.replace(squeeze(text), F.lit(" / "), F.lit(" – ")), 1, limit)
+def clean_label(text: Column, default: str = "Unknown") -> Column:
+    """One line, no path separator, never empty; labels are keys, so they are never cut."""
+    cut = F.replace(squeeze(text), F.lit(" / "), F.lit(" – "))
     return F.coalesce(F.nullif(F.trim(cut), F.lit("")), F.lit(default))
 
 

@@ -1,12 +1,14 @@
 """Descending edges level by level, for all roots at once.
 
-The loop runs over depth (at most nine levels), never over nodes.  Each level is checkpointed, so the
-plan stays short and a lost executor re-reads one level instead of replaying the descent.
+The loop runs over depth until no level is left, never over nodes.  A node that is already on its own path is not
+entered again, so cycles end.  Each level is written, so the plan stays short and a lost executor re-reads one level
+instead of replaying the descent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +18,7 @@ from factline.graph.facts import fact_or_fallback
 from factline.operators.ordered import first_per_key
 from factline.session import cut_lineage
 
-# Deepest level, and how a crosswalk note names its match quality.
-MAX_DEPTH = 8
+# What a year's fact brings along.
 FACT_COLS = ("fact_id", "amount_aud", "fact_financial_year", "fact_source", "compatibility_group", "estimate_status", "is_year_fallback", "fallback_reason")
 
 
@@ -43,25 +44,28 @@ def _step(frontier: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
     own = edges.withColumnRenamed("parent_id", "node_id")
     j = frontier.select("root_id", F.col("path").alias("up"), "node_id", F.col("name").alias("parent_name")).join(own, "node_id")
     j = j.withColumnRenamed("node_id", "parent_id").withColumnRenamed("child_id", "node_id").withColumnRenamed("child_name", "name")
-    j = j.join(facts, "node_id")
+    j = j.where(~F.array_contains("up", F.col("node_id"))).join(facts, "node_id")
     j = j.withColumn("label", display_name(F.col("name"), F.col("parent_name")))
     # equal labels under one parent overwrite each other; the last in edge order stands
     j = first_per_key(j, ["root_id", "up", "label"], [F.col("priority"), F.col("node_id")])
     return j.withColumn("path", F.concat("up", F.array("node_id"))).drop("up", "parent_name")
 
 
-def descend(roots: DataFrame, edges: DataFrame, facts: DataFrame, levels: int = MAX_DEPTH + 1) -> DataFrame:
+def descend(roots: DataFrame, edges: DataFrame, facts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Rows ``(root_id, path, node_id, parent_id, label, ...)`` of every node below the roots.
 
-    A child without a fact stops its branch.  ``roots`` needs ``root_id, path, node_id, name``.
+    A child without a fact stops its branch, and so does one that is on its own path.  ``roots`` needs
+    ``root_id, path, node_id, name``.  If there is more below ``max_depth`` levels, that is an error, not a cut.
     """
     edges, facts = cut_lineage(edges), cut_lineage(facts)
     found: DataFrame | None = None
     frontier = roots
-    for _ in range(levels):
+    for level in count(1):
         step = cut_lineage(_step(frontier, edges, facts))
         if step.isEmpty():
             break
+        if max_depth is not None and level > max_depth:
+            raise ValueError(f"nodes below level {max_depth}")
         found = step if found is None else found.unionByName(step)
         frontier = step
     if found is None:
@@ -93,7 +97,7 @@ def related_tree(
         related = related.where(keep)
     chosen = cut_lineage(year_facts(facts, year, True))
     first = cut_lineage(_step(as_roots(roots), related, chosen).withColumn("match_quality", match_quality(F.col("notes"))))
-    below = descend(first, child_edges(edges, nodes, "same_group", year), chosen, MAX_DEPTH)
+    below = descend(first, child_edges(edges, nodes, "same_group", year), chosen)
     quality = first.select("root_id", F.element_at("path", 2).alias("_top"), "match_quality")
     below = below.withColumn("_top", F.element_at("path", 2)).join(quality, ["root_id", "_top"], "left").drop("_top")
     return first.withColumn("depth", F.size("path") - 1).unionByName(below)
@@ -137,11 +141,11 @@ def related_parent(labels: DataFrame, nodes: DataFrame, edges: DataFrame, source
     named = own.groupBy(F.col("name").alias("_n")).agg(F.min("node_id").alias("parent_id"))
     noted = own.groupBy(F.split("notes", "→")[0].alias("_n")).agg(F.min("node_id").alias("parent_id"))
     rest = F.trim(F.regexp_replace("label", r"(?i)^total\s+", ""))
-    base = F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, 2, 1000))
+    base = F.concat(F.upper(F.substring(rest, 1, 1)), rest.substr(F.lit(2), F.length(rest)))
     if aliases:
         lookup = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
         base = F.coalesce(F.try_element_at(lookup, F.lower(base)), base)
-    lowered = F.concat(F.lower(F.substring("_base", 1, 1)), F.substring("_base", 2, 1000))
+    lowered = F.concat(F.lower(F.substring("_base", 1, 1)), F.col("_base").substr(F.lit(2), F.length("_base")))
     spread = labels.withColumn("_base", base).withColumn(
         "_c", F.array(F.col("_base"), F.concat(F.lit("Total "), "_base"), F.concat(F.lit("Total "), lowered))
     )
@@ -184,22 +188,28 @@ def with_label_paths(tree: DataFrame) -> DataFrame:
     spread = tree.select("root_id", "path", F.explode(F.sequence(F.lit(2), F.size("path"))).alias("_n"))
     spread = spread.withColumn("_p", F.slice("path", F.lit(1), F.col("_n")))
     labels = tree.select("root_id", F.col("path").alias("_p"), "label")
-    # a path has at most ten elements, so the collected list is bounded by the depth limit
+    # the collected list is as long as the path that the row itself holds
     j = spread.join(labels, ["root_id", "_p"]).groupBy("root_id", "path").agg(F.collect_list(F.struct("_n", "label")).alias("_l"))
     j = j.select("root_id", "path", F.transform(F.array_sort("_l"), lambda s: s["label"]).alias("label_path"))
     return tree.join(j, ["root_id", "path"])
 
 
-def roll_up_hierarchy(root: DataFrame, edges: DataFrame, amounts: DataFrame, levels: int = MAX_DEPTH + 1) -> DataFrame:
-    """All nodes below a root in one hierarchy with the sum of their direct facts, zero when none."""
+def roll_up_hierarchy(root: DataFrame, edges: DataFrame, amounts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All nodes below a root in one hierarchy with the sum of their direct facts, zero when none.
+
+    A node that is reached at several depths has a row for each; one that is on its own path is not entered again.  If there
+    is more below ``max_depth`` levels, that is an error, not a cut.
+    """
     step = edges.select(F.col("parent_id").alias("node_id"), "child_id")
-    frontier = root.select("node_id").withColumn("depth", F.lit(0))
-    found = frontier
-    for d in range(1, levels + 1):
-        frontier = frontier.join(step, "node_id").select(F.col("child_id").alias("node_id"), F.lit(d).alias("depth")).distinct()
-        frontier = cut_lineage(frontier)
+    frontier = root.select("node_id", F.array("node_id").alias("path"))
+    found = frontier.select("node_id", F.lit(0).alias("depth"))
+    for d in count(1):
+        down = frontier.join(step, "node_id").where(~F.array_contains("path", F.col("child_id")))
+        frontier = cut_lineage(down.select(F.col("child_id").alias("node_id"), F.concat("path", F.array("child_id")).alias("path")).distinct())
         if frontier.isEmpty():
             break
-        found = found.unionByName(frontier)
+        if max_depth is not None and d > max_depth:
+            raise ValueError(f"nodes below level {max_depth}")
+        found = found.unionByName(frontier.select("node_id", F.lit(d).alias("depth")).distinct())
     direct = amounts.groupBy("node_id").agg(F.sum("amount_aud").alias("amount_aud"))
     return found.join(direct, "node_id", "left").withColumn("amount_aud", F.coalesce("amount_aud", F.lit(0.0)))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from factline.operators.ordered import first_per_key
 
-# Link words, data suffixes and payload signatures.
-DOWNLOAD_WORDS = r"(?i)\b(?:download|dataset|spreadsheet|workbook|report|budget|statement)\b"
-DATA_SUFFIXES = (".csv", ".xlsx", ".xls", ".pdf", ".zip", ".json", ".docx")
+# Link words, phrases and suffixes that mark data, names of query parameters that hold a file name, and payload signatures.
+DOWNLOAD_WORDS = r"(?i)download|data|table|appendix|budget|statement|report|export|workbook"
+STRONG_PHRASES = r"(?i)\bdownload\b|\bdataset\b|\bspreadsheet\b|\bworkbook\b|\bdata export\b|\bexport (?:file|data|to (?:csv|excel|xlsx))\b|\bbulk export\b"
+DATA_SUFFIXES = (".csv", ".xlsx", ".xls", ".zip", ".pdf", ".docx", ".pptx", ".json", ".ods", ".ppt", ".doc", ".tsv")
+NAME_PARAMETERS = ("name", "filename", "file", "download")
 SIGNATURES = (
     ("executable", ("4D5A", "7F454C46")),
     ("gz", ("1F8B",)),
@@ -23,34 +25,77 @@ HTML_MARKERS = ("<!doctype html", "<html", "<head", "<body", "<script")
 CHALLENGE_MARKERS = (
     "captcha", "access denied", "cloudflare", "verify you are human", "bot challenge", "request blocked", "sign in", "log in",
 )
-ANCHOR = r"(?is)<(?:a|link)\s[^>]*?href\s*=\s*[\"']([^\"']+)[\"'][^>]*>"
-ANCHOR_TEXT = r"(?is)<(?:a|link)\s[^>]*?href\s*=\s*[\"'][^\"']+[\"'][^>]*>([^<]*)"
-DATA_URL = r"(?is)data-(?:download-url|file-url|url)\s*=\s*[\"']([^\"']+)[\"']"
+# an anchor's attributes and content up to its end or the next anchor, or a link's attributes
+LINK = r"(?is)<a\b([^>]*)>(.*?)(?=</a\s*>|<a\b|\z)|<link\b([^>]*)>"
+HREF = r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+DATA_URL = r"(?is)\bdata-(?:download-url|file-url|url)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+# Character references of markup.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&#38;", "&"), ("&amp;", "&"))
+
+
+def decoded(text: Column) -> Column:
+    """Character references of markup as characters; the ampersand comes last, so nothing is decoded twice."""
+    for name, char in REFERENCES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def _either(pattern: str, text: Column) -> Column:
+    return F.concat(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)])
+
+
+def _folded(url: Column) -> Column:
+    """``a/./b`` and ``a/x/../b`` of the path as ``a/b``."""
+    head = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    rest = url.substr(F.length(head) + 1, F.length(url))
+    path, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"(\?.*)$", 1)
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, p: F.when(p == ".", done).when(p == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)).otherwise(F.array_append(done, p)),
+    )
+    folder = F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    folded = F.concat(head, F.array_join(kept, "/"), folder, query)
+    return F.when((head != "") & path.rlike(r"(^|/)\.\.?(/|$)"), folded).otherwise(url)
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """Absolute address of a link on a page, without its fragment."""
+    """Absolute address of a link on a page, without its fragment, dot segments folded."""
     site = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([a-z]+://[^/]+/(?:.*/)?)", 1)
+    plain = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.regexp_extract(plain, r"^([a-z]+://[^/]+/(?:.*/)?)", 1)
     folder = F.when(folder == "", F.concat(site, F.lit("/"))).otherwise(folder)
     full = (
         F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-z]+:)", 1), href))
         .when(href.startswith("/"), F.concat(site, href))
+        .when(href.startswith("?"), F.concat(plain, href))
         .otherwise(F.concat(folder, href))
     )
-    return F.regexp_replace(full, r"#.*$", "")
+    return _folded(F.regexp_replace(full, r"#.*$", ""))
 
 
 def link_candidates(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Every link of every page once, in page order; all links are kept, none are cut off."""
-    links = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), 1).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR_TEXT), 1).alias("text"))
-    data = F.transform(F.regexp_extract_all(html, F.lit(DATA_URL), 1), lambda h: F.struct(h.alias("href"), F.lit("").alias("text")))
-    spread = pages.select(key, url, F.posexplode(F.concat(links, data)).alias("pos", "c"))
-    full = spread.select(key, F.col(url).alias("page_url"), "pos", resolve(F.col(url), F.trim("c.href")).alias("url"), F.trim("c.text").alias("text"))
+    """Every link of every page once, in page order, with the text it holds, nested elements included; none are cut off."""
+    html_of = F.col(html)
+    parts = F.arrays_zip(*[F.regexp_extract_all(html_of, F.lit(LINK), i).alias(n) for i, n in ((1, "a"), (2, "inner"), (3, "link"))])
+    text = lambda inner: F.trim(F.regexp_replace(decoded(F.regexp_replace(inner, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+    links = F.transform(parts, lambda p: F.struct(decoded(_either(HREF, F.concat(p["a"], p["link"]))).alias("href"), text(p["inner"]).alias("text")))
+    data = F.transform(F.regexp_extract_all(html_of, F.lit(f"({DATA_URL})"), 1), lambda h: F.struct(decoded(_either(DATA_URL, h)).alias("href"), F.lit("").alias("text")))
+    spread = pages.select(key, url, F.posexplode(F.filter(F.concat(links, data), lambda c: F.trim(c["href"]) != "")).alias("pos", "c"))
+    full = spread.select(key, F.col(url).alias("page_url"), "pos", resolve(F.col(url), F.trim("c.href")).alias("url"), F.col("c.text").alias("text"))
     return first_per_key(full.where(F.col("url").rlike(r"^https?://")), [key, "url"], [F.col("pos")])
 
 
+def url_suffix(url: Column) -> Column:
+    """Suffix of the path's file name, else of one that a query parameter names."""
+    of = lambda text: F.lower(F.regexp_extract(text, r"(\.[A-Za-z0-9]+)$", 1))
+    path = of(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[a-z]+://[^/]*", ""))
+    named = [F.nullif(of(F.regexp_extract(url, rf"[?&]{p}=([^&#]*)", 1)), F.lit("")) for p in NAME_PARAMETERS]
+    return F.coalesce(F.nullif(path, F.lit("")), *named, F.lit(""))
+
+
 def judge_links(links: DataFrame, domains: Sequence[str], include: Sequence[str] = (), exclude: Sequence[str] = (), suffixes: Sequence[str] = ()) -> DataFrame:
     """Add ``reason`` (null when accepted) and the financial year the link names."""
     from factline.functions.years import fy_from_label
@@ -61,8 +106,10 @@ def judge_links(links: DataFrame, domains: Sequence[str], include: Sequence[str]
         allowed = allowed | (host == d) | host.endswith(f".{d}")
     both = F.concat_ws(" ", "text", "url")
     any_of = lambda patterns: F.greatest(*[both.rlike(f"(?i){p}") for p in patterns], F.lit(False))
-    suffix = F.lower(F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"(\.[A-Za-z0-9]+)$", 1))
-    signal = F.col("text").rlike(DOWNLOAD_WORDS) & suffix.isin(*DATA_SUFFIXES)
+    suffix = url_suffix(F.col("url"))
+    path = F.lower(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[a-z]+://[^/]*", ""))
+    strong = F.col("text").rlike(STRONG_PHRASES) | suffix.isin(*DATA_SUFFIXES) | path.contains("download") | path.rlike(r"(^|/)export(/|$)")
+    signal = F.col("text").rlike(DOWNLOAD_WORDS) & strong
     reason = F.when(~allowed, "domain_not_allowed")
     if exclude:
         reason = reason.when(any_of(exclude), "excluded_by_registry")

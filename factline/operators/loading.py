@@ -51,9 +51,18 @@ def surrogate(key: Column) -> Column:
 
 
 def get_or_create(existing: DataFrame, wanted: DataFrame, key: str, id_col: str) -> DataFrame:
-    """Existing dimension rows plus one new row per unknown key."""
-    fresh = wanted.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
-    return existing.unionByName(fresh.withColumn(id_col, surrogate(F.col(key))), allowMissingColumns=True)
+    """Existing dimension rows plus one new row per unknown key, of its rows the least by all columns.
+
+    Ids are hashes of the keys; two keys with one id, new or old, are an error.
+    """
+    from factline.operators.ordered import first_per_key
+
+    fresh = first_per_key(wanted, [key], [F.col(c) for c in wanted.columns if c != key]).join(existing.select(key), key, "left_anti")
+    both = existing.unionByName(fresh.withColumn(id_col, surrogate(F.col(key))), allowMissingColumns=True)
+    clash = both.groupBy(id_col).agg(F.count_distinct(key).alias("n")).where(F.col("n") > 1)
+    if not clash.isEmpty():
+        raise ValueError(f"two keys share one {id_col}: {clash.first()[id_col]}")
+    return both
 
 
 def classify_labels(rows: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
@@ -66,6 +75,34 @@ def classify_labels(rows: DataFrame, labels: DataFrame, label: str = "label") ->
     return j.withColumn("reason", reason).withColumn("measure_type", F.when(F.col("_claims") == 1, F.col("measure_type"))).drop("_claims")
 
 
+# Units of money in statements, and the reasons why a row of one is not loaded, in the order of the tests.
+STATEMENT_UNITS = ("$m", "$b")
+
+
+def statement_reasons(rows: DataFrame, labels: DataFrame, months: Sequence[str], sheets: Sequence[str], statuses: Sequence[str], files: DataFrame) -> DataFrame:
+    """``classify_labels`` with every reason why a row can't be loaded; null where it can.
+
+    ``rows`` have label, sheet, reporting_month, financial_year, unit, estimate_status, locator and cached_copy_path; ``labels`` have label,
+    measure_type and excluded; ``files`` have the paths that are there.
+    """
+    excluded = labels.where("excluded").select("label").distinct().withColumn("_excluded", F.lit(True))
+    there = files.select(F.col("path").alias("cached_copy_path")).distinct().withColumn("_there", F.lit(True))
+    j = classify_labels(rows, labels.where(~F.col("excluded"))).join(excluded, "label", "left").join(there, "cached_copy_path", "left")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    reason = (
+        F.when(F.col("_excluded"), "excluded_label")
+        .when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(~F.coalesce(F.col("sheet").isin(*sheets), F.lit(False)), "wrong_sheet")
+        .when(~F.coalesce(F.col("estimate_status").isin(*statuses), F.lit(False)), "wrong_status")
+        .when(~F.coalesce(F.col("reporting_month").isin(*months), F.lit(False)), "invalid_reporting_month")
+        .when(~F.coalesce(F.col("financial_year").rlike(r"^\d{4}-\d{2}$"), F.lit(False)), "period_end_undeterminable")
+        .when(~F.coalesce(F.col("unit").isin(*STATEMENT_UNITS), F.lit(False)), "unit_undeterminable")
+        .when(blank("locator") | blank("cached_copy_path"), "missing_source_cell")
+        .when(F.col("_there").isNull(), "source_file_missing_on_disk")
+    )
+    return j.withColumn("reason", reason).withColumn("measure_type", F.when(reason.isNull(), F.col("measure_type"))).drop("_excluded", "_there")
+
+
 def revision_outcomes(new: DataFrame, existing: DataFrame, key: str = "fact_key", with_citation: bool = True) -> DataFrame:
     """insert, skip, citation_update or conflict for each new fact; nothing is ever overwritten silently."""
     old = existing.select(
@@ -154,7 +191,7 @@ def regroup_measures(facts: DataFrame, groups: Mapping[str, str]) -> DataFrame:
 def seed_entities(rows: DataFrame, name: str, fy: str) -> DataFrame:
     """One open-ended entity per name, valid from 1 July of its first year."""
     first = F.min(F.substring(fy, 1, 4))
-    return rows.where(F.col(fy).isNotNull()).groupBy(F.substring(name, 1, 200).alias("canonical_name")).agg(
+    return rows.where(F.col(fy).isNotNull()).groupBy(F.col(name).alias("canonical_name")).agg(
         F.concat(first, F.lit("-07-01")).alias("valid_from")
     ).withColumn("valid_to", F.lit(None).cast("string"))
 

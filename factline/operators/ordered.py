@@ -1,8 +1,8 @@
 """Ordered operators whose tasks stay bounded when one key owns most rows.
 
-``last(...) over (partition by source order by line)`` sends a whole source to one task.  Here the
-rows of a key are cut into blocks of a fixed length; windows run inside blocks, and only one summary
-row per block is ordered per key.
+``last(...) over (partition by source order by line)`` sends a whole source to one task.  Here rows are placed once, sorted
+by range of (key, order), so that a large key lies in many places of about equal size, however sparse its ordinals are.
+Windows run inside a place, and only one summary row per key and place is ordered per key: as many as there are partitions.
 """
 
 from __future__ import annotations
@@ -14,65 +14,49 @@ from pyspark.sql import functions as F
 
 from factline.session import cut_lineage
 
-# Rows per block: the size of the largest window, and the factor by which a key shrinks before its blocks are ordered.
+#: The column that tells a row's place.
+PLACE = "_place"
+#: Ordinals in a block of neighbours: the size of the largest window there.
 BLOCK = 65536
 
 
-def _block(order: Sequence[str], size: int) -> Column:
-    return F.floor(F.col(order[-1]) / F.lit(size)).cast("long")
+def place(df: DataFrame, keys: Sequence[str], order: Sequence[str], places: int | None = None) -> DataFrame:
+    """The rows sorted by range of (keys, order) and written, with the number of the partition each lies in.
 
+    A frame that has been placed only has what was added since written.  ``places`` is the number of partitions, the session's
+    number of shuffle partitions unless given.
+    """
+    if PLACE in df.columns:
+        return cut_lineage(df)
+    columns = [*keys, *order]
+    ranged = df.repartitionByRange(places, *columns) if places else df.repartitionByRange(*columns)
+    return cut_lineage(ranged.sortWithinPartitions(*columns).withColumn(PLACE, F.spark_partition_id()))
 
-def fill_forward(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], size: int = BLOCK, cut: bool = True
-) -> DataFrame:
-    """Carry the last non-null value of each column down the rows of a key.
 
-    ``order`` ends with an integer ordinal; the columns before it are coarser (a page, a sheet row).
-    The rows are read twice, so they are written once first; pass ``cut=False`` over a plain scan.
-    """
+def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], places: int | None = None) -> DataFrame:
+    """Carry the last non-null value of each column down the rows of a key.  A frame that was placed keeps its places."""
     keys, order, cols = list(keys), list(order), list(cols)
-    lead, ordinal = order[:-1], order[-1]
-    blocked = df.withColumn("_blk", _block(order, size))
-    blocked = cut_lineage(blocked) if cut else blocked
-    unit = [*keys, *lead, "_blk"]
-    tails = blocked.groupBy(*unit).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ordinal))).alias(f"_t_{c}") for c in cols]
-    )
-    across = Window.partitionBy(*keys).orderBy(*lead, "_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(
-        *unit, *[F.last(f"_t_{c}", ignorenulls=True).over(across).alias(f"_c_{c}") for c in cols]
-    )
-    inside = Window.partitionBy(*unit).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
-    filled = blocked.select(
-        *[c for c in df.columns if c not in cols],
-        "_blk",
-        *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in cols],
-    )
+    placed = place(df, keys, order, places)
+    unit = [*keys, PLACE]
+    tails = placed.groupBy(*unit).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_t_{c}") for c in cols])
+    across = Window.partitionBy(*keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(*unit, *[F.last(f"_t_{c}", ignorenulls=True).over(across).alias(f"_c_{c}") for c in cols])
+    inside = Window.partitionBy(*unit).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = placed.select(*[c for c in placed.columns if c not in cols], *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in cols])
     out = filled.join(carry, unit, "left")
-    return out.select(
-        *[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns]
-    )
+    return out.select(*[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def dense_ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal", size: int = BLOCK, cut: bool = True
-) -> DataFrame:
-    """Zero-based position of each row inside its key, without one task per key."""
+def dense_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal", places: int | None = None) -> DataFrame:
+    """Zero-based position of each row inside its key, or in the whole frame without keys.  A frame that was placed keeps its places."""
     keys, order = list(keys), list(order)
-    lead = order[:-1]
-    unit = [*keys, *lead, "_blk"]
-    blocked = df.withColumn("_blk", _block(order, size))
-    blocked = cut_lineage(blocked) if cut else blocked
-    counts = blocked.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*lead, "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    placed = place(df, keys, order, places)
+    unit = [*keys, PLACE]
+    counts = placed.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*unit, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*unit).orderBy(order[-1])
-    ranked = blocked.withColumn("_rn", F.row_number().over(inside))
-    return (
-        ranked.join(offsets, unit)
-        .withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-        .drop("_blk", "_rn", "_off")
-    )
+    ranked = placed.withColumn("_rn", F.row_number().over(Window.partitionBy(*unit).orderBy(*order)))
+    return ranked.join(offsets, unit).select(*df.columns, (F.col("_off") + F.col("_rn") - 1).cast("long").alias(name))
 
 
 def with_neighbours(

@@ -49,12 +49,12 @@ def normal_header(columns: Column) -> Column:
     return F.transform(columns, lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "), "[^a-z0-9 ]", ""))
 
 
-def stride_sample(files: DataFrame, key: str, n: int) -> DataFrame:
-    """Every k-th file in key order, at most ``n`` of them (a sampling operator)."""
+def stride_sample(files: DataFrame, key: str, n: int, position: str = "position") -> DataFrame:
+    """Every k-th file in key order with its position, at most ``n`` of them (a sampling operator)."""
     total = files.agg(F.count(F.lit(1))).scalar()
-    ranked = dense_ordinal(files, [], [key], "_pos").withColumn("_total", total)
+    ranked = dense_ordinal(files, [], [key], position).withColumn("_total", total)
     step = F.greatest(F.lit(1), F.floor(F.col("_total") / n))
-    return ranked.where(F.col("_pos") % step == 0).orderBy("_pos").limit(n).drop("_pos", "_total")
+    return ranked.where((F.col(position) % step == 0) & (F.col(position) < step * n)).drop("_total")
 
 
 def schema_decision(files: DataFrame) -> DataFrame:
@@ -92,11 +92,11 @@ def award_facts(releases: DataFrame, default_fy: str) -> DataFrame:
     )
 
 
-def register_facts(rows: DataFrame, entity: Column, description: Column, day: Column, amount: Column, limit: int = 120) -> DataFrame:
+def register_facts(rows: DataFrame, entity: Column, description: Column, day: Column, amount: Column) -> DataFrame:
     """Invoice or contract rows as facts on ``entity / description``."""
     from factline.functions.labels import clean_label
 
-    name = F.concat_ws(" / ", clean_label(entity, limit), clean_label(description, limit))
+    name = F.concat_ws(" / ", clean_label(entity), clean_label(description))
     return rows.select("*", fy_of_date(day).alias("financial_year"), name.alias("node_name"), amount.alias("amount_aud")).where(F.col("amount_aud").isNotNull())
 
 
@@ -131,14 +131,19 @@ def prefer_best(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def remap_portfolio(rows: DataFrame, hints: Sequence[tuple[str, str]], preferred: Sequence[str], noise: str, years: Sequence[str]) -> DataFrame:
-    """Function of each program by the first matching hint; noise, odd amounts and other years drop out."""
+    """Function of each program by the first matching hint; other years, odd amounts, noise and labels without one get a reason."""
     label = F.lower("label")
     target = F.lit(None).cast("string")
     for needle, function in reversed(list(hints)):
         target = F.when(label.contains(needle), function).otherwise(target)
-    keep = rows.where(F.col("financial_year").isin(*years) & F.col("amount_aud").between(REMAP_LOW, REMAP_HIGH))
-    keep = keep.where(~label.rlike(noise) | F.col("label").isin(*preferred) if preferred else ~label.rlike(noise))
-    return keep.withColumn("function", target).where(F.col("function").isNotNull())
+    noisy = label.rlike(noise) & ~F.col("label").isin(*preferred) if preferred else label.rlike(noise)
+    reason = (
+        F.when(~F.coalesce(F.col("financial_year").isin(*years), F.lit(False)), "other_year")
+        .when(~F.coalesce(F.col("amount_aud").between(REMAP_LOW, REMAP_HIGH), F.lit(False)), "amount_out_of_bounds")
+        .when(noisy, "noise_label")
+        .when(target.isNull(), "no_function")
+    )
+    return rows.withColumn("function", target).withColumn("reason", reason)
 
 
 def source_of_legacy(rows: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factline.functions import amounts as A
 from factline.functions.years import FY_TOKEN, fy_label, normalise_fy_token
-from factline.operators.ordered import dense_ordinal, fill_forward, first_per_key, with_neighbours, within_distance
+from factline.operators.ordered import dense_ordinal, fill_forward, first_per_key, place, with_neighbours, within_distance
 
 DOC = ["source_id"]
 PLACE = ["page", "line_no"]
@@ -26,14 +26,21 @@ def squeeze(c: Column) -> Column:
 # Sections and blocks
 
 
-def split_sections(lines: DataFrame, keys: Sequence[str], pattern: str) -> DataFrame:
-    """Rows with their section; the first row of a section is its header, marker rows drop out."""
+def split_sections(lines: DataFrame, keys: Sequence[str], pattern: str, start: str = "table", notes: str = "as_at_note") -> DataFrame:
+    """Rows with their section and its number; the first row of a section is its header.
+
+    Every marker opens a section of its own, also if its name came before; what stands before the first marker, or in a file
+    without one, is the section ``start``.  Markers, blank lines and lines that begin with ``notes`` drop out.
+    """
     keys = list(keys)
     mark = F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
-    filled = fill_forward(lines.withColumn("_mark", mark).withColumn("section", mark), keys, ["line_no"], ["section"])
-    rows = filled.where(F.col("_mark").isNull() & F.col("section").isNotNull()).drop("_mark")
-    first = rows.groupBy(*keys, "section").agg(F.min("line_no").alias("_first"))
-    return rows.join(first, [*keys, "section"]).withColumn("is_header", F.col("line_no") == F.col("_first")).drop("_first")
+    opened = F.when(mark.isNotNull(), F.col("line_no"))
+    filled = fill_forward(lines.withColumn("_mark", mark).withColumn("section", mark).withColumn("section_line", opened), keys, ["line_no"], ["section", "section_line"])
+    noise = (F.trim("text") == "") | F.col("text").startswith(notes)
+    rows = filled.where(F.col("_mark").isNull() & ~noise).drop("_mark")
+    rows = rows.withColumn("section", F.coalesce("section", F.lit(start))).withColumn("section_line", F.coalesce("section_line", F.lit(-1)))
+    first = rows.groupBy(*keys, "section_line").agg(F.min("line_no").alias("_first"))
+    return rows.join(first, [*keys, "section_line"]).withColumn("is_header", F.col("line_no") == F.col("_first")).drop("_first")
 
 
 def melt_year_rows(wide: DataFrame, ids: Sequence[str], metrics: Mapping[str, str], statuses: DataFrame, kind: str) -> DataFrame:
@@ -148,16 +155,21 @@ def align_years(n: Column, header: Column, template: Column | None = None, budge
 # Labelled rows
 
 
-def labelled_rows(lines: DataFrame, labels: Sequence[tuple[str, str]], least: int, exact: int | None = None) -> tuple[DataFrame, DataFrame]:
+def labelled_rows(
+    lines: DataFrame, labels: Sequence[tuple[str, str]], least: int, exact: int | None = None, editions: Mapping[str, tuple[str, str]] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine) of lines that start with a known label, the longest label first.
 
-    A label counts only up to a word boundary; a row needs ``least`` numbers, or just ``exact`` ones.
+    A label counts only up to a word boundary; a row needs ``least`` numbers, or just ``exact`` ones.  ``editions`` says from which to
+    which ``edition`` of the lines a label counts; outside of them it is no label.
     """
     text = F.trim(F.col("text"))
     hit = F.lit(None).cast("struct<label:string,measure:string>")
     for label, measure in sorted(labels, key=lambda x: len(x[0])):
         edge = F.substring(text, len(label) + 1, 1)
         starts = F.startswith(text, F.lit(label)) & ((edge == "") | edge.rlike(r"\s"))
+        if editions and label in editions:
+            starts = starts & F.col("edition").between(*editions[label])
         hit = F.when(starts, F.struct(F.lit(label).alias("label"), F.lit(measure).alias("measure"))).otherwise(hit)
     found = lines.withColumn("_h", hit).where(F.col("_h").isNotNull())
     rest = F.trim(F.col("text")).substr(F.length("_h.label") + 1, F.length("text"))
@@ -196,7 +208,7 @@ def function_rows(lines: DataFrame, functions: Sequence[str], wrapped: int = 3)
     amount = text.rlike(tail)
     base = lines.withColumn("text", text).where(F.col("text") != "")
     base = base.withColumn("_amt", amount).withColumn("_lab", F.when(amount, squeeze(F.regexp_extract(text, tail, 1))).otherwise(text))
-    o = dense_ordinal(base, DOC, PLACE)
+    o = dense_ordinal(place(base, DOC, PLACE), DOC, PLACE)
     exprs = {}
     for k in range(1, wrapped + 1):
         exprs[f"_a{k}"] = ("_amt", -k)
@@ -354,7 +366,7 @@ def program_tables(lines: DataFrame, defence: Column | None = None) -> tuple[Dat
     furniture and status words are passed over; an all-dash row clears the label in waiting.  A
     numbers-only line serves the label above it; in a run of them each second one does so.
     """
-    live = _captured(lines)
+    live = _captured(place(lines, DOC, PLACE))
     text = F.col("text")
     key_cost = (F.coalesce(defence, F.lit(False)) if defence is not None else F.lit(False)) & ~text.rlike(TAIL) & text.rlike(KEY_COST_ROW) & ~F.lower(text).startswith("total") & text.rlike(r"[.,]\d")
     live = live.withColumn("_key", ~F.col("_stop") & ~F.col("_is_header") & ~text.rlike(SKIP_LINE) & key_cost)

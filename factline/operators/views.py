@@ -87,24 +87,21 @@ def _map(rules: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
 
 
-def ancestor_paths(parents: Mapping[str, str], limit: int = 6) -> dict[str, list[str]]:
+def ancestor_paths(parents: Mapping[str, str]) -> dict[str, list[str]]:
     """Path of every configured label from its topmost ancestor; a repeated parent ends the climb."""
     paths = {}
     for label in parents:
         path = [label]
-        for _ in range(limit):
-            up = parents.get(path[0])
-            if up is None or up in path:
-                break
+        while (up := parents.get(path[0])) is not None and up not in path:
             path.insert(0, up)
         paths[label] = path
     return paths
 
 
-def climb(name: Column, parents: Mapping[str, str], limit: int = 6) -> Column:
+def climb(name: Column, parents: Mapping[str, str]) -> Column:
     """Path down to ``name``; the rule table is closed once, so a row costs one lookup."""
     pairs = []
-    for label, path in ancestor_paths(parents, limit).items():
+    for label, path in ancestor_paths(parents).items():
         pairs += [F.lit(label), F.array(*[F.lit(p) for p in path])]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), name), F.array(name))
 

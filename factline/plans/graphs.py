@@ -167,7 +167,7 @@ def g6(m: Model):
 
 
 DESCENT_SQL = """r AS (SELECT node_id AS root_id, [node_id] AS path, node_id, 0 AS depth, NULL::VARCHAR AS fact_id, 0.0::DOUBLE AS amount_aud FROM nodes WHERE source_key = 'a61' AND name NOT LIKE '% / %'
-  UNION ALL SELECT r.root_id, list_append(r.path, e.child_id), e.child_id, r.depth + 1, f.fact_id, f.amount_aud FROM r JOIN edges e ON e.parent_id = r.node_id AND e.edge_kind = 'same_group' JOIN {facts} f ON f.node_id = e.child_id WHERE r.depth < 9)"""
+  UNION ALL SELECT r.root_id, list_append(r.path, e.child_id), e.child_id, r.depth + 1, f.fact_id, f.amount_aud FROM r JOIN edges e ON e.parent_id = r.node_id AND e.edge_kind = 'same_group' JOIN {facts} f ON f.node_id = e.child_id WHERE NOT list_contains(r.path, e.child_id))"""
 
 
 @plan("g7_same_group_descent", sql("WITH RECURSIVE " + GRAPH + ", " + DESCENT_SQL.format(facts="ex") + " SELECT root_id, node_id, CAST(depth AS INTEGER) AS depth, fact_id, amount_aud FROM r WHERE depth > 0", "l"))
@@ -181,7 +181,7 @@ def g7(m: Model):
 RELATED_SQL = """r AS (SELECT e.parent_id AS root_id, [e.parent_id, e.child_id] AS path, e.child_id AS node_id, 1 AS depth, f.fact_id, f.amount_aud, f.fact_financial_year, f.is_year_fallback, f.fallback_reason
    FROM edges e JOIN near f ON f.node_id = e.child_id WHERE e.edge_kind = 'related_breakdown'
   UNION ALL SELECT r.root_id, list_append(r.path, e.child_id), e.child_id, r.depth + 1, f.fact_id, f.amount_aud, f.fact_financial_year, f.is_year_fallback, f.fallback_reason
-   FROM r JOIN edges e ON e.parent_id = r.node_id AND e.edge_kind = 'same_group' JOIN near f ON f.node_id = e.child_id WHERE r.depth < 9)"""
+   FROM r JOIN edges e ON e.parent_id = r.node_id AND e.edge_kind = 'same_group' JOIN near f ON f.node_id = e.child_id WHERE NOT list_contains(r.path, e.child_id))"""
 
 
 def related(m: Model):
@@ -293,6 +293,24 @@ def g15(m: Model):
     return cov.groupBy("portfolio", "status", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@plan(
+    "g15_crosswalk_edges",
+    sql("WITH " + DECIDE_SQL + ", tg AS (SELECT DISTINCT name, node_id FROM (" + "SELECT p_type AS name, 'ed' || p_size % 3 || '|' || p_type AS node_id FROM part" + """))
+SELECT tg.node_id AS parent_id, dec.portfolio || '|' || dec.label AS child_id, 'crosswalk:' || target AS notes FROM dec JOIN tg ON tg.name = dec.target WHERE status = 'mapped' AND portfolio || '|' || label NOT LIKE 'PROMO|Brand#1%'"""),
+)
+def g15_edges(m: Model):
+    """Edges from every edition of a target to its programs; those of one brand are there already and are not made twice."""
+    targets = m.table("part").select(F.col("p_type").alias("name"), F.concat(F.lit("ed"), (F.col("p_size") % 3).cast("string"), F.lit("|"), "p_type").alias("node_id")).distinct()
+    chosen = decisions(m)
+    none = E.target_edges(chosen, targets, _no_edges(m), "cw")
+    there = none.where("child_id like 'PROMO|Brand#1%'")
+    return E.target_edges(chosen, targets, there, "cw").select("parent_id", "child_id", "notes")
+
+
+def _no_edges(m: Model):
+    return m.local([], "parent_id string, child_id string, edge_kind string, crosswalk_id string, financial_year string")
+
+
 @plan(
     "g16_children_under_cascade",
     sql("WITH " + NODES_SQL + """ SELECT DISTINCT 'a61|' || regexp_replace(name, ' / [^/]*$', '') AS parent_id, node_id AS child_id FROM nodes WHERE source_key = 'pbs'"""),

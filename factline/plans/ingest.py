@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factline.operators import gates, loading
 from factline.plans.model import Model, fy_sql, sql
 from factline.plans.registry import plan
+from factline.session import steps_folder
 from factline.sources import mapping as M
-from factline.sources import readers
+from factline.sources import readers, store
+
 
+def scratch(m: Model, name: str) -> str:
+    """A fresh folder on shared storage for what a query writes and reads back."""
+    return f"{steps_folder(m.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @plan("s1_csv_scan", sql("SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders GROUP BY ALL"))
 def s1(m: Model):
-    o = m.table("orders")
-    line = F.to_csv(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))
-    r = o.select(F.from_csv(line, F.lit("order_key bigint, status string, amount double")).alias("r"))
-    return r.groupBy(F.col("r.status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r.amount"), 2).alias("amount"))
+    folder = scratch(m, "csv")
+    m.table("orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("amount")).write.option("header", True).csv(folder)
+    r = readers.read_register(m.spark, folder, "csv")
+    return r.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
 @plan("s2_parquet_scan", sql("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY ALL"))
@@ -58,8 +65,10 @@ def releases(m: Model):
 
 @plan("s4_json_release_scan", sql("SELECT count(*) AS n_releases, 2 * count(*) AS n_awards, round(sum(l_extendedprice) + sum(l_quantity), 2) AS amount FROM lineitem"))
 def s4(m: Model):
-    r = releases(m).select(F.from_json("value", readers.AWARD_SCHEMA).alias("r"))
-    per = r.select(F.size("r.awards").alias("n"), F.aggregate("r.awards", F.lit(0.0), lambda s, a: s + a["value"]["amount"]).alias("v"))
+    folder = scratch(m, "releases")
+    releases(m).write.option("compression", "gzip").text(folder)
+    r = readers.read_awards(m.spark, folder)
+    per = r.select(F.size("awards").alias("n"), F.aggregate("awards", F.lit(0.0), lambda s, a: s + a["value"]["amount"]).alias("v"))
     return per.agg(F.count(F.lit(1)).alias("n_releases"), F.sum("n").alias("n_awards"), F.round(F.sum("v"), 2).alias("amount"))
 
 
@@ -69,30 +78,51 @@ def s5(m: Model):
     return readers.text_lines(pages, ["source_id"]).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@plan("s6_corpus_scan_with_provenance", sql("SELECT 'documents.parquet' AS file_name, count(*) AS n FROM documents UNION ALL SELECT 'pages.parquet', count(*) FROM pages"))
+@plan(
+    "s6_corpus_scan_with_provenance",
+    sql("SELECT 'snapshot=' || CASE WHEN source < 'src15' THEN 2 ELSE 1 END || '/source=' || source AS file_group, count(*) AS n FROM documents GROUP BY ALL"),
+)
 def s6(m: Model):
-    def one(name: str):
-        df = readers.read_corpus(m.spark, f"{m.folder}/{name}.parquet", "parquet")
-        return df.select(F.regexp_extract("file_path", r"([a-z]+\.parquet)", 1).alias("file_name"))
-
-    return one("documents").unionByName(one("pages")).groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
-
-
-@plan("s8_quarantine_rows", sql("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'"))
+    """A corpus in two snapshots; sources up to src15 have a manifest, whose latest snapshot counts, the others fall back to what lies there."""
+    folder = scratch(m, "corpus")
+    d = m.table("documents").select("doc_id", "source")
+    named = F.col("source") < "src15"
+    both = d.withColumn("snapshot", F.lit(1)).unionByName(d.where(named).withColumn("snapshot", F.lit(2)))
+    both.write.partitionBy("snapshot", "source").parquet(folder)
+    corpus = readers.read_corpus(m.spark, f"{folder}/snapshot=*/source=*", "parquet").withColumn("path", F.regexp_extract("file_path", r"(snapshot=[^/]+/source=[^/]+)/", 1))
+    listing = corpus.select(F.regexp_extract("path", r"source=(.+)$", 1).alias("source_id"), F.regexp_extract("path", r"snapshot=(\d+)", 1).alias("snapshot"), "path").distinct()
+    files = readers.latest_or_glob(listing.where("source_id < 'src15'"), listing)
+    return corpus.join(files, "path", "left_semi").groupBy(F.col("path").alias("file_group")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@plan("s8_quarantine_rows", sql("SELECT quarantine_reason, count(*) AS n FROM (SELECT 'Gate 2 types: amount_aud is null' AS quarantine_reason FROM orders WHERE o_orderstatus = 'P') GROUP BY ALL"))
 def s8(m: Model):
+    folder = scratch(m, "quarantine")
     decided = gates.decide(gate_input(m), GATE_MAPPING)
-    bad = gates.quarantined(decided).where("quarantine_reason like '%Gate 2%'")
-    return bad.select(F.to_json(F.struct("fact_key", "quarantine_reason")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    bad = gates.quarantined(decided).where("quarantine_reason like '%Gate 2%'").select("fact_key", "quarantine_reason")
+    for load in ("a", "a"):  # a load that is run again replaces its own rows
+        store.write_quarantine(bad, folder, load)
+    back = m.spark.read.schema("fact_key string, quarantine_reason string").json(folder)
+    reason = F.regexp_extract("quarantine_reason", r"(Gate 2 types: amount_aud is null)", 1)
+    return back.groupBy(reason.alias("quarantine_reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("s9_staging_rows", sql("SELECT source_key, fact_id || ',' || financial_year || ',' || estimate_status AS line FROM f", "f"))
 def s9(m: Model):
-    return m.facts.select("source_key", F.to_csv(F.struct("fact_id", "financial_year", "estimate_status")).alias("line"))
+    folder = scratch(m, "staging")
+    rows = m.facts.select("source_key", "fact_id", "financial_year", "estimate_status")
+    store.write_staging(rows, folder, "source_key")
+    store.write_staging(rows.where("source_key like 'asia%'"), folder, "source_key")  # one family again; the others stay
+    back = m.spark.read.option("header", True).schema("fact_id long, financial_year string, estimate_status string, source_key string").csv(folder)
+    return back.select("source_key", F.concat_ws(",", F.col("fact_id").cast("string"), "financial_year", "estimate_status").alias("line"))
 
 
 @plan("s10_report_rows", sql("""SELECT '{"level":"' || level || '","n":' || count(*) || '}' AS value FROM f GROUP BY level""", "f"))
 def s10(m: Model):
-    return m.facts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).select(F.to_json(F.struct("level", "n")).alias("value"))
+    folder = scratch(m, "report")
+    store.write_report(m.facts.groupBy("level").agg(F.count(F.lit(1)).alias("n")), folder)
+    back = m.spark.read.schema("level string, n long, generated_at string").json(folder).where(F.col("generated_at").isNotNull())
+    return back.select(F.to_json(F.struct("level", "n")).alias("value"))
 
 
 @plan(
@@ -136,7 +166,9 @@ def file_manifest(m: Model):
     o = m.table("orders")
     per = o.select(F.concat(F.lit("files/"), F.substring("o_orderpriority", 1, 1)).alias("path")).where("path <> 'files/5'").distinct()
     per = per.unionByName(m.local([("files/base.csv",)], "path string"))
-    return per.select("path", F.sha2("path", 256).alias("sha256"), F.lit("2026-01-01T00:00:00Z").alias("retrieved_at"))
+    now = per.select("path", F.sha2("path", 256).alias("sha256"), F.lit("2026-01-01T00:00:00Z").alias("retrieved_at"))
+    # an earlier retrieval of every path, with a hash that would win by its text
+    return now.unionByName(per.select("path", F.repeat(F.lit("f"), 64).alias("sha256"), F.lit("2025-01-01T00:00:00Z").alias("retrieved_at")))
 
 
 @plan("p1_logical_projection", sql(f"SELECT {fy_sql('o_orderdate')} AS financial_year, o_orderpriority AS node_name, 'AUD' AS unit, count(*) AS n, round(sum(o_totalprice), 2) AS amount_aud FROM orders GROUP BY ALL"))
@@ -273,9 +305,13 @@ def l1(m: Model):
     return merged.select("fact_key", F.round("amount_aud", 2).alias("amount_aud"), "locator", "valuation_basis", "observation_date")
 
 
-@plan("s7_fact_table_after_merge", sql("WITH " + OLD_NEW_SQL + " SELECT source_key, count(*) AS n FROM (SELECT fact_key, source_key FROM old UNION SELECT fact_key, source_key FROM neu) GROUP BY ALL"))
+@plan("s7_fact_table_after_merge", sql("WITH " + OLD_NEW_SQL + " SELECT source_key, count(*) AS n, round(sum(amount), 1) AS amount_aud FROM (SELECT coalesce(n.source_key, o.source_key) AS source_key, coalesce(n.amount_aud, o.amount_aud) AS amount FROM old o FULL JOIN neu n ON o.fact_key = n.fact_key) GROUP BY ALL"))
 def s7(m: Model):
-    return loading.upsert(*old_new(m)).groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+    folder = scratch(m, "facts")
+    old, new = (df.withColumn("bucket", F.pmod(F.xxhash64("fact_key"), F.lit(8))) for df in old_new(m))
+    for load in (old, new, new):  # the second run of a load changes nothing
+        store.merge_facts(m.spark, folder, load, "bucket")
+    return m.spark.read.parquet(folder).groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount_aud"), 1).alias("amount_aud"))
 
 
 @plan("l4_clear_quarantine_twin", sql("WITH " + OLD_NEW_SQL + " SELECT fact_key FROM old WHERE fact_key NOT IN (SELECT fact_key FROM neu)"))
@@ -314,6 +350,50 @@ def l7(m: Model):
     return loading.classify_labels(rows, labels).groupBy("reason", "measure_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@plan(
+    "l7_statement_reasons",
+    sql(
+        """WITH lab AS (SELECT p_name AS label, min(p_type) AS m, count(DISTINCT p_type) AS c FROM part WHERE p_size BETWEEN 48 AND 50 GROUP BY ALL), ex AS (SELECT DISTINCT p_name AS label FROM part WHERE p_size = 1),
+r AS (SELECT p_name AS label, fact_id % 10 AS k, l_quantity AS q FROM l)
+SELECT CASE WHEN ex.label IS NOT NULL THEN 'excluded_label' WHEN c IS NULL THEN 'unrecognized_label' WHEN c > 1 THEN 'ambiguous_label' WHEN k = 1 THEN 'wrong_sheet' WHEN k = 2 THEN 'wrong_status' WHEN k = 3 THEN 'invalid_reporting_month'
+ WHEN k = 4 THEN 'period_end_undeterminable' WHEN k = 5 THEN 'unit_undeterminable' WHEN k = 6 THEN 'missing_source_cell' WHEN q > 25 THEN 'source_file_missing_on_disk' END AS reason, count(*) AS n FROM r LEFT JOIN lab USING (label) LEFT JOIN ex USING (label) GROUP BY ALL""",
+        "l",
+    ),
+)
+def l7_reasons(m: Model):
+    p = m.table("part").select(F.col("p_name").alias("label"), F.col("p_type").alias("measure_type"), "p_size")
+    labels = p.where("p_size >= 48").select("label", "measure_type", F.lit(False).alias("excluded")).unionByName(p.where("p_size = 1").select("label", "measure_type", F.lit(True).alias("excluded"))).distinct()
+    k = F.col("fact_id") % 10
+    rows = m.lines.select(
+        F.col("p_name").alias("label"),
+        F.when(k == 1, "Cover").otherwise("Table 1").alias("sheet"),
+        F.when(k == 2, "draft").otherwise("actual").alias("estimate_status"),
+        F.when(k == 3, "Smarch").otherwise("July").alias("reporting_month"),
+        F.when(k == 4, "next year").otherwise(F.col("financial_year")).alias("financial_year"),
+        F.when(k == 5, "kg").otherwise("$m").alias("unit"),
+        F.when(k == 6, " ").otherwise("A1").alias("locator"),
+        F.when(F.col("l_quantity") > 25, "files/gone").otherwise("files/here").alias("cached_copy_path"),
+    )
+    out = loading.statement_reasons(rows, labels, ["July"], ["Table 1"], ["actual"], m.local([("files/here",)], "path string"))
+    return out.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@plan(
+    "l6_document_and_retrieval_dimensions",
+    sql("SELECT source_key AS document, count(DISTINCT financial_year) AS n_retrievals, count(*) AS n_facts FROM f GROUP BY ALL", "f"),
+)
+def l6_documents(m: Model):
+    """Documents and their retrievals, part of them known before, looked up for every fact by natural key."""
+    facts = m.facts.select("source_key", "financial_year", F.concat_ws("|", "source_key", "financial_year").alias("retrieval_key"))
+    known = facts.where("source_key like 'asia%'").select("source_key").distinct().withColumn("document_id", loading.surrogate(F.col("source_key")))
+    documents = loading.get_or_create(known, facts.select("source_key"), "source_key", "document_id")
+    none = facts.select("retrieval_key").limit(0).withColumn("retrieval_id", loading.surrogate(F.col("retrieval_key")))
+    retrievals = loading.get_or_create(none, facts.select("retrieval_key"), "retrieval_key", "retrieval_id")
+    j = facts.join(documents, "source_key").join(retrievals, "retrieval_key")
+    per = j.groupBy("document_id").agg(F.count_distinct("retrieval_id").alias("n_retrievals"), F.count(F.lit(1)).alias("n_facts"))
+    return per.join(documents, "document_id").select(F.col("source_key").alias("document"), "n_retrievals", "n_facts")
+
+
 @plan(
     "l8_revision_conflicts",
     sql(

@@ -129,6 +129,30 @@ def p35(m: Model):
     return a.unionByName(b)
 
 
+@plan(
+    "p35_labelled_rows_by_section",
+    sql(
+        """WITH s AS (SELECT CAST(p_size % 5 AS INTEGER) AS doc, p_type, p_partkey, 2020 + p_size % 5 AS edition FROM part WHERE p_type IN ('PROMO', 'SMALL'))
+SELECT 'd' || doc AS source_id, CASE WHEN p_type = 'SMALL' AND edition BETWEEN 2021 AND 2023 THEN 'borrowing_qtc' ELSE 'borrowing' END AS measure, count(*) AS n FROM s WHERE p_partkey % 4 IN (1, 2) GROUP BY ALL"""
+    ),
+)
+def p35_sections(m: Model):
+    """Labels between two markers only; one label counts in some editions, elsewhere its lines have the shorter label."""
+    p = m.table("part").where("p_type in ('PROMO', 'SMALL')")
+    doc = F.concat(F.lit("d"), (F.col("p_size") % 5).cast("string")).alias("source_id")
+    edition = (F.col("p_size") % 5 + 2020).cast("string").alias("edition")
+    label = F.when(F.col("p_type") == "PROMO", "Borrowing").otherwise("Borrowing with QTC")
+    part = F.col("p_partkey") % 4  # before, inside, inside, after
+    at = (part * 1_000_000 + F.col("p_partkey")).cast("int").alias("line_no")
+    body = p.select(doc, F.lit(1).alias("page"), at, F.concat_ws("  ", label, F.format_number("p_partkey", 0), F.lit("1,000 2 3")).alias("text"), edition)
+    heads = p.select(doc, edition).distinct()
+    mark = lambda n, text: heads.select("source_id", F.lit(1).alias("page"), F.lit(n).alias("line_no"), F.lit(text).alias("text"), "edition")
+    lines = body.unionByName(mark(1_000_000, "Statement of cash flows")).unionByName(mark(3_000_000, "End of statement"))
+    inside = T.between_markers(lines, "^Statement of", "^End of")
+    rows, _ = T.labelled_rows(inside, LABELS, 4, editions={"Borrowing with QTC": ("2021", "2023")})
+    return rows.groupBy("source_id", "measure").agg(count().alias("n"))
+
+
 FUNC_SQL = """gv AS (SELECT source_id, sec, p_type, b, p_brand, floor(max(CASE WHEN financial_year = '1999-00' THEN amount END)) AS x, floor(max(CASE WHEN financial_year = '2000-01' THEN amount END)) AS y FROM g GROUP BY ALL),
 gy AS (SELECT * FROM gv WHERE x IS NOT NULL AND y IS NOT NULL)"""
 

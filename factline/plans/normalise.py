@@ -24,12 +24,12 @@ def count():
 @plan(
     "p6_label_cleaning",
     sql(
-        r"""WITH c AS (SELECT coalesce(nullif(trim(substr(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), ' / ', ' – '), 1, 40)), ''), 'Unknown') AS label FROM t) SELECT label, count(*) AS n FROM c GROUP BY ALL""",
+        r"""WITH c AS (SELECT coalesce(nullif(trim(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), ' / ', ' – ')), ''), 'Unknown') AS label FROM t) SELECT label, count(*) AS n FROM c GROUP BY ALL""",
         "t",
     ),
 )
 def p6(m: Model):
-    return m.text_lines.groupBy(L.clean_label(F.col("text"), 40).alias("label")).agg(count().alias("n"))
+    return m.text_lines.groupBy(L.clean_label(F.col("text")).alias("label")).agg(count().alias("n"))
 
 
 @plan("p7_date_to_financial_year", sql(f"SELECT {fy_sql('o_orderdate')} AS financial_year, count(*) AS n FROM orders GROUP BY ALL"))
@@ -99,17 +99,17 @@ def p12(m: Model):
     return m.table("orders").groupBy(k.alias("k")).agg(F.sum(A.parse_amount(text)).alias("amount"), count().alias("n"))
 
 
-@plan("p13_messy_dates", sql("SELECT o_orderpriority[1] AS k, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, count(*) AS n FROM orders WHERE year(o_orderdate) >= 2000 OR o_orderpriority NOT LIKE '5%' GROUP BY ALL"))
+@plan("p13_messy_dates", sql("SELECT o_orderpriority[1] AS k, CASE WHEN o_orderstatus <> 'P' THEN strftime(CASE WHEN o_orderpriority LIKE '1%' AND year(o_orderdate) < 2000 THEN o_orderdate + INTERVAL 100 YEAR ELSE o_orderdate END, '%Y-%m-%d') END AS day, count(*) AS n FROM orders GROUP BY ALL"))
 def p13(m: Model):
     k, d = F.substring("o_orderpriority", 1, 1), F.col("o_orderdate")
-    o = m.table("orders").where((F.year("o_orderdate") >= 2000) | ~F.col("o_orderpriority").startswith("5"))
+    o = m.table("orders")
     text = (
         F.when(F.col("o_orderstatus") == "P", "no date")
-        .when(k == "1", F.date_format(d, "d-MMM-yyyy"))
+        .when(k == "1", F.date_format(d, "d-MMM-yy"))
         .when(k == "2", F.date_format(d, "dd/MM/yyyy"))
         .when(k == "3", F.date_format(d, "d MMMM yyyy"))
         .when(k == "4", F.date_format(d, "yyyy.MM.dd"))
-        .otherwise(F.date_format(d, "d-MMM-yy"))
+        .otherwise(F.date_format(d, "d/MM/yy"))
     )
     return o.groupBy(k.alias("k"), F.date_format(A.parse_date(text), "yyyy-MM-dd").alias("day")).agg(count().alias("n"))
 
@@ -281,18 +281,31 @@ def p26(m: Model):
     return out.groupBy("financial_year", "node_name").agg(count().alias("n"), F.round(F.sum("amount_aud"), 2).alias("amount_aud"))
 
 
-@plan("p27_sectioned_csv_split", sql("SELECT s_nationkey AS file_id, 'section ' || (s_suppkey // 10) AS section, count(*) AS n_rows FROM supplier GROUP BY ALL"))
+@plan(
+    "p27_sectioned_csv_split",
+    sql(
+        """WITH r AS (SELECT s_nationkey AS file_id, CASE WHEN s_nationkey % 5 = 0 THEN 'table' WHEN s_suppkey // 10 % 4 = 0 THEN 'table' ELSE 'section ' || (s_suppkey // 10 % 2) END AS section,
+ CASE WHEN s_nationkey % 5 = 0 THEN -1 WHEN s_suppkey // 10 % 4 = 0 THEN -1 ELSE s_suppkey // 10 END AS part FROM supplier)
+SELECT file_id, section, count(DISTINCT part) AS n_sections, count(*) AS n_rows FROM r GROUP BY ALL"""
+    ),
+)
 def p27(m: Model):
+    """Files of tens; names repeat, one file in five has no marker, and every fourth ten stands before the first marker."""
     from factline.operators.textlines import split_sections
 
     s, k = m.table("supplier"), F.col("s_suppkey")
     tens = F.floor(k / 10).cast("long")
-    body = s.select(F.col("s_nationkey").alias("file_id"), (tens * 100 + k % 10 + 2).alias("line_no"), F.concat_ws(",", "s_name", F.col("s_acctbal").cast("string")).alias("text"))
-    heads = s.select(F.col("s_nationkey").alias("file_id"), tens.alias("t")).distinct()
-    marks = heads.select("file_id", (F.col("t") * 100).alias("line_no"), F.concat(F.lit("#section "), F.col("t").cast("string")).alias("text"))
-    cols = heads.select("file_id", (F.col("t") * 100 + 1).alias("line_no"), F.lit("name,balance").alias("text"))
-    rows = split_sections(body.unionByName(marks).unionByName(cols), ["file_id"], r"^#(section.*)$")
-    return rows.where("not is_header").groupBy("file_id", "section").agg(count().alias("n_rows"))
+    early = (tens % 4 == 0) | (F.col("s_nationkey") % 5 == 0)
+    base = F.when(early, 0).otherwise(1_000_000_000) + tens * 100
+    body = s.select(F.col("s_nationkey").alias("file_id"), (base + k % 10 + 2).alias("line_no"), F.concat_ws(",", "s_name", F.col("s_acctbal").cast("string")).alias("text"))
+    heads = s.where(~early).select(F.col("s_nationkey").alias("file_id"), tens.alias("t")).distinct()
+    at = lambda n: (F.lit(1_000_000_000) + F.col("t") * 100 + n).alias("line_no")
+    marks = heads.select("file_id", at(0), F.concat(F.lit("#section "), (F.col("t") % 2).cast("string")).alias("text"))
+    cols = heads.select("file_id", at(1), F.lit("name,balance").alias("text"))
+    blank = heads.select("file_id", at(50), F.lit("  ").alias("text")).unionByName(heads.select("file_id", at(51), F.lit("as_at_note,30 June").alias("text")))
+    top = s.where(early).select(F.col("s_nationkey").alias("file_id"), F.lit(-1).cast("long").alias("line_no"), F.lit("name,balance").alias("text")).distinct()
+    rows = split_sections(body.unionByName(marks).unionByName(cols).unionByName(blank).unionByName(top), ["file_id"], r"^#(section.*)$")
+    return rows.where("not is_header").groupBy("file_id", "section").agg(F.count_distinct("section_line").alias("n_sections"), count().alias("n_rows"))
 
 
 TYPES_SQL = "CASE WHEN p_type IN ('PROMO') THEN 'floating_rate_note' WHEN p_type = 'SMALL' THEN 'indexed_bond' WHEN p_type = 'LARGE' THEN 'short_term' WHEN p_type = 'MEDIUM' THEN 'fixed_bond' ELSE 'other' END"
@@ -441,13 +454,14 @@ def p41(m: Model):
     "p44_portfolio_remap",
     sql(
         """WITH r AS (SELECT p_name AS label, financial_year, round(sum(amount_aud), 2) AS a FROM l GROUP BY ALL)
-SELECT label, financial_year, CASE WHEN contains(label, 'red') THEN 'Health' WHEN contains(label, 'bolt') THEN 'Defence' END AS function, a AS amount_aud FROM r WHERE a BETWEEN 1e5 AND 2e11 AND financial_year IN ('1998-99', '1999-00') AND (contains(label, 'red') OR contains(label, 'bolt')) AND (NOT contains(label, 'ring') OR label = 'red ring')""",
+SELECT label, financial_year, CASE WHEN contains(label, 'red') THEN 'Health' WHEN contains(label, 'bolt') THEN 'Defence' END AS function, a AS amount_aud,
+CASE WHEN financial_year NOT IN ('1998-99', '1999-00') THEN 'other_year' WHEN a NOT BETWEEN 1e5 AND 2e11 THEN 'amount_out_of_bounds' WHEN contains(label, 'ring') AND label <> 'red ring' THEN 'noise_label' WHEN NOT (contains(label, 'red') OR contains(label, 'bolt')) THEN 'no_function' END AS reason FROM r""",
         "l",
     ),
 )
 def p44(m: Model):
     rows = m.lines.groupBy(F.col("p_name").alias("label"), "financial_year").agg(F.round(F.sum("amount_aud"), 2).alias("amount_aud"))
-    return R.remap_portfolio(rows, [("red", "Health"), ("bolt", "Defence")], ["red ring"], "ring", ["1998-99", "1999-00"]).select("label", "financial_year", "function", "amount_aud")
+    return R.remap_portfolio(rows, [("red", "Health"), ("bolt", "Defence")], ["red ring"], "ring", ["1998-99", "1999-00"]).select("label", "financial_year", "function", "amount_aud", "reason")
 
 
 @plan("p45_prefer_best", sql("SELECT p_name, p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY CASE WHEN p_type = 'PROMO' THEN 0 ELSE 1 END, length(p_brand) DESC, p_retailprice DESC, p_partkey) = 1"))
@@ -457,18 +471,45 @@ def p45(m: Model):
     return R.prefer_best(p.select("p_name", "p_brand", "p_partkey", "p_type", "p_retailprice"), ["p_name"], order).select("p_name", "p_brand", "p_partkey")
 
 
+@plan(
+    "p45_prefer_program_totals",
+    sql(
+        """SELECT source_id, financial_year, lower(label) AS label_key, round(amount_aud, 2) AS amount_aud, page, line_no FROM (SELECT jurisdiction AS source_id, financial_year, p_name AS label, round(amount_aud) AS amount_aud, CAST(fact_id % 10 AS INTEGER) AS page, CAST(l_orderkey AS INTEGER) AS line_no, p_type = 'PROMO' AS prefer FROM l)
+QUALIFY row_number() OVER (PARTITION BY source_id, financial_year, lower(label), amount_aud ORDER BY prefer DESC, length(label) DESC, page, line_no) = 1""",
+        "l",
+    ),
+)
+def p45_totals(m: Model):
+    from factline.operators.textlines import prefer_program_totals
+
+    rows = m.lines.select(
+        F.col("jurisdiction").alias("source_id"), "financial_year", F.lit("actual").alias("estimate_status"), F.col("p_name").alias("label"), F.round("amount_aud").alias("amount_aud"),
+        (F.col("fact_id") % 10).cast("int").alias("page"), F.col("l_orderkey").cast("int").alias("line_no"), (F.col("p_type") == "PROMO").alias("prefer"),
+    )
+    return prefer_program_totals(rows).select("source_id", "financial_year", F.lower("label").alias("label_key"), F.round("amount_aud", 2).alias("amount_aud"), "page", "line_no")
+
+
+P46_HAZARD = "<a class=x href=a/../z/./b.html?p=1&amp;q=2#top><b>the &lt;one&gt;</b>\n two</a><a href='get?file=t.csv'>Download <i>report</i></a>"
+
+
 @plan(
     "p46_link_discovery",
     sql(
-        r"""WITH a AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '(?is)<(?:a|link)\s[^>]*?href\s*=\s*["'']([^"'']+)["''][^>]*>', 1)) AS href FROM pages),
-u AS (SELECT DISTINCT page_id, regexp_replace(CASE WHEN regexp_matches(trim(href), '^[a-zA-Z][a-zA-Z0-9+.\-]*:') THEN trim(href) WHEN starts_with(trim(href), '//') THEN regexp_extract(page_url, '^([a-z]+:)', 1) || trim(href) WHEN starts_with(trim(href), '/') THEN regexp_extract(page_url, '^([a-z]+://[^/?#]+)', 1) || trim(href)
-  ELSE CASE WHEN regexp_extract(regexp_replace(page_url, '[?#].*$', ''), '^([a-z]+://[^/]+/(?:.*/)?)', 1) = '' THEN regexp_extract(page_url, '^([a-z]+://[^/?#]+)', 1) || '/' ELSE regexp_extract(regexp_replace(page_url, '[?#].*$', ''), '^([a-z]+://[^/]+/(?:.*/)?)', 1) END || trim(href) END, '#.*$', '') AS url FROM a)
-SELECT CASE WHEN NOT (h LIKE '%.example.com' OR h = 'example.com' OR h LIKE '%.gov.au') THEN 'domain_not_allowed' WHEN regexp_matches(lower(url), 'the') THEN 'excluded_by_registry' END AS reason, count(*) AS n FROM (SELECT *, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS h FROM u WHERE regexp_matches(url, '^https?://')) GROUP BY ALL"""
+        r"""WITH h AS (SELECT page_id, url AS page_url, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>', 1) AS hs, regexp_extract_all(html, '(?is)<a\s[^>]*?href="[^"]*"[^>]*>([^<]*)', 1) AS ts FROM pages),
+b AS (SELECT *, CASE WHEN regexp_extract(regexp_replace(page_url, '[?#].*$', ''), '^([a-z]+://[^/]+/(?:.*/)?)', 1) = '' THEN regexp_extract(page_url, '^([a-z]+://[^/?#]+)', 1) || '/' ELSE regexp_extract(regexp_replace(page_url, '[?#].*$', ''), '^([a-z]+://[^/]+/(?:.*/)?)', 1) END AS folder FROM h),
+a AS (SELECT page_id, page_url, folder, unnest(list_transform(list_zip(hs, ts, range(1, len(hs) + 1)), lambda x: {'href': x[1], 'text': x[2], 'pos': x[3]})) AS c FROM b),
+r AS (SELECT page_id, c.pos AS pos, trim(regexp_replace(c.text, '\s+', ' ', 'g')) AS text, regexp_replace(CASE WHEN regexp_matches(trim(c.href), '^[a-zA-Z][a-zA-Z0-9+.\-]*:') THEN trim(c.href) WHEN starts_with(trim(c.href), '//') THEN regexp_extract(page_url, '^([a-z]+:)', 1) || trim(c.href)
+  WHEN starts_with(trim(c.href), '/') THEN regexp_extract(page_url, '^([a-z]+://[^/?#]+)', 1) || trim(c.href) ELSE folder || trim(c.href) END, '#.*$', '') AS url FROM a
+ UNION ALL SELECT page_id, 1000000, 'the <one> two', folder || 'z/b.html?p=1&q=2' FROM b UNION ALL SELECT page_id, 1000001, 'Download report', folder || 'get?file=t.csv' FROM b),
+u AS (SELECT page_id, url, arg_min(text, pos) AS text FROM r WHERE regexp_matches(url, '^https?://') GROUP BY ALL),
+j AS (SELECT *, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS h FROM u)
+SELECT CASE WHEN NOT (h LIKE '%.example.com' OR h = 'example.com' OR h LIKE '%.gov.au') THEN 'domain_not_allowed' WHEN regexp_matches(lower(text || ' ' || url), 'der') THEN 'excluded_by_registry' WHEN NOT ends_with(url, 'get?file=t.csv') AND NOT regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '/[^/]*\.html$') THEN 'format_not_expected' END AS reason, count(*) AS n FROM j GROUP BY ALL"""
     ),
 )
 def p46(m: Model):
-    links = D.link_candidates(m.table("pages"), "page_id", "url", "html").withColumn("text", F.lit(""))
-    return D.judge_links(links, ["example.com"], exclude=["the"]).groupBy("reason").agg(count().alias("n"))
+    pages = m.table("pages").withColumn("html", F.concat("html", F.lit(">" + P46_HAZARD)))
+    links = D.link_candidates(pages, "page_id", "url", "html")
+    return D.judge_links(links, ["example.com"], exclude=["der"], suffixes=[".html"]).groupBy("reason").agg(count().alias("n"))
 
 
 @plan(
@@ -511,10 +552,10 @@ def p53(m: Model):
     return long.groupBy("o_custkey", "estimate_status", "reason").agg(F.round(F.sum("amount"), 2).alias("amount"))
 
 
-@plan("p59_keep_largest_per_label", sql("WITH b AS (SELECT jurisdiction, p_name AS label, max(amount_aud) AS amount_aud FROM l WHERE amount_aud >= 60000 GROUP BY ALL) SELECT jurisdiction, label, amount_aud FROM b QUALIFY row_number() OVER (PARTITION BY jurisdiction ORDER BY amount_aud DESC, label) <= 40", "l"))
+@plan("p59_keep_largest_per_label", sql("WITH b AS (SELECT jurisdiction, p_name AS label, max(amount_aud) AS amount_aud FROM l WHERE amount_aud >= 60000 GROUP BY ALL) SELECT jurisdiction, label, amount_aud FROM b", "l"))
 def p59(m: Model):
     rows = m.lines.select("jurisdiction", F.col("p_name").alias("label"), "amount_aud")
-    return R.keep_largest(rows, ["jurisdiction"], "label", "amount_aud", 60000, 40)
+    return R.keep_largest(rows, ["jurisdiction"], "label", "amount_aud", 60000)
 
 
 @plan("p38_largest_per_scheme", sql("SELECT p_type AS scheme, max(amount_aud) AS amount_aud FROM l WHERE amount_aud >= 50000 GROUP BY ALL", "l"))
@@ -538,9 +579,9 @@ def p61(m: Model):
     return out.select("source_id", F.floor(F.col("row_no") / 100).cast("int").alias("sec"), "label", "col_no", "amount")
 
 
-@plan("p62_two_axis_melt", sql("WITH c AS (SELECT jurisdiction AS sheet, p_type AS function, p_brand AS cost_type, round(sum(CASE WHEN p_name LIKE 'red%' THEN amount_aud ELSE 0 END), 2) AS v FROM l GROUP BY ALL) SELECT sheet, function, cost_type, round(v * 1000, 0) AS amount FROM c WHERE v <> 0", "l"))
+@plan("p62_two_axis_melt", sql("WITH c AS (SELECT jurisdiction AS sheet, p_type AS function, p_brand AS cost_type, round(sum(amount_aud), 2) AS v FROM l GROUP BY ALL) SELECT sheet, function, cost_type, round(v * 1000, 0) AS amount FROM c WHERE v <> 0", "l"))
 def p62(m: Model):
-    v = F.sum(F.when(F.col("p_name").startswith("red"), F.col("amount_aud")).otherwise(0.0))
+    v = F.sum("amount_aud")
     g = m.lines.groupBy("jurisdiction", "p_type", "p_brand").agg(F.round(v, 2).alias("v"))
     col = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     row = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("p_type")).cast("int") + 1

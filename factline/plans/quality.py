@@ -475,10 +475,10 @@ def q22(m: Model):
     return CO.cutover(m.facts, required, reconciliation(m), ["locator", "observation_date"])
 
 
-@plan("q23_quarantine_listing", sql("SELECT fact_key, o_orderdate AS quarantined_at FROM f WHERE quality_status = 'quarantined' ORDER BY o_orderdate DESC, fact_key LIMIT 200", "f").replace("o_orderdate AS quarantined_at", "strftime(o_orderdate, '%Y-%m-%d') AS quarantined_at"))
+@plan("q23_quarantine_listing", sql("SELECT fact_key, o_orderdate AS quarantined_at FROM f WHERE quality_status = 'quarantined'", "f").replace("o_orderdate AS quarantined_at", "strftime(o_orderdate, '%Y-%m-%d') AS quarantined_at"))
 def q23(m: Model):
     rows = m.facts.where("quality_status = 'quarantined'").select("fact_key", F.date_format("o_orderdate", "yyyy-MM-dd").alias("quarantined_at"))
-    return CO.quarantine_listing(rows, 200)
+    return CO.quarantine_listing(rows)
 
 
 @plan(
@@ -507,14 +507,14 @@ def q25(m: Model):
 @plan(
     "q26_reprocess_report",
     sql(
-        """WITH b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' GROUP BY ALL), a AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n, count(*) FILTER (o_orderstatus = 'P') AS q FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01' GROUP BY ALL)
+        """WITH b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01' GROUP BY ALL), a AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n, count(*) FILTER (o_orderstatus = 'P') AS q FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01' GROUP BY ALL)
 SELECT coalesce(b.o_custkey, a.o_custkey) AS source_key, b.n AS before_facts, a.n AS after_facts, a.q AS after_quarantined, CASE WHEN coalesce(a.n, 0) > 0 THEN 'facts' WHEN coalesce(a.q, 0) > 0 THEN 'quarantine_only' ELSE 'zero_yield' END AS outcome FROM b FULL JOIN a ON b.o_custkey = a.o_custkey"""
     ),
 )
 def q26(m: Model):
     o = m.table("orders").withColumnRenamed("o_custkey", "source_key")
-    before = o.where("o_orderdate < timestamp '1995-06-01'").groupBy("source_key").agg(F.count(F.lit(1)).alias("n_facts"))
-    after = o.where("o_orderdate >= timestamp '2001-06-01'").groupBy("source_key").agg(
+    before = o.where("o_orderdate < timestamp '1998-06-01'").groupBy("source_key").agg(F.count(F.lit(1)).alias("n_facts"))
+    after = o.where("o_orderdate >= timestamp '1998-06-01'").groupBy("source_key").agg(
         F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("n_facts"), F.count(F.when(F.col("o_orderstatus") == "P", 1)).alias("n_quarantined")
     )
     return CO.reprocess_report(before, after, "source_key")
@@ -565,18 +565,18 @@ def q29(m: Model):
 @plan(
     "q30_workbook_inventory",
     sql(
-        """WITH c AS (SELECT o_orderkey, l_linenumber, min(l_partkey) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL),
+        """WITH c AS (SELECT o_orderkey, l_linenumber, min(l_partkey) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' GROUP BY ALL),
 s AS (SELECT o_orderkey, max(l_linenumber) + 1 AS n_rows FROM c GROUP BY ALL)
 SELECT 'w' || o.o_orderkey AS source_id, CAST(n_rows AS INTEGER) AS n_rows, CASE WHEN n_rows IS NOT NULL THEN 2 END AS n_cols, CASE WHEN n_rows IS NOT NULL THEN coalesce((SELECT l_linenumber || ' | ' || v FROM c WHERE c.o_orderkey = o.o_orderkey AND l_linenumber = 1), '') END AS header_row,
- CASE WHEN n_rows IS NULL THEN 'file_missing_on_disk' END AS error FROM orders o LEFT JOIN s ON s.o_orderkey = o.o_orderkey WHERE o_orderpriority LIKE '1%'"""
+ CASE WHEN n_rows IS NULL THEN 'file_missing_on_disk' END AS error FROM orders o LEFT JOIN s ON s.o_orderkey = o.o_orderkey"""
     ),
 )
 def q30(m: Model):
     o, li = m.table("orders"), m.table("lineitem")
     src = F.concat(F.lit("w"), F.col("o_orderkey").cast("string")).alias("source_id")
-    rows = o.where("o_orderstatus = 'F'").join(li, F.col("o_orderkey") == li.l_orderkey).groupBy("o_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("v"))
+    rows = o.where("o_orderstatus <> 'P'").join(li, F.col("o_orderkey") == li.l_orderkey).groupBy("o_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("v"))
     cells = rows.select(src, F.lit("s").alias("sheet"), F.col("l_linenumber").alias("row_no"), F.posexplode(F.array(F.col("l_linenumber").cast("string"), F.col("v").cast("string"))).alias("col_no", "value"))
-    return CO.workbook_inventory(cells, o.where("o_orderpriority like '1%'").select(src)).select("source_id", "n_rows", "n_cols", "header_row", "error")
+    return CO.workbook_inventory(cells, o.select(src)).select("source_id", "n_rows", "n_cols", "header_row", "error")
 
 
 @plan(

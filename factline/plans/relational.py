@@ -8,6 +8,8 @@ from factline.operators import aggregates as A
 from factline.operators import folding, matching, sets
 from factline.operators import tree as T
 from factline.operators.ordered import dense_ordinal, first_per_key
+from factline.operators.registers import stride_sample
+from factline.quality.coverage import value_rank
 from factline.operators.views import mode_rows
 from factline.plans.model import Model, sql
 from factline.plans.registry import plan
@@ -450,7 +452,10 @@ def w6(m: Model):
     from factline.operators.ordered import fill_forward
 
     s = m.text_lines.select("doc_id", "line_no", F.when(F.length("text") > 120, F.substring("text", 1, 20)).alias("section"))
-    return fill_forward(s, ["doc_id"], ["line_no"], ["section"], cut=False).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    return fill_forward(s, ["doc_id"], ["line_no"], ["section"]).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+
+
+W7_FILES = 50
 
 
 @plan(
@@ -462,9 +467,7 @@ SELECT doc_id, source, position FROM n WHERE position % greatest(1, total // 50)
 )
 def w7(m: Model):
     d = m.table("documents").select("doc_id", "source")
-    ranked = dense_ordinal(d, [], ["doc_id"], "position", cut=False).withColumn("total", d.agg(F.count(F.lit(1))).scalar())
-    step = F.greatest(F.lit(1), F.floor(F.col("total") / 50))
-    return ranked.where(F.col("position") % step == 0).orderBy("position").limit(50).select("doc_id", "source", "position")
+    return stride_sample(d, "doc_id", W7_FILES)
 
 
 SEARCH_WHERE = "contains(lower(node_name), 'urgent') AND amount_aud BETWEEN 1000 AND 400000 AND financial_year BETWEEN '1996-97' AND '2000-01'"
@@ -490,15 +493,20 @@ def w9(m: Model):
     "w10_backlog_ranking",
     sql(
         """WITH g AS (SELECT source, count(*) AS n, count(quality) AS labelled, sum(coalesce(toxic, 0)) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL),
-c AS (SELECT *, CASE WHEN toxic > 3 THEN 1 WHEN labelled * 3 < n THEN 2 WHEN labelled < n THEN 3 ELSE 4 END AS rule FROM g)
-SELECT source, CAST(rule AS INTEGER) AS rule, n FROM c ORDER BY rule, n DESC, source LIMIT 10"""
+v AS (SELECT *, ['federal_pbs_', 'abs_qna_', 'state_tcv_', 'local_', 'other_'][1 + CAST(source[4:] AS INTEGER) % 5] || source AS source_id, [10, 20, 30, 50, 90][1 + CAST(source[4:] AS INTEGER) % 5] AS value_rank FROM g),
+c AS (SELECT *, CASE WHEN toxic > 3 THEN 1 WHEN labelled * 3 < n THEN 2 WHEN labelled < n THEN 3 ELSE 4 END AS rule FROM v)
+SELECT source_id, CAST(value_rank AS INTEGER) AS value_rank, CAST(rule AS INTEGER) AS rule, n, row_number() OVER (ORDER BY value_rank, rule, n DESC, source_id) AS place FROM c"""
     ),
 )
 def w10(m: Model):
     d = m.table("documents").select("doc_id", "source").join(m.table("labels"), "doc_id", "left")
     g = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("labelled"), F.sum(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     rule = F.when(F.col("toxic") > 3, 1).when(F.col("labelled") * 3 < F.col("n"), 2).when(F.col("labelled") < F.col("n"), 3).otherwise(4)
-    return g.select("source", rule.alias("rule"), "n").orderBy("rule", F.desc("n"), "source").limit(10)
+    kinds = F.array(*[F.lit(k) for k in ("federal_pbs_", "abs_qna_", "state_tcv_", "local_", "other_")])
+    source_id = F.concat(F.element_at(kinds, (F.substring("source", 4, 9).cast("int") % 5 + 1)), "source")
+    ranked = g.select(source_id.alias("source_id"), value_rank(source_id)["rank"].alias("value_rank"), rule.alias("rule"), "n", (-F.col("n")).alias("_less"))
+    out = dense_ordinal(ranked, [], ["value_rank", "rule", "_less", "source_id"], "place")
+    return out.select("source_id", "value_rank", "rule", "n", (F.col("place") + 1).alias("place"))
 
 
 @plan(

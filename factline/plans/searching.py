@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factline.plans.model import Model, sql
 from factline.plans.registry import plan
+from factline.session import steps_folder
 from factline.search import evidence as EV
 from factline.search import facts as SF
 from factline.search import text as T
@@ -57,14 +60,15 @@ def e3(m: Model):
     "e4_row_window",
     sql(
         """WITH c AS (SELECT doc_id, max(line_no) // 2 AS cited_row FROM t GROUP BY ALL)
-SELECT doc_id, CAST(cited_row AS BIGINT) AS cited_row, CAST(line_no AS INTEGER) AS row_no, line_no = cited_row AS is_cited FROM t JOIN c USING (doc_id) WHERE abs(line_no - cited_row) <= 5""",
+SELECT doc_id, CAST(cited_row AS BIGINT) AS cited_row, CAST(line_no AS INTEGER) AS row_no, line_no = cited_row AS is_cited, 2 AS highlight_column FROM t JOIN c USING (doc_id) WHERE abs(line_no - cited_row) <= 5""",
         "t",
     ),
 )
 def e4(m: Model):
     lines = m.text_lines.select("doc_id", F.col("line_no").alias("row_no"))
     cited = lines.groupBy("doc_id").agg(F.floor(F.max("row_no") / 2).cast("long").alias("cited_row"))
-    return EV.row_windows(cited, lines, "doc_id").select("doc_id", "cited_row", "row_no", "is_cited")
+    staged = ["label", "financial_year", "Total paid", "note"]
+    return EV.row_windows(cited, lines, "doc_id").select("doc_id", "cited_row", "row_no", "is_cited", F.lit(EV.highlight_column(staged)).alias("highlight_column"))
 
 
 @plan("e5_fact_search", sql("SELECT fact_id, node_name, amount_aud FROM f WHERE compatibility_group = 'actual_expense' AND contains(lower(node_name), 'high') AND level = 'federal' AND financial_year >= '1997-98' AND amount_aud >= 250000", "f"))
@@ -72,22 +76,30 @@ def e5(m: Model):
     return SF.find_facts(m.facts, text="HIGH", mode="actuals", level="national", from_year="1997-98", min_amount=250000).select("fact_id", "node_name", "amount_aud")
 
 
-@plan("e6_facts_by_source", sql("SELECT fact_id, fact_key FROM f WHERE source_key = 'asia_building' AND observation_date IS NULL ORDER BY fact_id LIMIT 500", "f"))
+@plan("e6_facts_by_source", sql("SELECT fact_id, fact_key FROM f WHERE source_key = 'asia_building' AND observation_date IS NULL", "f"))
 def e6(m: Model):
     rows = m.facts.where("source_key = 'asia_building'").where(F.col("observation_date").isNull())
-    return rows.select("fact_id", "fact_key").orderBy("fact_id").limit(500)
+    return rows.select("fact_id", "fact_key")
 
 
-NODE_TEXT_SQL = "nt AS (SELECT node_name AS id, lower(node_name || ' ' || level) AS x FROM (SELECT DISTINCT node_name, level FROM f WHERE level = 'federal'))"
+NODE_TEXT_SQL = "nt AS (SELECT node_name || ' @ ' || level AS id, lower(node_name || ' ' || level) AS x FROM (SELECT DISTINCT node_name, level FROM f))"
 
 
 def node_docs(m: Model):
-    return m.facts.where("level = 'federal'").select(F.col("node_name").alias("id"), F.concat_ws(" ", "node_name", "level").alias("text")).distinct()
+    return m.facts.select(F.concat_ws(" @ ", "node_name", "level").alias("id"), F.concat_ws(" ", "node_name", "level").alias("text")).distinct()
 
 
 @plan("e7_spending_postings", sql("WITH " + NODE_TEXT_SQL + r", w AS (SELECT id, len(regexp_extract_all(x, '[\p{L}\p{N}]+')) AS dl, unnest(regexp_extract_all(x, '[\p{L}\p{N}]+')) AS term FROM nt) SELECT term, id, CAST(dl AS INTEGER) AS dl, count(*) AS tf FROM w GROUP BY ALL", "f"))
 def e7(m: Model):
-    return T.postings(node_docs(m), "id", F.col("text"))
+    return node_index(m).postings
+
+
+def stored(m: Model, docs) -> T.Index:
+    return T.store_index(docs, "id", F.col("text"), f"{steps_folder(m.spark)}/index-{uuid.uuid4().hex}")
+
+
+def node_index(m: Model) -> T.Index:
+    return m.once("node_index", lambda m: stored(m, node_docs(m)))
 
 
 CHUNK_SQL = r"""fl AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents), ch AS (SELECT doc_id, CAST(pos // 1050 AS INTEGER) AS chunk_index, substr(x, CAST(pos AS BIGINT) + 1, 1200) AS chunk_text
@@ -118,27 +130,35 @@ def bm_sql(a: str, b: str, limit: int) -> str:
     return BM_SQL.replace("{a}", a).replace("{b}", b).replace("{limit}", str(limit))
 
 
+CHUNK_SRC = CHUNK_SQL + ", src AS (SELECT doc_id || ':' || chunk_index AS id, lower(chunk_text) AS x FROM ch), "
+
+
+def chunk_docs(m: Model):
+    parts = T.chunks(m.table("documents"), ["doc_id"])
+    return parts.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), F.col("chunk_text").alias("text"))
+
+
 def doc_text_hits(m: Model, q: str, limit: int):
-    d = m.table("documents").select(F.col("doc_id").alias("id"), "text")
-    return T.bm25(T.postings(d, "id", F.col("text")), T.lengths(d, "id", F.col("text")), "id", q, limit)
+    index = m.once("chunk_index", lambda m: stored(m, chunk_docs(m)))
+    return T.bm25(index, "id", q, limit)
 
 
-@plan("e10_bm25_documents", sql("WITH src AS (SELECT doc_id AS id, lower(text) AS x FROM documents), " + bm_sql("heed", "shes", 20) + " SELECT id, round(bm25, 6) AS bm25, round(1 / (1 + abs(bm25)), 6) AS score FROM bm"))
+@plan("e10_bm25_documents", sql("WITH " + CHUNK_SRC + bm_sql("heed", "shes", 20) + " SELECT id, round(bm25, 6) AS bm25, round(1 / (1 + abs(bm25)), 6) AS score FROM bm"))
 def e10(m: Model):
     return doc_text_hits(m, "heed shes", 20).select("id", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
 @plan("e10_bm25_spending", sql("WITH " + NODE_TEXT_SQL + ", src AS (SELECT * FROM nt), " + bm_sql("building", "urgent", 20) + " SELECT id, round(bm25, 6) AS bm25 FROM bm", "f"))
 def e10s(m: Model):
-    d = node_docs(m)
-    return T.bm25(T.postings(d, "id", F.col("text")), T.lengths(d, "id", F.col("text")), "id", "building urgent", 20).select("id", F.round("bm25", 6).alias("bm25"))
+    return T.bm25(node_index(m), "id", "building urgent", 20).select("id", F.round("bm25", 6).alias("bm25"))
 
 
-VEC_SQL = "vc AS (SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 5)), 9) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 40)"
+# vectors of documents stand for their first chunk
+VEC_SQL = "vc AS (SELECT vec_id || ':0' AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 5)), 9) AS score FROM embeddings ORDER BY score DESC, id LIMIT 40)"
 
 
 def vector_hits(m: Model, limit: int, threshold: float):
-    v = m.table("embeddings").withColumnRenamed("vec_id", "id")
+    v = m.table("embeddings").withColumn("id", F.concat(F.col("vec_id").cast("string"), F.lit(":0")))
     query = m.table("embeddings").where("vec_id = 5").select("embedding").scalar()
     return V.rank_by_vector(v, "id", query, limit, threshold)
 
@@ -148,18 +168,35 @@ def e11(m: Model):
     return vector_hits(m, 40, V.CHUNK_THRESHOLD).withColumn("score", F.round("score", 5))
 
 
+VOCAB_SQL = "vo AS (SELECT p_name AS id, round(max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 5))), 9) AS score FROM embeddings JOIN part ON p_partkey = vec_id GROUP BY ALL ORDER BY score DESC, id LIMIT 10)"
+
+
+def vocabulary_hits(m: Model, limit: int):
+    """Names of the vocabulary by their best vector, above the threshold of names."""
+    named = V.attach_vectors(m.table("part").select(F.col("p_partkey").alias("vec_id"), F.col("p_name").alias("id")), m.table("embeddings"), "vec_id")
+    query = m.table("embeddings").where("vec_id = 5").select("embedding").scalar()
+    beside = named.select("id", "embedding", query.alias("_q"))
+    best = beside.select("id", F.round(V.cosine(F.col("embedding"), F.col("_q")), 9).alias("score")).groupBy("id").agg(F.max("score").alias("score"))
+    return best.orderBy(F.desc("score"), "id").limit(limit).where(F.col("score") >= V.CATEGORY_THRESHOLD)
+
+
+@plan("e11_vocabulary_ranking", sql("WITH " + VOCAB_SQL + " SELECT id, round(score, 5) AS score FROM vo WHERE score >= 0.35"))
+def e11v(m: Model):
+    return vocabulary_hits(m, 10).withColumn("score", F.round("score", 5))
+
+
 FUSE_SQL = """r AS (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) - 1 AS k, 0 AS l FROM bm UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1, 1 FROM (SELECT * FROM vc WHERE score >= 0.1)),
 fu AS (SELECT id, round(sum(1.0 / (61 + k)), 9) AS score, count(*) AS n_lists, min(l * 1000000 + k) AS o FROM r GROUP BY ALL)"""
 
 
-@plan("e12_rank_fusion", sql("WITH src AS (SELECT doc_id AS id, lower(text) AS x FROM documents), " + bm_sql("heed", "shes", 40) + ", " + VEC_SQL + ", " + FUSE_SQL + " SELECT id, round(score, 6) AS score, n_lists FROM fu ORDER BY fu.score DESC, o LIMIT 30"))
+@plan("e12_rank_fusion", sql("WITH " + CHUNK_SRC + bm_sql("heed", "shes", 40) + ", " + VEC_SQL + ", " + FUSE_SQL + " SELECT id, round(score, 6) AS score, n_lists FROM fu ORDER BY fu.score DESC, o LIMIT 30"))
 def e12(m: Model):
     text = doc_text_hits(m, "heed shes", 40).withColumn("order_score", F.col("bm25"))
     vec = vector_hits(m, 40, 0.1).withColumn("order_score", F.col("score"))
-    return V.fuse([text, vec], "id", 30).withColumn("score", F.round("score", 6))
+    return V.fuse([text, vec], "id", 30).withColumn("score", F.round("score", 6)).drop("shown")
 
 
-@plan("e13_unified_search", sql("WITH src AS (SELECT doc_id AS id, lower(text) AS x FROM documents), " + bm_sql("heed", "shes", 20) + ", " + VEC_SQL.replace("LIMIT 40", "LIMIT 10") + ", " + FUSE_SQL.replace(">= 0.1", ">= 0.28") + " SELECT 'documents' AS scope, id, round(score, 6) AS score FROM fu ORDER BY fu.score DESC, o LIMIT 20"))
+@plan("e13_unified_search", sql("WITH " + CHUNK_SRC + bm_sql("heed", "shes", 20) + ", " + VEC_SQL.replace("LIMIT 40", "LIMIT 10") + ", " + FUSE_SQL.replace(">= 0.1", ">= 0.28") + " SELECT 'documents' AS scope, id, round(score, 6) AS score FROM fu ORDER BY fu.score DESC, o LIMIT 20"))
 def e13(m: Model):
     text = doc_text_hits(m, "heed shes", 20).withColumn("order_score", F.col("bm25"))
     vec = vector_hits(m, V.vector_limit(20), V.CHUNK_THRESHOLD).withColumn("order_score", F.col("score"))
@@ -167,6 +204,42 @@ def e13(m: Model):
     return hits.select("scope", "id", F.round("score", 6).alias("score"))
 
 
+ALL_SQL = """, sb AS (SELECT * FROM bm), r2 AS (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) - 1 AS k, 0 AS l FROM sb UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1, 1 FROM vo WHERE score >= 0.35),
+f2 AS (SELECT id, round(sum(1.0 / (61 + k)), 9) AS score, min(l) AS shown, min(l * 1000000 + k) AS o FROM r2 GROUP BY ALL ORDER BY score DESC, o LIMIT 20) SELECT id, score, shown FROM f2"""
+
+
+@plan(
+    "e13_unified_search_all",
+    sql(
+        "SELECT scope, id, round(score, 6) AS score, CAST(shown AS INTEGER) AS shown FROM (SELECT 'spending' AS scope, * FROM (WITH " + NODE_TEXT_SQL + ", src AS (SELECT * FROM nt), " + bm_sql("heed", "shes", 20) + ", " + VOCAB_SQL + ALL_SQL
+        + ") UNION ALL SELECT 'documents', id, score, shown FROM (WITH " + CHUNK_SRC + bm_sql("heed", "shes", 20) + ", " + VEC_SQL.replace("LIMIT 40", "LIMIT 10").replace("vc AS", "vo AS") + ALL_SQL.replace("0.35", "0.28") + "))",
+        "f",
+    ),
+)
+def e13_all(m: Model):
+    q = "heed shes"
+
+    def text(docs, limit):
+        hits = T.bm25(node_index(m), "id", q, limit) if docs is None else doc_text_hits(m, q, limit)
+        body = node_docs(m) if docs is None else docs
+        return hits.join(body, "id").withColumn("snippet", T.highlight(F.col("text"), q)).withColumn("order_score", F.col("bm25"))
+
+    by_text = {"spending": text(None, 20), "documents": text(chunk_docs(m), 20)}
+    by_vector = {"spending": vocabulary_hits(m, 10), "documents": vector_hits(m, V.vector_limit(20), V.CHUNK_THRESHOLD)}
+    by_vector = {k: v.withColumn("order_score", F.col("score")) for k, v in by_vector.items()}
+    return V.search(q, "all", 20, by_text, by_vector, "id").select("scope", "id", F.round("score", 6).alias("score"), "shown")
+
+
+@plan(
+    "e6_facts_by_id",
+    sql("WITH " + CITE_SQL + " SELECT fact_id, amount_aud, landing_url, locator FROM ci WHERE landing_url IS NOT NULL AND cached_copy_path IS NOT NULL AND locator <> '' AND fact_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 300000)"),
+)
+def e6_by_id(m: Model):
+    """Facts asked for by id; those without a whole citation are not shown."""
+    wanted = m.table("orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("fact_id"))
+    return e1(m).join(wanted, "fact_id", "left_semi").select("fact_id", "amount_aud", "landing_url", "locator")
+
+
 @plan(
     "e14_matched_terms_and_titles",
     sql(

@@ -56,6 +56,28 @@ def t1(m: Model):
     return nodes.withColumn("path", T.path_text()).withColumn("value", F.round("value", 2))
 
 
+@plan(
+    "t1_preserved_amounts",
+    sql(
+        """WITH own AS (SELECT level, financial_year, [p_type, p_brand, p_name] AS path, sum(amount_aud) AS own, false AS preserve FROM l GROUP BY ALL UNION ALL SELECT level, financial_year, [p_type], sum(amount_aud) * 2, true FROM l WHERE p_type = 'PROMO' GROUP BY ALL
+ UNION ALL SELECT level, financial_year, [p_type, p_brand], 1000.0, true FROM l WHERE p_type = 'SMALL' AND p_brand LIKE '%1' GROUP BY ALL),
+c AS (SELECT *, CASE WHEN len(path) = 3 AND path[1] = 'PROMO' THEN 1 WHEN len(path) = 3 AND path[1] = 'SMALL' AND path[2] LIKE '%1' THEN 2 ELSE 0 END AS stop FROM own)
+SELECT level, financial_year, array_to_string(path[1:d], ' / ') AS path, round(sum(own), 2) AS value FROM (SELECT *, unnest(range(1, len(path) + 1)) AS d FROM c) WHERE d > stop GROUP BY ALL""",
+        "l",
+    ),
+)
+def t1_preserved(m: Model):
+    """Nodes with a published amount of their own keep it, and stand for all below them further up."""
+    keys = [*LK]
+    rows = m.lines.select(*LK, "p_type", "p_brand", "p_name", "amount_aud")
+    leaf = rows.groupBy(*keys, F.array("p_type", "p_brand", "p_name").alias("path")).agg(F.sum("amount_aud").alias("own")).withColumn("preserve", F.lit(False))
+    tops = rows.where("p_type = 'PROMO'").groupBy(*keys, F.array("p_type").alias("path")).agg((F.sum("amount_aud") * 2).alias("own")).withColumn("preserve", F.lit(True))
+    mids = rows.where("p_type = 'SMALL' and p_brand like '%1'").select(*keys, F.array("p_type", "p_brand").alias("path")).distinct().select("*", F.lit(1000.0).alias("own"), F.lit(True).alias("preserve"))
+    own = leaf.unionByName(tops).unionByName(mids).withColumn("fact_id", F.lit(None).cast("long"))
+    nodes = T.preserved_roll_up(own, keys)
+    return nodes.select(*LK, T.path_text().alias("path"), F.round("value", 2).alias("value"))
+
+
 @plan(
     "t2_total_pruning",
     sql("WITH " + tree_ctes("l", ACTUAL) + " SELECT level, financial_year, array_to_string(path, ' / ') AS path, round(own, 2) AS own FROM kept", "l"),
@@ -398,7 +420,7 @@ def t16(m: Model):
     kids, published = ring_frames(m)
     kept = V.nestable(kids, published, ["jurisdiction"])
     return kept.select(
-        "jurisdiction", F.array_join(F.slice("path", 2, 10), T.SEP).alias("node_name"), F.round("value", 2).alias("value")
+        "jurisdiction", F.array_join(F.slice("path", F.lit(2), F.size("path")), T.SEP).alias("node_name"), F.round("value", 2).alias("value")
     )
 
 
@@ -414,7 +436,7 @@ def t17(m: Model):
     kids, published = ring_frames(m)
     scaled = V.scale_to_parent(kids, published, ["jurisdiction"])
     return scaled.select(
-        "jurisdiction", F.array_join(F.slice("path", 2, 10), T.SEP).alias("node_name"), F.round("value", 2).alias("value")
+        "jurisdiction", F.array_join(F.slice("path", F.lit(2), F.size("path")), T.SEP).alias("node_name"), F.round("value", 2).alias("value")
     )
 
 

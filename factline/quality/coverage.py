@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEP = " / "
@@ -167,23 +167,13 @@ def acquisition_status(rows: DataFrame, no_bulk=(), flaky=(), candidate=()) -> D
 
 
 def workbook_inventory(cells: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Shape, title row and header row of every sheet; files named but absent show as missing.
+    """Shape, title row and header row of every sheet, all their cells whole; files named but absent show as missing."""
+    def row(r: int) -> Column:
+        found = F.array_sort(F.collect_list(F.when(F.col("row_no") == r, F.struct("col_no", "value"))))
+        return F.array_join(F.transform(found, lambda c: c["value"]), " | ")
 
-    Only the first two rows of a sheet are gathered as text, and each cell's share is cut first.
-    """
-    sample = lambda r, n: F.substring(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when((F.col("row_no") == r) & (F.col("col_no") < 50), F.struct("col_no", F.substring("value", 1, n).alias("value"))))),
-                lambda s: s["value"],
-            ),
-            " | ",
-        ),
-        1,
-        n,
-    )
     shape = cells.groupBy("source_id", "sheet").agg(
-        (F.max("row_no") + 1).alias("n_rows"), (F.max("col_no") + 1).alias("n_cols"), sample(0, 200).alias("title_row"), sample(1, 300).alias("header_row")
+        (F.max("row_no") + 1).alias("n_rows"), (F.max("col_no") + 1).alias("n_cols"), row(0).alias("title_row"), row(1).alias("header_row")
     )
     j = manifest.join(shape, "source_id", "left")
     return j.withColumn("error", F.when(F.col("sheet").isNull(), "file_missing_on_disk"))
@@ -196,13 +186,13 @@ def handoff_status(rows: DataFrame, fact_counts: DataFrame) -> DataFrame:
     """
     exact = rows.join(fact_counts.select(F.col("source_key").alias("source_id"), F.col("n").alias("_n")), "source_id", "left")
     open_ = exact.where(F.col("_n").isNull()).select("source_id").distinct()
-    stem = F.regexp_replace("source_id", "_facts", "")
-    tokens = fact_counts.select("source_key", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("source_key")), lambda i: F.col("source_key").substr(i, F.lit(1000)))).alias("_tail"))
-    heads = open_.withColumn("_stem", stem).withColumn("_head", F.substring("_stem", 1, 8))
-    # every prefix up to eight characters, so that a stem shorter than that still meets its tails
-    heads_of = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.col("_tail").substr(F.lit(1), i)))
-    near = heads.join(tokens.withColumn("_head", F.explode(heads_of)), "_head").where(F.startswith("_tail", "_stem"))
-    near = near.select("source_id", "source_key", "n").distinct().groupBy("source_id").agg(F.sum("n").alias("_m"))
+    heads = open_.withColumn("_stem", F.regexp_replace("source_id", "_facts", ""))
+    # a key that contains a stem has it among its substrings of that length; only lengths that stems have are cut out
+    sizes = heads.agg(F.collect_set(F.length("_stem"))).scalar()
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length("source_key") - n + 1), lambda i: F.col("source_key").substr(i, n))
+    fitting = F.filter("_sizes", lambda n: (n > 0) & (n <= F.length("source_key")))
+    pieces = fact_counts.withColumn("_sizes", sizes).select("source_key", "n", F.explode(F.array_distinct(F.flatten(F.transform(fitting, at)))).alias("_stem"))
+    near = heads.join(pieces, "_stem").groupBy("source_id").agg(F.sum("n").alias("_m"))
     j = exact.join(near, "source_id", "left").withColumn("n_facts", F.coalesce("_n", "_m", F.lit(0)))
     status = (
         F.when((F.col("action") == "REFERENCE_ONLY") & ~F.col("present"), "reference_only")

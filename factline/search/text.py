@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factline.session import cut_lineage
 
-# Chunk size and overlap, token limits, BM25 parameters.
+# Chunk size and overlap, shortest prefix, BM25 parameters.
 CHUNK_CHARS, CHUNK_OVERLAP = 1200, 150
-MAX_QUERY_TOKENS, PREFIX_MIN = 12, 3
+PREFIX_MIN = 3
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 QUERY_TOKEN = r"[A-Za-z0-9][A-Za-z0-9'_-]{1,}"
 TERM = r"[\p{L}\p{N}]+"
@@ -30,7 +31,7 @@ def chunks(docs: DataFrame, key: Sequence[str], text: str = "text", size: int =
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """``(term, key, tf, dl)``; written once sorted by term, a query reads only its terms."""
+    """``(term, key, tf, dl)``."""
     terms = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
     spread = docs.select(F.col(key), terms.alias("_t")).select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
     return spread.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -40,17 +41,40 @@ def lengths(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return docs.select(key, F.size(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)).alias("dl"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Stored postings sorted by term, and one row of corpus size and mean length."""
+
+    postings: DataFrame
+    corpus: DataFrame
+
+
+def store_index(docs: DataFrame, key: str, text: Column, folder: str) -> Index:
+    """Write the index of a corpus once.
+
+    Postings are sorted by range of the term, so a query's predicate on terms skips the files and row groups of all others.
+    """
+    postings(docs, key, text).repartitionByRange("term").sortWithinPartitions("term", key).write.parquet(f"{folder}/postings")
+    sizes = lengths(docs, key, text)
+    sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/corpus")
+    return open_index(docs.sparkSession, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/corpus"))
+
+
 def query_tokens(q: str) -> list[str]:
     return [t.lower() for t in re.findall(QUERY_TOKEN, q)]
 
 
-def bm25(index: DataFrame, sizes: DataFrame, key: str, q: str, limit: int) -> DataFrame:
+def bm25(index: Index, key: str, q: str, limit: int) -> DataFrame:
     """Best keys for a query; every token must occur, exactly or (three letters and more) as a prefix.
 
     The exact term and the prefix are two phrases, each with its own document frequency.  Only
-    postings of the query's terms are read; corpus size and mean length are one aggregate.
+    postings of the query's terms are read; corpus size and mean length are one stored row.
     """
-    tokens = query_tokens(q)[:MAX_QUERY_TOKENS]
+    tokens = query_tokens(q)
     if not tokens:
         raise ValueError("no searchable token in the query")
     phrases: list[tuple[int, Column]] = []
@@ -60,14 +84,13 @@ def bm25(index: DataFrame, sizes: DataFrame, key: str, q: str, limit: int) -> Da
         if len(t) >= PREFIX_MIN:
             phrases.append((i, F.col("term").startswith(t)))
         wanted = wanted | phrases[-1][1]
-    hits = index.where(wanted).groupBy(key, "dl").agg(
+    hits = index.postings.where(wanted).groupBy(key, "dl").agg(
         *[F.sum(F.when(test, F.col("tf")).otherwise(0)).alias(f"f{j}") for j, (_, test) in enumerate(phrases)]
     )
     hits = cut_lineage(hits)  # only documents that hold a query term; read for statistics and for scores
     df = hits.agg(*[F.count(F.when(F.col(f"f{j}") > 0, 1)).alias(f"d{j}") for j in range(len(phrases))])
-    corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     stats = df.select(F.struct(*[F.col(f"d{j}") for j in range(len(phrases))])).scalar()
-    c = corpus.select(F.struct("n", "avgdl")).scalar()
+    c = index.corpus.select(F.struct("n", "avgdl")).scalar()
     full = hits.withColumn("_d", stats).withColumn("_c", c)
     for i in range(len(tokens)):
         any_phrase = F.lit(False)
@@ -99,9 +122,13 @@ def highlight(text: Column, q: str) -> Column:
     return F.regexp_replace(text, "(?i)(" + "|".join(re.escape(t) for t in tokens) + ")", "«$1»")
 
 
+# What an identifier at the head of a name looks like.
+ID_HEADS = (r"^[A-Z]{2,12}(?:-[A-Z0-9]{1,12})*$", r"^[A-Z]{1,6}-\d{2,4}(?:-\d{2,6})+$", r"^\d{4,}$")
+
+
 def looks_like_id(segment: Column) -> Column:
     head = F.regexp_extract(F.trim(segment), r"^(\S+)", 1)
-    return head.rlike(r"^[A-Z]{2,12}(?:-[A-Z0-9]{1,12})*$") | head.rlike(r"^[A-Z]{1,6}-\d{2,4}(?:-\d{2,6})+$") | head.rlike(r"^\d{4,}$")
+    return head.rlike("|".join(f"(?:{p})" for p in ID_HEADS))
 
 
 def display_title(name: Column, q: str) -> Column:

@@ -37,17 +37,21 @@ def attach_vectors(items: DataFrame, vectors: DataFrame, key: str, vector: str =
 def fuse(lists: Sequence[DataFrame], key: str, limit: int, k: int = FUSION_K) -> DataFrame:
     """Reciprocal rank fusion of bounded result lists; ranks start at zero, ties keep the first seen.
 
-    Each list is a finished top-k, so ranking it in one window is bounded by its limit.
+    Each list is a finished top-k, so ranking it in one window is bounded by its limit.  An item that several lists have is shown as
+    the one with a highlighted ``snippet``, else the one with a ``title``, else the one with the larger ``order_score``; ``shown`` is
+    that item's list.
     """
     parts = None
     for i, df in enumerate(lists):
         w = Window.partitionBy("_list").orderBy(F.desc("score_order"), key)
-        ranked = df.select(key, F.col("order_score").alias("score_order"), F.lit(i).alias("_list")).withColumn("_rank", F.row_number().over(w) - 1)
+        of = lambda c, df=df: F.col(c) if c in df.columns else F.lit(None).cast("string")
+        ranked = df.select(key, F.col("order_score").alias("score_order"), of("snippet").alias("snippet"), of("title").alias("title"), F.lit(i).alias("_list")).withColumn("_rank", F.row_number().over(w) - 1)
         parts = ranked if parts is None else parts.unionByName(ranked)
+    prefer = F.struct(F.coalesce(F.col("snippet").contains("«"), F.lit(False)), F.coalesce(F.col("title") != "", F.lit(False)), F.col("score_order"), -F.col("_list"))
     fused = parts.groupBy(key).agg(
-        F.round(F.sum(1.0 / (k + F.col("_rank") + 1)), 9).alias("score"), F.min(F.struct("_list", "_rank")).alias("_first"), F.count(F.lit(1)).alias("n_lists")
+        F.round(F.sum(1.0 / (k + F.col("_rank") + 1)), 9).alias("score"), F.min(F.struct("_list", "_rank")).alias("_first"), F.count(F.lit(1)).alias("n_lists"), F.max_by("_list", prefer).alias("shown")
     )
-    return fused.orderBy(F.desc("score"), "_first._list", "_first._rank").limit(limit).select(key, "score", "n_lists")
+    return fused.orderBy(F.desc("score"), "_first._list", "_first._rank").limit(limit).select(key, "score", "n_lists", "shown")
 
 
 def search(

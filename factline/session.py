@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
 import uuid
 
@@ -32,17 +34,28 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.TemporaryDirectory(prefix="factline-steps-", ignore_cleanup_errors=True)
+    atexit.register(folder.cleanup)
+    return folder.name
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder the cluster names; make one only for a local session that names none."""
+    """Use the folder the cluster names.
+
+    Only a session on this machine alone (master ``local[...]``) that names none gets one of its own, deleted when Python
+    ends; any other is refused, since executors would not see it.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        named = tempfile.mkdtemp(prefix="factline-checkpoint-")
+        named = _own_folder()
     sc.setCheckpointDir(named)
     return named
 

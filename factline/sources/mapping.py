@@ -62,15 +62,16 @@ def attribute(rows: DataFrame, mapping: Mapping[str, Any], files: DataFrame) ->
 
     A row names its own file when the mapping says which column holds it; a file the manifest does not
     know falls back to the mapping's file.  Rows meet the manifest by path, at any size; the mapping's
-    own file is one value.
+    own file is one value.  Of several retrievals of a path the latest counts.
     """
     attribution = mapping.get("attribution", {})
     fixed = attribution.get("cached_copy_path") or mapping.get("input", {}).get("path")
     column = attribution.get("cached_copy_path_column")
     entry = F.struct("sha256", "retrieved_at")
-    home = files.where(F.col("path") == fixed).agg(F.max(entry)).scalar()
+    latest = F.max_by(entry, F.struct("retrieved_at", "sha256"))
+    home = files.where(F.col("path") == fixed).agg(latest).scalar()
     if column:
-        known = files.select(F.col("path").alias("_own"), entry.alias("_file"))
+        known = files.groupBy(F.col("path").alias("_own")).agg(latest.alias("_file"))
         rows = rows.withColumn("_own", F.nullif(F.trim(column), F.lit(""))).join(known, "_own", "left")
     else:
         rows = rows.withColumn("_own", F.lit(None).cast("string")).withColumn("_file", F.lit(None).cast("struct<sha256:string,retrieved_at:string>"))

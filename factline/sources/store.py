@@ -1,54 +1,44 @@
-"""Sinks: a versioned fact folder with keyed upsert, quarantine, staging and report writers."""
+"""Sinks: a fact table merged by partition, and quarantine, staging and report writers.
+
+All of them can be repeated: a load that is retried, or run again, leaves the same files' worth of rows behind.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factline.operators.loading import upsert
+from factline.session import cut_lineage
 
-class FactStore:
-    """Facts under one folder as ``v=<n>`` versions; the newest committed version is current.
-
-    A version is written whole and shows only once its success marker exists, so a lost executor or a
-    failed job never leaves a half-merged table behind.
-    """
 
-    def __init__(self, spark: SparkSession, folder: str, partition: str = "financial_year"):
-        self.spark, self.folder, self.partition = spark, folder.rstrip("/"), partition
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
-    def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = []
-        for entry in fs.listStatus(path):
-            name = entry.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
-            if name.startswith("v=") and fs.exists(done):
-                found.append(int(name[2:]))
-        return sorted(found)
 
-    def read(self) -> DataFrame | None:
-        have = self.versions()
-        return self.spark.read.parquet(f"{self.folder}/v={have[-1]}") if have else None
+def merge_facts(spark: SparkSession, folder: str, new: DataFrame, partition: str = "financial_year", key: str = "fact_key") -> None:
+    """Upsert ``new`` into the Parquet table at ``folder``, which is partitioned by ``partition``.
 
-    def write(self, df: DataFrame) -> int:
-        have = self.versions()
-        n = have[-1] + 1 if have else 1
-        df.write.partitionBy(self.partition).parquet(f"{self.folder}/v={n}")
-        return n
+    Only partitions that ``new`` has rows of are read, merged and replaced, so a load costs what it touches, not the table.  A key
+    belongs to one partition, since keys hold the year.
+    """
+    if exists(spark, folder):
+        old = spark.read.parquet(folder)
+        touched = old.join(new.select(partition).distinct(), partition, "left_semi")
+        # written beside the table first: a table can't be replaced while it is read
+        new = cut_lineage(upsert(touched, new, key))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(folder)
 
 
-def write_quarantine(df: DataFrame, folder: str) -> None:
-    """Rejected rows with their reasons as JSON lines."""
-    df.write.mode("append").json(folder)
+def write_quarantine(df: DataFrame, folder: str, load_id: str) -> None:
+    """Rejected rows of one load with their reasons as JSON lines, in place of what an earlier try of it wrote."""
+    df.write.mode("overwrite").json(f"{folder}/load={load_id}")
 
 
 def write_staging(df: DataFrame, folder: str, source: str = "source_id") -> None:
-    """One CSV folder per source."""
-    df.write.mode("overwrite").partitionBy(source).option("header", True).csv(folder)
+    """One CSV folder per source; the folders of other sources stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).option("header", True).csv(folder)
 
 
 def write_report(df: DataFrame, folder: str) -> None:

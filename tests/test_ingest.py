@@ -1,7 +1,7 @@
 from factline.operators import gates, loading
 from factline.sources import mapping as M
 from factline.sources import readers
-from factline.sources.store import FactStore, write_quarantine
+from factline.sources.store import merge_facts, write_quarantine
 
 MAPPING = {
     "source_id": "demo", "measure_type": "expense", "accounting_basis": "accrual", "estimate_status": "actual", "period_granularity": "financial_year",
@@ -26,15 +26,25 @@ def test_csv_to_published_and_quarantined(spark, tmp_path):
     row = bad.collect()[0]
     assert row.quarantine_reason == "Gate 6 attribution: incomplete citation: ['landing_url']"
     assert {r.fact_key for r in good.collect()} == {"demo|2023-24|Health|expense|actual", "demo|2024-25|Defence|expense|actual"}
-    store = FactStore(spark, str(tmp_path / "facts"))
+    facts = str(tmp_path / "facts")
     for _ in range(2):
-        old = store.read()
-        store.write(loading.upsert(old, good) if old is not None else good)
-    assert store.versions() == [1, 2] and store.read().count() == 2
-    write_quarantine(bad, str(tmp_path / "quarantine"))
+        merge_facts(spark, facts, good)
+    assert spark.read.parquet(facts).count() == 2
+    for _ in range(2):
+        write_quarantine(bad, str(tmp_path / "quarantine"), "one")
     assert spark.read.json(str(tmp_path / "quarantine")).count() == 1
 
 
+def test_merge_leaves_other_partitions_alone(spark, tmp_path):
+    folder = str(tmp_path / "facts")
+    s = "fact_key string, financial_year string, amount_aud double"
+    merge_facts(spark, folder, spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0)], s))
+    kept = sorted(f.name for f in (tmp_path / "facts" / "financial_year=y").glob("*.parquet"))
+    merge_facts(spark, folder, spark.createDataFrame([("a", "x", 5.0), ("c", "x", 3.0)], s))
+    assert sorted(f.name for f in (tmp_path / "facts" / "financial_year=y").glob("*.parquet")) == kept
+    assert {tuple(r) for r in spark.read.parquet(folder).select("fact_key", "amount_aud").collect()} == {("a", 5.0), ("b", 2.0), ("c", 3.0)}
+
+
 def test_hard_gates_come_first(spark):
     df = spark.createDataFrame([("24-25", None, " ", None)], "financial_year string, amount_aud double, node_name string, locator string")
     reason = gates.decide(df, {"measure_type": "m", "accounting_basis": "a"}).collect()[0].quarantine_reason

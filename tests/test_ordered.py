@@ -1,4 +1,4 @@
-"""Block-wise ordered operators against plain Python, with blocks small enough to be crossed."""
+"""Ordered operators against plain Python, with places and blocks small enough to be crossed."""
 
 import random
 
@@ -21,7 +21,7 @@ def rows():
 
 def test_fill_forward_crosses_blocks_and_pages(spark, rows):
     df = spark.createDataFrame(rows, "k string, page int, line int, v string")
-    got = {(r.k, r.page, r.line): r.v for r in O.fill_forward(df, ["k"], ["page", "line"], ["v"], size=5).collect()}
+    got = {(r.k, r.page, r.line): r.v for r in O.fill_forward(df, ["k"], ["page", "line"], ["v"], places=9).collect()}
     last = {}
     for k, page, line, v in sorted(rows, key=lambda r: r[:3]):
         last[k] = v if v is not None else last.get(k)
@@ -31,7 +31,7 @@ def test_fill_forward_crosses_blocks_and_pages(spark, rows):
 
 def test_dense_ordinal_counts_from_zero(spark, rows):
     df = spark.createDataFrame(rows, "k string, page int, line int, v string")
-    got = {(r.k, r.page, r.line): r.ordinal for r in O.dense_ordinal(df, ["k"], ["page", "line"], size=5).collect()}
+    got = {(r.k, r.page, r.line): r.ordinal for r in O.dense_ordinal(df, ["k"], ["page", "line"], places=9).collect()}
     seen = {}
     for k, page, line, _ in sorted(rows, key=lambda r: r[:3]):
         assert got[(k, page, line)] == seen.get(k, 0)
@@ -64,3 +64,13 @@ def test_first_and_top_per_key(spark):
     assert first == {"a": "y", "b": "z"}
     top = O.top_per_key(df, ["k"], [F.desc("n")], 1).collect()
     assert {(r.k, r.v) for r in top} == {("a", "x"), ("b", "z")}
+
+
+def test_one_key_with_sparse_ordinals_is_spread(spark):
+    df = spark.range(4000).select(F.lit("hot").alias("k"), F.col("id").alias("page"), (F.col("id") * 100_003).alias("line"), F.when(F.col("id") % 900 == 0, F.col("id")).alias("v"))
+    placed = O.place(df, ["k"], ["page", "line"], places=8)
+    sizes = [r["count"] for r in placed.groupBy(O.PLACE).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 4000 / 3
+    got = {r.page: r.v for r in O.fill_forward(placed, ["k"], ["page", "line"], ["v"]).collect()}
+    assert got == {i: i // 900 * 900 for i in range(4000)}
+    assert [r.at for r in O.dense_ordinal(df, [], ["line"], "at", places=8).orderBy("line").collect()] == list(range(4000))

@@ -11,10 +11,10 @@ from factline.search import text as T
 from factline.search import vectors as V
 
 
-def test_bm25_against_plain_python(spark):
+def test_bm25_against_plain_python(spark, tmp_path):
     docs = {1: "aged care aged", 2: "care home", 3: "agedness of care and care", 4: "roads", 5: "bridges and roads", 6: "ports", 7: "rail"}
     df = spark.createDataFrame(list(docs.items()), "id long, text string")
-    got = {r.id: r.bm25 for r in T.bm25(T.postings(df, "id", F.col("text")), T.lengths(df, "id", F.col("text")), "id", "aged care", 10).collect()}
+    got = {r.id: r.bm25 for r in T.bm25(T.store_index(df, "id", F.col("text"), str(tmp_path / "index")), "id", "aged care", 10).collect()}
     toks = {k: v.split() for k, v in docs.items()}
     n, avg = len(docs), sum(len(t) for t in toks.values()) / len(docs)
     phrases = [lambda t: t == "aged", lambda t: t.startswith("aged"), lambda t: t == "care", lambda t: t.startswith("care")]
@@ -33,6 +33,19 @@ def test_bm25_against_plain_python(spark):
     assert all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
+def test_every_query_token_counts(spark, tmp_path):
+    words = [f"tok{chr(97 + i)}" for i in range(14)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:12])), (3, "x")], "id long, text string")
+    index = T.store_index(df, "id", F.col("text"), str(tmp_path / "index"))
+    assert [r.id for r in T.bm25(index, "id", " ".join(words), 10).collect()] == [1]
+
+
+def test_fusion_shows_the_highlighted_item(spark):
+    text = spark.createDataFrame([("a", 1.0, "x «y»"), ("b", 0.5, "none")], "id string, order_score double, snippet string")
+    vec = spark.createDataFrame([("a", 9.0), ("b", 8.0), ("c", 7.0)], "id string, order_score double")
+    assert {r.id: (r.shown, r.n_lists) for r in V.fuse([text, vec], "id", 10).collect()} == {"a": (0, 2), "b": (1, 2), "c": (1, 1)}
+
+
 def test_chunks_keep_the_whole_text(spark):
     text = "word " * 30_000
     rows = T.chunks(spark.createDataFrame([(1, text), (2, " "), (3, "short")], "id long, text string"), ["id"]).where("id = 1").orderBy("chunk_index").collect()
