@@ -39,7 +39,9 @@ BLOCK = 2048
 #: Rows looked at in a join that cost as much as one probe that is shuffled.
 PROBE = 100
 #: Longs of further bits that verify a link of documents.
-MORE = 4
+MORE = 16
+#: Standard deviations of the estimated similarity by which a pair may fall short.
+SLACK = 1.0
 #: A value held by more than a 1/HEAVY of all fingerprints is known to the estimate by itself; there are at most HEAVY a part.
 HEAVY = 1000
 
@@ -270,23 +272,31 @@ def _probes(batches: Iterator[pa.RecordBatch], parts: Parts, distance: int) -> I
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(signed[use], len(some)))], ["key", "fp"])
 
 
-def _forests(batches: Iterator[pa.RecordBatch], distance: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """For each pair of blocks (x, y), links (a, b) that join whatever within reach joins the two blocks' members.
+def _forests(batches: Iterator[pa.RecordBatch], distance: int, apart: int | None) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks (x, y) a forest of links (a, b) with the components of all links between the two blocks.
 
-    Without ``forest`` all links with a < b.  With it, a member of either side is linked to the first member of the other side in reach, and within a star of common
-    neighbours one link each is enough: components stay the same, and a pair of blocks gives at most |x| + |y| links.
+    Blocks hold (fp, more); with ``apart`` a link also needs that many differing bits of ``more`` at most.  A pair of blocks gives
+    at most |x| + |y| links.
     """
     for batch in batches:
         a, b = [], []
         for x, y in zip(batch.column(0), batch.column(1), strict=True):
-            x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+            (x, more_x), (y, more_y) = (_block(side.values) for side in (x, y))
             near = np.bitwise_count(x.astype(np.uint64)[:, None] ^ y.astype(np.uint64)[None, :]) <= distance
-            for p, q in spanning(near) if forest else zip(*np.nonzero(near & (x[:, None] < y[None, :])), strict=True):
+            if apart is not None:
+                p, q = np.nonzero(near)
+                near[p, q] = np.bitwise_count(more_x[p] ^ more_y[q]).sum(axis=1) <= apart
+            for p, q in spanning(near):
                 a.append(x[p])
                 b.append(y[q])
         yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
 
 
+def _block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    fp, more = rows.flatten()
+    return fp.to_numpy(zero_copy_only=False), more.flatten().to_numpy(zero_copy_only=False).astype(np.uint64).reshape(len(fp), -1)
+
+
 def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     """A forest with the components of the bipartite graph ``near``, breadth first: each member is reached once."""
     rows, cols = np.arange(near.shape[0]), np.ones(near.shape[1], bool)
@@ -309,10 +319,11 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def near_links(fps: DataFrame, distance: int, forest: bool = True) -> DataFrame:
-    """Links (a, b) of distinct fingerprints within ``distance``; ``fps`` has one row per fingerprint.
+def near_links(fps: DataFrame, distance: int, apart: int | None = None) -> DataFrame:
+    """Links (a, b) of distinct fingerprints with the components of all pairs within ``distance``; ``fps`` has one row per fingerprint.
 
-    With ``forest``, crowded values give only as many links as their components need.  Within distance 0 there is nothing to link.
+    With ``apart``, ``fps`` has further bits in ``more``, of which that many may differ at most.  Values that few fingerprints share
+    give all their links, crowded ones only as many as their components need.  Within distance 0 there is nothing to link.
     """
     if distance < 1:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
@@ -325,18 +336,23 @@ def near_links(fps: DataFrame, distance: int, forest: bool = True) -> DataFrame:
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     left = probes.join(crowded, "key", "left_anti") if is_crowded else probes
     cold = left.withColumnRenamed("fp", "a").join(index.withColumnRenamed("fp", "b"), "key").where((F.col("a") < F.col("b")) & (far <= distance)).select("a", "b")
+    bits = fps.select("fp", "more") if apart is not None else fps.select("fp", F.array().cast("array<long>").alias("more"))
+    if apart is not None:
+        differ = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MORE)), F.lit(0))
+        one, other = (bits.select(F.col("fp").alias(n), F.col("more").alias(f"m{n}")) for n in ("a", "b"))
+        cold = cold.distinct().join(one, "a").join(other, "b").where(differ <= apart).select("a", "b")
     if not is_crowded:
         return cold
 
     def blocks(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
         """The fingerprints of each crowded value in arrays of about BLOCK."""
-        placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)))
-        return placed.groupBy("key", "block").agg(F.collect_list("fp").alias(name)).select("key", name)
+        placed = rows.join(sizes, "key").join(bits, "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)))
+        return placed.groupBy("key", "block").agg(F.collect_list(F.struct("fp", "more")).alias(name)).select("key", name)
 
     inward = cut_lineage(probes.join(crowded, "key", "left_semi"))
     looking = cut_lineage(inward.groupBy("key").agg(F.count("*").alias("n")))
     pairs = blocks(inward, looking, "x").join(blocks(index, crowded, "y"), "key").select("x", "y")
-    hot = pairs.mapInArrow(lambda x: _forests(x, distance, forest), "a long, b long").where(F.col("a") != F.col("b"))
+    hot = pairs.mapInArrow(lambda x: _forests(x, distance, apart), "a long, b long").where(F.col("a") != F.col("b"))
     return cold.unionByName(hot)
 
 
@@ -357,12 +373,13 @@ def near_components(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
     return printed.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, close: int = 4, distance: int = 12) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, close: int = 4, distance: int = 14, slack: float | None = None) -> DataFrame:
     """Rows (doc_id, component_id), one for each row of ``docs`` with an id, grouping texts whose shingles have at least ``similarity``.
 
     The share of differing bits of two fingerprints estimates the angle of their shingle counts, hence their Jaccard similarity s:
     cos(angle) = 2 s / (1 + s).  Fingerprints within ``close`` bits are grouped first, which leaves one of each crowd of
-    copies.  Of these, pairs within ``distance`` of 64 bits are candidates, and ``MORE * 64`` further bits verify them.
+    copies.  Of these, pairs within ``distance`` of 64 bits are candidates, and ``MORE * 64`` further bits verify them, with ``slack``
+    standard deviations of the estimate allowed.
     """
     @F.pandas_udf("array<long>")
     def prints(text: pd.Series) -> pd.Series:
@@ -375,12 +392,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, clos
     grouped = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     grouped = cut_lineage(grouped)
     heads = cut_lineage(grouped.where(F.col("fp") == F.col("root")).select("fp", F.col("first.more").alias("more")))
-    links = near_links(heads.select("fp"), distance, forest=False)
-    most = int(BITS * MORE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    a, b = heads.select(F.col("fp").alias("a"), F.col("more").alias("ma")), heads.select(F.col("fp").alias("b"), F.col("more").alias("mb"))
-    apart = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MORE)), F.lit(0))
-    verified = links.distinct().join(a, "a").join(b, "b").where(apart <= most).select("a", "b")
-    tops = components(verified)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = int(BITS * MORE * share + (SLACK if slack is None else slack) * math.sqrt(BITS * MORE * share * (1 - share)))
+    tops = components(near_links(heads, distance, most))
     final = grouped.join(tops, grouped["root"] == tops["node"], "left").select("fp", "first.doc_id", F.coalesce(tops["root"], grouped["root"]).alias("top"))
     final = cut_lineage(final)
     least = final.groupBy("top").agg(F.min("doc_id").alias("component_id"))
