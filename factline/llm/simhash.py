@@ -33,7 +33,7 @@ BITS = 64
 SEED = 42
 #: Fingerprints that share one value of a part and are still compared by a plain join; more, if CROWD times as many as evenly
 #: spread ones would.
-COLD, CROWD = 64, 16
+COLD, CROWD = 64, 2
 #: Fingerprints in a block of a crowded value.
 BLOCK = 2048
 #: Rows looked at in a join that cost as much as one probe that is shuffled.
@@ -373,7 +373,7 @@ def near_components(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
     return printed.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, close: int = 4, distance: int = 14, slack: float | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, close: int = 4, distance: int = 12, slack: float | None = None) -> DataFrame:
     """Rows (doc_id, component_id), one for each row of ``docs`` with an id, grouping texts whose shingles have at least ``similarity``.
 
     The share of differing bits of two fingerprints estimates the angle of their shingle counts, hence their Jaccard similarity s:
