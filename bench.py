@@ -8,7 +8,7 @@ import sys
 import time
 
 from factline.plans import load_plans
-from factline.session import build_session
+from factline.session import build_session, remove_steps
 
 HEADLINE = (
     "t1_rollup_tree", "t12_level_series", "c1_fact_set_validation", "a12_folder_category_contract", "a18_vocabulary",
@@ -34,6 +34,7 @@ def main() -> None:
         plans[name].run(spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - t0, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+        remove_steps(spark)
     print(
         json.dumps(
             {

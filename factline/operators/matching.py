@@ -42,19 +42,24 @@ def prefix_join(left: DataFrame, right: DataFrame, left_path: str, right_prefix:
     return spread.join(right, F.col("_pre") == F.col(right_prefix)).drop("_pre")
 
 
+def _grams(text: str) -> Column:
+    """Distinct runs of CONTAINS_MIN characters of a column at least that long."""
+    starts = F.sequence(F.lit(1), F.length(text) - CONTAINS_MIN + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.col(text).substr(i, F.lit(CONTAINS_MIN))))
+
+
 def _contained(short: DataFrame, long: DataFrame, s: str, lg: str) -> DataFrame:
     """Pairs where ``short`` lies inside ``long`` with the required overlap.
 
-    The first 16 characters of the short label must start inside the slack of the long one, so both
-    sides meet on a 16-gram; the full test runs on the few pairs that share it.
+    A label that contains another has all its runs of 16 characters, so the short label meets only those that share its rarest
+    run; a start that very many labels have in common pairs nothing by itself.  The full test runs on the few pairs that are left.
     """
-    slack = F.floor(F.length(lg) * (1 - CONTAINS_RATIO) + 1e-9).cast("int")
-    last = F.least(slack, F.length(lg) - CONTAINS_MIN)
-    grams = long.where(F.length(lg) >= CONTAINS_MIN).withColumn(
-        "_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.col(lg).substr(i + 1, F.lit(CONTAINS_MIN)))))
-    )
-    heads = short.where(F.length(s) >= CONTAINS_MIN).withColumn("_g", F.substring(s, 1, CONTAINS_MIN))
-    pairs = heads.join(grams, "_g").drop("_g")
+    spread = long.where(F.length(lg) >= CONTAINS_MIN).withColumn("_g", F.explode(_grams(lg)))
+    often = spread.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = short.where(F.length(s) >= CONTAINS_MIN).select(F.col(s).alias("_s"), F.explode(_grams(s)).alias("_g")).distinct()
+    # a run that no long label has comes first, and then meets nothing
+    rarest = own.join(often, "_g", "left").groupBy("_s").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), F.col("_g"))).alias("_g"))
+    pairs = short.join(rarest, F.col(s) == F.col("_s")).drop("_s").join(spread, "_g").drop("_g")
     return pairs.where(F.col(lg).contains(F.col(s)) & (F.length(s) / F.length(lg) >= CONTAINS_RATIO))
 
 
@@ -68,9 +73,10 @@ def ranked_parent(
     path: str = "path",
     priority: str = "priority",
 ) -> DataFrame:
-    """Parent path per label: seed, exact leaf, contained leaf, then agency prefix.
+    """Parent path per label: seed, exact leaf, contained leaf, then the function of an agency it starts with or names.
 
-    Within a tier the lowest source priority wins, then the lesser path.
+    Within a tier the lowest source priority wins, then the lesser path.  A function that is a leaf itself stands for that leaf's
+    path.
     """
     base = labels.select(label).distinct()
     seed_map = F.create_map(*[F.lit(x) for kv in seeds.items() for x in kv])
@@ -89,13 +95,16 @@ def ranked_parent(
     )
     fallback = none
     for prefix, function in reversed(list(agencies)):
-        fallback = F.when(F.col(label).startswith(prefix), function).otherwise(fallback)
+        named = F.concat(F.lit(" "), F.col(label), F.lit(" ")).contains(f" {prefix.strip()} ")
+        fallback = F.when(F.col(label).startswith(prefix) | named, function).otherwise(fallback)
     agency = base.withColumn("_a", fallback).where(F.col("_a").isNotNull())
+    paths = keyed.select(F.col(leaf).alias("_leaf"), F.col(path).alias("_path"))
+    agency = agency.join(paths, F.lower("_a") == F.col("_leaf"), "left")
     found = (
         tier(seeded, 0, F.lit("seed"), F.col("_s"), F.lit(0))
         .unionByName(tier(exact, 1, F.lit("exact_leaf"), F.col(path), F.col(priority)))
         .unionByName(tier(inside, 2, F.lit("contains_leaf"), F.col(path), F.col(priority)))
-        .unionByName(tier(agency, 3, F.concat(F.lit("agency:"), F.col("_a")), F.col("_a"), F.lit(0)))
+        .unionByName(tier(agency, 3, F.concat(F.lit("agency:"), F.col("_a")), F.coalesce("_path", "_a"), F.lit(0)))
     )
     best = found.groupBy(label).agg(F.min("c").alias("c"))
     return labels.join(best, label, "left").select(

@@ -54,9 +54,9 @@ def prune_totals(own: DataFrame, keys: Sequence[str]) -> DataFrame:
         prefix_rows(own.select(*keys, "path"))
         .where(~F.element_at("prefix", -1).rlike(TOTAL))
         .select(*keys, F.slice("prefix", F.lit(1), F.col("depth") - 1).alias("parent"))
-        .distinct()
     )
-    losing = wanted.join(siblings, [*keys, "parent"], "left_semi")
+    # the few parents of totals sift the prefixes before anything is made distinct
+    losing = siblings.join(wanted, [*keys, "parent"], "left_semi").distinct()
     bad = suspects.join(losing, [*keys, "parent"], "left_semi").select(*keys, "path").distinct()
     return own.join(bad, [*keys, "path"], "left_anti")
 
@@ -149,6 +149,31 @@ def named_total(leaf: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return hit.groupBy(*keys).agg(F.sum("own").alias("value"), F.max("fact_id").alias("fact_id"))
 
 
+def drill_path(nodes: DataFrame, keys: Sequence[str], wanted: DataFrame, fact: str = "fact_id", name: str = "name") -> DataFrame:
+    """Path to one node of each tree: that of the ``wanted`` fact id; else the deepest one whose name matches ``wanted``'s.
+
+    ``wanted`` has a row per tree with ``want_fact`` and ``want_name``, either may be null.  A name matches if it contains the other or
+    lies in it.
+    """
+    keys = list(keys)
+    j = nodes.join(wanted, keys).withColumn("_n", F.lower(F.trim(F.element_at("path", -1)))).withColumn("_w", F.lower(F.trim("want_name")))
+    exact = F.coalesce(F.col(fact) == F.col("want_fact"), F.lit(False))
+    named = F.coalesce((F.col("_w") != "") & (F.contains("_n", F.col("_w")) | F.contains("_w", F.col("_n"))), F.lit(False))
+    hit = j.where(exact | named).groupBy(*keys).agg(F.max(F.struct(exact.alias("exact"), F.col("depth"), path_text().alias("path"))).alias("_b"))
+    return hit.select(*keys, "_b.path", "_b.depth", "_b.exact")
+
+
+def side_by_side(nodes: DataFrame, level: str = "level", year: str = "financial_year", lone: str = "federal") -> DataFrame:
+    """Trees of all levels below a root of value zero; the single jurisdiction of the level ``lone`` is taken off its paths.
+
+    Rows (year, level, depth, path, value); the levels themselves are never added up.
+    """
+    tops = nodes.where(F.col("depth") == 1).groupBy(level, year).agg(F.count(F.lit(1)).alias("_tops"))
+    j = nodes.join(tops, [level, year]).withColumn("_cut", F.when((F.col(level) == lone) & (F.col("_tops") == 1), 1).otherwise(0))
+    cut = j.withColumn("path", F.slice("path", F.col("_cut") + 1, F.size("path"))).withColumn("depth", F.col("depth") - F.col("_cut"))
+    return cut.where(F.col("depth") > 0).select(year, level, "depth", "path", "value")
+
+
 def with_parent_path(nodes: DataFrame, path: str = "path") -> DataFrame:
     return nodes.withColumn("parent_path", F.slice(F.col(path), F.lit(1), F.greatest(F.size(path) - 1, F.lit(0))))
 

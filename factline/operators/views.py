@@ -175,14 +175,6 @@ def source_path(
     )
 
 
-def fact_tree(facts: DataFrame, mode: str, valuation: str | None = None) -> DataFrame:
-    """Nodes of every level and year of a mode at once."""
-    rows = with_preferred_basis(mode_rows(facts, mode), ["level", "financial_year"]) if mode == "actuals" else mode_rows(facts, mode)
-    rows = valuation_rows(good_quality(economy_rows(rows, mode)), valuation)
-    rows = rows.withColumn("path", F.concat(F.array("jurisdiction"), T.split_path(F.col("node_name"))))
-    return T.tree(rows, ["level", "financial_year"])
-
-
 def additive_children(nodes: DataFrame, name: str = "name", value: str = "value", kind: str = "kind") -> DataFrame:
     """Children that count in their parent: related rows only when they are neither empty nor folders."""
     folder = F.lit(False)

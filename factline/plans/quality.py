@@ -13,6 +13,7 @@ from factline.quality import coverage as CO
 from factline.quality import hygiene as H
 from factline.quality import integrity as I
 from factline.quality import reconcile as R
+from factline.session import cut_lineage
 
 # Label shapes made from parts; each shape has a known class.
 LABEL_SQL = """lab AS (SELECT p_partkey, p_type, p_brand, p_size, CASE p_size % 13
@@ -67,7 +68,9 @@ def p42_lines(m: Model):
         .when(rejection == "embedded_bare_numeric_run", "run")
         .otherwise("rest")
     )
-    return L.with_class(m.text_lines, F.col("text")).groupBy(first.alias("first_test")).agg(F.count(F.lit(1)).alias("n"))
+    # equal lines are classified once, and the shuffle that finds them deals the rest evenly
+    lines = m.text_lines.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    return L.with_class(lines, F.col("text")).groupBy(first.alias("first_test")).agg(F.sum("n").alias("n"))
 
 
 @plan("p43_classified_segment", sql("WITH " + LABEL_SQL + """ SELECT CASE WHEN p_size % 13 = 10 THEN label ELSE label END AS segment, count(*) AS n FROM lab GROUP BY ALL"""))
@@ -449,6 +452,32 @@ def q20(m: Model):
     return out.select("source_id", F.col("seen").alias("n_facts"), "status")
 
 
+@plan(
+    "q20_coverage_reasons",
+    sql(
+        "WITH " + SOURCE_SQL + """, k AS (SELECT *, CASE WHEN n_docs < 40 THEN 0 ELSE n_docs END AS files, CASE WHEN source_id = 'src4' THEN (SELECT n_facts FROM sr WHERE source_id = 'src5') WHEN source_id = 'src6' THEN n_docs WHEN source_id IN ('src7', 'src8') THEN 0 ELSE n_facts END AS facts FROM sr)
+SELECT source_id, facts AS n_facts, CASE WHEN source_id = 'src0' THEN 'officially_unavailable' WHEN source_id = 'src4' THEN 'duplicate_source' WHEN files = 0 THEN 'not_acquired' WHEN source_id LIKE '%src1%' THEN 'fully_ingested' WHEN facts > 0 AND has_mapping THEN 'fully_ingested' WHEN facts > 0 THEN 'partially_ingested' WHEN has_mapping THEN 'adapter_broken' ELSE 'adapter_missing' END AS status,
+ CASE WHEN facts > 0 THEN NULL WHEN source_id = 'src0' THEN 'no_public_bulk_export' WHEN source_id = 'src4' THEN 'canonical=src5' WHEN files = 0 THEN 'no_latest_json' WHEN has_mapping THEN 'mapping_or_adapter_exists_but_zero_facts' ELSE 'acquired_on_disk_no_ingest_wiring' END AS reason_for_zero_facts,
+ CASE WHEN source_id = 'src0' THEN 'leave_as_no_bulk' WHEN source_id = 'src4' THEN 'do_not_double_ingest' WHEN files = 0 THEN 'acquire_or_exclude' WHEN source_id LIKE '%src1%' THEN 'maintain_family_adapter' WHEN facts > 0 AND has_mapping THEN 'maintain' WHEN facts > 0 THEN 'add_explicit_mapping' WHEN has_mapping THEN 'fix_or_re_run_adapter' ELSE 'build_adapter' END AS next_action FROM k"""
+    ),
+)
+def q20_reasons(m: Model):
+    """Families by part of the id, format and loaded facts; one alias, one source known only as an origin, two without facts."""
+    s = m.once("sources", lambda m: cut_lineage(sources(m)))
+    counts = s.select(F.col("source_id").alias("source_key"), F.col("n_facts").alias("n"))
+    origins = s.where("source_id = 'src6'").select(F.col("source_id").alias("source_key"), F.col("n_docs").alias("n"))
+    datasets = [
+        {"dataset_id": "none", "prefixes": ["src"], "formats": ["pdf"], "keys": ["src5"]},
+        {"dataset_id": "empty", "prefixes": ["src"], "formats": [], "keys": ["nothing"]},
+        {"dataset_id": "ones", "prefixes": ["src1"], "formats": ["csv", "xlsx"], "keys": ["src5", "src9"], "status": "fully_ingested"},
+    ]
+    own = F.when(F.col("source_id").isin("src4", "src6", "src7", "src8"), 0).otherwise(F.col("n_facts")).alias("n_facts")
+    rows = s.select("source_id", F.when(F.col("n_docs") < 40, 0).otherwise(F.col("n_docs")).alias("n_files"), own, "has_mapping", F.array(F.lit("csv")).alias("formats"))
+    rows = CO.with_alias_and_origin_counts(rows, {"src4": "src5"}, counts, origins)
+    out = CO.classify_sources(CO.family_adapters(rows, datasets, counts), ["src0"], [], {"src4": "src5"})
+    return out.select("source_id", F.col("n_facts").cast("long").alias("n_facts"), "status", "reason_for_zero_facts", "next_action")
+
+
 @plan(
     "q21_lineage_coverage",
     sql(

@@ -301,7 +301,7 @@ c AS (SELECT label, 0 AS tier, 0 AS rk, 'seeded' AS parent, 'seed' AS quality FR
  UNION ALL SELECT label, 1, b.p, b.q, 'exact_leaf' FROM lab JOIN nd ON label = leaf
  UNION ALL SELECT label, 2, b.p, b.q, 'contains_leaf' FROM lab, nd WHERE length(label) >= 16 AND length(leaf) >= 16 AND (contains(label, leaf) OR contains(leaf, label))
    AND least(length(label), length(leaf)) / greatest(length(label), length(leaf)) >= 0.72
- UNION ALL SELECT label, 3, 0, 'Small goods', 'agency:Small goods' FROM lab WHERE label LIKE 'small%'),
+ UNION ALL SELECT label, 3, 0, coalesce((SELECT b.q FROM nd WHERE leaf = lower(fn)), fn), 'agency:' || fn FROM (SELECT label, CASE WHEN label LIKE 'small%' OR contains(' ' || label || ' ', ' small ') THEN 'Small goods' WHEN label LIKE 'ring%' OR contains(' ' || label || ' ', ' ring ') THEN 'Brand#11 blue rod' END AS fn FROM lab) WHERE fn IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, rk, parent) AS n FROM c)
 SELECT lab.label, parent, coalesce(quality, 'unmatched') AS quality FROM lab LEFT JOIN r ON r.label = lab.label AND n = 1"""
     ),
@@ -317,7 +317,7 @@ def j10(m: Model):
     nodes = p.where("p_size > 25").select(
         short.alias("leaf"), F.concat_ws(T.SEP, "p_type", "p_name").alias("path"), (F.col("p_size") % 3).alias("priority")
     )
-    return matching.ranked_parent(labels, nodes, {"economy brand#17 red widget": "seeded"}, [("small", "Small goods")])
+    return matching.ranked_parent(labels, nodes, {"economy brand#17 red widget": "seeded"}, [("small", "Small goods"), ("ring", "Brand#11 blue rod")])
 
 
 @plan(

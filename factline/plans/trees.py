@@ -496,6 +496,39 @@ def t20(m: Model):
     )
 
 
+@plan(
+    "t20_drill_to_fact",
+    sql(
+        "WITH " + tree_ctes("l", ACTUAL) + """, w AS (SELECT level, financial_year, CASE WHEN level <> 'state' THEN max(fact_id) FILTER (WHERE depth = 2) END AS wf FROM nodes GROUP BY level, financial_year),
+hit AS (SELECT level, financial_year, coalesce(fact_id = wf, false) AS exact, depth, array_to_string(path, ' / ') AS path FROM nodes JOIN w USING (level, financial_year) WHERE coalesce(fact_id = wf, false) OR contains(lower(path[depth]), 'red bolt') OR contains('red bolt', lower(path[depth])))
+SELECT level, financial_year, arg_max(path, {'e': exact, 'd': depth, 'p': path}) AS path, arg_max(depth, {'e': exact, 'd': depth, 'p': path}) AS depth, max(exact) AS exact FROM hit GROUP BY ALL""",
+        "l",
+    ),
+)
+def t20_fact(m: Model):
+    """A fact of the second layer wins over deeper nodes with the name; one level asks by name alone."""
+    nodes = T.tree(line_paths(m), LK)
+    second = F.max(F.when(F.col("depth") == 2, F.col("fact_id")))
+    wanted = nodes.groupBy(*LK).agg(second.alias("f")).select(*LK, F.when(F.col("level") != "state", F.col("f")).alias("want_fact"), F.lit("red bolt").alias("want_name"))
+    return T.drill_path(nodes, LK, wanted)
+
+
+@plan(
+    "t14_combined_trees",
+    sql(
+        "WITH " + tree_ctes("f", "measure_type = 'expense_actual' AND (level <> 'federal' OR jurisdiction = (SELECT min(jurisdiction) FROM f WHERE level = 'federal'))") + """
+SELECT financial_year, level, CAST(CASE WHEN level = 'federal' THEN depth - 1 ELSE depth END AS INTEGER) AS depth, array_to_string(CASE WHEN level = 'federal' THEN path[2:] ELSE path END, ' / ') AS path, round(value, 2) AS value FROM nodes WHERE level <> 'federal' OR depth > 1""",
+        "f",
+    ),
+)
+def t14_trees(m: Model):
+    """Whole trees beside each other; the federal level is cut to one jurisdiction, which is then taken off its paths."""
+    one = m.facts.where("level = 'federal'").agg(F.min("jurisdiction")).scalar()
+    rows = m.facts.where((F.col("measure_type") == "expense_actual")).withColumn("_one", one).where("level <> 'federal' or jurisdiction = _one")
+    nodes = T.tree(rows.withColumn("path", F.concat(F.array("jurisdiction"), T.split_path(F.col("node_name")))), LK)
+    return T.side_by_side(nodes).select("financial_year", "level", "depth", T.path_text().alias("path"), F.round("value", 2).alias("value"))
+
+
 # Monthly year-to-date series made from events: one measure per event type, one jurisdiction per user block.
 MEASURE_KINDS = {
     "ytd_click": "flow", "ytd_view": "flow", "ytd_purchase": "balance", "ytd_error": "stock", "ytd_signup": "stock_balance",

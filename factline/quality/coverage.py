@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,28 +64,72 @@ def value_rank(source):
     return out
 
 
-def classify_sources(rows: DataFrame, no_bulk=(), reference=(), aliases=(), aggregator_prefix: str = "federal_pbs_", own_adapter=()) -> DataFrame:
-    """Ingestion status by ordered rules.
+def family_adapters(rows: DataFrame, datasets: Sequence[Mapping], fact_counts: DataFrame) -> DataFrame:
+    """Add ``family`` and ``family_status``: the declared dataset whose shared adapter serves a source, if it has loaded facts.
+
+    A dataset names parts of source ids (``prefixes``), formats it handles (none: all), the keys its facts have, and its status; the
+    first that fits counts.  ``rows`` have ``source_id`` and ``formats``, an array; ``fact_counts`` have ``source_key`` and ``n``.
+    """
+    family, status = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for ds in reversed(list(datasets)):
+        named = F.lit(False)
+        for part in ds["prefixes"]:
+            named = named | F.col("source_id").contains(part)
+        handled = F.arrays_overlap("formats", F.array(*[F.lit(f) for f in ds["formats"]])) if ds.get("formats") else F.lit(True)
+        loaded = fact_counts.where(F.col("source_key").isin(*ds["keys"])).agg(F.coalesce(F.sum("n"), F.lit(0)) > 0).scalar()
+        fits = named & F.coalesce(handled, F.lit(False)) & loaded
+        family = F.when(fits, ds["dataset_id"]).otherwise(family)
+        status = F.when(fits, ds.get("status") or "partially_ingested").otherwise(status)
+    return rows.withColumn("family", family).withColumn("family_status", status)
+
+
+def with_alias_and_origin_counts(rows: DataFrame, aliases: Mapping[str, str], fact_counts: DataFrame, origin_counts: DataFrame) -> DataFrame:
+    """Facts of sources that have none of their own: those of the source they duplicate, else those that name them as origin."""
+    pairs = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]) if aliases else None
+    canonical = F.try_element_at(pairs, F.col("source_id")) if aliases else F.lit(None).cast("string")
+    j = rows.withColumn("canonical_of", canonical)
+    j = j.join(fact_counts.select(F.col("source_key").alias("canonical_of"), F.col("n").alias("_alias")), "canonical_of", "left")
+    j = j.join(origin_counts.select(F.col("source_key").alias("source_id"), F.col("n").alias("_origin")), "source_id", "left")
+    own = F.nullif(F.col("n_facts"), F.lit(0))
+    return j.withColumn("n_facts", F.coalesce(own, F.col("_alias"), F.col("_origin"), F.lit(0))).drop("_alias", "_origin")
+
+
+def classify_sources(
+    rows: DataFrame, no_bulk=(), reference=(), aliases: Mapping[str, str] | Sequence[str] = (), aggregator_prefix: str = "federal_pbs_", own_adapter=()
+) -> DataFrame:
+    """Ingestion status by ordered rules, why there are no facts, what to do next, and the rank of the source's value.
 
     Needs ``source_id, n_files, n_facts, has_mapping, family_status`` (the status a shared adapter of the
-    source's family declares, else null).
+    source's family declares, else null) and may have ``family``, that adapter's dataset.
     """
     sid = F.col("source_id")
     files, facts, mapped = F.col("n_files") > 0, F.col("n_facts") > 0, F.col("has_mapping")
     shared = sid.startswith(aggregator_prefix) & ~sid.isin(*own_adapter) if own_adapter else sid.startswith(aggregator_prefix)
-    status = (
-        F.when(sid.isin(*no_bulk), "officially_unavailable")
-        .when(sid.isin(*reference) & files, "reference_only")
-        .when(sid.isin(*aliases), "duplicate_source")
-        .when(~files, "not_acquired")
-        .when(F.col("family_status").isNotNull(), F.col("family_status"))
-        .when(facts & mapped & shared, "partially_ingested")
-        .when(facts & mapped, "fully_ingested")
-        .when(facts, "partially_ingested")
-        .when(mapped, "adapter_broken")
-        .otherwise("adapter_missing")
+    family = F.col("family") if "family" in rows.columns else F.lit(None).cast("string")
+    canonical = F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), sid) if isinstance(aliases, Mapping) and aliases else F.lit("")
+
+    def verdict(status, reason, action):
+        as_column = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+        return F.struct(as_column(status).alias("status"), as_column(reason).alias("reason"), as_column(action).alias("action"))
+
+    # Statuses, reasons and actions.
+    v = (
+        F.when(sid.isin(*no_bulk), verdict("officially_unavailable", "no_public_bulk_export", "leave_as_no_bulk"))
+        .when(sid.isin(*reference) & files, verdict("reference_only", "classification_or_index_asset_not_fiscal_time_series", "keep_as_reference"))
+        .when(sid.isin(*aliases), verdict("duplicate_source", F.concat(F.lit("canonical="), canonical), "do_not_double_ingest"))
+        .when(~files, verdict("not_acquired", "no_latest_json", "acquire_or_exclude"))
+        .when(F.col("family_status").isNotNull(), verdict(F.col("family_status"), F.concat(F.lit("covered_via_family_adapter:"), F.coalesce(family, F.lit(""))), "maintain_family_adapter"))
+        .when(facts & mapped & shared, verdict("partially_ingested", "covered_via_pbs_programs_all_aggregator", "improve_per_portfolio_lineage"))
+        .when(facts & mapped, verdict("fully_ingested", None, "maintain"))
+        .when(facts, verdict("partially_ingested", "facts_present_without_dedicated_mapping_file", "add_explicit_mapping"))
+        .when(mapped, verdict("adapter_broken", "mapping_or_adapter_exists_but_zero_facts", "fix_or_re_run_adapter"))
+        .otherwise(verdict("adapter_missing", "acquired_on_disk_no_ingest_wiring", "build_adapter"))
     )
-    return rows.withColumn("status", status)
+    out = rows.withColumn("_v", v).withColumn("_r", value_rank(sid))
+    return out.select(
+        *rows.columns, F.col("_v.status").alias("status"), F.when(~facts, F.col("_v.reason")).alias("reason_for_zero_facts"), F.col("_v.action").alias("next_action"),
+        F.col("_r.rank").alias("value_rank"), F.col("_r.bucket").alias("value_bucket"),
+    )
 
 
 def lineage_coverage(datasets: DataFrame, facts: DataFrame) -> DataFrame:

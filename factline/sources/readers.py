@@ -12,8 +12,6 @@ AWARD_SCHEMA = (
     "ocid string, date string, awards array<struct<id:string,title:string,date:string,"
     "value:struct<amount:double,currency:string>,suppliers:array<struct<name:string>>,buyer:struct<name:string>>>"
 )
-CELL_SCHEMA = "source_id string, sheet string, row_no int, col_no int, value string"
-LINE_SCHEMA = "source_id string, page int, line_no int, text string"
 
 
 def read_register(spark: SparkSession, path: str | Sequence[str], fmt: str, schema: str | None = None) -> DataFrame:
@@ -35,11 +33,6 @@ def read_awards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AWARD_SCHEMA).json(path)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Long cell table of header-less sheets; a row and column number address every value."""
-    return spark.read.schema(CELL_SCHEMA).parquet(path)
-
-
 def read_corpus(spark: SparkSession, pattern: str, fmt: str = "text") -> DataFrame:
     """Many files as one frame, each row with the file it came from."""
     return spark.read.format(fmt).load(pattern).select("*", F.col("_metadata.file_path").alias("file_path"))

@@ -10,6 +10,7 @@ from factline.operators import discovery as D
 from factline.operators import loading
 from factline.operators import registers as R
 from factline.operators import textlines as T
+from factline.operators import tree as TR
 from factline.operators import views as V
 from factline.quality import coverage as CO
 from factline.sources import mapping as M
@@ -120,3 +121,19 @@ def test_new_ids_must_not_clash(spark):
     clash = have.withColumn("id", loading.surrogate(F.lit("a")))
     with pytest.raises(ValueError):
         loading.get_or_create(clash, wanted, "k", "id")
+
+
+def test_drilling_prefers_the_fact(spark):
+    nodes = spark.createDataFrame([("k", 1, ["A"], None, 5.0), ("k", 2, ["A", "health"], 7, 2.0), ("k", 3, ["A", "x", "Health care"], 8, 3.0)], "level string, depth int, path array<string>, fact_id long, value double")
+    want = lambda f, n: spark.createDataFrame([("k", f, n)], "level string, want_fact long, want_name string")
+    got = lambda f, n: [tuple(r) for r in TR.drill_path(nodes, ["level"], want(f, n)).collect()]
+    assert got(7, "care") == [("k", "A / health", 2, True)]
+    assert got(99, "health") == [("k", "A / x / Health care", 3, False)]
+    assert got(None, None) == []
+
+
+def test_a_lone_federal_jurisdiction_is_taken_off(spark):
+    s = "level string, financial_year string, depth int, path array<string>, value double"
+    rows = [("federal", "y", 1, ["C"], 3.0), ("federal", "y", 2, ["C", "h"], 3.0), ("state", "y", 1, ["S"], 4.0), ("federal", "z", 1, ["C"], 1.0), ("federal", "z", 1, ["D"], 1.0)]
+    out = {(r.level, r.financial_year, *r.path): r.value for r in TR.side_by_side(spark.createDataFrame(rows, s)).collect()}
+    assert out == {("federal", "y", "h"): 3.0, ("state", "y", "S"): 4.0, ("federal", "z", "C"): 1.0, ("federal", "z", "D"): 1.0}

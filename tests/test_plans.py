@@ -9,7 +9,7 @@ NAMES = ["t6_preferred_basis", "c1_fact_set_validation", "a12_folder_category_co
     "p4_attribution_per_row", "p13_messy_dates", "p27_sectioned_csv_split", "p46_link_discovery", "p44_portfolio_remap", "p35_labelled_rows_by_section", "p45_prefer_program_totals", "p34_program_tables",
     "l7_statement_reasons", "l6_document_and_retrieval_dimensions", "s1_csv_scan", "s4_json_release_scan", "s6_corpus_scan_with_provenance", "s7_fact_table_after_merge", "s8_quarantine_rows", "s9_staging_rows",
     "q30_workbook_inventory", "q31_handoff_status", "e7_spending_postings", "e11_vocabulary_ranking", "e13_unified_search_all", "e6_facts_by_id", "g7_same_group_descent", "g15_crosswalk_edges", "g19_hierarchy_rollup",
-    "w7_stride_sample", "w10_backlog_ranking", "t1_preserved_amounts", "t16_nestable_children"]
+    "w7_stride_sample", "w10_backlog_ranking", "t1_preserved_amounts", "t16_nestable_children", "t14_combined_trees", "t20_drill_to_fact", "q20_coverage_reasons", "p42_document_line_classes"]
 
 
 def norm(v):
