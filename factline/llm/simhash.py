@@ -1,4 +1,4 @@
-"""SimHash fingerprints and their near pairs by the generalised pigeonhole principle.
+"""SimHash fingerprints and their near pairs by the generalised pigeonhole principle; groups of texts by exact similarity.
 
 The 64 bits are dealt to ``m`` parts, bits that go together into the same part.  If a fingerprint x probes part i with
 radius t_i and the radii add up to ``distance - m + 1`` (a part may be left out with radius -1), then every y within
@@ -9,11 +9,13 @@ it will look at smallest; parts where it shares its value with very many others
 Candidates are verified on all 64 bits.  Only one row per distinct fingerprint takes part, so copies of a text
 cost one aggregate.  Values that still gather many fingerprints are compared block against block, each pair of blocks in a
 task of its own, and a block pair returns a spanning forest of its links instead of all of them.
+
+``near_groups`` links texts by the Jaccard similarity of their shingle sets.  Every distinct set takes part, not one of a group.  Sets
+meet in buckets of equal minima of ROWS hashes, in any of BANDS bands; those that meet are compared shingle by shingle.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -38,10 +40,12 @@ COLD, CROWD = 64, 2
 BLOCK = 2048
 #: Rows looked at in a join that cost as much as one probe that is shuffled.
 PROBE = 100
-#: Longs of further bits that verify a link of documents.
-MORE = 16
-#: Standard deviations of the estimated similarity by which a pair may fall short.
-SLACK = 1.0
+#: Sets of similarity s meet with chance 1 - (1 - s ** ROWS) ** BANDS: 0.99993 at 0.8.
+BANDS, ROWS = 24, 5
+#: Sets in a bucket that are still compared pair by pair, and in a block of a larger bucket.
+PAIRED, SETS = 32, 512
+#: Columns of an incidence matrix that are multiplied at a time.
+COLUMNS = 4096
 #: A value held by more than a 1/HEAVY of all fingerprints is known to the estimate by itself; there are at most HEAVY a part.
 HEAVY = 1000
 
@@ -77,17 +81,6 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def wide_fingerprint(text: str | None, shingle: int, more: int = MORE) -> list[int]:
-    """The fingerprint and ``more`` further ones, of the hashes mixed anew."""
-    hashes = shingle_hashes(text, shingle)
-    out = [majority(hashes)]
-    for i in range(more):
-        x = (hashes + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
-
-
 def with_fingerprint(docs: DataFrame, shingle: int, column: str = "_fp") -> DataFrame:
     @F.pandas_udf("long")
     def fingerprints(text: pd.Series) -> pd.Series:
@@ -272,31 +265,22 @@ def _probes(batches: Iterator[pa.RecordBatch], parts: Parts, distance: int) -> I
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(signed[use], len(some)))], ["key", "fp"])
 
 
-def _forests(batches: Iterator[pa.RecordBatch], distance: int, apart: int | None) -> Iterator[pa.RecordBatch]:
+def _forests(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks (x, y) a forest of links (a, b) with the components of all links between the two blocks.
 
-    Blocks hold (fp, more); with ``apart`` a link also needs that many differing bits of ``more`` at most.  A pair of blocks gives
-    at most |x| + |y| links.
+    A pair of blocks gives at most |x| + |y| links.
     """
     for batch in batches:
         a, b = [], []
         for x, y in zip(batch.column(0), batch.column(1), strict=True):
-            (x, more_x), (y, more_y) = (_block(side.values) for side in (x, y))
+            x, y = (side.values.to_numpy(zero_copy_only=False) for side in (x, y))
             near = np.bitwise_count(x.astype(np.uint64)[:, None] ^ y.astype(np.uint64)[None, :]) <= distance
-            if apart is not None:
-                p, q = np.nonzero(near)
-                near[p, q] = np.bitwise_count(more_x[p] ^ more_y[q]).sum(axis=1) <= apart
             for p, q in spanning(near):
                 a.append(x[p])
                 b.append(y[q])
         yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
 
 
-def _block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    fp, more = rows.flatten()
-    return fp.to_numpy(zero_copy_only=False), more.flatten().to_numpy(zero_copy_only=False).astype(np.uint64).reshape(len(fp), -1)
-
-
 def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     """A forest with the components of the bipartite graph ``near``, breadth first: each member is reached once."""
     rows, cols = np.arange(near.shape[0]), np.ones(near.shape[1], bool)
@@ -319,11 +303,11 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def near_links(fps: DataFrame, distance: int, apart: int | None = None) -> DataFrame:
+def near_links(fps: DataFrame, distance: int) -> DataFrame:
     """Links (a, b) of distinct fingerprints with the components of all pairs within ``distance``; ``fps`` has one row per fingerprint.
 
-    With ``apart``, ``fps`` has further bits in ``more``, of which that many may differ at most.  Values that few fingerprints share
-    give all their links, crowded ones only as many as their components need.  Within distance 0 there is nothing to link.
+    Values that few fingerprints share give all their links, crowded ones only as many as their components need.  Within distance 0
+    there is nothing to link.
     """
     if distance < 1:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
@@ -336,23 +320,18 @@ def near_links(fps: DataFrame, distance: int, apart: int | None = None) -> DataF
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     left = probes.join(crowded, "key", "left_anti") if is_crowded else probes
     cold = left.withColumnRenamed("fp", "a").join(index.withColumnRenamed("fp", "b"), "key").where((F.col("a") < F.col("b")) & (far <= distance)).select("a", "b")
-    bits = fps.select("fp", "more") if apart is not None else fps.select("fp", F.array().cast("array<long>").alias("more"))
-    if apart is not None:
-        differ = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MORE)), F.lit(0))
-        one, other = (bits.select(F.col("fp").alias(n), F.col("more").alias(f"m{n}")) for n in ("a", "b"))
-        cold = cold.distinct().join(one, "a").join(other, "b").where(differ <= apart).select("a", "b")
     if not is_crowded:
         return cold
 
     def blocks(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
         """The fingerprints of each crowded value in arrays of about BLOCK."""
-        placed = rows.join(sizes, "key").join(bits, "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)))
-        return placed.groupBy("key", "block").agg(F.collect_list(F.struct("fp", "more")).alias(name)).select("key", name)
+        placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)))
+        return placed.groupBy("key", "block").agg(F.collect_list("fp").alias(name)).select("key", name)
 
     inward = cut_lineage(probes.join(crowded, "key", "left_semi"))
     looking = cut_lineage(inward.groupBy("key").agg(F.count("*").alias("n")))
     pairs = blocks(inward, looking, "x").join(blocks(index, crowded, "y"), "key").select("x", "y")
-    hot = pairs.mapInArrow(lambda x: _forests(x, distance, apart), "a long, b long").where(F.col("a") != F.col("b"))
+    hot = pairs.mapInArrow(lambda x: _forests(x, distance), "a long, b long").where(F.col("a") != F.col("b"))
     return cold.unionByName(hot)
 
 
@@ -373,33 +352,125 @@ def near_components(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
     return printed.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, close: int = 4, distance: int = 12, slack: float | None = None) -> DataFrame:
-    """Rows (doc_id, component_id), one for each row of ``docs`` with an id, grouping texts whose shingles have at least ``similarity``.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text, as sorted hashes."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    """One signed long for a shingle set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """For each band a signed long of ROWS minima, each over the set's hashes mixed in its own way; none for an empty set."""
+    if not len(hashes):
+        return []
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        x = (hashes[at : at + 4096, None] ^ _MIX[0]) * _MIX[1]
+        x ^= x >> np.uint64(29)
+        low = np.minimum(low, (x * np.uint64(0x94D049BB133111EB)).min(axis=0))
+    rows = low.reshape(BANDS, ROWS)
+    return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), band)).astype(np.int64)) for band, r in enumerate(rows)]
+
+
+_MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``, by products of their incidence matrices."""
+    out = np.zeros((len(x), len(y)))
+    flat = [np.concatenate(side) if side else np.zeros(0, np.int64) for side in (x, y)]
+    owner = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (x, y)]
+    both = np.intersect1d(*flat)
+    at = [np.searchsorted(both, f) for f in flat]
+    shared = [np.flatnonzero(both[np.minimum(a, len(both) - 1)] == f) if len(both) else np.zeros(0, np.int64) for a, f in zip(at, flat, strict=True)]
+    for cut in range(0, len(both), COLUMNS):
+        sides = []
+        for side, a, o, keep in zip((x, y), at, owner, shared, strict=True):
+            use = keep[(a[keep] >= cut) & (a[keep] < cut + COLUMNS)]
+            has = np.zeros((len(side), min(COLUMNS, len(both) - cut)), np.float32)
+            has[o[use], a[use] - cut] = 1
+            sides.append(has)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks of (set, hashes) a forest of links with the components of all pairs of at least ``similarity``."""
+    for batch in batches:
+        a, b = [], []
+        for x, y in zip(batch.column(0), batch.column(1), strict=True):
+            (ids_x, x), (ids_y, y) = (_sets(side.values) for side in (x, y))
+            common = overlaps(x, y)
+            either = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
+            for p, q in spanning(common >= similarity * either):
+                a.append(ids_x[p])
+                b.append(ids_y[q])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
+
+
+def _sets(rows: pa.StructArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    ids, hashes = rows.flatten()
+    return ids.to_numpy(zero_copy_only=False), [h.values.to_numpy(zero_copy_only=False) for h in hashes]
+
+
+def alike_links(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of sets with the components of all met pairs of at least ``similarity``.
+
+    ``docs`` has (doc_id, text); ``sets`` one row (digest, doc_id, keys) per distinct set, with a document that has it.  Small
+    buckets give each pair once; large ones are compared block against block.
+    """
+    index = sets.select(F.explode("keys").alias("key"), "digest")
+    sizes = cut_lineage(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    met = cut_lineage(index.join(sizes, "key"))
+    each = met.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("digest").alias("own"))
+    pairs = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = cut_lineage(each.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct())
+    wanted = met.select("digest").distinct().join(sets.select("digest", "doc_id"), "digest").select(F.col("doc_id").alias("id"), F.col("digest").alias("wanted"))
+
+    @F.pandas_udf("digest long, hashes array<long>")
+    def read(text: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t, shingle) for t in text]
+        return pd.DataFrame({"digest": [set_digest(h) for h in found], "hashes": [np.sort(h.astype(np.int64)) for h in found]})
+
+    # rows with equal ids may have different texts: only those with the wanted set count
+    texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("wanted", read(F.col("text").cast("string")).alias("s"))
+    known = cut_lineage(texts.where(F.col("s.digest") == F.col("wanted")).groupBy("wanted").agg(F.any_value("s.hashes").alias("hashes")))
+    one, other = (known.select(F.col("wanted").alias(n), F.col("hashes").alias(f"h{n}")) for n in ("a", "b"))
+    common = F.size(F.array_intersect("ha", "hb"))
+    cold = pairs.join(one, "a").join(other, "b").where(common >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+    crowded = met.where(F.col("n") > PAIRED)
+    if crowded.isEmpty():
+        return cold
+    placed = crowded.join(known, F.col("digest") == F.col("wanted")).withColumn("block", F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / SETS)))
+    blocks = cut_lineage(placed.groupBy("key", "block").agg(F.collect_list(F.struct("digest", "hashes")).alias("x")))
+    right = blocks.select(F.col("key").alias("k"), F.col("block").alias("other"), F.col("x").alias("y"))
+    both = blocks.join(right, (F.col("key") == F.col("k")) & (F.col("block") <= F.col("other"))).repartition("key", "block", "other").select("x", "y")
+    hot = both.mapInArrow(lambda x: _alike(x, similarity), "a long, b long").where(F.col("a") != F.col("b"))
+    return cold.unionByName(hot)
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (doc_id, component_id), one for each row of ``docs`` with an id, grouping texts by their shingle sets.
 
-    The share of differing bits of two fingerprints estimates the angle of their shingle counts, hence their Jaccard similarity s:
-    cos(angle) = 2 s / (1 + s).  Fingerprints within ``close`` bits are grouped first, which leaves one of each crowd of
-    copies.  Of these, pairs within ``distance`` of 64 bits are candidates, and ``MORE * 64`` further bits verify them, with ``slack``
-    standard deviations of the estimate allowed.
+    Texts whose sets have a Jaccard similarity of at least ``similarity`` are linked; every link is verified exactly.  Texts
+    without words are alike.
     """
-    @F.pandas_udf("array<long>")
-    def prints(text: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t, shingle) for t in text])
-
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), prints(F.col("text").cast("string")).alias("p"))
-    printed = cut_lineage(known.select("doc_id", F.col("p")[0].alias("fp"), F.slice("p", 2, MORE).alias("more")))
-    fps = cut_lineage(printed.groupBy("fp").agg(F.min_by(F.struct("doc_id", "more"), F.struct("doc_id", F.hash("more"))).alias("first")))
-    roots = components(near_links(fps.select("fp"), close))
-    grouped = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    grouped = cut_lineage(grouped)
-    heads = cut_lineage(grouped.where(F.col("fp") == F.col("root")).select("fp", F.col("first.more").alias("more")))
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = int(BITS * MORE * share + (SLACK if slack is None else slack) * math.sqrt(BITS * MORE * share * (1 - share)))
-    tops = components(near_links(heads, distance, most))
-    final = grouped.join(tops, grouped["root"] == tops["node"], "left").select("fp", "first.doc_id", F.coalesce(tops["root"], grouped["root"]).alias("top"))
-    final = cut_lineage(final)
+    @F.pandas_udf("digest long, keys array<long>")
+    def prints(text: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t, shingle) for t in text]
+        return pd.DataFrame({"digest": [set_digest(h) for h in found], "keys": [band_keys(h) for h in found]})
+
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    printed = cut_lineage(docs.select("doc_id", prints("text").alias("p")).select("doc_id", "p.digest", "p.keys"))
+    sets = cut_lineage(printed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys")))
+    roots = components(alike_links(docs, sets, shingle, similarity))
+    final = cut_lineage(sets.join(roots, sets["digest"] == roots["node"], "left").select("digest", "doc_id", F.coalesce("root", "digest").alias("top")))
     least = final.groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    of = final.select("fp", "top").join(least, "top").select("fp", "component_id")
-    return printed.select("doc_id", "fp").join(of, "fp").select("doc_id", "component_id")
+    of = final.select("digest", "top").join(least, "top").select("digest", "component_id")
+    return printed.select("doc_id", "digest").join(of, "digest").select("doc_id", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):

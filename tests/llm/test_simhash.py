@@ -95,6 +95,41 @@ def test_groups_by_similarity(docs_of):
     assert {r["doc_id"]: r["component_id"] for r in S.near_groups(df).collect()} == {5: 3, 3: 3, 8: 3, 4: 4, 6: 6}
 
 
+def edited_pairs(rng, each):
+    """Pairs of texts with their similarity, ``each`` in every band of 0.05 from 0.65 on."""
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    bands = {k: [] for k in range(13, 20)}
+    while any(len(found) < each for found in bands.values()):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(rng.randint(60, 300))]
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), rng.randint(1, max(1, len(copy) // 20))):
+            copy[at] = f"x{rng.randrange(100_000)}"
+        alike = jaccard(grams(base), grams(copy))
+        found = bands.get(int(alike * 20))
+        if found is not None and len(found) < each:
+            found.append((" ".join(base), " ".join(copy), alike))
+    return [p for found in bands.values() for p in found]
+
+
+def check_recall(docs_of, each):
+    pairs = edited_pairs(random.Random(4), each)
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_groups(docs_of(rows)).collect()}
+    wrong = [round(p[2], 3) for i, p in enumerate(pairs) if (got[2 * i] == got[2 * i + 1]) != (p[2] >= 0.8)]
+    assert not wrong and len(got) == len(rows)
+
+
+def test_recall_in_each_band_of_similarity(docs_of):
+    check_recall(docs_of, 100)
+
+
+def test_recall_in_large_buckets(docs_of, monkeypatch):
+    monkeypatch.setattr(S, "PAIRED", 1)
+    monkeypatch.setattr(S, "SETS", 1)
+    check_recall(docs_of, 10)
+
+
 def test_components_of_long_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(7, 7), (None, 3), (200, None)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
