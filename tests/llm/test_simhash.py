@@ -130,6 +130,19 @@ def test_recall_in_large_buckets(docs_of, monkeypatch):
     check_recall(docs_of, 10)
 
 
+def test_groups_of_chained_copies_equal_brute_force(docs_of):
+    rng = random.Random(12)
+    rows, w = [], [f"w{i}" for i in range(150)]
+    for i in range(90):
+        rows.append((i, " ".join(w)))
+        w = list(w)
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert {r["doc_id"]: r["component_id"] for r in S.near_groups(docs_of(rows)).collect()} == components_of(range(len(rows)), links)
+
+
 def test_components_of_long_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(7, 7), (None, 3), (200, None)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
