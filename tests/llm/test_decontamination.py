@@ -36,6 +36,22 @@ def test_short_items_must_be_there_in_full(spark, docs_of):
     assert set(got) == {(1, 8)}
 
 
+def test_copies_whatever_the_types_of_their_words(spark, docs_of):
+    items = [(1, "What is the capital city of France and its river?"), (2, "Calculate 12 * 7 + 3 - 8 / 2"), (3, "The Old Man And The Sea By Ernest Hemingway"), (4, ITEM), (5, "Was heißt Straße auf Englisch?")]
+    rows = [(1, "so What is the capital city of France and its river? yes"), (2, "please: Calculate 12 * 7 + 3 - 8 / 2 now"), (3, "read The Old Man And The Sea By Ernest Hemingway today")]
+    rows += [(4, ITEM.upper()), (5, "and " + ITEM.lower()), (6, "x " + ITEM), (7, "WAS HEISST STRASSE AUF ENGLISCH?")]
+    rows += [(8, "Calculate 12 * 7 + 3 - 9 / 2"), (9, "what is the capital city of Spain"), (10, "the old man and the sea by ernest")]
+    got = found(spark, docs_of(rows), items)
+    assert got == {(k, v): False for k, v in ((1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 4), (7, 5))}
+
+
+def test_runs_are_judged_by_themselves(spark, docs_of):
+    first, last = " ".join(f"p{i}" for i in "abcdefghijklmno"), " ".join(f"q{i}" for i in "abcdefghi")
+    item = f"see Anna {first} then Anna {last}"
+    doc = f"see Zoe {first} gap Carl {last}"
+    assert found(spark, docs_of([(1, doc)]), [(1, item)]) == {(1, 1): True}
+
+
 def test_equals_comparing_all(spark, docs_of):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(60)]
