@@ -3,8 +3,8 @@
 Every stage takes all its predecessor kept, with its texts as they are then, and is written as Parquet in the shared
 folder before the next one reads it.  All but the last return the columns of ``documents``; n_chars follows the text.
 
-Rows with a null id stay in every stage that compares documents by id.  Rows with equal ids are one document given several
-times: near-duplicate removal keeps one of them.  An empty table passes through.
+Rows with a null id stay in every stage that compares documents by id.  Rows with equal ids and texts
+are one document given several times: near-duplicate removal keeps one of them.  If their texts differ, each is a document.  An empty table passes through.
 """
 
 from __future__ import annotations
@@ -27,11 +27,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays; of equal ids the one with the smallest hash of its text.
+
+    Of rows with equal ids and texts the least by the other columns stays.
+    """
     docs = docs.select(*COLUMNS)
     groups = simhash.near_groups(docs.select("doc_id", "text"))
-    heads = groups.select(F.col("component_id").alias("_id")).distinct()
-    kept = docs.join(heads, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    heads = groups.select(F.col("component_id").alias("_id"), F.col("first_text").alias("_text")).distinct()
+    kept = docs.join(heads, (F.col("doc_id") == F.col("_id")) & (simhash.text_key() == F.col("_text")), "left_semi")
+    kept = kept.groupBy(F.col("doc_id").alias("_id"), simhash.text_key().alias("_text")).agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
 
 
@@ -46,9 +50,11 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak an item of the benchmark go."""
-    found = decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Documents that leak an item of the benchmark go; rows with equal ids are judged by their own texts."""
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    found = decontamination.leaks(docs.select(row.alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    found = found.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.select(*COLUMNS).join(found, row == F.col("_id"), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -452,25 +452,37 @@ def alike_links(docs: DataFrame, sets: DataFrame, shingle: int, similarity: floa
     return cold.unionByName(hot)
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (doc_id, component_id), one for each row of ``docs`` with an id, grouping texts by their shingle sets.
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, close: int = 4) -> DataFrame:
+    """Rows (doc_id, component_id, first_text), one for each row of ``docs`` with an id, grouping texts by their shingle sets.
 
-    Texts whose sets have a Jaccard similarity of at least ``similarity`` are linked; every link is verified exactly.  Texts
-    without words are alike.
+    Texts whose sets have a Jaccard similarity of at least ``similarity``, verified exactly, are linked, and so are those whose
+    fingerprints, which count repeats, differ in at most ``close`` bits.  Texts without words are alike.  A group's first row has the least (doc_id, ``text_key``); component_id and first_text are these.
+    Rows with equal ids and different texts may be in different groups.
     """
-    @F.pandas_udf("digest long, keys array<long>")
+    @F.pandas_udf("fp long, digest long, keys array<long>")
     def prints(text: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(t, shingle) for t in text]
-        return pd.DataFrame({"digest": [set_digest(h) for h in found], "keys": [band_keys(h) for h in found]})
+        every = [shingle_hashes(t, shingle) for t in text]
+        found = [np.unique(h) for h in every]
+        return pd.DataFrame({"fp": [majority(h) for h in every], "digest": [set_digest(h) for h in found], "keys": [band_keys(h) for h in found]})
 
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    printed = cut_lineage(docs.select("doc_id", prints("text").alias("p")).select("doc_id", "p.digest", "p.keys"))
-    sets = cut_lineage(printed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys")))
-    roots = components(alike_links(docs, sets, shingle, similarity))
-    final = cut_lineage(sets.join(roots, sets["digest"] == roots["node"], "left").select("digest", "doc_id", F.coalesce("root", "digest").alias("top")))
-    least = final.groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    of = final.select("digest", "top").join(least, "top").select("digest", "component_id")
-    return printed.select("doc_id", "digest").join(of, "digest").select("doc_id", "component_id")
+    printed = cut_lineage(docs.select("doc_id", text_key().alias("text_key"), prints("text").alias("p")).select("doc_id", "text_key", "p.fp", "p.digest", "p.keys"))
+    first = F.min(F.struct("doc_id", "text_key"))
+    sets = cut_lineage(printed.groupBy("digest").agg(first.alias("first"), F.any_value("keys").alias("keys")).select("digest", "first.doc_id", "first.text_key", "keys"))
+    printed_sets = cut_lineage(printed.select("fp", "digest").distinct())
+    fp_roots = components(near_links(cut_lineage(printed_sets.select("fp").distinct()), close))
+    rooted = cut_lineage(printed_sets.join(fp_roots, printed_sets["fp"] == fp_roots["node"], "left").select("digest", F.coalesce("root", "fp").alias("of")))
+    close_links = rooted.join(rooted.groupBy("of").agg(F.min("digest").alias("b")), "of").select(F.col("digest").alias("a"), "b")
+    roots = components(alike_links(docs, sets, shingle, similarity).unionByName(close_links))
+    final = cut_lineage(sets.join(roots, sets["digest"] == roots["node"], "left").select("digest", "doc_id", "text_key", F.coalesce("root", "digest").alias("top")))
+    least = final.groupBy("top").agg(first.alias("first"))
+    of = final.select("digest", "top").join(least, "top").select("digest", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_text"))
+    return printed.select("doc_id", "digest").join(of, "digest").select("doc_id", "component_id", "first_text")
+
+
+def text_key(text: str = "text"):
+    """A long that tells the texts of rows with equal ids apart."""
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def fingerprint_hex(fp: str = "fp"):

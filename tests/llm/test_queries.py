@@ -82,6 +82,16 @@ def test_stages(spark, folder):
     assert sorted((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in P.source_mix(spark, clean, folder).collect()) == want
 
 
+def test_equal_ids_with_different_texts(spark, docs_of, folder):
+    one, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "vw")
+    item = read_table(spark, folder, "benchmark").where(F.length("text") > 60).first()["text"]
+    rows = [(3, one, "en", "a"), (5, one, "en", "b"), (5, other, "de", "c"), (5, other, "en", "b"), (7, other, "en", "d"), (9, item, "en", "a"), (9, one[::-1], "en", "a")]
+    for n in (1, 7):
+        near = P.near_duplicates(spark, docs_of(rows).repartition(n), folder)
+        assert sorted((r["doc_id"], r["text"], r["lang"]) for r in near.collect()) == sorted([(3, one, "en"), (5, other, "de"), (9, item, "en"), (9, one[::-1], "en")])
+    assert sorted((r["doc_id"], r["text"]) for r in P.benchmark_leaks(spark, near, folder).collect()) == sorted([(3, one), (5, other), (9, one[::-1])])
+
+
 def test_stages_take_odd_rows(spark, docs_of, folder):
     words = " ".join(f"word{i}" for i in range(60))
     rows = [(1, words, "en", "a"), (1, words, "en", "a"), (2, words, None, None), (None, words + " x", "en", "a"), (None, None), (3, None), (4, ""), (5, "long " + " ".join(f"v{i}" for i in range(30_000)), "en", "b")]
