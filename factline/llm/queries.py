@@ -88,17 +88,39 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    from factline.llm.minhash import near_classes
+
+    return near_classes(read_table(spark, folder, "documents"), shingle=2, percent=80)
+
+
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from factline.llm.negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    from factline.llm.lexical import rank_documents
+
+    return rank_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), take=20)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_simhash, op4_language, op5_chat, op6_extraction, op7_decontamination, op8_warc, op9_repeats, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_simhash, op4_language, op5_chat, op6_extraction, op7_decontamination, op8_warc, op9_repeats, op10_quality, op11_minhash, op12_negatives, op13_ranking, pipeline)}
 
 
 def sql() -> dict[str, str]:
     from factline.llm.chat import ROTATE_SQL
+    from factline.llm.lexical import RANK_SQL
+    from factline.llm.minhash import CLASSES_SQL
     from factline.llm.mixing import MIX_SQL
+    from factline.llm.negatives import HARD_NEGATIVES_SQL
 
-    return {"op1_mixing": MIX_SQL, "op5_chat": ROTATE_SQL}
+    return {"op1_mixing": MIX_SQL, "op5_chat": ROTATE_SQL, "op11_minhash": CLASSES_SQL, "op12_negatives": HARD_NEGATIVES_SQL, "op13_ranking": RANK_SQL}

@@ -18,13 +18,14 @@ COLUMNS = {
     "op6_extraction": "page_id url text n_chars",
     "op8_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op9_repeats": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op11_minhash": "doc_id n_shingles component_id kept",
     "op10_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
 }
 
 
 def test_names():
     numbered = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n != "pipeline"}
-    assert numbered == set(range(1, 11)) and "pipeline" in queries.QUERIES and set(queries.sql()) <= set(queries.QUERIES)
+    assert numbered == set(range(1, 14)) and "pipeline" in queries.QUERIES and set(queries.sql()) <= set(queries.QUERIES)
 
 
 @pytest.mark.parametrize("name", COLUMNS)
