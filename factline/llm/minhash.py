@@ -1,6 +1,6 @@
 """MinHash near-duplicates: one-permutation sketches with optimal densification, banded buckets, star-shaped candidates.
 
-A set's hashes are dealt once to BINS bins by their upper half, and each bin keeps the least lower half.  An empty bin takes
+A set's hashes are dealt once to BINS bins by their upper half, and each bin keeps the least lower half.  For the bands, an empty bin takes
 the value of the first filled bin in an order of its own, drawn at random once for all sets: this is the densification whose
 bins agree with chance equal to the similarity and as little variance as can be.  Bands of r bins make bucket keys.  Two sets of
 similarity s meet in one of b bands with chance 1 - (1 - s ** r) ** b; r and b are chosen so that MISS of the pairs at the limit do not.
@@ -10,7 +10,8 @@ crowded, which among edited copies is most like the original.  Pairs are confirm
 components.  Only where a bucket's members are still in several components can a link be missing.  There, members outside the
 bucket's largest component are compared with all others by their sketches, block against block, and pairs of different
 components whose sketches agree well enough are confirmed on full sets as well.  So stars bound the pairs, and nothing that
-met is left unjudged: a pair at the limit is passed over with chance below 1 in 100,000, by SLACK standard deviations.
+met is left unjudged: a pair at the limit is passed over with chance below 1 in 100,000, by SLACK standard deviations of the
+share of agreeing bins among those that either set fills.
 
 Sets are sets of 64-bit hashes, distinct sets are one row each however many documents have them, and a hub's set is sent
 to as many tasks as its star needs.
@@ -33,7 +34,7 @@ from factline.llm.textual import encoded
 from factline.session import cut_lineage
 
 SEED = 42
-BINS = 320
+BINS = 640
 #: Share of pairs at the limit that may meet in no band, and bands at most.
 MISS, BANDS = 3e-6, 40
 #: Standard deviations of the sketch's estimate that a pair at the limit may fall short.
@@ -77,17 +78,27 @@ def shingle_set(text: str | None, shingle: int, known: dict | None = None) -> np
     return np.unique(out)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """BINS 32-bit minima of a set that is not empty."""
+def minima(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The filled bins of a set that is not empty, in order, and their 32-bit minima."""
     bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
     start = np.flatnonzero(np.diff(bins, prepend=-1))
-    filled = bins[start]
+    return bins[start], np.minimum.reduceat(hashes.astype(np.uint32), start)
+
+
+def densified(filled: np.ndarray, least: np.ndarray, bins: int) -> np.ndarray:
+    """Values of the first ``bins`` bins, empty ones filled."""
     out = np.zeros(BINS, np.uint32)
-    out[filled] = np.minimum.reduceat(hashes.astype(np.uint32), start)
-    if len(filled) < BINS:
-        empty = np.setdiff1d(np.arange(BINS), filled, assume_unique=True)
-        out[empty] = out[filled[np.argmin(_PLACE[empty[:, None], filled[None, :]], axis=1)]]
-    return out
+    out[filled] = least
+    empty = np.setdiff1d(np.arange(bins), filled, assume_unique=True)
+    out[empty] = least[np.argmin(_PLACE[empty[:, None], filled[None, :]], axis=1)]
+    return out[:bins]
+
+
+def sketch(filled: np.ndarray, least: np.ndarray) -> bytes:
+    """A byte of each bin's minimum, and a bit for each bin that is filled."""
+    value, has = np.zeros(BINS, np.uint8), np.zeros(BINS, np.uint8)
+    value[filled], has[filled] = least.astype(np.uint8), 1
+    return value.tobytes() + np.packbits(has).tobytes()
 
 
 def banding(similarity: float) -> tuple[int, int]:
@@ -99,18 +110,22 @@ def banding(similarity: float) -> tuple[int, int]:
     return BINS, 1
 
 
-def band_keys(minima: np.ndarray, bands: int, bins: int) -> list[int]:
-    rows = minima[: bands * bins].reshape(bands, bins)
-    return [_signed(xxhash.xxh64_intdigest(r.tobytes(), band)) for band, r in enumerate(rows)]
+def band_keys(values: np.ndarray, bands: int) -> list[int]:
+    return [_signed(xxhash.xxh64_intdigest(r.tobytes(), band)) for band, r in enumerate(values.reshape(bands, -1))]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def least_agreement(similarity: float) -> int:
-    """Bins of a sketch in which a pair of this similarity agrees, less SLACK standard deviations."""
-    return int(np.floor(BINS * similarity - SLACK * np.sqrt(BINS * similarity * (1 - similarity))))
+def least_agreement(either: np.ndarray, union: np.ndarray, similarity: float) -> np.ndarray:
+    """Bins that must agree of those that either of two sets fills, for sets whose union has so many members at that similarity.
+
+    The share of agreeing bins has the mean of the similarity; its variance falls to nothing as bins hold one member each.
+    """
+    rest = 1 / np.maximum(union - 1, 1)
+    variance = similarity * (1 - similarity) * np.maximum(0, (1 + rest) / np.maximum(either, 1) - rest)
+    return (similarity - SLACK * np.sqrt(variance)) * either - 1
 
 
 def _sketched(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -126,10 +141,9 @@ def _sketched(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 if not len(found):
                     rows.append((None, 0, None, None))
                     continue
-                minima = sketch(found)
+                filled, least = minima(found)
                 digest = _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                # 16 bits a bin are enough to compare by; bands are made of all 32
-                rows.append((digest, len(found), minima.astype(np.uint16).tobytes(), band_keys(minima, bands, bins)))
+                rows.append((digest, len(found), sketch(filled, least), band_keys(densified(filled, least, bands * bins), bands)))
             digests, n, sketches, keys = zip(*rows, strict=True) if rows else [[]] * 4
             # a column of numbers and nulls must not become one of doubles
             yield pd.DataFrame({"digest": pd.array(digests, dtype="Int64"), "n": n, "sketch": sketches, "keys": keys})
@@ -140,24 +154,29 @@ def _sketched(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """Rows (digest, hashes) of the wanted digests; each is read from one document that has it."""
 
-    @F.pandas_udf("digest long, hashes array<long>")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for texts in batches:
-            found = [shingle_set(t, shingle, known) for t in texts]
-            digest = [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in found]
-            yield pd.DataFrame({"digest": digest, "hashes": [s.view(np.int64) for s in found]})
+        for batch in batches:
+            digests, hashes = [], []
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = shingle_set(text, shingle, known)
+                # rows with equal ids, or without one, may have other texts: only those with the wanted set count
+                if _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)) == digest:
+                    digests.append(digest)
+                    hashes.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["digest", "hashes"])
+
+    ids = cut_lineage(wanted.join(sets, "digest").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_wanted")))
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_wanted", "text")
+    return texts.mapInArrow(read, "digest long, hashes array<long>").groupBy("digest").agg(F.any_value("hashes").alias("hashes"))
 
-    ids = wanted.join(sets, "digest").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_wanted"))
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_wanted", read("text").alias("s"))
-    # rows with equal ids, or without one, may have other texts: only those with the wanted set count
-    return texts.where(F.col("s.digest") == F.col("_wanted")).groupBy(F.col("_wanted").alias("digest")).agg(F.any_value("s.hashes").alias("hashes"))
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+
+def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) with 100 * intersection >= percent * union; b is the end that many pairs may share."""
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    known = cut_lineage(_full_sets(docs, sets, ends, shingle))
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("shares"))
     hubs = known.join(shares, known["digest"] == shares["b"]).select("b", F.col("hashes").alias("hb"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     dealt = pairs.join(shares, "b").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares")
@@ -166,29 +185,41 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     return both.where(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """For two blocks of a bucket the pairs (a, b) of different components whose sizes and sketches allow the similarity."""
+class _Members:
+    """A block of a bucket's members."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.digest, self.comp, self.n, self.main = (rows.field(f).to_numpy(zero_copy_only=False) for f in ("digest", "comp", "n", "main"))
+        raw = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(rows), -1)
+        self.value, self.has = raw[:, :BINS], np.unpackbits(raw[:, BINS:], axis=1).view(bool)
+        self.keys = rows.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For two blocks of a bucket the pairs (a, b) of different components whose sizes and sketches allow the similarity.
+
+    A pair is named only in the first of the bands where it meets.
+    """
     for batch in batches:
         a, b = [], []
-        for x, y in zip(batch.column(0), batch.column(1), strict=True):
-            (dx, cx, nx, sx), (dy, cy, ny, sy) = (_members(side.values) for side in (x, y))
-            main = np.array(y.values.field("main").to_numpy(zero_copy_only=False))
-            may = (cx[:, None] != cy[None, :]) & (main[None, :] | (dx[:, None] < dy[None, :]))
-            may &= 100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :])
+        for key, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            x, y = _Members(x.values), _Members(y.values)
+            may = (x.comp[:, None] != y.comp[None, :]) & (y.main[None, :] | (x.digest[:, None] < y.digest[None, :]))
+            may &= 100 * np.minimum(x.n[:, None], y.n[None, :]) >= percent * np.maximum(x.n[:, None], y.n[None, :])
             for at in np.flatnonzero(may.any(axis=1)):
                 to = np.flatnonzero(may[at])
-                to = to[(sy[to] == sx[at]).sum(axis=1) >= least]
-                a.append(np.full(len(to), dx[at]))
-                b.append(dy[to])
+                agree = ((y.value[to] == x.value[at]) & y.has[to] & x.has[at]).sum(axis=1)
+                either = (y.has[to] | x.has[at]).sum(axis=1)
+                union = (x.n[at] + y.n[to]) / (1 + percent / 100)
+                to = to[agree >= least_agreement(either, union, percent / 100)]
+                met = y.keys[to] == x.keys[at]
+                to = to[x.keys[at][np.argmax(met, axis=1)] == key] if len(to) else to
+                a.append(np.full(len(to), x.digest[at]))
+                b.append(y.digest[to])
         ends = [pa.array(np.concatenate(e) if e else np.zeros(0, np.int64)) for e in (a, b)]
         yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
 
-def _members(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
-    digest, comp, n = (rows.field(f).to_numpy(zero_copy_only=False) for f in ("digest", "comp", "n"))
-    return digest, comp, n, np.array([np.frombuffer(s, np.uint16) for s in rows.field("sketch").to_pylist()]).reshape(len(rows), BINS)
-
-
 def _open_pairs(met: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Candidates that stars left open: members of a bucket outside its largest component against all of other components."""
     placed = cut_lineage(met.join(comps, "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("comp")))
@@ -196,18 +227,16 @@ def _open_pairs(met: DataFrame, sets: DataFrame, comps: DataFrame, percent: int)
     buckets = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("in_main"))
     buckets = cut_lineage(buckets.where(F.col("all") > F.col("in_main")))
     several = placed.join(buckets, "key").select("key", "digest", "comp", (F.col("comp") == F.col("main")).alias("main"), "all", (F.col("all") - F.col("in_main")).alias("open"))
-    several = several.join(sets.select("digest", "n", "sketch"), "digest")
-    member = F.struct("digest", "comp", F.col("n").alias("n"), "sketch", "main")
+    several = cut_lineage(several.join(sets.select("digest", "n", "sketch", "keys"), "digest"))
+    member = F.struct("digest", "comp", "n", "sketch", "main", "keys")
 
     def blocks(rows: DataFrame, count: str, name: str, no: str) -> DataFrame:
         dealt = rows.withColumn(no, F.pmod(F.xxhash64("digest"), F.ceil(F.col(count) / BLOCK)))
         return dealt.groupBy("key", no).agg(F.collect_list(member).alias(name))
 
     left = blocks(several.where(~F.col("main")), "open", "x", "i")
-    pairs = left.join(blocks(several, "all", "y", "j"), "key").repartition("key", "i", "j").select("x", "y")
-    least = least_agreement(percent / 100)
-    found = pairs.mapInArrow(lambda x: _agreeing(x, least, percent), "a long, b long")
-    return found.distinct()
+    pairs = left.join(blocks(several, "all", "y", "j"), "key").repartition("key", "i", "j").select("key", "x", "y")
+    return pairs.mapInArrow(lambda x: _agreeing(x, percent), "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -232,13 +261,15 @@ def near_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     star = met.join(hubs, "key").where(F.col("digest") != F.col("hub.digest"))
     fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
     pairs = cut_lineage(star.where(fits).select(F.col("digest").alias("a"), F.col("hub.digest").alias("b")).distinct())
-    links = cut_lineage(_confirmed(pairs, docs, sets, shingle, percent))
+    known = cut_lineage(_full_sets(docs, sets, _ends(pairs), shingle))
+    links = cut_lineage(_confirmed(pairs, known, percent))
     comps = cut_lineage(components(links).select(F.col("node").alias("digest"), "root"))
     rest = cut_lineage(_open_pairs(met.select("key", "digest"), sets, comps, percent))
     if not rest.isEmpty():
-        more = cut_lineage(_confirmed(rest, docs, sets, shingle, percent))
-        between = links.unionByName(more)
-        comps = cut_lineage(components(between).select(F.col("node").alias("digest"), "root"))
+        unread = _ends(rest).join(known, "digest", "left_anti")
+        known = known.unionByName(cut_lineage(_full_sets(docs, sets, unread, shingle)))
+        more = cut_lineage(_confirmed(rest, known, percent))
+        comps = cut_lineage(components(links.unionByName(more)).select(F.col("node").alias("digest"), "root"))
     rooted = sets.select("digest", "doc_id").join(comps, "digest", "left").select("digest", "doc_id", F.coalesce("root", "digest").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = rooted.join(least, "root").select("digest", "component_id")

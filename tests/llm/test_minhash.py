@@ -45,22 +45,33 @@ def edited(text, rng, share):
     return " ".join(x if rng.random() > share else f"e{rng.randrange(10**6)}" for x in w)
 
 
-def test_sketch_agrees_as_often_as_sets_are_alike():
+def test_bins_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(1)
     for size in (5, 40, 300, 3000):
-        seen = []
+        dense, filled = [], []
         for _ in range(60):
             x = rng.integers(0, 2**64, size, np.uint64)
             y = x.copy()
             y[: size // 5] = rng.integers(0, 2**64, size // 5, np.uint64)
-            x, y = np.unique(x), np.unique(y)
-            seen.append((M.sketch(x) == M.sketch(y)).mean())
+            x, y = (M.minima(np.unique(s)) for s in (x, y))
+            dense.append((M.densified(*x, 165) == M.densified(*y, 165)).mean())
+            (vx, hx), (vy, hy) = ((np.frombuffer(s[: M.BINS], np.uint8), np.unpackbits(np.frombuffer(s[M.BINS :], np.uint8)).view(bool)) for s in (M.sketch(*x), M.sketch(*y)))
+            agree, either = ((vx == vy) & hx & hy).sum(), (hx | hy).sum()
+            filled.append(agree / either)
+            assert agree >= M.least_agreement(np.array([either]), np.array([size * 6 // 5]), (size - size // 5) / (size + size // 5))[0]
         same = size - size // 5
-        assert abs(np.mean(seen) - same / (2 * size - same)) < 0.03
+        for seen in (dense, filled):
+            assert abs(np.mean(seen) - same / (2 * size - same)) < 0.03
 
 
-def test_sketch_of_one_hash_is_that_hash():
-    assert set(M.sketch(np.array([7 << 40 | 9], np.uint64))) == {9}
+def test_bins_of_one_hash_are_that_hash():
+    assert set(M.densified(*M.minima(np.array([7 << 40 | 9], np.uint64)), 100)) == {9}
+
+
+def test_bands_miss_almost_nothing_at_the_limit():
+    for percent in (50, 60, 80, 95):
+        bands, bins = M.banding(percent / 100)
+        assert bands <= M.BANDS and bands * bins <= M.BINS and (1 - (percent / 100) ** bins) ** bands <= M.MISS
 
 
 @pytest.mark.parametrize("shingle,percent", [(2, 80), (5, 80), (1, 60)])
