@@ -167,7 +167,8 @@ def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, shingle: int
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["digest", "hashes"])
 
     ids = cut_lineage(wanted.join(sets, "digest").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_wanted")))
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_wanted", "text")
+    # the wanted ids grow with the table: they are never broadcast
+    texts = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("_wanted", "text")
     return texts.mapInArrow(read, "digest long, hashes array<long>").groupBy("digest").agg(F.any_value("hashes").alias("hashes"))
 
 
