@@ -7,7 +7,7 @@ Windows run inside a place, and only one summary row per key and place is ordere
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,30 +33,85 @@ def place(df: DataFrame, keys: Sequence[str], order: Sequence[str], places: int
     return cut_lineage(ranged.sortWithinPartitions(*columns).withColumn(PLACE, F.spark_partition_id()))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on keys that also match where both are null; the keys of the left side stay."""
+    rest = [c for c in right.columns if c not in keys]
+    return left.withColumn("_jk", F.struct(*keys)).join(right.select(F.struct(*keys).alias("_jk"), *rest), "_jk", how).drop("_jk")
+
+
+def _unit(keys: Sequence[str]) -> Column:
+    """A row's key and place as one value: as a join key it is equal also where a key is null."""
+    return F.struct(*keys, PLACE)
+
+
 def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], places: int | None = None) -> DataFrame:
-    """Carry the last non-null value of each column down the rows of a key.  A frame that was placed keeps its places."""
+    """Carry the last non-null value of each column down the rows of a key, null keys included.  A frame that was placed keeps its places."""
     keys, order, cols = list(keys), list(order), list(cols)
-    placed = place(df, keys, order, places)
-    unit = [*keys, PLACE]
-    tails = placed.groupBy(*unit).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_t_{c}") for c in cols])
-    across = Window.partitionBy(*keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*unit, *[F.last(f"_t_{c}", ignorenulls=True).over(across).alias(f"_c_{c}") for c in cols])
-    inside = Window.partitionBy(*unit).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = place(df, keys, order, places).withColumn("_u", _unit(keys))
+    tails = placed.groupBy("_u").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_t_{c}") for c in cols])
+    across = Window.partitionBy(*[f"_u.{k}" for k in keys]).orderBy(f"_u.{PLACE}").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select("_u", *[F.last(f"_t_{c}", ignorenulls=True).over(across).alias(f"_c_{c}") for c in cols])
+    inside = Window.partitionBy("_u").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     filled = placed.select(*[c for c in placed.columns if c not in cols], *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in cols])
-    out = filled.join(carry, unit, "left")
+    out = filled.join(carry, "_u", "left")
     return out.select(*[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def dense_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal", places: int | None = None) -> DataFrame:
-    """Zero-based position of each row inside its key, or in the whole frame without keys.  A frame that was placed keeps its places."""
+    """Zero-based position of each row inside its key, a null key included, or in the whole frame without keys.  A frame that was placed keeps its places."""
     keys, order = list(keys), list(order)
-    placed = place(df, keys, order, places)
-    unit = [*keys, PLACE]
-    counts = placed.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*unit, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = placed.withColumn("_rn", F.row_number().over(Window.partitionBy(*unit).orderBy(*order)))
-    return ranked.join(offsets, unit).select(*df.columns, (F.col("_off") + F.col("_rn") - 1).cast("long").alias(name))
+    placed = place(df, keys, order, places).withColumn("_u", _unit(keys))
+    counts = placed.groupBy("_u").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*[f"_u.{k}" for k in keys]).orderBy(f"_u.{PLACE}").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_u", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranked = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_u").orderBy(*order)))
+    return ranked.join(offsets, "_u").select(*df.columns, (F.col("_off") + F.col("_rn") - 1).cast("long").alias(name))
+
+
+def switch_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], move: Column, ends: Callable[[Column], Column], places: int | None = None) -> DataFrame:
+    """Run a switch, off at first, down the rows of each key; adds ``before``, ``group`` and ``ordinal``.
+
+    ``move`` says what a row does to it: ``on``, ``off``, ``flip`` or null for nothing.  ``before`` is its state before the row,
+    ``ends`` tells from that whether the row is the last of a group, ``group`` numbers these, ``ordinal`` all rows, both from 0.
+
+    What the rows of a place do to the switch is a map from the state that enters to the one that leaves: a constant, the
+    identity or the exchange of the two.  Such maps compose, and so do the counts of ends for either state; each place is
+    one row of them per key, put together in order.  So a key's rows are read once, in as many places as they lie in.
+    """
+    keys, order = list(keys), list(order)
+    placed = place(df, keys, order, places).withColumn("_u", _unit(keys)).withColumn("_m", move)
+    inside = Window.partitionBy("_u").orderBy(*order)
+    upto, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    flip = (F.coalesce(F.col("_m"), F.lit("")) == "flip").cast("long")
+    counted = placed.withColumn("_f", F.sum(flip).over(upto)).withColumn("_fb", F.col("_f") - flip)
+    fixed = F.when(F.col("_m").isin("on", "off"), F.struct((F.col("_m") == "on").alias("on"), F.col("_f").alias("at")))
+    counted = counted.withColumn("_s", fixed).withColumn("_sb", F.last("_s", ignorenulls=True).over(ahead))
+
+    def state(last: Column, flips: Column, enters: Column) -> Column:
+        odd = lambda n: n % 2 == 1
+        return F.when(last.isNull(), enters != odd(flips)).otherwise(last["on"] != odd(flips - last["at"]))
+
+    for name, enters in (("0", False), ("1", True)):
+        counted = counted.withColumn(f"_b{name}", state(F.col("_sb"), F.col("_fb"), F.lit(enters)))
+        end = ends(F.col(f"_b{name}")).cast("long")
+        counted = counted.withColumn(f"_e{name}", end).withColumn(f"_n{name}", F.coalesce(F.sum(end).over(ahead), F.lit(0)))
+    counted = counted.withColumn("_rn", F.row_number().over(inside) - 1)
+    latest = F.max_by("_s", F.when(F.col("_s").isNotNull(), F.struct(*order)))
+    units = counted.groupBy("_u").agg(latest.alias("s"), F.sum(flip).alias("f"), F.sum("_e0").alias("e0"), F.sum("_e1").alias("e1"), F.count(F.lit(1)).alias("n"))
+    # the same over places: one that fixes the state does so for good, the others flip it or leave it
+    along = Window.partitionBy(*[f"_u.{k}" for k in keys]).orderBy(f"_u.{PLACE}")
+    earlier, so_far = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, 0)
+    units = units.withColumn("flips", F.sum("f").over(so_far))
+    leaves = F.when(F.col("s").isNotNull(), F.struct((F.col("s.on") != ((F.col("f") - F.col("s.at")) % 2 == 1)).alias("on"), F.col("flips").alias("at")))
+    units = units.withColumn("_leaves", leaves).withColumn("_entered", F.last("_leaves", ignorenulls=True).over(earlier))
+    units = units.withColumn("_on", state(F.col("_entered"), F.col("flips") - F.col("f"), F.lit(False)))
+    own = F.when(F.col("_on"), F.col("e1")).otherwise(F.col("e0"))
+    units = units.withColumn("_own", own).select(
+        "_u", "_on", F.coalesce(F.sum("_own").over(earlier), F.lit(0)).alias("_ends"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_rows")
+    )
+    out = counted.join(units, "_u")
+    pick = lambda c: F.when(F.col("_on"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    return out.select(*df.columns, pick("_b").alias("before"), (F.col("_ends") + pick("_n")).alias("group"), (F.col("_rows") + F.col("_rn")).cast("long").alias("ordinal"))
 
 
 def with_neighbours(
@@ -103,9 +158,9 @@ def within_distance(
     """
     bucket = max(1, high - low + 1)
     l_side = left.withColumn("_bk", F.floor((F.col(left_pos) + low) / bucket).cast("long"))
-    l_side = l_side.withColumn("_bk", F.explode(F.array(F.col("_bk"), F.col("_bk") + 1)))
-    r_side = right.withColumn("_bk", F.floor(F.col(right_pos) / bucket).cast("long"))
-    joined = l_side.join(r_side, [*keys, "_bk"])
+    l_side = l_side.withColumn("_b", F.explode(F.array(F.col("_bk"), F.col("_bk") + 1))).withColumn("_bk", F.struct(*keys, "_b")).drop("_b")
+    r_side = right.withColumn("_bk", F.struct(*keys, F.floor(F.col(right_pos) / bucket).cast("long").alias("_b"))).drop(*keys)
+    joined = l_side.join(r_side, "_bk")
     gap = F.col(right_pos) - F.col(left_pos)
     return joined.where((gap >= low) & (gap <= high)).drop("_bk")
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from factline.functions import amounts as A
 from factline.functions.years import FY_TOKEN, fy_label, normalise_fy_token
-from factline.operators.ordered import dense_ordinal, fill_forward, first_per_key, place, with_neighbours, within_distance
+from factline.operators.ordered import dense_ordinal, fill_forward, first_per_key, place, switch_scan, with_neighbours, within_distance
+from factline.session import cut_lineage
 
 DOC = ["source_id"]
 PLACE = ["page", "line_no"]
@@ -201,8 +202,12 @@ def value_on_later_line(lines: DataFrame, labels: DataFrame, n: int, reach: int
 # Function tables
 
 
-def function_rows(lines: DataFrame, functions: Sequence[str], wrapped: int = 3) -> DataFrame:
-    """Function totals and sub-functions; the running function is carried down, split labels are joined."""
+def function_rows(lines: DataFrame, functions: Sequence[str]) -> DataFrame:
+    """Function totals and sub-functions; the running function is carried down, split labels are joined, however many lines they have.
+
+    A function's name may be split over as many lines as it has characters at most.
+    """
+    wrapped = max([1, *[len(f.replace(" ", "")) - 1 for f in functions]])
     tail = r"^(.*?)((?:\s+\(?-?[\d,]+(?:\.\d+)?\)?){2,})\s*$"
     text = squeeze(F.col("text"))
     amount = text.rlike(tail)
@@ -224,13 +229,15 @@ def function_rows(lines: DataFrame, functions: Sequence[str], wrapped: int = 3)
         joined = F.concat_ws(" ", f"_l{k}", joined)
         fn = F.coalesce(fn, F.when(F.coalesce(open_, F.lit(False)), known(joined)))
     o = o.withColumn("_fn", F.when(~F.col("_amt"), fn))
-    # split labels: text lines above an amount line that are no function heading themselves
-    o = with_neighbours(o, DOC, "ordinal", {f"_f{k}": ("_fn", -k) for k in range(1, wrapped + 1)})
-    label, run = F.col("_lab"), F.lit(True)
-    for k in range(1, wrapped + 1):
-        run = run & F.coalesce(~F.col(f"_a{k}"), F.lit(False)) & F.col(f"_f{k}").isNull()
-        label = F.when(run, F.concat_ws(" ", f"_l{k}", label)).otherwise(label)
-    o = o.withColumn("label", squeeze(label))
+    # split labels: all text lines above an amount line, down from the last amount or function heading
+    o = switch_scan(o.select("source_id", *PLACE, "text", "_amt", "_lab", "_fn"), DOC, PLACE, F.lit(None).cast("string"), lambda _: F.col("_amt") | F.col("_fn").isNotNull())
+    o = cut_lineage(o.drop("before"))
+    rows_at = o.where("_amt").select(F.col("source_id").alias("_doc"), F.col("group").alias("_group"))
+    waits = o.where(~F.col("_amt") & F.col("_fn").isNull()).join(rows_at, F.col("source_id").eqNullSafe(F.col("_doc")) & (F.col("group") == F.col("_group")))
+    waits = waits.groupBy("_doc", "_group").agg(F.array_sort(F.collect_list(F.struct("ordinal", "_lab"))).alias("_w"))
+    waits = waits.select("_doc", "_group", F.array_join(F.transform("_w", lambda w: w["_lab"]), " ").alias("_above"))
+    o = o.join(waits, F.col("_amt") & F.col("source_id").eqNullSafe(F.col("_doc")) & (F.col("group") == F.col("_group")), "left").drop("_doc", "_group")
+    o = o.withColumn("label", squeeze(F.concat_ws(" ", "_above", "_lab")))
     total = F.nullif(F.regexp_extract("label", r"(?i)^Total\s+(.+)$", 1), F.lit(""))
     grand = F.lower(total) == "expenses"
     own = F.when(grand, F.lit("")).otherwise(F.coalesce(known(total), total, known(F.col("label"))))
@@ -313,7 +320,7 @@ def best_page(rows: DataFrame, rejects: DataFrame) -> DataFrame:
 
 # Program tables
 
-# Lines that open, close, pad or end a program table.
+# Lines that open, close, pad or end a program table; how many lines of a label count.
 START_PAGE = (
     r"(?i)Table\s+2\.1|Program expenses|Expenses for Outcome|Budgeted expenses for Outcome|Budget Expenses and Performance|"
     r"Budgeted Expenses and Performance|Cost Summary for Program|Planned Expenditure by Key Cost Category"
@@ -330,7 +337,7 @@ KEY_COST_ROW = r"^(?:\d+\s+)?([A-Za-z][A-Za-z0-9 ,\-&/]+?)\s+((?:-?\d{1,3}(?:,\d
 SHORT_HEADS = r"(?i)^(?:Outcome|Program|Departmental|Administered)\b"
 DROPPED_ROWS = r"(?i)^(?:Employees|Suppliers|Other expenses)\b"
 PLAIN_NUMBER = r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?"
-PENDING = 4
+LABEL_LINES = 4
 THOUSANDS, MILLIONS = 1_000, 1_000_000
 
 
@@ -359,12 +366,12 @@ def _act_year(label: Column, nums: Column) -> Column:
     return F.when(hit, F.struct(F.concat_ws(" ", label, first).alias("label"), rest.alias("nums"))).otherwise(F.struct(label.alias("label"), nums.alias("nums")))
 
 
-def program_tables(lines: DataFrame, defence: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def program_tables(lines: DataFrame, defence: Column | None = None, label_lines: int | None = LABEL_LINES) -> tuple[DataFrame, DataFrame]:
     """(facts, quarantine) of program expense tables.
 
-    Lines above a numeric line that hold no numbers are its label, at most four of them; headers, page
-    furniture and status words are passed over; an all-dash row clears the label in waiting.  A
-    numbers-only line serves the label above it; in a run of them each second one does so.
+    Lines above a numeric line that hold no numbers are its label, the last ``label_lines`` of them (None: all, however many);
+    headers, page furniture and status words are passed over; an all-dash row clears the label in waiting.  A line of numbers
+    only serves the label above it; without one, three numbers wait as a label, and more are a row labelled by the first.
     """
     live = _captured(place(lines, DOC, PLACE))
     text = F.col("text")
@@ -372,26 +379,24 @@ def program_tables(lines: DataFrame, defence: Column | None = None) -> tuple[Dat
     live = live.withColumn("_key", ~F.col("_stop") & ~F.col("_is_header") & ~text.rlike(SKIP_LINE) & key_cost)
     passed = F.col("_is_header") | text.rlike(SKIP_LINE) | text.rlike(FRAGMENT) | F.col("_key")
     kind = F.when(F.col("_stop") | text.rlike(NIL_ROW), "reset").when(text.rlike(NUMBERS_ONLY), "nums").when(text.rlike(TAIL), "tail").otherwise("text")
-    o = dense_ordinal(live.where(F.col("_stop") | ~passed), DOC, PLACE).withColumn("_k0", kind)
-    other = F.col("_k0") != "nums"
-    o = o.withColumn("_last", F.when(other, F.col("ordinal"))).withColumn("_lastk", F.when(other, F.col("_k0")))
-    o = fill_forward(o, DOC, ["ordinal"], ["_last", "_lastk"])
-    run = F.col("ordinal") - F.coalesce("_last", F.lit(-1))
-    waiting = F.coalesce(F.col("_lastk") == "text", F.lit(False))
-    as_tail = text.rlike(TAIL)
-    odd = run % 2 == 1
-    serves = F.when(as_tail, waiting & (run == 1)).otherwise(F.when(waiting, odd).otherwise(~odd))
-    k = F.when(other, F.col("_k0")).when(serves, "serve").when(as_tail, "tail").otherwise("text")
-    o = o.withColumn("kind", k)
-    exprs = {}
-    for i in range(1, PENDING + 1):
-        exprs[f"_k{i}"], exprs[f"_t{i}"] = ("kind", -i), ("text", -i)
-    o = with_neighbours(o, DOC, "ordinal", exprs)
-    label, open_ = F.lit(None).cast("string"), F.lit(True)
-    for i in range(1, PENDING + 1):
-        open_ = open_ & F.coalesce(F.col(f"_k{i}") == "text", F.lit(False))
-        label = F.when(open_, F.concat_ws(" ", f"_t{i}", label)).otherwise(label)
-    rows = o.where(F.col("kind").isin("tail", "serve")).withColumn("_pending", label)
+    # A label waits or does not.  Three bare numbers serve the label in waiting, and are themselves kept as one if there is none: they
+    # turn the state over.  More of them serve as well, but else are a row whose label is the first number: they end it either way.
+    bare = text.rlike(NUMBERS_ONLY)
+    move = F.when(F.col("_stop") | text.rlike(NIL_ROW), "off").when(bare & ~text.rlike(TAIL), "flip").when(text.rlike(TAIL), "off").otherwise("on")
+    o = live.where(F.col("_stop") | ~passed).withColumn("_move", move).withColumn("_bare", bare)
+    o = switch_scan(o, DOC, PLACE, F.col("_move"), lambda waiting: (F.col("_move") == "off") | ((F.col("_move") == "flip") & waiting))
+    reset = F.col("_stop") | F.col("text").rlike(NIL_ROW)
+    kind = F.when(reset, "reset").when(F.col("_bare") & F.col("before"), "serve").when(F.col("_move") == "off", "tail").otherwise("text")
+    o = cut_lineage(o.withColumn("kind", kind).drop("_bare", "_move", "before"))
+    rows = o.where(F.col("kind").isin("tail", "serve"))
+    # of the lines that wait only those that some row takes are gathered, at most ``label_lines`` for each
+    taken = rows.select(F.col("source_id").alias("_doc"), F.col("group").alias("_group"), F.col("ordinal").alias("_at"))
+    waits = o.where(F.col("kind") == "text").join(taken, F.col("source_id").eqNullSafe(F.col("_doc")) & (F.col("group") == F.col("_group")))
+    if label_lines is not None:
+        waits = waits.where(F.col("_at") - F.col("ordinal") <= label_lines)
+    waits = waits.groupBy("_doc", "_group").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("_w"))
+    waits = waits.select("_doc", "_group", F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("_pending"))
+    rows = rows.join(waits, F.col("source_id").eqNullSafe(F.col("_doc")) & (F.col("group") == F.col("_group")), "left").drop("_doc", "_group")
     tail = F.col("kind") == "tail"
     own = F.when(tail, F.regexp_extract(text, TAIL, 1))
     found = F.regexp_extract_all(F.when(tail, F.regexp_extract(text, TAIL, 2)).otherwise(text), F.lit(f"({PLAIN_NUMBER})"), 1)

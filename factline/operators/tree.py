@@ -3,6 +3,9 @@
 A node with children takes the sum of its children and loses its own amount, so the value of a node
 is the sum over the leaves below it.  That makes a whole tree two aggregates over path prefixes; no
 step walks nodes one by one, and nothing depends on how many rows one jurisdiction holds.
+
+Nodes meet by an id of fixed size, a hash of their keys and path, so shuffles carry no path arrays as keys; the
+paths are joined back once.  Null keys are keys like any other.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factline.operators.ordered import join_on, top_per_key
 from factline.session import cut_lineage
 
 SEP = " / "
@@ -26,6 +30,17 @@ def split_path(name: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(fallback)
 
 
+def node_id(keys: Sequence[str], path: Column) -> Column:
+    """96 bits that stand for a node: its keys, null or not, and its path."""
+    parts = [c for k in keys for c in (F.col(k).isNull(), F.col(k))]
+    return F.struct(F.xxhash64(*parts, path).alias("a"), F.hash(*parts, path).alias("b"))
+
+
+def ancestor_ids(keys: Sequence[str], path: str = "path") -> Column:
+    """Ids of the nodes above a path, the top one first; null for a path of one part."""
+    return F.when(F.size(path) > 1, F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda d: node_id(keys, F.slice(path, F.lit(1), d))))
+
+
 def prefix_rows(df: DataFrame, path: str = "path", name: str = "prefix", depth: str = "depth") -> DataFrame:
     """One row per prefix of the path, the whole path included."""
     return df.withColumn(depth, F.explode(F.sequence(F.lit(1), F.size(path)))).withColumn(
@@ -48,52 +63,45 @@ def prune_totals(own: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     has_total = F.exists("path", lambda p: p.rlike(TOTAL))
     suspects = prefix_rows(own.where(has_total).select(*keys, "path")).where(F.element_at("prefix", -1).rlike(TOTAL))
-    suspects = suspects.withColumn("parent", F.slice("prefix", F.lit(1), F.col("depth") - 1))
-    wanted = suspects.select(*keys, "parent").distinct()
+    suspects = suspects.select(node_id(keys, F.slice("prefix", F.lit(1), F.col("depth") - 1)).alias("parent"), node_id(keys, F.col("path")).alias("_id"))
+    wanted = suspects.select("parent").distinct()
     siblings = (
         prefix_rows(own.select(*keys, "path"))
         .where(~F.element_at("prefix", -1).rlike(TOTAL))
-        .select(*keys, F.slice("prefix", F.lit(1), F.col("depth") - 1).alias("parent"))
+        .select(node_id(keys, F.slice("prefix", F.lit(1), F.col("depth") - 1)).alias("parent"))
     )
     # the few parents of totals sift the prefixes before anything is made distinct
-    losing = siblings.join(wanted, [*keys, "parent"], "left_semi").distinct()
-    bad = suspects.join(losing, [*keys, "parent"], "left_semi").select(*keys, "path").distinct()
-    return own.join(bad, [*keys, "path"], "left_anti")
+    losing = siblings.join(wanted, "parent", "left_semi").distinct()
+    bad = suspects.join(losing, "parent", "left_semi").select("_id").distinct()
+    return own.withColumn("_id", node_id(keys, F.col("path"))).join(bad, "_id", "left_anti").drop("_id")
 
 
 def leaves(own: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Nodes with no children: the only ones whose own amount survives."""
     keys = list(keys)
-    inner = (
-        prefix_rows(own.select(*keys, "path"))
-        .where(F.col("depth") < F.size("path"))
-        .select(*keys, F.col("prefix").alias("path"))
-        .distinct()
-    )
-    return own.join(inner, [*keys, "path"], "left_anti")
+    inner = own.select(F.explode(ancestor_ids(keys)).alias("_id")).distinct()
+    return own.withColumn("_id", node_id(keys, F.col("path"))).join(inner, "_id", "left_anti").drop("_id")
 
 
 def roll_up(leaf: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every node of the tree with its depth, value, citing fact (leaves only) and leaf count."""
-    spread = prefix_rows(leaf)
-    is_self = F.col("depth") == F.size("path")
-    return (
-        spread.groupBy(*keys, "prefix")
-        .agg(
-            F.sum("own").alias("value"),
-            F.max(F.when(is_self, F.col("fact_id"))).alias("fact_id"),
-            F.count(F.lit(1)).alias("n_leaves"),
-        )
-        .select(
-            *keys,
-            F.size("prefix").alias("depth"),
-            F.col("prefix").alias("path"),
-            F.element_at("prefix", -1).alias("name"),
-            "value",
-            "fact_id",
-            "n_leaves",
-        )
+    """Every node of the tree with its depth, value, citing fact (leaves only) and leaf count.
+
+    Sums are grouped by node id alone; a node takes its path from one of the leaves below it.
+    """
+    keys = list(keys)
+    own = node_id(keys, F.col("path"))
+    every = leaf.withColumn("_leaf", own).withColumn("_ids", F.concat(F.coalesce(ancestor_ids(keys), F.array().cast("array<struct<a:bigint,b:int>>")), F.array(own)))
+    spread = every.select("own", "fact_id", "_leaf", F.posexplode("_ids").alias("_at", "_id"))
+    sums = spread.groupBy("_id").agg(
+        F.sum("own").alias("value"),
+        F.max(F.when(F.col("_id") == F.col("_leaf"), F.col("fact_id"))).alias("fact_id"),
+        F.count(F.lit(1)).alias("n_leaves"),
+        F.min(F.struct("_leaf.a", "_leaf.b", "_at")).alias("_of"),
     )
+    sums = sums.select("value", "fact_id", "n_leaves", F.struct("_of.a", "_of.b").alias("_leaf"), (F.col("_of._at") + 1).alias("depth"))
+    paths = leaf.select(*keys, F.col("path").alias("_path"), own.alias("_leaf"))
+    named = sums.join(paths, "_leaf").withColumn("path", F.slice("_path", F.lit(1), F.col("depth")))
+    return named.select(*keys, "depth", "path", F.element_at("path", -1).alias("name"), "value", "fact_id", "n_leaves")
 
 
 def tree(rows: DataFrame, keys: Sequence[str], amount: str = "amount_aud", fact: str = "fact_id") -> DataFrame:
@@ -121,18 +129,12 @@ def preserved_roll_up(own: DataFrame, keys: Sequence[str], preserve: str = "pres
     A contribution climbs until it meets a preserved ancestor, which already holds its own figure.
     """
     keys = list(keys)
-    leaf_paths = leaves(own, keys).select(*keys, "path").withColumn("is_leaf", F.lit(True))
-    nodes = own.join(leaf_paths, [*keys, "path"], "left").where(F.col("is_leaf") | F.col(preserve))
-    kept = own.where(F.col(preserve)).select(*keys, F.col("path").alias("prefix"), F.size("path").alias("stop"))
-    spread = prefix_rows(nodes.select(*keys, "path"))
-    stops = (
-        spread.where(F.col("depth") < F.size("path"))
-        .join(kept, [*keys, "prefix"])
-        .groupBy(*keys, "path")
-        .agg(F.max("stop").alias("stop"))
-    )
-    bounded = nodes.join(stops, [*keys, "path"], "left")
-    return roll_up_from(bounded, keys)
+    own = own.withColumn("_id", node_id(keys, F.col("path")))
+    is_leaf = leaves(own.drop("_id"), keys).select(node_id(keys, F.col("path")).alias("_id"), F.lit(True).alias("is_leaf"))
+    nodes = own.join(is_leaf, "_id", "left").where(F.col("is_leaf") | F.col(preserve))
+    kept = own.where(F.col(preserve)).select(F.col("_id").alias("_above"), F.size("path").alias("stop"))
+    stops = nodes.select("_id", F.explode(ancestor_ids(keys)).alias("_above")).join(kept, "_above").groupBy("_id").agg(F.max("stop").alias("stop"))
+    return roll_up_from(nodes.join(stops, "_id", "left").drop("_id"), keys)
 
 
 def roll_up_from(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -156,7 +158,7 @@ def drill_path(nodes: DataFrame, keys: Sequence[str], wanted: DataFrame, fact: s
     lies in it.
     """
     keys = list(keys)
-    j = nodes.join(wanted, keys).withColumn("_n", F.lower(F.trim(F.element_at("path", -1)))).withColumn("_w", F.lower(F.trim("want_name")))
+    j = join_on(nodes, wanted, keys).withColumn("_n", F.lower(F.trim(F.element_at("path", -1)))).withColumn("_w", F.lower(F.trim("want_name")))
     exact = F.coalesce(F.col(fact) == F.col("want_fact"), F.lit(False))
     named = F.coalesce((F.col("_w") != "") & (F.contains("_n", F.col("_w")) | F.contains("_w", F.col("_n"))), F.lit(False))
     hit = j.where(exact | named).groupBy(*keys).agg(F.max(F.struct(exact.alias("exact"), F.col("depth"), path_text().alias("path"))).alias("_b"))
@@ -169,7 +171,7 @@ def side_by_side(nodes: DataFrame, level: str = "level", year: str = "financial_
     Rows (year, level, depth, path, value); the levels themselves are never added up.
     """
     tops = nodes.where(F.col("depth") == 1).groupBy(level, year).agg(F.count(F.lit(1)).alias("_tops"))
-    j = nodes.join(tops, [level, year]).withColumn("_cut", F.when((F.col(level) == lone) & (F.col("_tops") == 1), 1).otherwise(0))
+    j = join_on(nodes, tops, [level, year]).withColumn("_cut", F.when((F.col(level) == lone) & (F.col("_tops") == 1), 1).otherwise(0))
     cut = j.withColumn("path", F.slice("path", F.col("_cut") + 1, F.size("path"))).withColumn("depth", F.col("depth") - F.col("_cut"))
     return cut.where(F.col("depth") > 0).select(year, level, "depth", "path", "value")
 
@@ -188,20 +190,17 @@ def collapse_repeats(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     A segment is dropped when it repeats the one above it and is that node's only child.
     """
     keys = list(keys)
-    linked = with_parent_path(nodes)
-    only = linked.groupBy(*keys, "parent_path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1)
+    linked = with_parent_path(nodes).withColumn("_above", node_id(keys, F.col("parent_path")))
+    only = linked.groupBy("_above").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1)
     repeats = (
         linked.where((F.size("path") > 1) & (F.element_at("path", -1) == F.element_at("path", -2)) & (F.col("value") > 0))
-        .join(only, [*keys, "parent_path"], "left_semi")
-        .select(*keys, F.col("path").alias("prefix"), F.size("path").alias("cut"), F.col("fact_id").alias("inner_fact"))
-    )
-    cuts = (
-        prefix_rows(nodes.select(*keys, "path"))
-        .join(repeats, [*keys, "prefix"])
-        .groupBy(*keys, "path")
-        .agg(F.collect_set("cut").alias("cuts"))
+        .join(only, "_above", "left_semi")
+        .select(node_id(keys, F.col("path")).alias("_at"), F.size("path").alias("cut"))
     )
-    moved = nodes.join(cuts, [*keys, "path"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
+    nodes = nodes.withColumn("_id", node_id(keys, F.col("path")))
+    ids = F.concat(F.coalesce(ancestor_ids(keys), F.array().cast("array<struct<a:bigint,b:int>>")), F.array("_id"))
+    cuts = nodes.select("_id", F.explode(ids).alias("_at")).join(repeats, "_at").groupBy("_id").agg(F.collect_set("cut").alias("cuts"))
+    moved = nodes.join(cuts, "_id", "left").drop("_id").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
     kept = F.filter(
         F.transform(F.col("path"), lambda p, i: F.when(~F.array_contains(F.col("cuts"), i + 1), p)), lambda p: p.isNotNull()
     )
@@ -217,12 +216,10 @@ def fold_top(rows: DataFrame, keys: Sequence[str], item: str, value: str, n: int
 
     The remainder is the key's total less its head, so no task ever holds a whole key.
     """
-    from factline.operators.ordered import top_per_key
-
     keys = list(keys)
     totals = rows.groupBy(*keys).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
     head = top_per_key(rows.select(*keys, item, value), keys, [F.desc(value), F.asc(item)], n + 1, "_rank")
-    head = head.join(totals, keys).where((F.col("_rank") <= n) | (F.col("_n") <= n + 1))
+    head = join_on(head, totals, keys).where((F.col("_rank") <= n) | (F.col("_n") <= n + 1))
     shown = head.select(*keys, item, value)
     head_sum = head.where(F.col("_n") > n + 1).groupBy(*keys, "_sum", "_n").agg(F.sum(value).alias("_head"))
     other = head_sum.select(

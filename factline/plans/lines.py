@@ -56,39 +56,61 @@ def p33(m: Model):
     )
 
 
-# Program tables: one document per nation, one page per part type, one entry per brand.
-PROGRAM_SQL = """v AS (SELECT source_id, sec, b, list(CAST(floor(amount) AS BIGINT) ORDER BY financial_year) AS vals FROM g WHERE financial_year BETWEEN '1996-97' AND '2000-01' AND sec < 6 AND b % 4 <> 3 AND floor(amount) >= 1000 GROUP BY ALL HAVING count(*) >= 3),
-pf AS (SELECT source_id, sec, CASE b % 4 WHEN 0 THEN 'Program 1.' || b || ': long title Brand#' || b WHEN 1 THEN 'Program 1.' || b || ': title Brand#' || b ELSE 'Program 1.' || b || ' Total funded expenditure' END AS label, 5 - len(vals) + i AS k, vals[i] AS v, len(vals) AS n FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM v))"""
+# Program tables: one document per nation; a page per part type for the first five years, another for the last three; an entry per brand.
+SHIFT, FIRST, SPLIT, LAST = 20, 1994, 1999, 2001
+FULL_SQL = f"""yr AS (SELECT unnest(range({FIRST}, {LAST} + 1)) AS y),
+ge AS (SELECT DISTINCT source_id, sec, p_type, b, p_brand FROM g), gy AS (SELECT source_id, sec, b, CAST(substr(financial_year, 1, 4) AS INTEGER) AS y, CAST(floor(sum(amount)) AS BIGINT) AS v FROM g GROUP BY ALL),
+full_g AS (SELECT ge.*, yr.y, coalesce(gy.v, 0) AS v FROM ge CROSS JOIN yr LEFT JOIN gy USING (source_id, sec, b, y))"""
+PROGRAM_SQL = FULL_SQL + """, pf AS (SELECT source_id, CASE WHEN y < 1999 THEN sec ELSE sec + 6 END AS page, CASE b % 4 WHEN 0 THEN 'Program 1.' || b || ': long title Brand#' || b WHEN 1 THEN 'Program 1.' || b || ': title Brand#' || b
+ WHEN 2 THEN 'Program 1.' || b || ' Total funded expenditure' ELSE 'two three four Program 1.' || b || ': after nil title Brand#' || b END AS label, CASE WHEN y < 1999 THEN y - 1993 ELSE y - 1998 END AS k, y + 20 AS y, v FROM full_g)"""
+
+
+def yearly(m: Model):
+    """Whole amounts of every year, in order, for each document, part type and brand; years without one have 0."""
+    g = grid_numbers(m).groupBy("source_id", "sec", "p_type", "b", "p_brand").agg(
+        *[F.floor(F.coalesce(F.sum(F.when(F.substring("financial_year", 1, 4) == str(y), F.col("amount"))), F.lit(0))).alias(f"y{y}") for y in range(FIRST, LAST + 1)]
+    )
+    return g.select("source_id", "sec", "p_type", "b", "p_brand", F.array(*[f"y{y}" for y in range(FIRST, LAST + 1)]).alias("vals"))
+
+
+def shown(vals):
+    return F.array_join(F.transform(vals, lambda v: F.format_number(v, 0)), " ")
 
 
 def program_lines(m: Model):
-    g = grid_numbers(m).where("financial_year between '1996-97' and '2000-01' and amount >= 1000")
-    entry = g.groupBy("source_id", "sec", "b", "p_brand").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("financial_year", "amount"))), lambda s: F.format_number(F.floor(s["amount"]), 0)).alias("vals")
-    ).where(F.size("vals") >= 3)
-    nums, b = F.array_join("vals", " "), F.col("b").cast("string")
-    style = F.col("b") % 4
-    dashes = F.concat(F.lit("Program 1."), b, F.lit(" nil - - - - -"))
+    n = SPLIT - FIRST
+    parts = [yearly(m).withColumn("page", F.col("sec") + 6 * k).withColumn("vals", v) for k, v in enumerate((F.slice("vals", 1, n), F.slice("vals", n + 1, LAST - SPLIT + 1)))]
+    entry = parts[0].unionByName(parts[1])
+    nums, b = shown(F.col("vals")), F.col("b").cast("string")
+    program = lambda rest: F.concat(F.lit("Program 1."), b, F.lit(rest))
+    one_line, served = F.concat(F.lit("title "), "p_brand", F.lit(" "), nums), [program(" Total funded expenditure"), nums]
+    nil = F.concat(F.lit("Program nil "), F.translate("p_brand", "#0123456789", ""), F.lit(" - - - - -"))
+    # numbers that nothing waits for: three wait themselves, four are a row of no name
     texts = (
-        F.when(style == 0, F.array(F.concat(F.lit("Program 1."), b, F.lit(": long")), F.concat(F.lit("title "), "p_brand", F.lit(" "), nums)))
-        .when(style == 1, F.array(F.concat(F.lit("Program 1."), b, F.lit(": title  "), "p_brand", F.lit(" "), nums)))
-        .when(style == 2, F.array(F.concat(F.lit("Program 1."), b, F.lit(" Total funded expenditure")), nums))
-        .otherwise(F.array(F.lit("stray words"), F.regexp_replace(dashes, r"\.\d+ ", " ")))
+        F.when(F.col("b") % 4 == 0, F.array(program(": long"), one_line))
+        .when(F.col("b") % 4 == 1, F.array(F.concat(program(": title  "), F.col("p_brand"), F.lit(" "), nums)))
+        .when(F.col("b") % 8 == 2, F.array(*served, F.lit("7 8 9"), F.lit("7 8 9 10")))
+        .when(F.col("b") % 4 == 2, F.array(*served, F.lit("7 8 9 10"), F.lit("7 8 9"), nil))
+        .otherwise(F.array(F.lit("stray words"), nil, *[F.lit(w) for w in ("one", "two", "three", "four")], program(": after nil"), one_line))
     )
     src = F.concat(F.lit("pbs_"), "source_id").alias("source_id")
-    body = entry.select(src, F.col("sec").alias("page"), F.posexplode(texts).alias("i", "text"), "b").select("source_id", "page", (F.col("b") * 10 + F.col("i") + 100).alias("line_no"), "text")
-    pages = entry.select(src, F.col("sec").alias("page")).distinct()
-    years = F.array(*[F.lit(t) for t in ("Table 2.1: Budgeted expenses for Outcome 1", (" " * 30).join(["2016-17 Actual", "2017-18 Estimated actual", "2018-19 Budget", "2019-20 Forward estimate", "2020-21 Forward estimate"]), "Estimated", "$'000 $'000", "Expenses - - - - -")])
-    top = pages.select("source_id", "page", F.posexplode(years).alias("line_no", "text"))
-    stop = pages.where("page = 6").select("source_id", "page", F.lit(50).alias("line_no"), F.lit("Table 3.1: Budgeted Financial Statements").alias("text"))
+    body = entry.select(src, "page", F.posexplode(texts).alias("i", "text"), "b").select("source_id", "page", (F.col("b") * 10 + F.col("i") + 100).alias("line_no"), "text")
+    pages = entry.select(src, "page").distinct()
+    token = lambda y: f"{y + SHIFT}-{(y + SHIFT + 1) % 100:02d}"
+    words = ["Actual", "Estimated actual", "Budget", "Forward estimate", "Forward estimate"]
+    heads = [(" " * 30).join(f"{token(y)} {w}" for y, w in zip(years, words, strict=False)) for years in (range(FIRST, SPLIT), range(SPLIT, LAST + 1))]
+    header = F.when(F.col("page") <= 6, heads[0]).otherwise(heads[1])
+    top = F.array(F.lit("Table 2.1: Budgeted expenses for Outcome 1"), header, F.lit("Estimated"), F.lit("$'000 $'000"), F.lit("Expenses - - - - -"))
+    top = pages.select("source_id", "page", F.posexplode(top).alias("line_no", "text"))
+    stop = entry.select(src).distinct().select("source_id", F.lit(13).alias("page"), F.posexplode(F.array(F.lit("Table 3.1: Budgeted Financial Statements"), F.lit("Program 9.9: after the stop 1 2 3"))).alias("line_no", "text"))
     foot = pages.select("source_id", "page", F.posexplode(F.array(F.lit("Employees 1,111 2,222 3,333 4,444 5,555"), F.lit("Total expenses 1,111 2,222 3,333 4,444 5,555"))).alias("i", "text")).select("source_id", "page", (F.col("i") + 9000).alias("line_no"), "text")
     return body.unionByName(top).unionByName(stop).unionByName(foot)
 
 
 @plan(
     "p34_program_tables",
-    sql("WITH " + GRID_SQL + ", " + PROGRAM_SQL + """ SELECT 'pbs_' || source_id AS source_id, CAST(sec AS INTEGER) AS page, label, printf('%d-%02d', 2015 + k, (16 + k) % 100) AS financial_year,
- CASE k WHEN 1 THEN 'actual' WHEN 2 THEN 'estimated_actual' WHEN 3 THEN 'budget' ELSE 'forward_estimate' END AS estimate_status, v * 1000 AS amount_aud, CASE WHEN n = 5 THEN 'table_header_exact' ELSE 'table_header_right_align' END AS inference FROM pf""", "l"),
+    sql("WITH " + GRID_SQL + ", " + PROGRAM_SQL + """ SELECT 'pbs_' || source_id AS source_id, CAST(page AS INTEGER) AS page, label, printf('%d-%02d', y, (y + 1) % 100) AS financial_year,
+ CASE k WHEN 1 THEN 'actual' WHEN 2 THEN 'estimated_actual' WHEN 3 THEN 'budget' ELSE 'forward_estimate' END AS estimate_status, v * 1000 AS amount_aud, 'table_header_exact' AS inference FROM pf""", "l"),
 )
 def p34(m: Model):
     facts, _ = T.program_tables(program_lines(m))
@@ -153,33 +175,30 @@ def p35_sections(m: Model):
     return rows.groupBy("source_id", "measure").agg(count().alias("n"))
 
 
-FUNC_SQL = """gv AS (SELECT source_id, sec, p_type, b, p_brand, floor(max(CASE WHEN financial_year = '1999-00' THEN amount END)) AS x, floor(max(CASE WHEN financial_year = '2000-01' THEN amount END)) AS y FROM g GROUP BY ALL),
-gy AS (SELECT * FROM gv WHERE x IS NOT NULL AND y IS NOT NULL)"""
-
-
 def function_lines(m: Model):
-    side = lambda fy: F.floor(F.max(F.when(F.col("financial_year") == fy, F.col("amount"))))
-    g = grid_numbers(m).groupBy("source_id", "sec", "p_type", "b", "p_brand").agg(side("1999-00").alias("x"), side("2000-01").alias("y")).dropna(subset=["x", "y"])
-    nums = lambda a, b: F.concat(F.lit("  "), F.format_number(a, 0), F.lit(" "), F.format_number(b, 0))
+    """Lines of every part type and brand with all years; even brands have labels of up to six lines."""
+    g = yearly(m)
     base = F.col("sec") * 1000
 
     def line(df, no, text):
         return df.select("source_id", F.lit(1).alias("page"), no.cast("int").alias("line_no"), text.alias("text"))
 
+    row = lambda name: F.concat(name, F.lit("  "), shown(F.col("vals")))
     long = F.col("b") % 2 == 0
-    body = line(g.where(~long), base + 10 * F.col("b") + 10, F.concat("p_brand", nums("x", "y")))
+    body = line(g.where(~long), base + 10 * F.col("b") + 10, row(F.col("p_brand")))
     split = g.where(long)
-    heads = g.groupBy("source_id", "sec", "p_type").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    above = split.select("source_id", "sec", "b", F.posexplode(F.expr("transform(sequence(1, b % 5 + 1), i -> concat('wrapped ', i))")).alias("i", "text"))
+    heads = g.groupBy("source_id", "sec", "p_type").agg(F.array(*[F.sum(F.get("vals", F.lit(i))) for i in range(LAST - FIRST + 1)]).alias("vals"))
     plain = heads.where("p_type <> 'STANDARD' and p_type <> 'PROMO'")
     parts = [
         body,
-        line(split, base + 10 * F.col("b") + 10, F.lit("wrapped")),
-        line(split, base + 10 * F.col("b") + 11, F.concat("p_brand", nums("x", "y"))),
+        line(above, base + 10 * F.col("b") + 10 + F.col("i"), F.col("text")),
+        line(split, base + 10 * F.col("b") + 19, row(F.col("p_brand"))),
         line(plain, base, F.col("p_type")),
         line(heads.where("p_type = 'STANDARD'"), base, F.lit("STAN")),
         line(heads.where("p_type = 'STANDARD'"), base + 1, F.lit("DARD")),
-        line(heads.where("p_type = 'PROMO'"), base, F.concat("p_type", nums("x", "y"))),
-        line(plain, base + 999, F.concat(F.lit("Total "), F.lower("p_type"), nums("x", "y"))),
+        line(heads.where("p_type = 'PROMO'"), base, row(F.col("p_type"))),
+        line(plain, base + 999, F.concat(F.lit("Total "), row(F.lower("p_type")))),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -189,12 +208,13 @@ def function_lines(m: Model):
 
 @plan(
     "p36_function_tables",
-    sql("WITH " + GRID_SQL + ", " + FUNC_SQL + """ SELECT source_id, p_type || ' / ' || CASE WHEN b % 2 = 0 THEN 'wrapped ' ELSE '' END || p_brand AS category, 'subfunction' AS row_kind, CAST(x AS DOUBLE) AS first, CAST(y AS DOUBLE) AS second FROM gy
-UNION ALL SELECT source_id, p_type, 'total', CAST(sum(x) AS DOUBLE), CAST(sum(y) AS DOUBLE) FROM gy WHERE p_type <> 'STANDARD' GROUP BY ALL""", "l"),
+    sql("WITH " + GRID_SQL + ", " + FULL_SQL + f""", lab AS (SELECT *, CASE WHEN b % 2 = 0 THEN array_to_string(list_transform(range(1, b % 5 + 2), lambda i: 'wrapped ' || i), ' ') || ' ' ELSE '' END AS above FROM full_g)
+SELECT source_id, p_type || ' / ' || above || p_brand AS category, 'subfunction' AS row_kind, CAST(y - {FIRST} AS INTEGER) AS col_no, CAST(v AS DOUBLE) AS amount FROM lab
+UNION ALL SELECT source_id, p_type, 'total', CAST(y - {FIRST} AS INTEGER), CAST(sum(v) AS DOUBLE) FROM full_g WHERE p_type <> 'STANDARD' GROUP BY ALL""", "l"),
 )
 def p36(m: Model):
     r = T.function_rows(function_lines(m), SECTIONS)
-    return r.select("source_id", "category", "row_kind", F.col("numbers")[0].alias("first"), F.col("numbers")[1].alias("second"))
+    return r.select("source_id", "category", "row_kind", F.posexplode("numbers").alias("col_no", "amount"))
 
 
 SERIES_SQL = """s AS (SELECT jurisdiction AS source_id, financial_year, CAST(floor(sum(amount_aud) / 1000) AS BIGINT) AS a, count(*) AS b, CAST(floor(sum(l_quantity)) AS BIGINT) AS c FROM l GROUP BY ALL)"""

@@ -52,12 +52,19 @@ def text_lines(pages: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count and order-free checksum per table, for comparing a copy with its original."""
+    """Row count and order-free checksums per table, for comparing a copy with its original.
+
+    A row's hash takes each value with its column's place and whether it is null, so that a value can't move to another column
+    unseen; the second checksum sums products of two hashes, so that changes of several rows do not cancel in both.
+    """
     out = None
     for name, df in tables.items():
-        row = df.agg(
+        parts = [p for i, c in enumerate(df.columns) for p in (F.lit(i), F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))]
+        first, second = F.xxhash64(*parts), F.hash(*parts)
+        row = df.select(first.alias("_a"), second.alias("_b")).agg(
             F.count(F.lit(1)).alias("n_rows"),
-            F.sum(F.xxhash64(*[F.col(c).cast("string") for c in df.columns]).cast("decimal(38,0)")).alias("checksum"),
-        ).select(F.lit(name).alias("table_name"), "n_rows", F.col("checksum").cast("string").alias("checksum"))
+            F.sum(F.col("_a").cast("decimal(38,0)")).cast("string").alias("checksum"),
+            F.sum(F.shiftright("_a", 32).cast("decimal(38,0)") * F.col("_b").cast("decimal(20,0)")).cast("string").alias("checksum_2"),
+        ).select(F.lit(name).alias("table_name"), "n_rows", "checksum", "checksum_2")
         out = row if out is None else out.unionByName(row)
     return out

@@ -21,11 +21,12 @@ def merge_facts(spark: SparkSession, folder: str, new: DataFrame, partition: str
     """Upsert ``new`` into the Parquet table at ``folder``, which is partitioned by ``partition``.
 
     Only partitions that ``new`` has rows of are read, merged and replaced, so a load costs what it touches, not the table.  A key
-    belongs to one partition, since keys hold the year.
+    belongs to one partition, since keys hold the year.  Rows without a partition value are a partition like any other.
     """
     if exists(spark, folder):
         old = spark.read.parquet(folder)
-        touched = old.join(new.select(partition).distinct(), partition, "left_semi")
+        years = new.select(F.col(partition).cast(old.schema[partition].dataType).alias("_touched")).distinct()
+        touched = old.join(years, F.col(partition).eqNullSafe(F.col("_touched")), "left_semi")
         # written beside the table first: a table can't be replaced while it is read
         new = cut_lineage(upsert(touched, new, key))
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(folder)

@@ -98,3 +98,20 @@ def test_table_counts_see_changes(spark):
     two = {r.table_name: r.checksum for r in readers.table_counts({"t": a.orderBy("s", ascending=False)}).collect()}
     three = {r.table_name: r.checksum for r in readers.table_counts({"t": a.limit(1)}).collect()}
     assert one == two != three
+
+
+def test_table_counts_see_values_that_move_beside_a_null(spark):
+    sums = lambda rows: [(r.checksum, r.checksum_2) for r in readers.table_counts({"t": spark.createDataFrame(rows, "a string, b string")}).collect()][0]
+    assert sums([("x", None)]) != sums([(None, "x")]) and sums([(None, None)]) != sums([("", None)])
+    assert sums([("x", "y"), ("p", "q")]) == sums([("p", "q"), ("x", "y")]) != sums([("x", "q"), ("p", "y")])
+
+
+def test_loads_keep_rows_without_a_partition_value(spark, tmp_path):
+    from factline.sources import store
+
+    s, folder = "fact_key string, amount_aud double, locator string, financial_year string", str(tmp_path / "facts")
+    load = lambda *rows: store.merge_facts(spark, folder, spark.createDataFrame(rows, s))
+    load(("a", 1.0, "x", None), ("b", 2.0, "x", "2020-21"))
+    load(("c", 3.0, "x", None))
+    load(("a", 5.0, "x", None), ("d", 4.0, "x", "2021-22"))
+    assert {r.fact_key: (r.amount_aud, r.financial_year) for r in spark.read.parquet(folder).collect()} == {"a": (5.0, None), "b": (2.0, "2020-21"), "c": (3.0, None), "d": (4.0, "2021-22")}

@@ -110,6 +110,54 @@ def test_label_line_then_numbers_only(spark):
     assert got[("Program 2.1 Navy Total funded expenditure", "2026-27")] == 3_000_000
 
 
+def walk(texts, keep=4):
+    """Label in waiting of each row of numbers, line by line."""
+    import re
+
+    waits, out = [], []
+    for t in texts:
+        if re.match(T.NIL_ROW, t):
+            waits = []
+        elif waits and re.match(T.NUMBERS_ONLY, t):
+            out.append(("serve", " ".join(waits)))
+            waits = []
+        elif m := re.match(T.TAIL, t):
+            out.append(("tail", " ".join([*waits, m[1]])))
+            waits = []
+        else:
+            waits = [*waits, t][-keep:] if keep else [*waits, t]
+    short = lambda label: re.match(T.SHORT_HEADS, label) and len(label) < 20
+    return [label for kind, label in out if (len(label) >= 4 and not short(label) if kind == "tail" else re.search(r"Program\s+\d", label))]
+
+
+def test_runs_of_numbers_of_mixed_width(spark):
+    import random
+
+    rnd = random.Random(4)
+    bare = ["1 2 3", "4 5 6 7", "7,000 8 9 10 11", "2 3 4"]
+    texts = []
+    for i in range(60):
+        texts.append(f"Program {i}.1 heading number {i}")
+        texts += [rnd.choice(["text above", *bare, *bare, f"Program {i}.2 a title of its own 1 2 3"]) for _ in range(rnd.randrange(7))]
+        if i % 9 == 0:
+            texts.append("Nil program row - - - -")
+    for keep in (4, None):
+        facts, bad = T.program_tables(table(spark, "Program expenses", "Expenses - - - -", HEADER, *texts), label_lines=keep)
+        got = {(r.page, r.line_no, r.label) for r in facts.collect()} | {(r.page, r.line_no, r.label) for r in bad.collect()}
+        assert sorted(label for _, _, label in got) == sorted(walk(texts, keep))
+
+
+def test_labels_of_many_lines(spark):
+    words = [f"word {i}x" for i in range(30)]
+    lines = table(spark, "Program expenses", "Expenses - - - -", HEADER, *words, "Program 1.1 end 1,000 2,000 3,000")
+    whole = " ".join([*words, "Program 1.1 end"])
+    for keep, want in ((None, whole), (4, " ".join([*words[-4:], "Program 1.1 end"]))):
+        facts, _ = T.program_tables(lines, label_lines=keep)
+        assert {r.label for r in facts.collect()} == {want}
+    rows = T.function_rows(spark.createDataFrame([("s", 1, i, t) for i, t in enumerate(["Health", *words, "Hospitals 1 2", "Fuel", "and", "Energy 3 4"])], "source_id string, page int, line_no int, text string"), ["Health", "Fuel and Energy"])
+    assert [r.category for r in rows.orderBy("line_no").collect()] == ["Health / " + " ".join(words) + " Hospitals", "Fuel and Energy"]
+
+
 def test_labelled_row_needs_a_word_boundary(spark):
     lines = spark.createDataFrame([("s", "Revenues 1 2 3 4"), ("s", "Revenue 1,000 (2) 3 4"), ("s", "Revenue 5")], "source_id string, text string")
     rows, bad = T.labelled_rows(lines, [("Revenue", "rev")], 4)

@@ -74,3 +74,33 @@ def test_one_key_with_sparse_ordinals_is_spread(spark):
     got = {r.page: r.v for r in O.fill_forward(placed, ["k"], ["page", "line"], ["v"]).collect()}
     assert got == {i: i // 900 * 900 for i in range(4000)}
     assert [r.at for r in O.dense_ordinal(df, [], ["line"], "at", places=8).orderBy("line").collect()] == list(range(4000))
+
+
+def test_null_keys_are_keys(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, None), ("k", 1, None), ("k", 2, "b"), (None, 3, None)], "k string, line int, v string")
+    for n in (1, 4):
+        filled = O.fill_forward(df, ["k"], ["line"], ["v"], places=n).collect()
+        assert sorted((str(r.k), r.line, r.v) for r in filled) == [("None", 1, "a"), ("None", 2, "a"), ("None", 3, "a"), ("k", 1, None), ("k", 2, "b")]
+        counted = O.dense_ordinal(df, ["k"], ["line"], places=n).collect()
+        assert sorted((str(r.k), r.line, r.ordinal) for r in counted) == [("None", 1, 0), ("None", 2, 1), ("None", 3, 2), ("k", 1, 0), ("k", 2, 1)]
+    near = O.within_distance(df.select("k", F.col("line").alias("a")), df.select("k", F.col("line").alias("b")), ["k"], "a", "b", 1, 1)
+    assert sorted((str(r.k), r.a, r.b) for r in near.collect()) == [("None", 1, 2), ("None", 2, 3), ("k", 1, 2)]
+
+
+@pytest.mark.parametrize("places", [1, 3, 17])
+def test_switch_scan_equals_a_walk(spark, places):
+    rnd = random.Random(places)
+    moves = ["on", "off", "flip", "flip", "flip", None]
+    rows = [(key, i, rnd.choice(moves if key != "flips" else ["flip", None])) for key, n in (("hot", 300), ("b", 9), (None, 20), ("flips", 60)) for i in range(n)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, line int, m string")
+    ends = lambda on: (F.col("m") == "off") | ((F.col("m") == "flip") & on)
+    out = O.switch_scan(df, ["k"], ["line"], F.col("m"), lambda on: F.coalesce(ends(on), F.lit(False)), places=places)
+    got = {(r.k, r.line): (r.before, r.group, r.ordinal) for r in out.collect()}
+    assert len(got) == len(rows)
+    state = {}
+    for k, line, move in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        on, group, n = state.get(k, (False, 0, 0))
+        assert got[(k, line)] == (on, group, n)
+        end = move == "off" or (move == "flip" and on)
+        state[k] = ({"on": True, "off": False, "flip": not on, None: on}[move], group + end, n + 1)

@@ -93,3 +93,33 @@ def test_same_name_chain(spark):
     nodes = spark.createDataFrame([(["D"], 9.0, None), (["D", "D"], 8.0, 1), (["D", "D", "x"], 7.0, 2)], "path array<string>, value double, fact_id long")
     got = {"/".join(r.path): (r.value, r.fact_id) for r in T.collapse_repeats(nodes, []).collect()}
     assert got == {"D": (9.0, 1), "D/x": (7.0, 2)}
+
+
+TREE = "level string, year string, path array<string>, amount_aud double, fact_id long"
+
+
+def nodes_of(rows, keys=("level", "year")):
+    return {(r.level, r.year, tuple(r.path)): r.value for r in T.tree(rows, list(keys)).collect()}
+
+
+def test_trees_with_null_keys_count_nothing_twice(spark):
+    rows = spark.createDataFrame([(lv, y, p, a, i) for i, (lv, y, p, a) in enumerate([
+        (None, "y", ["A"], 10.0), (None, "y", ["A", "b"], 4.0), ("", "y", ["A"], 7.0), ("l", None, ["A"], 1.0), ("l", None, ["A", "b"], 2.0), ("l", None, ["A", "c"], 3.0),
+        (None, "y", ["T", "Total of it"], 9.0), (None, "y", ["T", "part"], 8.0), ("l", None, ["T", "Total alone"], 5.0),
+    ])], TREE)
+    assert nodes_of(rows) == {
+        (None, "y", ("A",)): 4.0, (None, "y", ("A", "b")): 4.0, ("", "y", ("A",)): 7.0, ("l", None, ("A",)): 5.0, ("l", None, ("A", "b")): 2.0, ("l", None, ("A", "c")): 3.0,
+        (None, "y", ("T",)): 8.0, (None, "y", ("T", "part")): 8.0, ("l", None, ("T",)): 5.0, ("l", None, ("T", "Total alone")): 5.0,
+    }
+    own = T.own_amounts(rows, ["level", "year"]).withColumn("preserve", F.col("own") == 10.0)
+    kept = {(r.level, r.year, tuple(r.path)): r.value for r in T.preserved_roll_up(own, ["level", "year"]).collect()}
+    assert kept[(None, "y", ("A",))] == 10.0 and kept[("l", None, ("A",))] == 5.0
+
+
+def test_chains_collapse_and_tops_fold_under_null_keys(spark):
+    rows = spark.createDataFrame([(None, "y", ["A", "A", "x"], 1.0, 1), (None, "y", ["A", "A", "z"], 2.0, 2)], TREE)
+    nodes = T.collapse_repeats(T.tree(rows, ["level", "year"]), ["level", "year"])
+    assert {tuple(r.path): r.value for r in nodes.collect()} == {("A",): 3.0, ("A", "x"): 1.0, ("A", "z"): 2.0}
+    items = spark.createDataFrame([(None, f"i{k}", float(k)) for k in range(6)] + [("k", "one", 1.0)], "k string, item string, v double")
+    folded = {(r.k, r.item): r.v for r in T.fold_top(items, ["k"], "item", "v", 2).collect()}
+    assert folded == {(None, "i5"): 5.0, (None, "i4"): 4.0, (None, "Other (4)"): 6.0, ("k", "one"): 1.0}
