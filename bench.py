@@ -8,6 +8,8 @@ import sys
 import time
 
 from factline.plans import load_plans
+from factline.plans.model import Model
+from factline.plans.searching import chunk_index
 from factline.session import build_session, remove_steps
 
 HEADLINE = (
@@ -29,6 +31,11 @@ def main() -> None:
     # one run that is not counted, so that the first query does not pay for starting up
     plans["a18_vocabulary"].run(spark, folder).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}
+    # searches open an index that stays: making it is a figure of its own
+    t0 = time.perf_counter()
+    chunk_index(Model(spark, folder))
+    seconds["e7_index_build"] = round(time.perf_counter() - t0, 3)
+    remove_steps(spark)
     for name in HEADLINE:
         t0 = time.perf_counter()
         plans[name].run(spark, folder).write.format("noop").mode("overwrite").save()

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import functions as F
 
 from factline.plans.model import Model, sql
 from factline.plans.registry import plan
-from factline.session import steps_folder
 from factline.search import evidence as EV
 from factline.search import facts as SF
+from factline.search import index as I
 from factline.search import text as T
 from factline.search import vectors as V
 
@@ -94,12 +94,18 @@ def e7(m: Model):
     return node_index(m).postings
 
 
-def stored(m: Model, docs) -> T.Index:
-    return T.store_index(docs, "id", F.col("text"), f"{steps_folder(m.spark)}/index-{uuid.uuid4().hex}")
+#: Tables that the facts' names and levels come from.
+FACT_TABLES = ("orders", "customer", "nation", "region")
 
 
-def node_index(m: Model) -> T.Index:
-    return m.once("node_index", lambda m: stored(m, node_docs(m)))
+def kept(m: Model, name: str, docs, *tables: str) -> I.Index:
+    """The index of that name over these tables, which outlives the query; it is refreshed where their files have changed."""
+    own = hashlib.md5(m.folder.encode()).hexdigest()[:12]
+    return m.once(name, lambda m: I.kept_index(m.spark, f"{name}-{own}", "id", lambda: docs(m), F.col("text"), [f"{m.folder}/{t}.parquet" for t in tables]))
+
+
+def node_index(m: Model) -> I.Index:
+    return kept(m, "node_index", node_docs, *FACT_TABLES)
 
 
 CHUNK_SQL = r"""fl AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents), ch AS (SELECT doc_id, CAST(pos // 1050 AS INTEGER) AS chunk_index, substr(x, CAST(pos AS BIGINT) + 1, 1200) AS chunk_text
@@ -138,9 +144,12 @@ def chunk_docs(m: Model):
     return parts.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), F.col("chunk_text").alias("text"))
 
 
+def chunk_index(m: Model) -> I.Index:
+    return kept(m, "chunk_index", chunk_docs, "documents")
+
+
 def doc_text_hits(m: Model, q: str, limit: int):
-    index = m.once("chunk_index", lambda m: stored(m, chunk_docs(m)))
-    return T.bm25(index, "id", q, limit)
+    return T.bm25(chunk_index(m), "id", q, limit)
 
 
 @plan("e10_bm25_documents", sql("WITH " + CHUNK_SRC + bm_sql("heed", "shes", 20) + " SELECT id, round(bm25, 6) AS bm25, round(1 / (1 + abs(bm25)), 6) AS score FROM bm"))

@@ -1,14 +1,14 @@
-"""Text search: chunks, postings, BM25, matched terms and titles."""
+"""Text search over a stored index: chunks, BM25, matched terms and titles."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factline.search.index import Index
 from factline.session import cut_lineage
 
 # Chunk size and overlap, shortest prefix, BM25 parameters.
@@ -16,7 +16,6 @@ CHUNK_CHARS, CHUNK_OVERLAP = 1200, 150
 PREFIX_MIN = 3
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 QUERY_TOKEN = r"[A-Za-z0-9][A-Za-z0-9'_-]{1,}"
-TERM = r"[\p{L}\p{N}]+"
 
 
 def chunks(docs: DataFrame, key: Sequence[str], text: str = "text", size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -30,40 +29,6 @@ def chunks(docs: DataFrame, key: Sequence[str], text: str = "text", size: int =
     return spread.select(*key, "chunk_index", piece.alias("chunk_text")).withColumn("content_sha", F.substring(F.sha2("chunk_text", 256), 1, 16))
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """``(term, key, tf, dl)``."""
-    terms = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
-    spread = docs.select(F.col(key), terms.alias("_t")).select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return spread.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def lengths(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    return docs.select(key, F.size(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)).alias("dl"))
-
-
-@dataclass(frozen=True)
-class Index:
-    """Stored postings sorted by term, and one row of corpus size and mean length."""
-
-    postings: DataFrame
-    corpus: DataFrame
-
-
-def store_index(docs: DataFrame, key: str, text: Column, folder: str) -> Index:
-    """Write the index of a corpus once.
-
-    Postings are sorted by range of the term, so a query's predicate on terms skips the files and row groups of all others.
-    """
-    postings(docs, key, text).repartitionByRange("term").sortWithinPartitions("term", key).write.parquet(f"{folder}/postings")
-    sizes = lengths(docs, key, text)
-    sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/corpus")
-    return open_index(docs.sparkSession, folder)
-
-
-def open_index(spark: SparkSession, folder: str) -> Index:
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/corpus"))
-
-
 def query_tokens(q: str) -> list[str]:
     return [t.lower() for t in re.findall(QUERY_TOKEN, q)]
 

@@ -7,6 +7,7 @@ from factline.quality import coverage as CO
 from factline.quality import hygiene as H
 from factline.quality import integrity as I
 from factline.search import evidence as EV
+from factline.search import index as X
 from factline.search import text as T
 from factline.search import vectors as V
 
@@ -14,7 +15,7 @@ from factline.search import vectors as V
 def test_bm25_against_plain_python(spark, tmp_path):
     docs = {1: "aged care aged", 2: "care home", 3: "agedness of care and care", 4: "roads", 5: "bridges and roads", 6: "ports", 7: "rail"}
     df = spark.createDataFrame(list(docs.items()), "id long, text string")
-    got = {r.id: r.bm25 for r in T.bm25(T.store_index(df, "id", F.col("text"), str(tmp_path / "index")), "id", "aged care", 10).collect()}
+    got = {r.id: r.bm25 for r in T.bm25(X.refresh(df, "id", F.col("text"), str(tmp_path / "index")), "id", "aged care", 10).collect()}
     toks = {k: v.split() for k, v in docs.items()}
     n, avg = len(docs), sum(len(t) for t in toks.values()) / len(docs)
     phrases = [lambda t: t == "aged", lambda t: t.startswith("aged"), lambda t: t == "care", lambda t: t.startswith("care")]
@@ -36,7 +37,7 @@ def test_bm25_against_plain_python(spark, tmp_path):
 def test_every_query_token_counts(spark, tmp_path):
     words = [f"tok{chr(97 + i)}" for i in range(14)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:12])), (3, "x")], "id long, text string")
-    index = T.store_index(df, "id", F.col("text"), str(tmp_path / "index"))
+    index = X.refresh(df, "id", F.col("text"), str(tmp_path / "index"))
     assert [r.id for r in T.bm25(index, "id", " ".join(words), 10).collect()] == [1]
 
 
@@ -114,3 +115,47 @@ def test_stale_nodes_and_their_edges(spark):
 def test_value_rank_order(spark):
     df = spark.createDataFrame([("federal_pbs_x",), ("aofm_y",), ("zzz",)], "s string").select("s", CO.value_rank(F.col("s")).alias("r"))
     assert {r.s: r.r.rank for r in df.collect()} == {"federal_pbs_x": 10, "aofm_y": 30, "zzz": 90}
+
+
+def postings_of(index):
+    return sorted((r.term, r.id, r.tf, r.dl) for r in index.postings.collect()), [tuple(r) for r in index.corpus.collect()]
+
+
+def test_a_refresh_touches_only_what_changed(spark, tmp_path, monkeypatch):
+    folder, schema = str(tmp_path / "index"), "id long, text string"
+    rows = {1: "aged care payment", 2: "road works and care", 3: None, 4: "Health health"}
+    make = lambda: spark.createDataFrame(list(rows.items()), schema)
+    first = X.refresh(make(), "id", F.col("text"), folder)
+    assert first.version == 1 and postings_of(first)[1] == [(4, 9 / 4)]
+    rows |= {2: "rail works", 5: "new care"}
+    del rows[4]
+    second = X.refresh(make(), "id", F.col("text"), folder)
+    assert {r.id for r in spark.read.parquet(f"{folder}/postings/g=2").collect()} == {2, 5}
+    fresh = X.refresh(make(), "id", F.col("text"), str(tmp_path / "other"))
+    assert postings_of(second) == postings_of(fresh) == postings_of(X.open_index(spark, folder, "id"))
+    assert [r.id for r in T.bm25(second, "id", "care", 10).collect()] == [5, 1]
+    same = X.refresh(make(), "id", F.col("text"), folder)
+    assert same.version == 3 and spark.read.parquet(f"{folder}/postings/g=3").count() == 0 and postings_of(same) == postings_of(fresh)
+    monkeypatch.setattr(X, "GENERATIONS", 2)
+    rows[1] = "merged at last"
+    merged = X.refresh(make(), "id", F.col("text"), folder)
+    assert merged.version == 5 and X._latest(spark, folder)["generations"] == [5]
+    assert postings_of(merged) == postings_of(X.refresh(make(), "id", F.col("text"), str(tmp_path / "again")))
+
+
+def test_a_kept_index_reads_texts_only_when_files_change(spark, tmp_path):
+    import uuid
+
+    table, name, calls = str(tmp_path / "t.parquet"), f"test-{uuid.uuid4().hex}", []
+    spark.createDataFrame([(1, "aged care")], "id long, text string").write.parquet(table)
+
+    def docs():
+        calls.append(1)
+        return spark.read.parquet(table)
+
+    for _ in range(2):
+        index = X.kept_index(spark, name, "id", docs, F.col("text"), [table])
+    assert len(calls) == 1 and index.version == 1
+    spark.createDataFrame([(2, "road care")], "id long, text string").write.mode("append").parquet(table)
+    index = X.kept_index(spark, name, "id", docs, F.col("text"), [table])
+    assert len(calls) == 2 and index.version == 2 and {r.id for r in T.bm25(index, "id", "care", 10).collect()} == {1, 2}
