@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factline.operators.ordered import first_per_key
 
-# Link words, phrases and suffixes that mark data, names of query parameters that hold a file name, and payload signatures.
+# Fixed values, with the reasons that ``judge_links`` and ``validity`` give: link words, phrases and suffixes that mark data, names of query parameters that hold a file name, and payload signatures.
 DOWNLOAD_WORDS = r"(?i)download|data|table|appendix|budget|statement|report|export|workbook"
 STRONG_PHRASES = r"(?i)\bdownload\b|\bdataset\b|\bspreadsheet\b|\bworkbook\b|\bdata export\b|\bexport (?:file|data|to (?:csv|excel|xlsx))\b|\bbulk export\b"
 DATA_SUFFIXES = (".csv", ".xlsx", ".xls", ".zip", ".pdf", ".docx", ".pptx", ".json", ".ods", ".ppt", ".doc", ".tsv")
@@ -21,27 +22,52 @@ SIGNATURES = (
     ("xls", ("D0CF11E0A1B11AE1",)),
     ("zip", ("504B0304",)),
 )
+# What marks the end of an archive, and an office file among archives.
+ARCHIVE_END, OFFICE_TYPES = "PK\x05\x06", "[Content_Types].xml"
+OFFICE_MEMBERS = (("xl/workbook.xml", "xlsx"), ("word/document.xml", "docx"), ("ppt/presentation.xml", "pptx"))
 HTML_MARKERS = ("<!doctype html", "<html", "<head", "<body", "<script")
 CHALLENGE_MARKERS = (
     "captcha", "access denied", "cloudflare", "verify you are human", "bot challenge", "request blocked", "sign in", "log in",
 )
+#: What stands in a tag after its name: a quote begins a value only after an equals sign, and then a ``>`` in it ends nothing.
+ATTRIBUTES = r"(?:[^\"'>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+"
+#: In one pass over a page: scripts and styles with their content, comments, and tags, which alone stay.
+MARKUP = rf"(?is)<(script|style)\b{ATTRIBUTES}>.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|(</?[a-z]{ATTRIBUTES}>)"
+TAG = rf"(?is)<[a-z][^\s/>]*({ATTRIBUTES})>"
 # an anchor's attributes and content up to its end or the next anchor, or a link's attributes
-LINK = r"(?is)<a\b([^>]*)>(.*?)(?=</a\s*>|<a\b|\z)|<link\b([^>]*)>"
-HREF = r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-DATA_URL = r"(?is)\bdata-(?:download-url|file-url|url)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-# Character references of markup.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&#38;", "&"), ("&amp;", "&"))
+LINK = rf"(?is)<a\b({ATTRIBUTES})>(.*?)(?=</a\s*>|<a\b|\z)|<link\b({ATTRIBUTES})>"
+ATTRIBUTE = r"(?is)([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?"
+# Attributes that hold the address of a file.
+DATA_ATTRIBUTES = ("data-download-url", "data-file-url", "data-url")
+REFERENCE = r"(?s)(&#[0-9]{1,8};|&#[xX][0-9a-fA-F]{1,7};|&[A-Za-z][A-Za-z0-9]*;|&|[^&]+)"
+
+
+def _reference(ref: Column) -> Column:
+    """The character of one numeric or named reference; an unknown name stays, an impossible number is U+FFFD.
+
+    Names are those of HTML 4, from Python's own table; numbers 128 to 159 mean the characters of Windows-1252, as in browsers.
+    """
+    names = F.create_map(*[F.lit(x) for name, code in (name2codepoint | {"apos": 39}).items() for x in (f"&{name};", chr(code))])
+    old = F.create_map(*[F.lit(x) for c in range(128, 160) if (own := bytes([c]).decode("cp1252", "ignore")) for x in (c, own)])
+    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    sound = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    # a number that is no character is never decoded
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(sound, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(ref.startswith("&#"), F.coalesce(F.try_element_at(old, code), plain)).otherwise(F.coalesce(F.try_element_at(names, ref), ref))
 
 
 def decoded(text: Column) -> Column:
-    """Character references of markup as characters; the ampersand comes last, so nothing is decoded twice."""
-    for name, char in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references of markup as characters, each once; texts without any are left alone."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), 1), lambda t: F.when(t.startswith("&"), _reference(t)).otherwise(t))
+    return F.when(text.contains("&"), F.replace(F.array_join(parts, ""), F.lit("\u00a0"), F.lit(" "))).otherwise(text)
 
 
-def _either(pattern: str, text: Column) -> Column:
-    return F.concat(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)])
+def _attribute(attributes: Column, *wanted: str) -> Column:
+    """Values of the wanted attributes, in order; what looks like one inside another's value is none."""
+    groups = [F.regexp_extract_all(attributes, F.lit(ATTRIBUTE), i).alias(n) for i, n in ((1, "n"), (2, "a"), (3, "b"), (4, "c"))]
+    named = F.filter(F.arrays_zip(*groups), lambda x: F.lower(x["n"]).isin(*wanted))
+    return F.transform(named, lambda x: F.concat(x["a"], x["b"], x["c"]))
 
 
 def _folded(url: Column) -> Column:
@@ -78,12 +104,14 @@ def resolve(base: Column, href: Column) -> Column:
 
 def link_candidates(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """Every link of every page once, in page order, with the text it holds, nested elements included; none are cut off."""
-    html_of = F.col(html)
-    parts = F.arrays_zip(*[F.regexp_extract_all(html_of, F.lit(LINK), i).alias(n) for i, n in ((1, "a"), (2, "inner"), (3, "link"))])
-    text = lambda inner: F.trim(F.regexp_replace(decoded(F.regexp_replace(inner, r"(?s)<[^>]*>", " ")), r"\s+", " "))
-    links = F.transform(parts, lambda p: F.struct(decoded(_either(HREF, F.concat(p["a"], p["link"]))).alias("href"), text(p["inner"]).alias("text")))
-    data = F.transform(F.regexp_extract_all(html_of, F.lit(f"({DATA_URL})"), 1), lambda h: F.struct(decoded(_either(DATA_URL, h)).alias("href"), F.lit("").alias("text")))
-    spread = pages.select(key, url, F.posexplode(F.filter(F.concat(links, data), lambda c: F.trim(c["href"]) != "")).alias("pos", "c"))
+    clean = pages.select(key, url, F.regexp_replace(F.col(html), MARKUP, "$2").alias("_html"))
+    parts = F.arrays_zip(*[F.regexp_extract_all("_html", F.lit(LINK), i).alias(n) for i, n in ((1, "a"), (2, "inner"), (3, "link"))])
+    text = lambda inner: F.trim(F.regexp_replace(decoded(F.regexp_replace(inner, rf"(?is)</?[a-z]{ATTRIBUTES}>|<[!?/][^>]*>", " ")), r"\s+", " "))
+    links = F.transform(parts, lambda p: F.struct(decoded(F.get(_attribute(F.concat(p["a"], p["link"]), "href"), F.lit(0))).alias("href"), text(p["inner"]).alias("text")))
+    tags = F.filter(F.regexp_extract_all("_html", F.lit(TAG), 1), lambda t: F.contains(F.lower(t), F.lit("data-")))
+    data = F.transform(F.flatten(F.transform(tags, lambda t: _attribute(t, *DATA_ATTRIBUTES))), lambda h: F.struct(decoded(h).alias("href"), F.lit("").alias("text")))
+    found = F.filter(F.concat(links, data), lambda c: F.trim(c["href"]) != "")
+    spread = clean.select(key, url, F.posexplode(found).alias("pos", "c"))
     full = spread.select(key, F.col(url).alias("page_url"), "pos", resolve(F.col(url), F.trim("c.href")).alias("url"), F.col("c.text").alias("text"))
     return first_per_key(full.where(F.col("url").rlike(r"^https?://")), [key, "url"], [F.col("pos")])
 
@@ -120,23 +148,45 @@ def judge_links(links: DataFrame, domains: Sequence[str], include: Sequence[str]
     return links.withColumn("reason", reason).withColumn("financial_year", fy_from_label(both))
 
 
+def payload_text(content: Column) -> Column:
+    """A payload as text, whatever it is: UTF-8, with or without its mark, UTF-16 with its mark, else a character per byte.
+
+    Nothing is decoded that might be malformed.  UTF-16 is read for its ASCII characters, which are all that types are told by.
+    """
+    single = F.decode(content, "ISO-8859-1")
+    wide = F.replace(F.decode(F.substring(content, 3, 1 << 30), "ISO-8859-1"), F.lit("\0"), F.lit(""))
+    own = content.cast("string")
+    mark = F.hex(F.substring(content, 1, 2))
+    return F.when(mark.isin("FFFE", "FEFF"), wide).when(F.is_valid_utf8(own), F.regexp_replace(own, "^\ufeff", "")).otherwise(single)
+
+
 def sniff(content: Column) -> Column:
-    """Type of a binary payload by its first bytes, else by its text."""
+    """Type of a binary payload by its first bytes, else by its text.
+
+    An archive is told by the names in it, which are stored as they are; one without its end is no archive.
+    """
     head = F.hex(F.substring(content, 1, 8))
-    text = F.decode(content, "UTF-8")
-    low = F.lower(F.ltrim(text))
+    raw = F.decode(content, "ISO-8859-1")
+    text = payload_text(content)
+    body = F.regexp_replace(text, r"^\s+", "")
+    low = F.lower(F.substring(body, 1, 20))
     html = F.lit(False)
     for mark in HTML_MARKERS:
         html = html | low.startswith(mark)
+    archive = F.when(~raw.contains(ARCHIVE_END), "invalid_zip")
+    for member, name in OFFICE_MEMBERS:
+        archive = archive.when(raw.contains(OFFICE_TYPES) & raw.contains(member), name)
+    archive = archive.otherwise("zip")
     kinds = None
     for name, marks in SIGNATURES:
         test = F.lit(False)
         for mark in marks:
             test = test | head.startswith(mark)
-        kinds = F.when(test, name) if kinds is None else kinds.when(test, name)
+        kind = archive if name == "zip" else F.lit(name)
+        kinds = F.when(test, kind) if kinds is None else kinds.when(test, kind)
     return (
         kinds.when(html, "html")
-        .when(F.ltrim(text).startswith("{") | F.ltrim(text).startswith("["), "json")
+        .when(body.startswith("{") | body.startswith("["), "json")
         .when(text.contains("\t"), "tsv")
         .when(text.contains(",") | text.contains("\n"), "csv")
         .otherwise("text")
@@ -145,7 +195,7 @@ def sniff(content: Column) -> Column:
 
 def validity(detected: Column, content: Column, n_bytes: Column, expected: Sequence[str], least: int = 1, most: int | None = None) -> Column:
     """Why a payload is refused, null when it is fine; the whole payload is searched for challenges."""
-    low = F.lower(F.decode(content, "UTF-8"))
+    low = F.lower(payload_text(content))
     challenge = F.lit(False)
     for mark in CHALLENGE_MARKERS:
         challenge = challenge | low.contains(mark)
