@@ -194,22 +194,56 @@ def with_label_paths(tree: DataFrame) -> DataFrame:
     return tree.join(j, ["root_id", "path"])
 
 
+def ancestry(edges: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(rows (ancestor, node, hops), longest hops, whether there is a cycle): one row for each number of hops between two nodes.
+
+    Built by doubling: after k rounds all ways of up to 2 ** k hops are known, and the next round puts ways of just that many
+    after all of them, so depth d takes about log d rounds.  However many ways lead between two nodes, those
+    of one length are one row.  The rounds end at the first cycle, and the rows are then not complete.
+    """
+    known = cut_lineage(edges.select(F.col("parent_id").alias("ancestor"), F.col("child_id").alias("node"), F.lit(1).alias("hops")).where(F.col("ancestor").isNotNull() & F.col("node").isNotNull()).distinct())
+    longest = 1
+    while True:
+        seen = known.agg(F.coalesce(F.max("hops"), F.lit(0)).alias("hops"), F.coalesce(F.max(F.col("ancestor") == F.col("node")), F.lit(False)).alias("cycle")).first()
+        if seen["cycle"] or seen["hops"] < longest:
+            return known, seen["hops"], seen["cycle"]
+        onward = known.where(F.col("hops") == longest).select("ancestor", F.col("node").alias("_mid"))
+        rest = known.select(F.col("ancestor").alias("_mid"), "node", "hops")
+        longer = onward.join(rest, "_mid").select("ancestor", "node", (F.col("hops") + longest).alias("hops")).distinct()
+        # ways longer than all known ones only: the others have been found
+        known = cut_lineage(known.unionByName(longer))
+        longest *= 2
+
+
 def roll_up_hierarchy(root: DataFrame, edges: DataFrame, amounts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """All nodes below a root in one hierarchy with the sum of their direct facts, zero when none.
+    """Rows (root_id, node_id, depth, amount_aud): all nodes below each root with the sum of their direct facts, zero when none.
 
-    A node that is reached at several depths has a row for each; one that is on its own path is not entered again.  If there
-    is more below ``max_depth`` levels, that is an error, not a cut.
+    A node that is reached at several depths has a row for each.  In a hierarchy with a cycle a node that is on its own path is
+    not entered again.  If there is more below ``max_depth`` levels, that is an error, not a cut.
     """
+    roots = root.select(F.col("node_id").alias("root_id")).distinct()
+    reach, deepest, cycle = ancestry(edges)
+    if cycle:
+        below, deepest = _simple_paths(roots, edges)
+    else:
+        below = reach.join(roots, F.col("ancestor") == F.col("root_id")).select("root_id", F.col("node").alias("node_id"), F.col("hops").alias("depth"))
+        if max_depth is not None and deepest > max_depth:
+            deepest = below.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    if max_depth is not None and deepest > max_depth:
+        raise ValueError(f"nodes below level {max_depth}")
+    found = roots.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("depth")).unionByName(below)
+    direct = amounts.groupBy("node_id").agg(F.sum("amount_aud").alias("amount_aud"))
+    return found.join(direct, "node_id", "left").select("root_id", "node_id", "depth", F.coalesce("amount_aud", F.lit(0.0)).alias("amount_aud"))
+
+
+def _simple_paths(roots: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """Nodes and depths by paths that enter no node twice, level by level; only for hierarchies with a cycle."""
     step = edges.select(F.col("parent_id").alias("node_id"), "child_id")
-    frontier = root.select("node_id", F.array("node_id").alias("path"))
-    found = frontier.select("node_id", F.lit(0).alias("depth"))
+    frontier = roots.select("root_id", F.col("root_id").alias("node_id"), F.array("root_id").alias("path"))
+    found = frontier.select("root_id", "node_id", F.lit(0).alias("depth")).limit(0)
     for d in count(1):
         down = frontier.join(step, "node_id").where(~F.array_contains("path", F.col("child_id")))
-        frontier = cut_lineage(down.select(F.col("child_id").alias("node_id"), F.concat("path", F.array("child_id")).alias("path")).distinct())
+        frontier = cut_lineage(down.select("root_id", F.col("child_id").alias("node_id"), F.concat("path", F.array("child_id")).alias("path")).distinct())
         if frontier.isEmpty():
-            break
-        if max_depth is not None and d > max_depth:
-            raise ValueError(f"nodes below level {max_depth}")
-        found = found.unionByName(frontier.select("node_id", F.lit(d).alias("depth")).distinct())
-    direct = amounts.groupBy("node_id").agg(F.sum("amount_aud").alias("amount_aud"))
-    return found.join(direct, "node_id", "left").withColumn("amount_aud", F.coalesce("amount_aud", F.lit(0.0)))
+            return found, d - 1
+        found = found.unionByName(frontier.select("root_id", "node_id", F.lit(d).alias("depth")).distinct())

@@ -22,8 +22,8 @@ FACTS_SQL = """nf AS (SELECT node_id || '|' || financial_year || '|' || st || '|
   st AS estimate_status, source_key || '_' || e AS source_key, round(a, 2) AS amount_aud FROM (
   SELECT 'a61|' || p_type AS node_id, 'a61' AS source_key, financial_year, estimate_status AS st, 'x' AS e, sum(amount_aud) AS a FROM l GROUP BY ALL
   UNION ALL SELECT 'a61|' || p_type || ' / ' || p_brand, 'a61', financial_year, estimate_status, 'x', sum(amount_aud) FROM l GROUP BY ALL
-  UNION ALL SELECT 'components|' || p_type || ' / ' || p_brand || ' / ' || p_name, 'components', financial_year, estimate_status, 'x', sum(amount_aud) FROM l WHERE l_quantity >= 46 GROUP BY ALL
-  UNION ALL SELECT 'pbs|' || p_type || ' / ' || p_brand || ' / ' || p_name, 'pbs', financial_year, estimate_status, CASE WHEN level = 'federal' THEN 'f' ELSE 's' END, sum(amount_aud) FROM l WHERE l_quantity <= 3 GROUP BY ALL
+  UNION ALL SELECT 'components|' || p_type || ' / ' || p_brand || ' / ' || p_name, 'components', financial_year, estimate_status, 'x', sum(amount_aud) FROM l WHERE l_quantity > 25 GROUP BY ALL
+  UNION ALL SELECT 'pbs|' || p_type || ' / ' || p_brand || ' / ' || p_name, 'pbs', financial_year, estimate_status, CASE WHEN level = 'federal' THEN 'f' ELSE 's' END, sum(amount_aud) FROM l WHERE l_quantity <= 25 GROUP BY ALL
   UNION ALL SELECT 'abs_gfs|Total ' || lower(p_type), 'abs_gfs', financial_year, estimate_status, 'x', sum(amount_aud) FROM l WHERE estimate_status = 'actual' GROUP BY ALL)
   WHERE node_id IN (SELECT node_id FROM nodes))"""
 EDGES_SQL = """edges AS (SELECT 'a61|' || t AS parent_id, 'a61|' || t || ' / ' || b AS child_id, 'same_group' AS edge_kind FROM (SELECT DISTINCT t, b FROM np)
@@ -85,8 +85,8 @@ def _node_facts(m: Model):
         F.array(
             tag("a61", F.col("p_type"), x),
             tag("a61", t2, x),
-            tag("components", t3, x, q >= 46),
-            tag("pbs", t3, F.when(F.col("level") == "federal", "f").otherwise("s"), q <= 3),
+            tag("components", t3, x, q > 25),
+            tag("pbs", t3, F.when(F.col("level") == "federal", "f").otherwise("s"), q <= 25),
             tag("abs_gfs", F.concat(F.lit("Total "), F.lower("p_type")), x, F.col("estimate_status") == "actual"),
         )
     )
@@ -344,7 +344,7 @@ def g17(m: Model):
 @plan(
     "g18_coverage_matrix",
     sql(
-        "WITH " + GRAPH + """, f AS (SELECT DISTINCT t FROM np), c AS (SELECT t, (SELECT count(*) FROM nf WHERE node_id = 'abs_gfs|Total ' || lower(t) AND financial_year = '1999-00') AS facts,
+        "WITH " + GRAPH + """, f AS (SELECT DISTINCT t FROM np), c AS (SELECT t, (SELECT count(*) FROM nf WHERE node_id = 'abs_gfs|Total ' || lower(t)) AS facts,
  (SELECT count(*) FROM nodes WHERE source_key = 'a61' AND name LIKE t || ' / %') AS subs, (SELECT count(*) FROM nodes WHERE source_key = 'components' AND name LIKE t || ' / %') AS comps,
  (SELECT count(*) FROM nodes WHERE source_key = 'pbs' AND name LIKE t || ' / %') AS progs, (SELECT count(DISTINCT child_id) FROM edges WHERE edge_kind = 'related_breakdown' AND parent_id = 'abs_gfs|Total ' || lower(t)) AS rel FROM f)
 SELECT t AS function, facts AS n_facts, subs AS n_subfunctions, comps AS n_components, progs AS n_programs, rel AS n_related, CASE WHEN progs > 0 THEN 'program' WHEN comps > 0 THEN 'component' WHEN subs > 0 THEN 'subfunction' WHEN rel > 0 THEN 'related_total' ELSE 'purpose_only' END AS deepest FROM c""",
@@ -355,7 +355,7 @@ def g18(m: Model):
     from factline.quality.coverage import breakdown_coverage
 
     cw = m.table("part").select(F.col("p_type").alias("function"), F.concat(F.lit("Total "), F.lower("p_type")).alias("purpose")).distinct()
-    return breakdown_coverage(cw, node_frames(m), node_facts(m).where("financial_year = '1999-00'"), edge_frame(m), "abs_gfs", "a61", "components", "pbs").drop("purpose")
+    return breakdown_coverage(cw, node_frames(m), node_facts(m), edge_frame(m), "abs_gfs", "a61", "components", "pbs").drop("purpose")
 
 
 @plan(
@@ -363,8 +363,8 @@ def g18(m: Model):
     sql(
         """WITH RECURSIVE he AS (SELECT DISTINCT p_type AS parent_id, p_type || ' / ' || p_brand AS child_id FROM part UNION SELECT DISTINCT p_type || ' / ' || p_brand, p_type || ' / ' || p_brand || ' / ' || p_name FROM part),
 am AS (SELECT node_name AS node_id, sum(amount_aud) AS a FROM l GROUP BY ALL),
-r AS (SELECT 'PROMO' AS node_id, 0 AS depth UNION ALL SELECT child_id, depth + 1 FROM r JOIN he ON parent_id = node_id)
-SELECT node_id, CAST(depth AS INTEGER) AS depth, round(coalesce(a, 0), 2) AS amount_aud FROM r LEFT JOIN am USING (node_id)""",
+r AS (SELECT DISTINCT p_type AS root_id, p_type AS node_id, 0 AS depth FROM part UNION ALL SELECT root_id, child_id, depth + 1 FROM r JOIN he ON parent_id = node_id)
+SELECT root_id, node_id, CAST(depth AS INTEGER) AS depth, round(coalesce(a, 0), 2) AS amount_aud FROM r LEFT JOIN am USING (node_id)""",
         "l",
     ),
 )
@@ -372,6 +372,6 @@ def g19(m: Model):
     p = m.table("part")
     t2, t3 = F.concat_ws(E.SEP, "p_type", "p_brand"), F.concat_ws(E.SEP, "p_type", "p_brand", "p_name")
     he = p.select(F.col("p_type").alias("parent_id"), t2.alias("child_id")).unionByName(p.select(t2.alias("parent_id"), t3.alias("child_id"))).distinct()
-    root = p.where("p_type = 'PROMO'").select(F.col("p_type").alias("node_id")).distinct()
+    root = p.select(F.col("p_type").alias("node_id")).distinct()
     out = D.roll_up_hierarchy(root, he, m.lines.select(F.col("node_name").alias("node_id"), "amount_aud"))
     return out.withColumn("amount_aud", F.round("amount_aud", 2))

@@ -89,3 +89,33 @@ def test_children_hang_under_longest_ancestor_of_best_source(spark):
     nodes = spark.createDataFrame([(f"{s}|{n}", s, n) for s, n in rows], "node_id string, source_key string, name string")
     got = {(r.parent_id, r.child_id) for r in E.children_under_cascade(nodes, "g", ["p1", "p2"], "x").collect()}
     assert got == {("p1|A / b", "g|A / B / C")}
+
+
+def test_ways_of_a_ladder_of_diamonds_are_one_row_a_length(spark):
+    """30 diamonds one after the other have 2 ** 30 paths from top to bottom, all of 60 hops."""
+    from factline.graph import descent as D
+
+    edges = [e for i in range(30) for e in ((f"t{i}", f"l{i}"), (f"t{i}", f"r{i}"), (f"l{i}", f"t{i + 1}"), (f"r{i}", f"t{i + 1}"))]
+    df = spark.createDataFrame(edges, "parent_id string, child_id string")
+    root = spark.createDataFrame([("t0",), ("t29",)], "node_id string")
+    amounts = spark.createDataFrame([("t30", 2.0), ("t30", 3.0)], "node_id string, amount_aud double")
+    got = {(r.root_id, r.node_id): (r.depth, r.amount_aud) for r in D.roll_up_hierarchy(root, df, amounts).collect()}
+    assert len(got) == 91 + 4 and got[("t0", "t30")] == (60, 5.0) and got[("t29", "t30")] == (2, 5.0) and got[("t0", "t0")] == (0, 0.0)
+
+
+def test_ancestry_equals_a_walk(spark):
+    import random
+
+    from factline.graph import descent as D
+
+    rnd = random.Random(1)
+    edges = sorted({(a, b) for a, b in ((rnd.randrange(25), rnd.randrange(25)) for _ in range(45)) if a < b})
+    rows, deepest, cycle = D.ancestry(spark.createDataFrame(edges, "parent_id int, child_id int"))
+    want, level = set(), {(a, b, 1) for a, b in edges}
+    while level:
+        want |= level
+        level = {(a, c, h + 1) for a, b, h in level for x, c in edges if x == b}
+    assert {(r.ancestor, r.node, r.hops) for r in rows.collect()} == want and rows.count() == len(want)
+    assert deepest == max(h for _, _, h in want) and not cycle
+    assert D.ancestry(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "parent_id int, child_id int"))[2]
+    assert D.ancestry(spark.createDataFrame([], "parent_id int, child_id int"))[1:] == (0, False)
