@@ -166,10 +166,15 @@ def e10s(m: Model):
 VEC_SQL = "vc AS (SELECT vec_id || ':0' AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 5)), 9) AS score FROM embeddings ORDER BY score DESC, id LIMIT 40)"
 
 
+def vector_lists(m: Model) -> V.Lists:
+    own = hashlib.md5(m.folder.encode()).hexdigest()[:12]
+    vectors = lambda: m.table("embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("id"), "embedding")
+    return m.once("vector_lists", lambda m: V.kept_lists(m.spark, f"vectors-{own}", "id", vectors, [f"{m.folder}/embeddings.parquet"]))
+
+
 def vector_hits(m: Model, limit: int, threshold: float):
-    v = m.table("embeddings").withColumn("id", F.concat(F.col("vec_id").cast("string"), F.lit(":0")))
-    query = m.table("embeddings").where("vec_id = 5").select("embedding").scalar()
-    return V.rank_by_vector(v, "id", query, limit, threshold)
+    query = m.table("embeddings").where("vec_id = 5").select("embedding").first()
+    return V.rank_by_lists(vector_lists(m), "id", query["embedding"] if query else None, limit, threshold)[0]
 
 
 @plan("e11_cosine_ranking", sql("WITH " + VEC_SQL + " SELECT id, round(score, 5) AS score FROM vc WHERE score >= 0.28"))

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from factline.operators import matching
@@ -159,3 +160,31 @@ def test_a_kept_index_reads_texts_only_when_files_change(spark, tmp_path):
     spark.createDataFrame([(2, "road care")], "id long, text string").write.mode("append").parquet(table)
     index = X.kept_index(spark, name, "id", docs, F.col("text"), [table])
     assert len(calls) == 2 and index.version == 2 and {r.id for r in T.bm25(index, "id", "care", 10).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_lists_give_what_a_scan_gives(spark, tmp_path, spread):
+    """Clustered and unclustered vectors; odd rows have no angle and score 0."""
+    import random
+
+    from factline.search import vectors as V
+
+    rnd = random.Random(5)
+    hubs = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [x + spread * rnd.gauss(0, 1) for x in hubs[i % 12]]) for i in range(600)]
+    rows += [(600 + i, rows[3][1]) for i in range(5)] + [(700, None), (701, []), (702, [0.0] * 6), (703, [1.0, 2.0]), (705, [None, *[1.0] * 5])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    lists = V.store_lists(df, "id", str(tmp_path / "lists"))
+    assert lists.vectors.count() == len(rows)
+    shares = []
+    for i in range(0, 600, 100):
+        q = df.where(F.col("id") == i).first()["embedding"]
+        column = F.array(*[F.lit(float(x)) for x in q])
+        for limit, threshold in ((7, 0.28), (60, -1.0), (700, 0.0)):
+            got, share = V.rank_by_lists(lists, "id", q, limit, threshold)
+            assert [tuple(r) for r in got.collect()] == [tuple(r) for r in V.rank_by_vector(df, "id", column, limit, threshold).collect()]
+            if limit == 7:
+                shares.append(share)
+    assert spread == 1.0 or max(shares) < 0.5
+    odd, share = V.rank_by_lists(lists, "id", [1.0, 2.0], 1, 0.5)
+    assert [r.id for r in odd.collect()] == [703] and share == 1.0
