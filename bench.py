@@ -9,7 +9,7 @@ import time
 
 from factline.plans import load_plans
 from factline.plans.model import Model
-from factline.plans.searching import chunk_index
+from factline.plans.searching import chunk_index, vector_lists
 from factline.session import build_session, remove_steps
 
 HEADLINE = (
@@ -35,6 +35,9 @@ def main() -> None:
     t0 = time.perf_counter()
     chunk_index(Model(spark, folder))
     seconds["e7_index_build"] = round(time.perf_counter() - t0, 3)
+    t0 = time.perf_counter()
+    vector_lists(Model(spark, folder))
+    seconds["e11_lists_build"] = round(time.perf_counter() - t0, 3)
     remove_steps(spark)
     for name in HEADLINE:
         t0 = time.perf_counter()

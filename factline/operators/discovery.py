@@ -105,10 +105,12 @@ def resolve(base: Column, href: Column) -> Column:
 def link_candidates(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """Every link of every page once, in page order, with the text it holds, nested elements included; none are cut off."""
     clean = pages.select(key, url, F.regexp_replace(F.col(html), MARKUP, "$2").alias("_html"))
-    parts = F.arrays_zip(*[F.regexp_extract_all("_html", F.lit(LINK), i).alias(n) for i, n in ((1, "a"), (2, "inner"), (3, "link"))])
+    # one pass finds the links; their parts are told within each
+    parts = F.transform(F.regexp_extract_all("_html", F.lit(LINK), 0), lambda t: F.struct(*[F.regexp_extract(t, LINK, i).alias(n) for i, n in ((1, "a"), (2, "inner"), (3, "link"))]))
     text = lambda inner: F.trim(F.regexp_replace(decoded(F.regexp_replace(inner, rf"(?is)</?[a-z]{ATTRIBUTES}>|<[!?/][^>]*>", " ")), r"\s+", " "))
     links = F.transform(parts, lambda p: F.struct(decoded(F.get(_attribute(F.concat(p["a"], p["link"]), "href"), F.lit(0))).alias("href"), text(p["inner"]).alias("text")))
-    tags = F.filter(F.regexp_extract_all("_html", F.lit(TAG), 1), lambda t: F.contains(F.lower(t), F.lit("data-")))
+    every = F.when(F.col("_html").rlike("(?i)data-"), F.regexp_extract_all("_html", F.lit(TAG), 1)).otherwise(F.array().cast("array<string>"))
+    tags = F.filter(every, lambda t: F.contains(F.lower(t), F.lit("data-")))
     data = F.transform(F.flatten(F.transform(tags, lambda t: _attribute(t, *DATA_ATTRIBUTES))), lambda h: F.struct(decoded(h).alias("href"), F.lit("").alias("text")))
     found = F.filter(F.concat(links, data), lambda c: F.trim(c["href"]) != "")
     spread = clean.select(key, url, F.posexplode(found).alias("pos", "c"))
