@@ -188,3 +188,21 @@ def test_lists_give_what_a_scan_gives(spark, tmp_path, spread):
     assert spread == 1.0 or max(shares) < 0.5
     odd, share = V.rank_by_lists(lists, "id", [1.0, 2.0], 1, 0.5)
     assert [r.id for r in odd.collect()] == [703] and share == 1.0
+
+
+def test_deep_pages_are_the_pages_of_the_whole_order(spark, monkeypatch):
+    import random
+
+    from factline.search import facts as SF
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([None, 1.0, 2.0, 5.5]), rnd.choice(["2020-21", "2021-22", None]), rnd.choice(["a", "B", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "fact_id long, amount_aud double, financial_year string, node_name string").repartition(7)
+    for order in ("amount_desc", "amount_asc", "year"):
+        whole = [r.fact_id for r in SF.ordered(df, order).collect()]
+        monkeypatch.setattr(SF, "SHALLOW", 20)
+        for limit, offset in ((10, 0), (10, 200), (300, 150), (10, 495), (5, 500), (5, 9000)):
+            got = SF.page(df, order, limit, offset)
+            assert got.columns == [*df.columns, "total"]
+            found = got.collect()
+            assert [r.fact_id for r in found] == whole[offset : offset + limit] and {r.total for r in found} <= {500}
