@@ -89,10 +89,12 @@ def s6(m: Model):
     named = F.col("source") < "src15"
     both = d.withColumn("snapshot", F.lit(1)).unionByName(d.where(named).withColumn("snapshot", F.lit(2)))
     both.write.partitionBy("snapshot", "source").parquet(folder)
-    corpus = readers.read_corpus(m.spark, f"{folder}/snapshot=*/source=*", "parquet").withColumn("path", F.regexp_extract("file_path", r"(snapshot=[^/]+/source=[^/]+)/", 1))
-    listing = corpus.select(F.regexp_extract("path", r"source=(.+)$", 1).alias("source_id"), F.regexp_extract("path", r"snapshot=(\d+)", 1).alias("snapshot"), "path").distinct()
+    group = r"(snapshot=[^/]+/source=[^/]+)/"
+    listing = readers.list_files(m.spark, folder).select(F.regexp_extract("path", group, 1).alias("group")).distinct()
+    listing = listing.select(F.regexp_extract("group", r"source=(.+)$", 1).alias("source_id"), F.regexp_extract("group", r"snapshot=(\d+)", 1).alias("snapshot"), F.concat(F.lit(f"{folder}/"), "group").alias("path"))
     files = readers.latest_or_glob(listing.where("source_id < 'src15'"), listing)
-    return corpus.join(files, "path", "left_semi").groupBy(F.col("path").alias("file_group")).agg(F.count(F.lit(1)).alias("n"))
+    corpus = readers.read_chosen(m.spark, folder, files, "parquet")
+    return corpus.groupBy(F.regexp_extract("file_path", group, 1).alias("file_group")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("s8_quarantine_rows", sql("SELECT quarantine_reason, count(*) AS n FROM (SELECT 'Gate 2 types: amount_aud is null' AS quarantine_reason FROM orders WHERE o_orderstatus = 'P') GROUP BY ALL"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Shape of one award release line.
 AWARD_SCHEMA = (
@@ -38,6 +39,27 @@ def read_corpus(spark: SparkSession, pattern: str, fmt: str = "text") -> DataFra
     return spark.read.format(fmt).load(pattern).select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, length, modified)`` of every file below a folder, from the listing alone: none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def read_chosen(spark: SparkSession, folder: str, chosen: DataFrame, fmt: str, schema: StructType | str | None = None, path: str = "path") -> DataFrame:
+    """The chosen files or folders below ``folder`` as one frame, each row with the file it came from; the others are not opened.
+
+    The paths pass through the driver, as those of any scan do.  ``schema`` is needed where nothing may be chosen.
+    """
+    paths = sorted({r[0] for r in chosen.select(path).collect()})
+    reader = spark.read.format(fmt).option("basePath", folder)
+    if not paths:
+        if schema is None:
+            raise FileNotFoundError(f"no file chosen below {folder}")
+        return spark.createDataFrame([], schema).withColumn("file_path", F.lit(None).cast("string"))
+    reader = reader.schema(schema) if schema is not None else reader
+    return reader.load(paths).select("*", F.col("_metadata.file_path").alias("file_path"))
+
+
 def latest_or_glob(manifest: DataFrame, listing: DataFrame, source: str = "source_id", path: str = "path") -> DataFrame:
     """Files of each source's latest manifest; sources without one fall back to what lies on disk."""
     newest = manifest.groupBy(source).agg(F.max("snapshot").alias("snapshot"))

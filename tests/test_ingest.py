@@ -115,3 +115,20 @@ def test_loads_keep_rows_without_a_partition_value(spark, tmp_path):
     load(("c", 3.0, "x", None))
     load(("a", 5.0, "x", None), ("d", 4.0, "x", "2021-22"))
     assert {r.fact_key: (r.amount_aud, r.financial_year) for r in spark.read.parquet(folder).collect()} == {"a": (5.0, None), "b": (2.0, "2020-21"), "c": (3.0, None), "d": (4.0, "2021-22")}
+
+
+def test_only_chosen_files_are_opened(spark, tmp_path):
+    folder = str(tmp_path / "corpus")
+    rows = [(i, s, f"s{i % 4}") for i in range(40) for s in (1, 2) if s == 1 or i % 4 < 2]
+    spark.createDataFrame(rows, "id int, snapshot int, source string").repartition(1).write.partitionBy("snapshot", "source").parquet(folder)
+    files = readers.list_files(spark, folder)
+    listed = files.selectExpr("regexp_extract(path, 'source=([^/]+)', 1) as source_id", "cast(regexp_extract(path, 'snapshot=([0-9]+)', 1) as int) as snapshot", "path")
+    assert files.count() == 6
+    chosen = readers.latest_or_glob(listed.where("source_id = 's0'"), listed.where("snapshot = 1"))
+    got = readers.read_chosen(spark, folder, chosen, "parquet")
+    named = {r.path.removeprefix("file:").lstrip("/") for r in chosen.collect()}
+    assert {p.removeprefix("file:").lstrip("/") for p in got.inputFiles()} == named and len(named) == 4
+    assert sorted(r.id for r in got.collect()) == list(range(40)) and {(r.source, r.snapshot) for r in got.collect()} == {("s0", 2), ("s1", 1), ("s2", 1), ("s3", 1)}
+    assert readers.read_chosen(spark, folder, chosen.limit(0), "parquet", "id int").collect() == []
+    (tmp_path / "corpus" / "snapshot=2" / "source=s1" / "broken.parquet").write_bytes(b"not a table")  # an older one that nothing chooses may be broken
+    assert readers.read_chosen(spark, folder, chosen, "parquet").count() == 40
