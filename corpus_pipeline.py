@@ -3,7 +3,7 @@
 Every stage takes all its predecessor kept, with its texts as they are then, and is written as Parquet in the shared
 folder before the next one reads it.  All but the last return the columns of ``documents``; n_chars follows the text.
 
-Rows with a null id stay in every stage that compares documents by id.  Rows with equal ids and texts
+Rows with a null id stay in every stage that compares documents by id; benchmark leaks are told by id and text, null ids included.  Rows with equal ids and texts
 are one document given several times: near-duplicate removal keeps one of them.  If their texts differ, each is a document.  An empty table passes through.
 """
 
@@ -50,8 +50,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak an item of the benchmark go; rows with equal ids are judged by their own texts."""
-    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    """Documents that leak an item of the benchmark go; rows with equal ids, or without one, are judged by their own texts."""
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
     found = decontamination.leaks(docs.select(row.alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
     found = found.select(F.col("doc_id").alias("_id")).distinct()
     return docs.select(*COLUMNS).join(found, row == F.col("_id"), "left_anti")
