@@ -416,19 +416,20 @@ def _sets(rows: pa.StructArray) -> tuple[np.ndarray, list[np.ndarray]]:
     return ids.to_numpy(zero_copy_only=False), [h.values.to_numpy(zero_copy_only=False) for h in hashes]
 
 
-def alike_links(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def alike_links(docs: DataFrame, sets: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) of sets with the components of all met pairs of at least ``similarity``.
 
     ``docs`` has (doc_id, text); ``sets`` one row (digest, doc_id, keys) per distinct set, with a document that has it.  Small
-    buckets give each pair once; large ones are compared block against block.
+    buckets give each pair once; large ones are compared block against block.  ``candidates`` are further pairs (a, b) to verify, a < b.
     """
     index = sets.select(F.explode("keys").alias("key"), "digest")
     sizes = cut_lineage(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     met = cut_lineage(index.join(sizes, "key"))
     each = met.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("digest").alias("own"))
     pairs = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = cut_lineage(each.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct())
-    wanted = met.select("digest").distinct().join(sets.select("digest", "doc_id"), "digest").select(F.col("doc_id").alias("id"), F.col("digest").alias("wanted"))
+    pairs = cut_lineage(each.select(F.explode(pairs).alias("p")).select("p.a", "p.b").unionByName(candidates).distinct())
+    in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("digest"))
+    wanted = met.select("digest").unionByName(in_pairs).distinct().join(sets.select("digest", "doc_id"), "digest").select(F.col("doc_id").alias("id"), F.col("digest").alias("wanted"))
 
     @F.pandas_udf("digest long, hashes array<long>")
     def read(text: pd.Series) -> pd.DataFrame:
@@ -452,11 +453,24 @@ def alike_links(docs: DataFrame, sets: DataFrame, shingle: int, similarity: floa
     return cold.unionByName(hot)
 
 
+def close_sets(printed_sets: DataFrame, close: int) -> DataFrame:
+    """Pairs (a, b) of sets, a < b, whose fingerprints are linked within ``close`` bits, for verification.
+
+    ``printed_sets`` has (fp, digest).  The sets of a fingerprint meet its least one, and the least ones of linked fingerprints meet.
+    """
+    least = cut_lineage(printed_sets.groupBy("fp").agg(F.min("digest").alias("least")))
+    links = near_links(least.select("fp"), close).select(F.col("a").alias("fp"), F.col("b").alias("other"))
+    across = links.join(least, "fp").join(least.select(F.col("fp").alias("other"), F.col("least").alias("end")), "other").select(F.col("least").alias("x"), F.col("end").alias("y"))
+    within = printed_sets.join(least, "fp").select(F.col("digest").alias("x"), F.col("least").alias("y"))
+    both = across.unionByName(within).where(F.col("x") != F.col("y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, close: int = 4) -> DataFrame:
     """Rows (doc_id, component_id, first_text), one for each row of ``docs`` with an id, grouping texts by their shingle sets.
 
-    Texts whose sets have a Jaccard similarity of at least ``similarity``, verified exactly, are linked, and so are those whose
-    fingerprints, which count repeats, differ in at most ``close`` bits.  Texts without words are alike.  A group's first row has the least (doc_id, ``text_key``); component_id and first_text are these.
+    Texts whose sets have a Jaccard similarity of at least ``similarity`` are linked.  Sets meet by fingerprints, which count repeats,
+    within ``close`` bits and by minima of their hashes; every link is verified by the exact overlap.  Texts without words are alike.  A group's first row has the least (doc_id, ``text_key``); component_id and first_text are these.
     Rows with equal ids and different texts may be in different groups.
     """
     @F.pandas_udf("fp long, digest long, keys array<long>")
@@ -470,10 +484,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, clos
     first = F.min(F.struct("doc_id", "text_key"))
     sets = cut_lineage(printed.groupBy("digest").agg(first.alias("first"), F.any_value("keys").alias("keys")).select("digest", "first.doc_id", "first.text_key", "keys"))
     printed_sets = cut_lineage(printed.select("fp", "digest").distinct())
-    fp_roots = components(near_links(cut_lineage(printed_sets.select("fp").distinct()), close))
-    rooted = cut_lineage(printed_sets.join(fp_roots, printed_sets["fp"] == fp_roots["node"], "left").select("digest", F.coalesce("root", "fp").alias("of")))
-    close_links = rooted.join(rooted.groupBy("of").agg(F.min("digest").alias("b")), "of").select(F.col("digest").alias("a"), "b")
-    roots = components(alike_links(docs, sets, shingle, similarity).unionByName(close_links))
+    roots = components(alike_links(docs, sets, close_sets(printed_sets, close), shingle, similarity))
     final = cut_lineage(sets.join(roots, sets["digest"] == roots["node"], "left").select("digest", "doc_id", "text_key", F.coalesce("root", "digest").alias("top")))
     least = final.groupBy("top").agg(first.alias("first"))
     of = final.select("digest", "top").join(least, "top").select("digest", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_text"))
