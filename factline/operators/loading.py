@@ -7,10 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factline.session import cut_lineage
+
 # What an upsert overwrites, and what keeps the old value when the new one is null.
 OVERWRITTEN = ("amount_aud", "source_retrieval_id", "locator", "retrieved_at")
 KEPT_WHEN_NULL = ("observation_date", "publication_date", "valuation_basis", "amount_granularity")
 CONFLICT_TOLERANCE = 0.01
+#: Parts of a task's even share of rows: what a key has beyond one part is dealt to further tasks.
+PIECES = 16
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "fact_key") -> DataFrame:
@@ -123,11 +127,11 @@ def revision_outcomes(new: DataFrame, existing: DataFrame, key: str = "fact_key"
 def same_load_outcomes(new: DataFrame, order: str, key: str = "fact_key") -> DataFrame:
     """Within one load the first row of a key stands; equal repeats are skipped, others conflict.
 
-    The first amount per key is an aggregate with map-side combine and joins back; a key repeated in a
-    third of all rows is split by the skew join.
+    The first amount per key is an aggregate with map-side combine, which also counts the key's rows.  It joins back spread: see
+    ``join_spread``.  A null key is a key like any other.
     """
-    first = new.groupBy(key).agg(F.min_by("amount_aud", order).alias("first_amount_aud"), F.min(order).alias("_first"))
-    j = new.join(first, key)
+    first = new.groupBy(key).agg(F.min_by("amount_aud", order).alias("first_amount_aud"), F.min(order).alias("_first"), F.count("*").alias("_n"))
+    j = join_spread(new, first, key, "_n", F.xxhash64(order))
     outcome = (
         F.when(F.col(order) == F.col("_first"), "insert")
         .when(F.abs(F.col("amount_aud") - F.col("first_amount_aud")) < CONFLICT_TOLERANCE, "skip")
@@ -136,6 +140,25 @@ def same_load_outcomes(new: DataFrame, order: str, key: str = "fact_key") -> Dat
     return j.withColumn("outcome", outcome).drop("_first")
 
 
+def join_spread(rows: DataFrame, per_key: DataFrame, key: str, count: str, by: Column) -> DataFrame:
+    """Inner join of ``rows`` with one row per key, in which no key's rows need one task, whatever the session's settings.
+
+    ``per_key`` has the number of the key's rows in ``count``, which goes.  A key with more than a PIECES-th of a task's even share is dealt
+    by ``by`` to as many pieces as it has such parts, and its row of ``per_key`` is given to each.  Such keys are fewer than PIECES times the
+    shuffle partitions, so their hashes are broadcast; two keys with one hash are only dealt to more pieces.  Null keys join.
+    """
+    per_key = cut_lineage(per_key)
+    pieces = PIECES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = (per_key.agg(F.sum(count)).first()[0] or 0) / pieces
+    hashed = F.xxhash64(key)
+    shares = F.when(F.col(count) > part, F.ceil(F.col(count) / F.lit(max(part, 1.0)))).otherwise(F.lit(1))
+    hot = F.broadcast(per_key.where(F.col(count) > part).groupBy(hashed.alias("_hash")).agg(F.max(shares).alias("_pieces")))
+    dealt = rows.join(hot, hashed == F.col("_hash"), "left").withColumn("_piece", F.coalesce(F.pmod(by, F.col("_pieces")), F.lit(0))).drop("_hash", "_pieces")
+    given = per_key.join(hot, hashed == F.col("_hash"), "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1)))
+    given = given.select(F.struct(F.col(key), F.col("_piece")).alias("_at"), *[c for c in per_key.columns if c not in (key, count)])
+    return dealt.withColumn("_at", F.struct(F.col(key), F.col("_piece").cast("long").alias("_piece"))).drop("_piece").join(given, "_at").drop("_at")
+
+
 def outcome_counts(outcomes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return outcomes.groupBy(*keys, "outcome").agg(F.count(F.lit(1)).alias("n"))
 
