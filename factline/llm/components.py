@@ -13,7 +13,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     A round links the larger neighbours of every node to its smallest neighbour, then the smaller ones; what is left at
     the end are stars around the roots.  Neighbours are only reduced to their minimum, never listed, and the minimum is
-    joined back to the edges, so a node with very many links needs no task of its own.  Null ends are left out.
+    joined back to the edges; in that join the links of one node meet in one task unless Spark splits it.  Null ends are left out.
     Raises if the links have not settled in ``rounds`` rounds (they need about the logarithm of the longest path).
     """
     links = cut_lineage(
