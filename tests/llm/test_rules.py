@@ -1,6 +1,9 @@
 import random
 from collections import Counter
+from fractions import Fraction
+from math import comb
 
+import numpy as np
 import pytest
 
 from factline.llm import rules as R
@@ -51,11 +54,16 @@ def test_binomial_tail_is_exact():
     assert R.binomial_tail(0, 10, 0.1) == pytest.approx(0.9**10)
     assert R.binomial_tail(3, 3, 0.2) == 1.0
     assert R.binomial_tail(1, 4, 0.5) == pytest.approx(5 / 16)
+    for n, p in ((1, 0.3), (7, 0.5), (60, 0.05), (400, 0.05), (400, 0.9)):
+        part = Fraction(str(p))
+        total = Fraction(0)
+        for k in range(n):
+            total += comb(n, k) * part**k * (1 - part) ** (n - k)
+            assert R.binomial_tail(k, n, p) == pytest.approx(float(total), rel=1e-9, abs=1e-300)
+    assert R.binomial_tail(500_000, 10_000_000, 0.05) == pytest.approx(0.5, abs=0.001)
 
 
 def test_cutoffs_hold_the_risk_and_need_evidence():
-    import numpy as np
-
     good, bad = np.zeros(101, np.int64), np.zeros(101, np.int64)
     good[2], bad[60], good[70] = 2000, 100, 1
     cut = R.choose(good, bad, 0.01, 0.01)
@@ -85,6 +93,54 @@ def test_fit_and_apply(spark, docs_of):
     assert len([i for i in lost if i is not None and 1600 <= i < 1700]) == 100
 
 
+def test_severities_order_levels():
+    good, bad = np.zeros(101, np.int64), np.zeros(101, np.int64)
+    good[3], good[10], bad[40] = 195, 5, 50
+    found = R.severities(good, bad, 0.05)
+    assert (np.diff(found) >= 0).all() and found[3] == 0 < found[4] <= 50 < found[11] < found[40] < found[100] == 100
+    assert not R.severities(good, good, 0.05).any()  # tells nothing apart
+    assert not R.severities(good, np.zeros(101, np.int64), 0.05).any() and not R.severities(bad * 0, bad, 0.05).any()
+    assert (R.severities(np.eye(101, dtype=np.int64)[100] * 9, good, 0.05) == 0).all()
+
+
+def test_whole_risk_needs_fewer_labels():
+    """59 good documents prove a risk of 0.05 at an error of 0.05; a share of the risk for each of six rules took 572."""
+    good, bad = np.zeros(101, np.int64), np.zeros(101, np.int64)
+    good[0], bad[80] = 59, 9
+    assert R.choose(good, bad, 0.05, 0.05) is not None
+    good[0] = 58
+    assert R.choose(good, bad, 0.05, 0.05) is None
+
+
+def test_stated_risk_holds_in_simulations():
+    """Two rules on random documents; the chosen cutoffs reject more than the risk of good documents in at most 1 run of 20."""
+    rng, risk, runs, broken, chosen = np.random.default_rng(5), 0.05, 400, 0, 0
+    draw = lambda n, mean: np.minimum(100, rng.poisson(mean, (n, 2)))
+    for _ in range(runs):
+        first = [draw(60, m) for m in (12, 6)]
+        ladders = [R.severities(*(np.bincount(part[:, r], minlength=101) for part in first[::-1]), risk) for r in range(2)]
+        severe = lambda part: np.max([ladders[r][part[:, r]] for r in range(2)], axis=0)  # noqa: B023, E731
+        counts = [np.bincount(severe(draw(200, m)), minlength=101) for m in (6, 12)]
+        cut = R.choose(*counts, risk, 0.05)
+        if cut is not None:
+            chosen += 1
+            broken += (severe(draw(20_000, 6)) > round(cut * 100)).mean() > risk
+    assert chosen > runs / 4 and broken <= 0.05 * runs
+
+
+def test_labels_given_again_prove_nothing_more(spark, docs_of):
+    rng = random.Random(3)
+    text = lambda i, mark: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + mark for _ in range(30)) + f" d{i}"
+    rows = [(i, text(i, ""), "en", "s") for i in range(60)] + [(i, text(i, "###"), "en", "s") for i in range(60, 90)]
+    counted = R.with_counts(docs_of(rows))
+    one = [(i, int(i < 60)) for i in range(90)]
+    schema = "doc_id long, quality int"
+    assert R.fit_cutoffs(counted, spark.createDataFrame(one, schema)).table == {}
+    assert R.fit_cutoffs(R.with_counts(docs_of(rows * 2)), spark.createDataFrame(one * 9, schema)).table == {}
+    known = R.labelled(counted, spark.createDataFrame([*one, (0, 0), (70, 1), (1, 2), (None, 1), (2, None)], schema))
+    assert {(r["_id"], r["_good"]) for r in known.collect()} == {x for x in one if x[0] not in (0, 70)}
+
+
 def test_empty_tables(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert R.fit_cutoffs(R.with_counts(docs_of([])), labels).table == {}
