@@ -1,8 +1,9 @@
 """Language identification in two levels: the family first, then the languages of that family one against one.
 
 A text is its frequencies of hashed byte n-grams of the lower-cased text.  One linear support vector machine per family
-tells it from the others; within a family, one per pair of languages votes.  All of them are fitted by stochastic subgradient steps
-on a bounded sample and are a few rows of weights.
+tells it from the others; within a family, one per pair of languages votes.  Each machine is fitted by stochastic subgradient
+steps in a task of its own on a bounded sample and is a row of weights.  Every language found is learned, however many there
+are; the model grows with their number (33 kB a machine), not with the documents.
 """
 
 from __future__ import annotations
@@ -14,17 +15,19 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from factline.session import cut_lineage
 
 UNKNOWN = "und"
 BINS = 1 << 13
 ORDERS = (1, 2, 3)
-#: Documents of a language to learn from, on average, at most; the sample keeps those with the smallest hash of their id.
+#: Documents of a language to learn from, on average, at most; the sample keeps those with the smallest hashes.
 SAMPLE = 800
-#: Languages to learn, the most frequent ones.
-LANGUAGES = 200
+#: Documents on either side of a family's machine, on average, at most, as a multiple of ``SAMPLE``.
+SIDE = 4
 EPOCHS, REGULAR, BATCH, SCALE = 30, 1e-4, 32, 20.0
 
 #: Families of languages by code (fixed values); a language that is not listed is a family of its own.
@@ -97,9 +100,11 @@ class Model:
         return lang.tolist(), score
 
 
-def svm(x: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Weights of a linear support vector machine for y in {-1, 1}, classes weighted evenly, averaged over the last half."""
-    one = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def svm(one: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Weights of a linear support vector machine for y in {-1, 1}, classes weighted evenly, averaged over the last half.
+
+    The last column of ``one`` is 1, for the bias.
+    """
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
     w, mean, kept, t = np.zeros(one.shape[1]), np.zeros(one.shape[1]), 0, 0
     rng = np.random.default_rng(seed)
@@ -119,60 +124,71 @@ def svm(x: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
     return (mean / max(1, kept)).astype(np.float32)
 
 
-def train(x: np.ndarray, langs: list[str]) -> Model:
-    lang = np.array(langs, object)
-    families: dict[str, list[str]] = {}
-    for one in sorted(set(langs)):
-        families.setdefault(family_of(one), []).append(one)
-    family = np.array([family_of(v) for v in langs], object)
-    weights = [svm(x, np.where(family == f, 1, -1)) if len(families) > 1 else np.zeros(BINS + 1, np.float32) for f in families]
-    pairs = {}
-    for members in families.values():
-        for a, b in combinations(members, 2):
-            own = (lang == a) | (lang == b)
-            pairs[a, b] = svm(x[own], np.where(lang[own] == a, 1, -1))
-    return Model(families, np.array(weights, np.float32).reshape(len(families), BINS + 1), pairs)
-
-
-def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    x, langs = [], []
-    for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if has_letter(text):
-                x.append(frequencies(text))
-                langs.append(lang)
-    if not x:
-        return
-    model = train(np.array(x), langs)
-    rows = [(f, "", "", w.tobytes()) for f, w in zip(model.families, model.family_weights, strict=True)]
-    rows += [(family_of(a), a, b, w.tobytes()) for (a, b), w in model.pair_weights.items()]
-    rows += [(f, lang, "", b"") for f, members in model.families.items() for lang in members]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string()] * 3 + [pa.binary()], strict=True)], ["family", "a", "b", "w"])
-
-
-def fit(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
-    """Fit on documents with a language and a text for which ``may_learn`` (of doc_id) holds.
-
-    About ``sample`` documents of each language are taken, those with small hashes of their id, and at most twice
-    ``sample * 4`` in all by the shares of the languages found; counting the languages covers all rows.
+@F.pandas_udf(T.StructType([T.StructField("at", T.BinaryType()), T.StructField("share", T.BinaryType())]))
+def sparse(text: pd.Series) -> pd.DataFrame:
+    """The bins that a text has, and their shares: at most 49 kB, however long the text."""
+    out = []
+    for t in text:
+        x = frequencies(t)
+        at = np.flatnonzero(x)
+        out.append((at.astype(np.uint16).tobytes(), x[at].tobytes()))
+    return pd.DataFrame(out, columns=["at", "share"])
+
+
+MACHINE = "family string, a string, b string"
+
+
+def machine(rows: pd.DataFrame) -> pd.DataFrame:
+    """Fit the machine of a family, or of two languages of it, on the rows dealt to it."""
+    rows = rows.sort_values(["place", "at", "share"], kind="stable")
+    one = np.zeros((len(rows), BINS + 1), np.float32)
+    one[:, BINS] = 1
+    for i, (at, share) in enumerate(zip(rows["at"], rows["share"], strict=True)):
+        one[i, np.frombuffer(at, np.uint16)] = np.frombuffer(share, np.float32)
+    return rows[["family", "a", "b"]].head(1).assign(w=[svm(one, rows["y"].to_numpy()).tobytes()])
+
+
+def fit(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
+    """Fit on documents with an id, a language and a letter in their text for which ``may_learn`` (of doc_id) holds.
+
+    About ``sample`` documents of each language are taken, those with small hashes of id and text; counting the languages
+    covers all rows.  A pair's machine sees the sample of both; a family's machine sees about ``SIDE * sample`` of its own and
+    as many of the other documents of the sample.  One row per language and the weights reach the driver.
     """
-    known = docs.where(may_learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return Model({}, np.zeros((0, BINS + 1), np.float32), {})
-    each = min(sample, 8 * sample // len(counts))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = known.where(place < F.try_element_at(share, F.col("lang")))
-    one = chosen.select("text", "lang", place.alias("_place"), "doc_id").repartition(1).sortWithinPartitions("_place", "doc_id", "lang", "text")
-    rows = one.select("text", "lang").mapInArrow(_trained, "family string, a string, b string, w binary").collect()
+    known = docs.where(may_learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").cast("string").rlike(r"\p{L}"))
+    known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    found = cut_lineage(known.groupBy("lang").agg(F.count("*").alias("n")))
+    place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40))
+    chosen = known.withColumn("place", place).join(found, "lang").where(F.col("place") * F.col("n").cast("double") < F.lit(float(sample << 40)))
+    chosen = cut_lineage(chosen.select("lang", "place", sparse("text").alias("x")).select("lang", "place", "x.*"))
+    size = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
     families: dict[str, list[str]] = {}
-    for r in rows:
-        if r["a"] and not r["b"]:
-            families.setdefault(r["family"], []).append(r["a"])
-    vector = {(r["family"], r["a"], r["b"]): np.frombuffer(bytes(r["w"]), np.float32) for r in rows if r["w"]}
-    weights = np.array([vector[f, "", ""] for f in families], np.float32).reshape(len(families), BINS + 1)
-    return Model({f: sorted(v) for f, v in families.items()}, weights, {(a, b): v for (_, a, b), v in vector.items() if b})
+    for lang in sorted(size):
+        families.setdefault(family_of(lang), []).append(lang)
+    names = list(families)
+    number = {f: i for i, f in enumerate(names)}
+    inside = np.array([sum(size[lang] for lang in families[f]) for f in names], float)
+    own, other = SIDE * sample / np.maximum(1, inside), SIDE * sample / np.maximum(1, inside.sum() - inside)
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                out = []
+                for lang, place, at, share in batch.iloc[start : start + 256].itertuples(index=False):
+                    family = family_of(lang)
+                    mine = number[family]
+                    taken = np.random.default_rng(place).random(len(names)) < np.where(np.arange(len(names)) == mine, own, other)
+                    if len(names) > 1:
+                        out += [(names[f], "", "", 1 if f == mine else -1, place, at, share) for f in np.flatnonzero(taken)]
+                    out += [(family, min(lang, o), max(lang, o), 1 if lang < o else -1, place, at, share) for o in families[family] if o != lang]
+                yield pd.DataFrame(out, columns=["family", "a", "b", "y", "place", "at", "share"])
+
+    rows = chosen.mapInPandas(dealt, f"{MACHINE}, y int, place long, at binary, share binary")
+    fitted = rows.groupBy("family", "a", "b").applyInPandas(machine, f"{MACHINE}, w binary").collect() if len(size) > 1 else []
+    vector = {(r["family"], r["a"], r["b"]): np.frombuffer(bytes(r["w"]), np.float32) for r in fitted}
+    blank = np.zeros(BINS + 1, np.float32)
+    weights = np.array([vector.get((f, "", ""), blank) for f in names], np.float32).reshape(len(names), BINS + 1)
+    return Model(families, weights, {(a, b): v for (_, a, b), v in vector.items() if b})
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:

@@ -80,3 +80,28 @@ def test_language_with_one_or_none_to_learn(docs_of):
     model = langid.fit(docs_of([(1, "abc", None)]), F.lit(True))
     assert {r["lang_pred"] for r in langid.with_language(one, model).collect()} == {"und"}
     assert langid.with_language(docs_of([]), model).collect() == []
+
+
+def test_every_language_is_learned(docs_of):
+    """More languages than one task would hold, one of them rare, in families of their own; a language is more than its first letters."""
+    rng = random.Random(8)
+    words = {f"q{i:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)] for i in range(230)}
+    rows = []
+    for lang, own in words.items():
+        for _ in range(3 if lang == "q007" else 6):
+            rows.append((len(rows), " ".join(rng.choice(own) for _ in range(40)), lang))
+    df = docs_of([*rows, (9000, "123", "zz"), (9001, None, "zz"), (9002, "", "zy")])
+    model = langid.fit(df, F.lit(True), sample=4)
+    assert sorted(sum(model.families.values(), [])) == sorted(words)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.with_language(df, model).select("doc_id", "lang_pred").collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.95 * len(rows) and got[9000] == got[9001] == got[9002] == "und"
+
+
+def test_rows_given_again_and_hot_languages(docs_of):
+    """A language given mostly by copies of one row, and one with most of the rows, are learned like any other."""
+    rows = language_rows()
+    df = docs_of([*rows, *[rows[0]] * 500, *[(1000 + i, r[1], r[2]) for i, r in enumerate(rows * 4) if r[2] == "de"]])
+    model = langid.fit(df, F.lit(True), sample=30)
+    assert sorted(sum(model.families.values(), [])) == ["de", "en", "es", "fr", "xx"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.with_language(df, model).where("doc_id < 240").select("doc_id", "lang_pred").collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.95 * len(rows)
