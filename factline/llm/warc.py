@@ -6,17 +6,16 @@ the fields by that line, takes the block by its length, and synthesises what WAR
 record type and payload digests.  A payload that an earlier page already has becomes a revisit that refers to it.
 
 Headers are ASCII and payloads UTF-8, so Spark's text writer puts the records in files on any file system; they are read
-back as whole files of bounded size and parsed by Content-Length.
+back as a stream of lines and parsed by Content-Length, so that a task holds one record at a time, however large its files.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +29,7 @@ FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-#: Records in a WARC file, so that a file is read back within one task's memory.
+#: Records in a WARC file, so that many tasks can read them back.
 FILE_RECORDS = 1024
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
 ROW = "page_id long, url string, date string, block string, payload_bytes long, payload_digest string, payload_sha1 string"
@@ -147,21 +146,28 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([warc_record(*r) for r in rows], pa.string())], ["value"])
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records (header, block) of a WARC file; lengths decide where a block ends."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        length = int(head["Content-Length"])
-        yield head, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record does not end at byte {at}")
-        at += 4
+def parse_warc(lines: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records (header, block) of WARC files given as lines without their line feeds; lengths decide where a block ends."""
+    lines = iter(lines)
+    for line in lines:
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {line[:80]!r}")
+        head = {}
+        for field in lines:
+            if field == b"\r":
+                break
+            name, _, value = field.decode("utf-8").removesuffix("\r").partition(": ")
+            head[name] = value
+        length, parts, got = int(head["Content-Length"]), [], 0
+        for part in lines:
+            parts.append(part)
+            got += len(part) + 1
+            if got >= length + 4:
+                break
+        data = b"\n".join(parts) + b"\n"
+        if len(data) != length + 4 or not data.endswith(b"\r\n\r\n"):
+            raise ValueError(f"record {head.get('WARC-Record-ID')} does not end after {length} bytes")
+        yield head, data[:length]
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
@@ -170,18 +176,23 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
-    for batch in batches:
-        for content in batch.column(0):
-            rows = []
-            for head, block in parse_warc(gzip.decompress(content.as_py())):
-                kind, digest, size = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
-                payload = block.partition(b"\r\n\r\n")[2]
-                whole = kind == "revisit" or (len(payload) == size and digest_of(payload) == digest)
-                whole = whole and head["WARC-Block-Digest"] == "sha1:" + digest_of(block)
-                number = lambda x: None if x is None else int(x)
-                rows.append((number(head.get("X-Page-Id")), head["WARC-Target-URI"], size, digest, kind, number(head.get("X-Refers-To-Page")), whole))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    rows: list[tuple] = []
+    number = lambda x: None if x is None else int(x)
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    for head, block in parse_warc(line for batch in batches for line in batch.column(0).cast(pa.binary()).to_pylist()):
+        kind, digest, size = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
+        payload = block.partition(b"\r\n\r\n")[2]
+        whole = kind == "revisit" or (len(payload) == size and digest_of(payload) == digest)
+        whole = whole and head["WARC-Block-Digest"] == "sha1:" + digest_of(block)
+        rows.append((number(head.get("X-Page-Id")), head["WARC-Target-URI"], size, digest, kind, number(head.get("X-Refers-To-Page")), whole))
+        if len(rows) == 4096:
+            yield made()
+            rows.clear()
+    if rows:
+        yield made()
 
 
 def convert_pages(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -> str:
@@ -208,5 +219,5 @@ def convert_pages(pages: DataFrame, least_bytes: int = 0, folder: str | None = N
 
 def read_archives(spark, folder: str) -> DataFrame:
     """A row per WARC record in the folder; ``intact`` tells that lengths and digests agree."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return files.select("content").mapInArrow(_read, READ)
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "part-*").text(folder)
+    return lines.mapInArrow(_read, READ)

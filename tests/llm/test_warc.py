@@ -52,6 +52,23 @@ def test_small_payloads_repeated_rows_null_ids(spark):
     assert n == 5 and {(p, t, f) for p, _, _, t, f in got} == {(1, "response", None), (None, "revisit", 1), (None, "response", None)}
 
 
+def test_many_large_payloads_in_one_file(spark):
+    """40 MB of pages in a file, some of one line, some that look like records, line ends of all kinds."""
+    kinds = ["x" * 1_000_000, "WARC/1.1\r\nContent-Length: 3\r\n\r\n" * 30_000, "\n" * 1_000_000, "\r\n\r\n" * 250_000, "\r" * 1_000_000 + "é"]
+    rows = [(i, "u", kinds[i % 5] + str(i)) for i in range(40)] + [(100 + i, "u", t) for i, t in enumerate(("\n", "\r", "\r\n\r\n", "\ufeffa", "a\u2028b\x0b\x85"))]
+    out = W.read_archives(spark, W.convert_pages(pages(spark, rows).coalesce(1))).collect()
+    assert all(r["intact"] and r["record_type"] == "response" for r in out)
+    assert {(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in out} == {(i, len(t.encode()), W.digest_of(t.encode())) for i, _, t in rows}
+
+
+def test_broken_archives():
+    record = W.warc_record(1, "u", "d", "HTTP/1.0 200 OK\r\n\r\na\nb", 3, "x", None).encode()
+    assert [b for _, b in W.parse_warc(record.split(b"\n") * 2)] == [b"HTTP/1.0 200 OK\r\n\r\na\nb"] * 2
+    for bad in (record[:-9], record.replace(b"a\nb", b"a\nbc"), record[5:]):
+        with pytest.raises(ValueError):
+            list(W.parse_warc(bad.split(b"\n")))
+
+
 def test_no_pages(spark):
     assert read(spark, []) == (set(), 0)
 
@@ -60,5 +77,5 @@ def test_files_are_warc(spark):
     folder = W.convert_pages(pages(spark, [(1, "http://a", "<p>")]))
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).collect()
     data = b"".join(gzip.decompress(r["content"]) for r in content)
-    head, block = next(iter(W.parse_warc(data)))
+    head, block = next(W.parse_warc(data.split(b"\n")[:-1]))
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and head["WARC-Date"] == "2020-01-01T00:00:00Z" and block.endswith(b"<p>")
