@@ -146,29 +146,33 @@ def slots(words: list[str], kind: np.ndarray, at: int, size: int) -> list[str]:
     return [f"{kind[i]}:{EDGE.sub('', words[i]).lower()}" for i in range(at, at + size) if kind[i]]
 
 
+#: A document: its id, and for one without an id the hash of its text.
+DOC = ("doc_id", "text_key")
+
+
 def _hits(batches: Iterator[pa.RecordBatch], bitmap: bytes, sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    """Windows of documents whose hash is in the bitmap: (doc_id, hash, at, slots); as words they are null if there are any."""
+    """Windows of documents whose hash is in the bitmap: (doc_id, text_key, hash, at, slots); as words they are null if there are any."""
     tokens, bits = Tokens(), np.frombuffer(bitmap, np.uint8)
     for batch in batches:
         rows: list[tuple] = []
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+        for doc_id, text_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             words, own, kind = typed(text.as_py(), tokens)
             for size in sizes:
                 filled = slot_counts(kind, size)
                 as_words = window_hashes(own, size)
                 found = _passing(as_words, bits)
                 digest = as_words.astype(np.int64)
-                rows += [(doc.as_py(), int(digest[at]), at, None if filled[at] else []) for at in found.tolist()]
+                rows += [(doc_id, text_key, int(digest[at]), at, None if filled[at] else []) for at in found.tolist()]
                 if not filled.any():
                     continue
                 digest = window_hashes(templated(own, kind), size)
                 found = _passing(digest, bits)
                 digest = digest.astype(np.int64)
                 for at in found[(filled[found] > 0) & (2 * filled[found] <= size)].tolist():
-                    rows.append((doc.as_py(), int(digest[at]), at, slots(words, kind, at, size)))
+                    rows.append((doc_id, text_key, int(digest[at]), at, slots(words, kind, at, size)))
         if rows:
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "hash", "doc_at", "doc_slots"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [*DOC, "hash", "doc_at", "doc_slots"])
 
 
 def _passing(digest: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -192,13 +196,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
 
     A leak needs as many matching windows in consistent runs on diagonals as ``run`` tokens in a row have, or all of the item if it
     has fewer; that holds for template windows by themselves, and for windows that match either way.  ``reparameterised`` is true if some placeholder has another value than in the item.  Null and empty texts and
-    null ids match nothing; rows of ``docs`` with equal ids count as one document, equal benchmark rows as one item.
+    items without an id match nothing; rows of ``docs`` with equal ids count as one document, and so do rows without an id that have
+    equal texts, each with a null doc_id; equal benchmark rows count as one item.
     """
     items = cut_lineage(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: _items(b, window), ITEM))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     bitmap = _bitmap(items)
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = texts.mapInArrow(lambda b: _hits(b, bitmap, sizes), "doc_id long, hash long, doc_at int, doc_slots array<string>")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(0).alias("text_key"), text.alias("text"))
+    hits = texts.mapInArrow(lambda b: _hits(b, bitmap, sizes), "doc_id long, text_key long, hash long, doc_at int, doc_slots array<string>")
     # a hash tells the length of its window, so windows of different lengths do not meet
     same = F.transform("slots", lambda s: F.struct(s.alias("slots"), s.alias("doc_slots")))
     as_template = F.when(F.col("literal"), F.col("fit") & (F.size("slots") == 0) & F.col("doc_slots").isNotNull()).otherwise(True)
@@ -210,11 +216,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
         .withColumn("windows", F.when(F.col("way") == 0, F.col("windows")).otherwise(F.col("every")))
     )
     # neighbouring windows of a diagonal are one run
-    along = Window.partitionBy("doc_id", "item_id", "diagonal", "way").orderBy("at")
+    along = Window.partitionBy(*DOC, "item_id", "diagonal", "way").orderBy("at")
     runs = (
         met.withColumn("run", F.col("at") - F.dense_rank().over(along))
-        .select("doc_id", "item_id", "way", "diagonal", "run", "at", "windows", F.explode_outer("pairs").alias("pair"))
-        .groupBy("doc_id", "item_id", "way", "diagonal", "run")
+        .select(*DOC, "item_id", "way", "diagonal", "run", "at", "windows", F.explode_outer("pairs").alias("pair"))
+        .groupBy(*DOC, "item_id", "way", "diagonal", "run")
         .agg(F.collect_set("at").alias("at"), F.max("windows").alias("windows"), F.collect_set("pair").alias("pairs"))
     )
     own = F.transform("pairs", lambda p: p["slots"])
@@ -222,8 +228,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
     other = F.exists("pairs", lambda p: p["slots"] != p["doc_slots"])
     found = (
         runs.where(fits).withColumn("other", other)
-        .groupBy("doc_id", "item_id", "way")
+        .groupBy(*DOC, "item_id", "way")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_windows"), F.max("windows").alias("n_item_windows"), F.max("other").alias("reparameterised"))
         .where(F.col("n_windows") >= F.least(F.col("n_item_windows"), F.lit(run - window + 1)))
     )
-    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("n_windows", "n_item_windows", "reparameterised")])
+    return found.groupBy(*DOC, "item_id").agg(*[F.max(c).alias(c) for c in ("n_windows", "n_item_windows", "reparameterised")]).drop("text_key")

@@ -28,9 +28,18 @@ def test_verbatim_shouted_and_reparameterised(spark, docs_of):
     rows = [(1, "before it. " + ITEM + " after"), (2, ITEM.upper().replace(" ", "!! ")), (3, "so: " + other), (4, mixed), (5, "nothing of it " * 30), (6, None), (7, ""), (None, ITEM), (1, ITEM), (9, "w " * 100_000 + ITEM)]
     got = found(spark, docs_of(rows), [(1, ITEM), (2, None), (3, ""), (None, ITEM), (1, ITEM), (4, "tiny item")])
     assert got.pop((3, 1)) is True and got.pop((1, 1)) is False and got.pop((9, 1)) is False
+    assert got.pop((None, 1)) is False
     assert (4, 1) not in got and (5, 1) not in got and not any(i is None for i, _ in got)
 
 
+def test_rows_without_an_id_are_judged_by_their_texts(spark, docs_of):
+    """Windows of two such rows are not put together; equal texts are one document."""
+    half = ITEM.split()
+    rows = [(None, "a " + ITEM), (None, "a " + ITEM), (None, "b " + ITEM), (None, " ".join(half[:11])), (None, " ".join(half[11:22])), (None, None), (0, ITEM)]
+    out = [(r["doc_id"], r["item_id"]) for r in D.leaks(docs_of(rows), bench(spark, [(1, ITEM), (None, ITEM)])).collect()]
+    assert sorted(out, key=str) == [(0, 1), (None, 1), (None, 1)]
+
+
 def test_short_items_must_be_there_in_full(spark, docs_of):
     got = found(spark, docs_of([(1, "x y some short question here z"), (2, "some short question"), (3, "short question here")]), [(8, "Some short question here?")])
     assert set(got) == {(1, 8)}
