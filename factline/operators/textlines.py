@@ -24,6 +24,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are computed once per row, however often later filters and columns use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 # Sections and blocks
 
 
@@ -130,27 +135,32 @@ def budget_template(start: Column) -> Column:
 
 
 def align_years(n: Column, header: Column, template: Column | None = None, budget_year: Column | None = None) -> Column:
-    """``(columns, reason)``: exact header, else its rightmost columns, else a template, else quarantine."""
-    none = F.lit(None).cast("array<struct<fy:string,status:string>>")
+    """``(columns, reason)``: exact header, else its rightmost columns, else a template, else quarantine.
+
+    What is given is bound once, so a header that is parsed in place is parsed once per row, not once per use.
+    """
+    columns = "array<struct<fy:string,status:string>>"
+    none = F.lit(None).cast(columns)
+    given = {"n": n, "header": header, "template": none if template is None else template, "year": F.lit(None).cast("string") if budget_year is None else budget_year}
 
     def answer(cols: Column, why: str) -> Column:
-        return F.struct(cols.alias("columns"), F.lit(why).alias("reason"))
-
-    h = F.size(header)
-    out = (
-        F.when(n < 2, answer(none, "too_few_numeric_columns"))
-        .when(header.isNotNull() & (h == n), answer(header, "table_header_exact"))
-        .when(header.isNotNull() & (h > n), answer(F.slice(header, h - n + 1, n), "table_header_right_align"))
-        .when(header.isNotNull(), answer(none, "header_column_count_mismatch"))
-    )
-    if template is not None:
-        t = F.size(template)
-        out = out.when(template.isNotNull() & (t == n), answer(template, "source_layout_template")).when(
-            template.isNotNull() & (t > n), answer(F.slice(template, t - n + 1, n), "source_layout_template_right_align")
+        return F.struct(cols.cast(columns).alias("columns"), F.lit(why).alias("reason"))
+
+    def choose(z: Column) -> Column:
+        n, header, template = z["n"], z["header"], z["template"]
+        h, t = F.size(header), F.size(template)
+        return (
+            F.when(n < 2, answer(none, "too_few_numeric_columns"))
+            .when(header.isNotNull() & (h == n), answer(header, "table_header_exact"))
+            .when(header.isNotNull() & (h > n), answer(F.slice(header, h - n + 1, n), "table_header_right_align"))
+            .when(header.isNotNull(), answer(none, "header_column_count_mismatch"))
+            .when(template.isNotNull() & (t == n), answer(template, "source_layout_template"))
+            .when(template.isNotNull() & (t > n), answer(F.slice(template, t - n + 1, n), "source_layout_template_right_align"))
+            .when(z["year"].isNotNull(), answer(none, "missing_year_header_quarantine"))
+            .otherwise(answer(none, "no_year_evidence_quarantine"))
         )
-    if budget_year is not None:
-        out = out.when(budget_year.isNotNull(), answer(none, "missing_year_header_quarantine"))
-    return out.otherwise(answer(none, "no_year_evidence_quarantine"))
+
+    return F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in given.items()])), choose), F.lit(0))
 
 
 # Labelled rows
@@ -342,7 +352,10 @@ THOUSANDS, MILLIONS = 1_000, 1_000_000
 
 
 def _captured(lines: DataFrame) -> DataFrame:
-    """Lines inside program tables with their running year header; closing lines stay, as resets."""
+    """Lines inside program tables with the columns of their running year header; closing lines stay, as resets.
+
+    A header is parsed where it stands, once, and its columns are carried down; empty columns stand for none.
+    """
     text = F.trim("text")
     base = lines.withColumn("text", text).where(F.col("text") != "")
     opens = base.groupBy("source_id", "page").agg(F.max(F.col("text").rlike(START_PAGE)).alias("_open"), F.min("line_no").alias("_top"))
@@ -354,7 +367,8 @@ def _captured(lines: DataFrame) -> DataFrame:
     live = s.where((F.col("_state") == "on") | F.col("_stop"))
     years = F.size(F.regexp_extract_all("text", F.lit(FY_TOKEN), 1))
     live = live.withColumn("_is_header", ~F.col("_stop") & (years >= 3))
-    header = F.when(F.col("_stop"), "").when(F.col("_is_header"), F.col("text"))
+    none = F.array().cast("array<struct<fy:string,status:string>>")
+    header = F.when(F.col("_stop"), none).when(F.col("_is_header"), F.coalesce(year_header(F.col("text")), none))
     return fill_forward(live.withColumn("_header", header), DOC, PLACE, ["_header"]).drop("_open", "_top", "_state")
 
 
@@ -398,9 +412,9 @@ def program_tables(lines: DataFrame, defence: Column | None = None, label_lines:
     waits = waits.select("_doc", "_group", F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("_pending"))
     rows = rows.join(waits, F.col("source_id").eqNullSafe(F.col("_doc")) & (F.col("group") == F.col("_group")), "left").drop("_doc", "_group")
     tail = F.col("kind") == "tail"
-    own = F.when(tail, F.regexp_extract(text, TAIL, 1))
-    found = F.regexp_extract_all(F.when(tail, F.regexp_extract(text, TAIL, 2)).otherwise(text), F.lit(f"({PLAIN_NUMBER})"), 1)
-    rows = rows.withColumn("_l", squeeze(F.concat_ws(" ", "_pending", own))).withColumn("_ln", _act_year(F.col("_l"), found))
+    rows = bind(rows, _own=F.when(tail, F.regexp_extract(text, TAIL, 1)), _found=F.when(tail, F.regexp_extract(text, TAIL, 2)).otherwise(text))
+    rows = bind(rows, _l=squeeze(F.concat_ws(" ", "_pending", "_own")), _nums=F.regexp_extract_all("_found", F.lit(f"({PLAIN_NUMBER})"), 1))
+    rows = bind(rows, _ln=_act_year(F.col("_l"), F.col("_nums")))
     prefer = F.col("_l").rlike(PROGRAM_TOTAL)
     short = F.col("_l").rlike(SHORT_HEADS) & (F.length("_l") < 20) & ~prefer
     wanted_tail = (F.length("_l") >= 4) & (~F.lower("_l").startswith("total") | prefer) & ~short & ~F.col("_l").rlike(DROPPED_ROWS)
@@ -411,12 +425,9 @@ def program_tables(lines: DataFrame, defence: Column | None = None, label_lines:
     key_rows = live.where("_key").select(*cols, key_label.alias("label"), F.regexp_extract_all(F.regexp_extract(text, KEY_COST_ROW, 2), F.lit(f"({PLAIN_NUMBER})"), 1).alias("nums"), F.lit(MILLIONS).alias("scale"), F.lit(True).alias("prefer"))
     out = main.unionByName(key_rows).where(F.size("nums") >= 3)
     start = F.regexp_extract("source_id", r"(20\d{2})[_-]\d{2}", 1).try_cast("int")
-    # headers repeat over the rows of a table: each text is parsed once and joined back
-    out = out.withColumn("_header", F.coalesce("_header", F.lit("")))
-    heads = out.select("_header").distinct().withColumn("_h", year_header(F.col("_header")))
-    out = out.join(heads, "_header", "left").withColumn("_start", start)
+    out = out.withColumn("_h", F.when(F.size("_header") > 0, F.col("_header"))).withColumn("_start", start)
     template = F.when(F.col("_h").isNull() & F.col("_start").isNotNull(), budget_template(F.col("_start")))
-    out = out.withColumn("_a", align_years(F.size("nums"), F.col("_h"), template, F.col("_start")))
+    out = bind(out, _a=align_years(F.size("nums"), F.col("_h"), template, F.col("_start")))
     bad = out.where(F.col("_a.columns").isNull()).select("source_id", *PLACE, "label", F.array_join("nums", " ").alias("nums"), F.col("_a.reason").alias("reason"))
     spread = out.where(F.col("_a.columns").isNotNull()).withColumn("_z", F.explode(F.arrays_zip(F.col("_a.columns").alias("c"), F.col("nums").alias("v"))))
     amount = (F.replace("_z.v", F.lit(","), F.lit("")).try_cast("double") * F.col("scale")).cast("long")

@@ -29,3 +29,30 @@ def test_sections_hold_with_keys_of_any_size(spark, tmp_path):
         out = out.unionByName(s)
     out.write.parquet(str(tmp_path / "part.parquet"))
     assert agrees(spark, "p35_labelled_rows_by_section", str(tmp_path))
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_program_tables_are_not_brought_together_by_their_header(spark):
+    from factline.operators import textlines as T
+
+    lines = [("q", 1, 0, "Program expenses")] + [("q", 1, i, f"Program 1.{i}: Some title of it 1,234 1,000 2,000") for i in range(1, 4)]
+    lines += [("r", 1, 0, "Program expenses"), ("r", 1, 1, "2023-24 Actual 2024-25 Budget 2025-26 Forward estimate"), ("r", 1, 2, "Program 2.1: Another title 1,234 1,000 2,000")]
+    facts, bad = T.program_tables(spark.createDataFrame(lines, "source_id string, page int, line_no int, text string"))
+    for df in (facts, bad):  # most rows may have one header, or none
+        assert not [x for x in optimized(df).splitlines() if "Join" in x and "_header" in x]
+    assert bad.count() == 3 and [r.financial_year for r in facts.orderBy("financial_year").collect()] == ["2023-24", "2024-25", "2025-26"]
+    assert {r.estimate_status for r in facts.collect()} == {"actual", "budget", "forward_estimate"}
+
+
+def test_a_header_is_parsed_once_per_row_to_align(spark):
+    from factline.operators import textlines as T
+
+    rows = spark.createDataFrame([(2, "2020-21 2021-22 2022-23"), (3, "2020-21 2021-22 2022-23"), (4, "2020-21 2021-22 2022-23"), (1, ""), (2, "")], "n int, text string")
+    out = rows.select(T.align_years(F.col("n"), T.year_header(F.col("text"))).alias("a"))
+    uses = lambda df: optimized(df).count("forward\\s+estimate")
+    assert uses(out) == uses(rows.select(T.year_header(F.col("text")))) > 0
+    want = ["table_header_right_align", "table_header_exact", "header_column_count_mismatch", "too_few_numeric_columns", "no_year_evidence_quarantine"]
+    assert sorted(r.a.reason for r in out.collect()) == sorted(want)
