@@ -2,13 +2,14 @@
 
 Folder layout, all Parquet::
 
-    postings/g=<generation>    (term, key, tf, dl), sorted by range of the term
+    postings/g=<generation>    (term, key, tf, dl): files of some documents each, every file sorted by the term
     documents/v=<version>      (key, digest, dl, g): every document, and the generation that holds its postings
     retired/v=<version>        (key, g): postings that no longer count
     versions/v=<version>       one row: generations, number of documents, their length, what they were made from
 
 A refresh compares digests of the texts with those of the last version.  Only new and changed documents are tokenised, once, into a
-generation of their own; changed and missing ones are retired.  The row under ``versions`` is written last: until then readers
+generation of their own; changed and missing ones are retired.  No posting leaves the task that reads its text: a search opens every
+file, but reads only the row groups and pages whose least and largest terms let its terms in.  The row under ``versions`` is written last: until then readers
 open the version before, and a refresh that failed is simply run again.  A search reads its terms' postings, the
 retired keys and that row, never a text.
 """
@@ -42,9 +43,15 @@ def terms_of(text: Column) -> Column:
 
 
 def postings(lexed: DataFrame, key: str) -> DataFrame:
-    """``(term, key, dl, tf)`` of rows with their ``terms``."""
-    spread = lexed.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return spread.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """``(term, key, dl, tf)`` of rows with their ``terms``.
+
+    A row's terms are all there: they are sorted in place, and where a term first stands and the next one begins gives how often it occurs.
+    """
+    sorted_ = lexed.select(key, F.size("terms").alias("dl"), F.inline(F.array(F.struct(F.array_sort("terms").alias("_t")))))
+    at = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+    first = sorted_.where("dl > 0").select(key, "dl", "_t", F.inline(F.array(F.struct(at.alias("_at")))))
+    runs = F.transform("_at", lambda a, i: F.struct(F.get("_t", a).alias("term"), (F.coalesce(F.get("_at", i + 1), F.col("dl")) - a).cast("long").alias("tf")))
+    return first.select(key, "dl", F.inline(runs)).select("term", key, "dl", "tf")
 
 
 def _latest(spark: SparkSession, folder: str) -> Row | None:
@@ -54,7 +61,7 @@ def _latest(spark: SparkSession, folder: str) -> Row | None:
 
 
 def _store(rows: DataFrame, key: str, folder: str, generation: int) -> None:
-    rows.repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/postings/g={generation}")
+    rows.sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/postings/g={generation}")
 
 
 def _postings(spark: SparkSession, key: str, folder: str, row: Row) -> DataFrame:
