@@ -13,6 +13,7 @@ from factline.search import facts as SF
 from factline.search import index as I
 from factline.search import text as T
 from factline.search import vectors as V
+from factline.session import cut_lineage
 
 CITE_SQL = """ci AS (SELECT o_orderkey AS fact_id, o_totalprice AS amount_aud, CASE WHEN o_orderpriority LIKE '1%' THEN 'https://fact/' || o_orderkey WHEN o_orderstatus <> 'P' THEN 'https://doc/' || o_custkey END AS landing_url,
   CASE WHEN l.r IS NOT NULL THEN 'https://resolved/' || o_orderkey ELSE 'https://canonical/' || o_custkey END AS original_resource_url, CASE WHEN o_orderpriority LIKE '2%' THEN 'files/x' WHEN l.r IS NOT NULL THEN 'files/' || o_orderkey END AS cached_copy_path,
@@ -86,7 +87,9 @@ NODE_TEXT_SQL = "nt AS (SELECT node_name || ' @ ' || level AS id, lower(node_nam
 
 
 def node_docs(m: Model):
-    return m.facts.select(F.concat_ws(" @ ", "node_name", "level").alias("id"), F.concat_ws(" ", "node_name", "level").alias("text")).distinct()
+    """Names and levels, found in the facts once however many steps read them."""
+    names = lambda m: m.facts.select(F.concat_ws(" @ ", "node_name", "level").alias("id"), F.concat_ws(" ", "node_name", "level").alias("text")).distinct()
+    return m.once("node_docs", lambda m: cut_lineage(names(m)))
 
 
 @plan("e7_spending_postings", sql("WITH " + NODE_TEXT_SQL + r", w AS (SELECT id, len(regexp_extract_all(x, '[\p{L}\p{N}]+')) AS dl, unnest(regexp_extract_all(x, '[\p{L}\p{N}]+')) AS term FROM nt) SELECT term, id, CAST(dl AS INTEGER) AS dl, count(*) AS tf FROM w GROUP BY ALL", "f"))
@@ -139,8 +142,12 @@ def bm_sql(a: str, b: str, limit: int) -> str:
 CHUNK_SRC = CHUNK_SQL + ", src AS (SELECT doc_id || ':' || chunk_index AS id, lower(chunk_text) AS x FROM ch), "
 
 
-def chunk_docs(m: Model):
-    parts = T.chunks(m.table("documents"), ["doc_id"])
+def chunk_docs(m: Model, hits=None):
+    """All chunks, or those of the documents that have a hit: the others are not cut up again to show a few."""
+    docs = m.table("documents")
+    if hits is not None:
+        docs = docs.join(hits.select(F.substring_index("id", ":", 1).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    parts = T.chunks(docs, ["doc_id"])
     return parts.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), F.col("chunk_text").alias("text"))
 
 
@@ -233,12 +240,11 @@ f2 AS (SELECT id, round(sum(1.0 / (61 + k)), 9) AS score, min(l) AS shown, min(l
 def e13_all(m: Model):
     q = "heed shes"
 
-    def text(docs, limit):
-        hits = T.bm25(node_index(m), "id", q, limit) if docs is None else doc_text_hits(m, q, limit)
-        body = node_docs(m) if docs is None else docs
+    def text(hits, body):
         return hits.join(body, "id").withColumn("snippet", T.highlight(F.col("text"), q)).withColumn("order_score", F.col("bm25"))
 
-    by_text = {"spending": text(None, 20), "documents": text(chunk_docs(m), 20)}
+    in_documents = doc_text_hits(m, q, 20)
+    by_text = {"spending": text(T.bm25(node_index(m), "id", q, 20), node_docs(m)), "documents": text(in_documents, chunk_docs(m, in_documents))}
     by_vector = {"spending": vocabulary_hits(m, 10), "documents": vector_hits(m, V.vector_limit(20), V.CHUNK_THRESHOLD)}
     by_vector = {k: v.withColumn("order_score", F.col("score")) for k, v in by_vector.items()}
     return V.search(q, "all", 20, by_text, by_vector, "id").select("scope", "id", F.round("score", 6).alias("score"), "shown")
