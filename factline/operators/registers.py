@@ -85,10 +85,12 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], metrics: Mapping[str, str])
 def award_facts(releases: DataFrame, default_fy: str) -> DataFrame:
     """One row per award: first supplier, amount, and the year of the award date (else the default)."""
     a = releases.select("ocid", F.explode("awards").alias("a"))
-    day = F.try_to_timestamp(F.substring("a.date", 1, 10), F.lit("yyyy-MM-dd"))
+    # bound, since the year asks for it many times: each date is parsed once
+    day = F.try_to_timestamp(F.substring("a.date", 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+    a = a.select("*", F.inline(F.array(F.struct(day.alias("_day")))))
     return a.select(
         "ocid", F.col("a.id").alias("award_id"), F.coalesce(F.get("a.suppliers", F.lit(0))["name"], F.lit("Unknown supplier")).alias("supplier"),
-        F.col("a.buyer.name").alias("buyer"), F.col("a.value.amount").alias("amount_aud"), F.coalesce(fy_of_date(day), F.lit(default_fy)).alias("financial_year"),
+        F.col("a.buyer.name").alias("buyer"), F.col("a.value.amount").alias("amount_aud"), F.coalesce(fy_of_date(F.col("_day")), F.lit(default_fy)).alias("financial_year"),
     )
 
 

@@ -78,3 +78,14 @@ def test_only_documents_with_hits_are_cut_up_to_be_shown(spark):
     some = {(r.id, r.text) for r in S.chunk_docs(m, spark.createDataFrame([(i,) for i in ids], "id string")).collect()}
     heads = {i.split(":")[0] for i in ids}
     assert some == {c for c in every if c[0].split(":")[0] in heads} != every
+
+
+def test_the_date_of_an_award_is_parsed_once(spark):
+    from factline.operators.registers import award_facts
+    from factline.sources.readers import AWARD_SCHEMA
+
+    awards = [("a", None, "2023-08-02T00:00:00Z"), ("b", None, None), ("c", None, "2023-13-02")]
+    rows = spark.createDataFrame([("o", None, [(i, t, d, (5.0, "AUD"), [("S",)], ("B",)) for i, t, d in awards])], AWARD_SCHEMA)
+    facts = award_facts(rows, "1900-01")
+    assert optimized(facts).count("yyyy-MM-dd") == 1
+    assert {r.award_id: r.financial_year for r in facts.collect()} == {"a": "2023-24", "b": "1900-01", "c": "1900-01"}
