@@ -8,8 +8,8 @@ Folder layout, all Parquet::
     versions/v=<version>       one row: generations, number of documents, their length, what they were made from
 
 A refresh compares digests of the texts with those of the last version.  Only new and changed documents are tokenised, once, into a
-generation of their own; changed and missing ones are retired.  No posting leaves the task that reads its text: a search opens every
-file, but reads only the row groups and pages whose least and largest terms let its terms in.  The row under ``versions`` is written last: until then readers
+generation of their own; changed and missing ones are retired.  No posting leaves the task that reads its text, and a task reads so few
+texts that its postings are sorted in memory, whatever the size of the corpus: a search opens every file, but reads only the row groups and pages whose least and largest terms let its terms in.  The row under ``versions`` is written last: until then readers
 open the version before, and a refresh that failed is simply run again.  A search reads its terms' postings, the
 retired keys and that row, never a text.
 """
@@ -21,12 +21,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from factline.session import cut_lineage, drop_step, ensure_checkpoint_dir
+from factline.session import again, cut_lineage, drop_step, ensure_checkpoint_dir
 from factline.sources.store import exists
 
 TERM = r"[\p{L}\p{N}]+"
 #: Generations, and the retired share of all documents ever added, from which a refresh merges all live postings into one.
 GENERATIONS, RETIRED = 16, 0.5
+#: Bytes of a file whose postings one task sorts, and of a row group of such a file; postings take some 17 times that in memory.
+SORTED, GROUP = 16 << 20, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,15 @@ def _latest(spark: SparkSession, folder: str) -> Row | None:
     return spark.read.parquet(f"{folder}/versions").orderBy(F.desc("v")).first()
 
 
+def _small_tasks(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's whose tasks read little, for the sorts of postings alone."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    for size in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
+        own.conf.set(size, str(SORTED))
+    return own
+
+
 def _store(rows: DataFrame, key: str, folder: str, generation: int) -> None:
     rows.sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/postings/g={generation}")
 
@@ -86,8 +97,8 @@ def refresh(docs: DataFrame, key: str, text: Column, folder: str, made_from: str
         changed = now.join(known.select(key, "digest"), [key, "digest"], "left_anti")
     else:
         changed = now
-    lexed = cut_lineage(changed.select(key, "digest", terms_of(F.col("_text")).alias("terms")))
-    _store(postings(lexed, key), key, folder, version)
+    lexed = cut_lineage(changed.select(key, "digest", terms_of(F.col("_text")).alias("terms")), GROUP)
+    _store(postings(again(_small_tasks(spark), lexed), key), key, folder, version)
     added = lexed.select(key, "digest", F.size("terms").alias("dl"), F.lit(version).alias("g"))
     generations, n_retired = [version], 0
     if old:
@@ -113,7 +124,7 @@ def refresh(docs: DataFrame, key: str, text: Column, folder: str, made_from: str
 def _merged(spark: SparkSession, key: str, folder: str, row: Row) -> Row:
     """All live postings as one generation of the next version, from postings alone."""
     to = row["v"] + 1
-    _store(_postings(spark, key, folder, row).drop("g"), key, folder, to)
+    _store(_postings(_small_tasks(spark), key, folder, row).drop("g"), key, folder, to)
     spark.read.parquet(f"{folder}/documents/v={row['v']}").withColumn("g", F.lit(to)).write.mode("overwrite").parquet(f"{folder}/documents/v={to}")
     return Row(**(row.asDict() | {"v": to, "generations": [to], "n_retired": 0}))
 

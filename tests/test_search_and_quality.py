@@ -144,6 +144,16 @@ def test_a_refresh_touches_only_what_changed(spark, tmp_path, monkeypatch):
     assert postings_of(merged) == postings_of(X.refresh(make(), "id", F.col("text"), str(tmp_path / "again")))
 
 
+def test_what_a_task_sorts_does_not_grow_with_the_corpus(spark, tmp_path):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.hex(F.xxhash64("id", i))))
+    df = spark.range(0, 10_000, 1, 1).withColumn("text", words)  # 2 million postings, all different, from one task
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    index = X.refresh(df, "id", F.col("text"), str(tmp_path / "index"))
+    per_file = [r["count"] for r in index.postings.groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) == 2_000_000 and max(per_file) < 1_200_000
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_a_kept_index_reads_texts_only_when_files_change(spark, tmp_path):
     import uuid
 
