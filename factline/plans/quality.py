@@ -13,7 +13,7 @@ from factline.quality import coverage as CO
 from factline.quality import hygiene as H
 from factline.quality import integrity as I
 from factline.quality import reconcile as R
-from factline.session import cut_lineage
+from factline.session import cut_lineage, tasks_for
 
 # Label shapes made from parts; each shape has a known class.
 LABEL_SQL = """lab AS (SELECT p_partkey, p_type, p_brand, p_size, CASE p_size % 13
@@ -603,7 +603,10 @@ SELECT 'w' || o.o_orderkey AS source_id, CAST(n_rows AS INTEGER) AS n_rows, CASE
 def q30(m: Model):
     o, li = m.table("orders"), m.table("lineitem")
     src = F.concat(F.lit("w"), F.col("o_orderkey").cast("string")).alias("source_id")
-    rows = o.where("o_orderstatus <> 'P'").join(li, F.col("o_orderkey") == li.l_orderkey).groupBy("o_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("v"))
+    n = tasks_for(li)
+    there = o.where("o_orderstatus <> 'P'").select("o_orderkey").repartition(n, "o_orderkey")
+    lines = li.select("l_orderkey", "l_linenumber", "l_partkey").repartition(n, "l_orderkey")
+    rows = there.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("v"))
     cells = rows.select(src, F.lit("s").alias("sheet"), F.col("l_linenumber").alias("row_no"), F.posexplode(F.array(F.col("l_linenumber").cast("string"), F.col("v").cast("string"))).alias("col_no", "value"))
     return CO.workbook_inventory(cells, o.select(src)).select("source_id", "n_rows", "n_cols", "header_row", "error")
 

@@ -89,3 +89,11 @@ def test_the_date_of_an_award_is_parsed_once(spark):
     facts = award_facts(rows, "1900-01")
     assert optimized(facts).count("yyyy-MM-dd") == 1
     assert {r.award_id: r.financial_year for r in facts.collect()} == {"a": "2023-24", "b": "1900-01", "c": "1900-01"}
+
+
+def test_workbook_cells_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    monkeypatch.setattr("factline.session.TASK_ROWS", 500)
+    n = -(-spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 500)
+    plan = entry.queries()["q30_workbook_inventory"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {n}\n") == 2 and n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert agrees(spark, "q30_workbook_inventory", FOLDER)
