@@ -396,8 +396,10 @@ def q17(m: Model):
     before = o.where("o_orderdate < timestamp '1996-01-01'").select(F.col("o_custkey").alias("node_id"))
     after = o.where("o_orderdate >= timestamp '2000-01-01'").select(F.col("o_custkey").alias("node_id")).distinct()
     li = m.table("lineitem")
-    edges = li.join(o, li.l_orderkey == o.o_orderkey).select((-F.col("l_suppkey") - 1).alias("parent_id"), F.col("o_custkey").alias("child_id")).distinct()
-    gone, touched = H.stale_nodes(before, after, after, edges)
+    n = tasks_for(li)
+    j = li.select("l_orderkey", "l_suppkey").repartition(n, "l_orderkey").join(o.select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = j.select((-F.col("l_suppkey") - 1).alias("parent_id"), F.col("o_custkey").alias("child_id"))  # repeated ones go with the touched
+    gone, touched = H.stale_nodes(before, after, after, edges, n)
     return gone.agg(F.count(F.lit(1)).alias("n_nodes")).withColumn("n_edges", touched.agg(F.count(F.lit(1))).scalar())
 
 

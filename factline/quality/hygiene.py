@@ -40,12 +40,17 @@ def orphan_node_plan(nodes: DataFrame, bridge: DataFrame, edges: DataFrame, sour
     return orphan_nodes(nodes, bridge, edges).groupBy(source).agg(F.count(F.lit(1)).alias("n_orphans"), F.min("node_id").alias("first_node"))
 
 
-def stale_nodes(before: DataFrame, after: DataFrame, bridge: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes that bore facts before a reload and bear none now, and the edges that touch them."""
+def stale_nodes(before: DataFrame, after: DataFrame, bridge: DataFrame, edges: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes that bore facts before a reload and bear none now, and the edges that touch them.
+
+    With ``tasks`` the edges are dealt to so many by each end; else Spark decides.
+    """
+    def touching(end: str) -> DataFrame:
+        deal = lambda df: df.repartition(tasks, end) if tasks else df
+        return deal(edges).join(deal(gone.withColumnRenamed("node_id", end)), end, "left_semi").select(*edges.columns)
+
     gone = before.select("node_id").distinct().join(after.select("node_id"), "node_id", "left_anti").join(bridge.select("node_id"), "node_id", "left_anti")
-    a = edges.join(gone.withColumnRenamed("node_id", "parent_id"), "parent_id", "left_semi")
-    b = edges.join(gone.withColumnRenamed("node_id", "child_id"), "child_id", "left_semi").select(*edges.columns)
-    return gone, a.select(*edges.columns).unionByName(b).distinct()
+    return gone, touching("parent_id").unionByName(touching("child_id")).distinct()
 
 
 def rejected_to_quarantine(facts: DataFrame, name: str = "node_name") -> DataFrame:

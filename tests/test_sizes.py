@@ -97,3 +97,13 @@ def test_workbook_cells_are_dealt_by_the_number_of_lines(spark, monkeypatch):
     plan = entry.queries()["q30_workbook_inventory"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f", {n}\n") == 2 and n > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert agrees(spark, "q30_workbook_inventory", FOLDER)
+
+
+def test_stale_edges_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    monkeypatch.setattr("factline.session.TASK_ROWS", 500)
+    n = -(-spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 500)
+    dealt = []
+    whole = type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda df, *a: dealt.append(a) or whole(df, *a))
+    assert agrees(spark, "q17_stale_node_cleanup", FOLDER)
+    assert {(n, k) for k in ("l_orderkey", "o_orderkey", "parent_id", "child_id")} <= set(dealt)
