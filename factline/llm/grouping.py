@@ -27,7 +27,7 @@ def suffix_orders(symbols: np.ndarray, base: np.ndarray) -> np.ndarray:
     return _emit(base, prev, start)
 
 
-def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers first, first + 1, ... of each range, one range after another."""
     ends = np.cumsum(size)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
@@ -55,7 +55,7 @@ def _group(symbols: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarra
     low, cursor = base[:-1].copy(), base[1:].copy()
     while len(cursor):
         first = start[order[cursor - 1]]
-        members = np.sort(order[_spread(first, cursor - first)])
+        members = np.sort(order[spread(first, cursor - first)])
         # runs of members with no other open suffix between them
         heads = np.ones(len(members), bool)
         heads[1:] = before[members[1:]] != members[:-1]
@@ -80,7 +80,7 @@ def _group(symbols: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarra
         at = np.flatnonzero(opens)
         count = np.diff(np.append(at, len(group)))
         rest = end[group[at]] - count  # where what stays in the old group ends
-        target = _spread(rest, count)
+        target = spread(rest, count)
         here = where[parent]
         moved[parent] = True
         there = order[target]

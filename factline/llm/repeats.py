@@ -9,7 +9,11 @@ another in a document and hold the same piece at the same place make a segment;
 3. Where different segments share a bucket, their bytes are joined to one string, its suffix array is built by grouping
    (``grouping.suffix_orders``), and runs of neighbours that share ``length`` bytes are the repeated windows; all but
    a run's first are covered.
-4. A bucket with very many different segments is dealt to blocks, each with a suffix array of its own.  What is first in its
+4. A bucket with very many different segments is crowded.  Its segments are cut into parts of at most ``PART`` windows, by the
+   place of the bucket's piece in the window, and what all windows of a part may share, all but ``PART - 1`` of their bytes, decides
+   the part's own bucket.  Equal windows still share it; what stands beside a passage that many texts have is alone there and
+   goes no further.  Parts are then treated as segments were: 1, 2 and 3.
+5. A bucket with very many different parts is dealt to blocks, each with a suffix array of its own.  What is first in its
    block may still repeat something of another block: these windows alone are grouped by two independent 64-bit hashes of
    their bytes, which Spark spreads over tasks however many there are.
 
@@ -28,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factline.llm.grouping import suffix_orders
+from factline.llm.grouping import spread, suffix_orders
 from factline.llm.textual import encoded
 from factline.session import cut_lineage, drop_step
 
 LENGTH = 100
 GRAM = 24
-#: Different segments that one suffix array takes, about; a bucket with more is dealt to blocks.
+#: Different segments that one suffix array takes, about; a bucket with more is cut into parts, one of parts is dealt to blocks.
 MOST_SEGMENTS = 48
+#: Windows of a part at most.
+PART = 8
 #: Symbols that are sorted in step, about.
 SYMBOLS = 1 << 19
 #: Bytes that are hashed at a time.
@@ -157,17 +163,58 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "digest", "doc", "at", "n"])
 
 
+def parts(data: np.ndarray, first: np.ndarray, size: np.ndarray, bucket: np.ndarray, length: int, gram: int, width: int) -> tuple[np.ndarray, ...]:
+    """Parts of segments that lie at ``first`` with ``size`` bytes in ``data``: (segment, start in data, windows, bucket, hash).
+
+    A part's windows hold the piece of the segment's ``bucket`` at places from a multiple of ``width`` on, fewer than ``width`` further.
+    """
+    hashes = Hashes(data, MULTIPLIERS[0])
+    windows = size - length + 1
+    # the piece is the first with that hash among those that all windows of the segment hold
+    owner = np.repeat(np.arange(len(size)), size)[: len(data) - gram + 1]
+    beside = np.arange(len(owner)) - first[owner]
+    at = np.flatnonzero((hashes.all(gram) == bucket[owner]) & (beside >= windows[owner] - 1) & (beside <= length - gram))
+    _, head = np.unique(owner[at], return_index=True)
+    piece = at[head]
+    most = piece - first
+    least = most - windows + 1
+    count = most // width - least // width + 1
+    of = np.repeat(np.arange(len(size)), count)
+    step = spread(least // width, count)
+    low, high = np.maximum(step * width, least[of]), np.minimum(step * width + width - 1, most[of])
+    start, run = piece[of] - high, high - low + 1
+    shared = hashes.of(piece[of] - step * width, piece[of] - np.minimum(step * width + width - 1, length - gram) + length)
+    return of, start, run, shared + step.astype(np.uint64), hashes.of(start, start + run + length - 1) ^ run.astype(np.uint64)
+
+
+def _part_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows as those of segments, and ``of``, where the segment starts."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 4096):
+            batch = whole.slice(i, 4096)
+            bucket, doc, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            pieces = batch.column(3).to_pylist()
+            size = np.array([len(p) for p in pieces], np.int64)
+            first = np.cumsum(size) - size
+            of, start, run, key, digest = parts(np.frombuffer(b"".join(pieces), np.uint8), first, size, bucket.astype(np.uint64), length, gram, width)
+            columns = [key.astype(np.int64), digest.astype(np.int64), doc[of], at[of] + start - first[of], run, at[of]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "digest", "doc", "at", "n", "of"])
+
+
+PIECES = "bucket long, block long, doc long, at long, crowded boolean, bytes binary"
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of the segments that the texts are asked for."""
+    """Bytes of the segments that texts, or pieces of them, are asked for: rows (doc, position of the first byte, bytes, wanted)."""
     names = ["bucket", "block", "doc", "at", "crowded", "bytes"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    low = (1 << ROW_BIT) - 1
     for batch in batches:
         out: list[tuple] = []
-        for key, text, wanted in zip(*(batch.column(i) for i in range(3)), strict=True):
-            data, key = encoded(text.as_py()), key.as_py()
+        for key, start, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
+            data, key, start = text.as_py(), key.as_py(), start.as_py()
+            data = data if isinstance(data, bytes) else encoded(data)
             for w in wanted.as_py():
-                at = w["at"] & low
+                at = w["at"] - start
                 out.append((w["bucket"], w["block"], key, w["at"], w["crowded"], data[at : at + w["n"] + length - 1]))
             if len(out) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -294,28 +341,57 @@ def _step(df: DataFrame) -> DataFrame:
     return out
 
 
-def covered_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Rows (doc, at, n): n windows from ``at`` on that also start earlier.  ``docs`` is ``numbered``."""
-    texts = docs.select("_doc", "_row", "text")
-    found = texts.mapInArrow(lambda b: _segment_rows(b, length, gram), "bucket long, digest long, doc long, at long, n long")
+def _sorted_out(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Steps of ``found`` (bucket, digest, doc, at, n and any others): what equals an earlier one, and the first of each kind as ``f``.
+
+    Both are of buckets with several rows only; ``mixed`` tells those with several kinds.
+    """
+    others = [c for c in found.columns if c not in ("bucket", "digest")]
     shared = found.groupBy("bucket").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("c")).where(F.col("c") > 1)
     together = _step(found.join(shared.select("bucket", (F.col("lo") != F.col("hi")).alias("mixed")), "bucket"))
-    firsts = _step(together.groupBy("bucket", "digest", "mixed").agg(F.min(F.struct("doc", "at", "n")).alias("f"), F.count("*").alias("c")))
+    firsts = _step(together.groupBy("bucket", "digest", "mixed").agg(F.min(F.struct(*others)).alias("f"), F.count("*").alias("c")))
     copied = firsts.where(F.col("c") > 1).select(F.col("bucket").alias("b"), F.col("digest").alias("d"), "f")
     same = (F.col("bucket") == F.col("b")) & (F.col("digest") == F.col("d"))
     copies = _step(together.join(copied, same).where((F.col("doc") != F.col("f.doc")) | (F.col("at") != F.col("f.at"))).select("doc", "at", "n"))
     drop_step(together)
-    unlike = firsts.where("mixed").select("bucket", "f.doc", "f.at", "f.n")
-    blocks = F.ceil(F.col("k") / MOST_SEGMENTS)
-    placed = (
-        unlike.join(unlike.groupBy("bucket").agg(F.count("*").alias("k")), "bucket")
-        .select("bucket", F.pmod(F.xxhash64("doc", "at"), blocks).alias("block"), "doc", "at", "n", (blocks > 1).alias("crowded"))
+    return copies, firsts
+
+
+def _unlike(firsts: DataFrame) -> DataFrame:
+    """The first of each kind in mixed buckets, with the number ``k`` of kinds in the bucket."""
+    unlike = firsts.where("mixed").select("bucket", "f.*")
+    return unlike.join(unlike.groupBy("bucket").agg(F.count("*").alias("k")), "bucket")
+
+
+def _part_pieces(pieces: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of crowded segments, the parts that equal an earlier one, the pieces of those that are to be compared, with their blocks, and a step these read."""
+    found = pieces.select("bucket", "doc", "at", "bytes").mapInArrow(
+        lambda b: _part_rows(b, length, gram, PART), "bucket long, digest long, doc long, at long, n long, of long"
     )
+    copies, firsts = _sorted_out(found)
+    blocks = F.ceil(F.col("k") / MOST_SEGMENTS)
+    placed = _unlike(firsts).select("bucket", F.pmod(F.xxhash64("doc", "at"), blocks).alias("block"), "doc", "at", "n", (blocks > 1).alias("crowded"), "of")
+    wanted = placed.groupBy("doc", "of").agg(F.collect_list(F.struct("bucket", "block", "at", "n", "crowded")).alias("wanted"))
+    asked = pieces.select(F.col("doc").alias("_doc"), F.col("at").alias("_at"), "bytes").join(wanted, (F.col("_doc") == F.col("doc")) & (F.col("_at") == F.col("of")))
+    return copies, asked.select("_doc", "_at", "bytes", "wanted").mapInArrow(lambda b: _cut_out(b, length), PIECES), firsts
+
+
+def covered_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Rows (doc, at, n): n windows from ``at`` on that also start earlier.  ``docs`` is ``numbered``."""
+    texts = docs.select("_doc", "_row", "text")
+    found = texts.mapInArrow(lambda b: _segment_rows(b, length, gram), "bucket long, digest long, doc long, at long, n long")
+    copies, firsts = _sorted_out(found)
+    placed = _unlike(firsts).select("bucket", F.lit(0).cast("long").alias("block"), "doc", "at", "n", (F.col("k") > MOST_SEGMENTS).alias("crowded"))
     wanted = placed.groupBy("doc", F.shiftright("at", ROW_BIT).alias("row")).agg(F.collect_list(F.struct("bucket", "block", "at", "n", "crowded")).alias("wanted"))
-    asked = texts.join(wanted, (F.col("_doc") == F.col("doc")) & (F.col("_row") == F.col("row"))).select("_doc", "text", "wanted")
-    pieces = asked.mapInArrow(lambda b: _cut_out(b, length), "bucket long, block long, doc long, at long, crowded boolean, bytes binary")
-    searched = _step(pieces.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(lambda b: _search(b, length), FOUND))
+    asked = texts.join(wanted, (F.col("_doc") == F.col("doc")) & (F.col("_row") == F.col("row")))
+    pieces = _step(asked.select("_doc", F.shiftleft("_row", ROW_BIT).alias("_at"), "text", "wanted").mapInArrow(lambda b: _cut_out(b, length), PIECES))
     drop_step(firsts)
+    compared, crowded, steps = pieces.where(~F.col("crowded")), pieces.where("crowded"), [copies, pieces]
+    if not crowded.isEmpty():
+        more, cut, firsts = _part_pieces(crowded, length, gram)
+        copies, compared = copies.unionByName(more), compared.unionByName(cut)
+        steps += [more, firsts]
+    searched = _step(compared.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(lambda b: _search(b, length), FOUND))
     many = searched.where(F.col("h1").isNotNull()).select("h1", "h2", "doc", "at")
     earliest = many.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("c")).where(F.col("c") > 1)
     earliest = earliest.select(F.col("h1").alias("a"), F.col("h2").alias("b"), "f")
@@ -324,7 +400,10 @@ def covered_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         .where((F.col("doc") != F.col("f.doc")) | (F.col("at") != F.col("f.at"))).select("doc", "at", F.lit(1).cast("long").alias("n"))
     )
     inside = searched.where(F.col("h1").isNull()).select("doc", "at", "n")
-    return _step(copies.unionByName(inside).unionByName(across))
+    out = _step(copies.unionByName(inside).unionByName(across))
+    for step in (*steps, searched):
+        drop_step(step)
+    return out
 
 
 def cut_text(data: bytes, runs: list[dict] | None, length: int) -> tuple[bytes, int, int]:

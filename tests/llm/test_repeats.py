@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from factline.llm import repeats as R
@@ -75,3 +76,45 @@ def test_empty_table(docs_of):
 def test_characters_that_are_cut_in_part():
     kept, removed, spans = R.cut_text("aé".encode() * 3, [{"at": 2, "n": 1}], 3)
     assert (removed, spans, len(kept)) == (3, 1, 6)
+
+
+def test_a_passage_in_many_texts_does_not_list_the_windows_beside_it(docs_of, monkeypatch):
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    passage = text(40)
+    texts = [f"{text(40)} {passage} {text(40)}" for _ in range(300)]
+    listed, step = [], R._step
+
+    def counted(df):
+        out = step(df)
+        if "h1" in out.columns:
+            listed.append(out.where("h1 is not null").count())
+        return out
+
+    monkeypatch.setattr(R, "_step", counted)
+    got, _ = found(docs_of(list(enumerate(texts))))
+    assert [got[i] for i in range(len(texts))] == brute(texts, 100)
+    assert sum(listed) < 30 * len(texts)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_parts_hold_every_window_once_and_equal_windows_meet(letters):
+    rng, length, gram, width = random.Random(3), 20, 5, 4
+    texts = ["".join(rng.choice(letters) for _ in range(60)).encode() for _ in range(40)]
+    texts += [a[:30] + b[30:] for a, b in zip(texts, texts[1:], strict=False)] + [b"ab" * 30, b"a" * 60]
+    size = np.array([len(t) for t in texts])
+    data, first = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size
+    _, at, run, bucket, _ = R.segments(data, first, size, length, gram)
+    cut = [bytes(data[a : a + n + length - 1]) for a, n in zip(at, run, strict=True)]
+    long = np.array([len(c) for c in cut])
+    begin = np.cumsum(long) - long
+    of, start, n, key, digest = R.parts(np.frombuffer(b"".join(cut), np.uint8), begin, long, bucket, length, gram, width)
+    assert n.max() <= width
+    places, meets, kinds = [], {}, {}
+    for o, s, k, b, d in zip(of, start - begin[of], n, key, digest, strict=True):
+        kinds.setdefault(d, set()).add(cut[o][s : s + k + length - 1])
+        for w in range(s, s + k):
+            places.append(at[o] + w)
+            meets.setdefault(cut[o][w : w + length], set()).add(b)
+    assert sorted(places) == sorted(p for a, k in zip(at, run, strict=True) for p in range(a, a + k))
+    assert all(len(v) == 1 for v in meets.values()) and all(len(v) == 1 for v in kinds.values())
